@@ -9,6 +9,8 @@ from .registry import REGISTRY, Registered
 # The modules that register queries.
 MODULES = (
     "view_queries",
+    "feature_queries",
+    "pit_queries",
 )
 
 
