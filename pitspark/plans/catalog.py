@@ -11,6 +11,7 @@ MODULES = (
     "view_queries",
     "feature_queries",
     "pit_queries",
+    "metric_queries",
 )
 
 

@@ -18,6 +18,7 @@ class Registered:
     run: QueryFn
     sql: str | None
     covers: tuple[str, ...]
+    module: str = ""
 
 
 REGISTRY: dict[str, Registered] = {}
@@ -34,7 +35,7 @@ def query(covers: str, sql: str | None = None, name: str | None = None):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return fn(configure(spark), sf_dir)
 
-        REGISTRY[key] = Registered(key, run, sql, tuple(covers.split()))
+        REGISTRY[key] = Registered(key, run, sql, tuple(covers.split()), fn.__module__.rsplit(".", 1)[-1])
         return fn
 
     return wrap

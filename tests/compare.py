@@ -70,11 +70,16 @@ def main() -> int:
     parser = argparse.ArgumentParser()
     parser.add_argument("--sf", default="/root/testdata/sf0.01")
     parser.add_argument("--match", default="")
+    parser.add_argument("--module", default="", help="only queries registered by this module of pitspark.plans")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
     spark = local_session(8, "compare")
     con = duck(args.sf)
     queries, oracles = entry.queries(), entry.oracle_sql()
+    if args.module:
+        from pitspark.plans.catalog import all_queries
+
+        queries = {n: q for n, q in queries.items() if all_queries()[n].module == args.module}
     failures = 0
     for name in args.names or [n for n in queries if args.match in n]:
         start = time.time()
