@@ -41,43 +41,47 @@ def validate_daily_bars(bars: DataFrame, key: str = "symbol", day: str = "d") ->
 def raw_features(bars: DataFrame, key: str = "symbol", day: str = "d") -> DataFrame:
     """The ten features as known after each bar (not yet shifted)."""
     order = W.partitionBy(key).orderBy(day)
-    close, volume = F.col("close"), F.col("volume")
-    staged = bars.withColumns(
+    close, volume, ret = F.col("close"), F.col("volume"), F.col("return_1")
+    # three layers, so every window expression is evaluated once
+    changes = bars.withColumns(
         {
-            "_ret": pct_change(close, order, 1),
-            "_gain": F.greatest(close - F.lag(close).over(order), F.lit(0.0)),
-            "_loss": F.greatest(F.lag(close).over(order) - close, F.lit(0.0)),
-            "_has_diff": F.lag(close).over(order).isNotNull(),
+            "return_1": pct_change(close, order, 1),
+            "return_5": pct_change(close, order, 5),
+            "return_20": pct_change(close, order, 20),
+            "_change": close - F.lag(close).over(order),
+            "_mean_5": rolling_mean(close, order, 5),
+            "_mean_20": rolling_mean(close, order, 20),
+            "_volume_mean": rolling_mean(volume, order, 20),
+            "_volume_std": rolling_std(volume, order, 20),
         }
-    ).withColumns(
+    )
+    # greatest() skips NULL, so the first change needs its own guard
+    gain = F.when(F.col("_change").isNotNull(), F.greatest(F.col("_change"), F.lit(0.0)))
+    loss = F.when(F.col("_change").isNotNull(), F.greatest(-F.col("_change"), F.lit(0.0)))
+    rolled = changes.withColumns(
         {
-            # greatest() skips NULL, so the first row needs its own guard
-            "_gain": F.when(F.col("_has_diff"), F.col("_gain")),
-            "_loss": F.when(F.col("_has_diff"), F.col("_loss")),
+            "volatility_5": rolling_std(ret, order, 5),
+            "volatility_20": rolling_std(ret, order, 20),
+            "_up": full_window(gain, order, 14, F.avg),
+            "_down": full_window(loss, order, 14, F.avg),
         }
     )
-    ret = F.col("_ret")
-    volume_std = rolling_std(volume, order, 20)
-    up = full_window(F.col("_gain"), order, 14, F.avg)
-    down = full_window(F.col("_loss"), order, 14, F.avg)
+    up, down = F.col("_up"), F.col("_down")
     rsi = (
         F.when((down == 0) & (up > 0), F.lit(100.0))
         .when((down == 0) & (up == 0), F.lit(50.0))
         .otherwise(100.0 - 100.0 / (1.0 + F.try_divide(up, down)))
     )
-    columns = {
-        "return_1": ret,
-        "return_5": pct_change(close, order, 5),
-        "return_20": pct_change(close, order, 20),
-        "volatility_5": rolling_std(ret, order, 5),
-        "volatility_20": rolling_std(ret, order, 20),
-        "ma_gap_5": F.try_divide(close, rolling_mean(close, order, 5)) - 1,
-        "ma_gap_20": F.try_divide(close, rolling_mean(close, order, 20)) - 1,
-        "range_pct": F.try_divide(F.col("high") - F.col("low"), close),
-        "volume_z20": F.try_divide(volume - rolling_mean(volume, order, 20), F.nullif(volume_std, F.lit(0.0))),
-        "rsi_14": F.when(up.isNotNull() & down.isNotNull(), rsi),
-    }
-    return staged.withColumns(columns).drop("_ret", "_gain", "_loss", "_has_diff")
+    featured = rolled.withColumns(
+        {
+            "ma_gap_5": F.try_divide(close, F.col("_mean_5")) - 1,
+            "ma_gap_20": F.try_divide(close, F.col("_mean_20")) - 1,
+            "range_pct": F.try_divide(F.col("high") - F.col("low"), close),
+            "volume_z20": F.try_divide(volume - F.col("_volume_mean"), F.nullif(F.col("_volume_std"), F.lit(0.0))),
+            "rsi_14": F.when(up.isNotNull() & down.isNotNull(), rsi),
+        }
+    )
+    return featured.select(*bars.columns, *FEATURE_COLUMNS)
 
 
 def daily_dataset(bars: DataFrame, key: str = "symbol", day: str = "d", complete_only: bool = True) -> DataFrame:

@@ -12,6 +12,7 @@ MODULES = (
     "feature_queries",
     "pit_queries",
     "metric_queries",
+    "market_queries",
 )
 
 

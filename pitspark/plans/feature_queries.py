@@ -106,7 +106,7 @@ def regime_context(spark, sf):
     + " AND ".join(f"{c} IS NOT NULL" for c in _REGIME),
 )
 def regime_attached(spark, sf):
-    bars = views.bars(spark, sf)
+    bars = views.stored(views.bars(spark, sf))
     joined = reg.attach_regime(feat.daily_dataset(bars), reg.regime_table(bars))
     return joined.select("symbol", day_text(), F.col("target").cast("bigint").alias("target"), *rounded(_REGIME))
 
@@ -121,7 +121,7 @@ def regime_attached(spark, sf):
     + f"SELECT symbol, CAST(d AS VARCHAR) AS feature_as_of, {O.rounded(_REGIME)} FROM attached",
 )
 def latest_regime(spark, sf):
-    bars = views.bars(spark, sf)
+    bars = views.stored(views.bars(spark, sf))
     last = bars.groupBy("symbol").agg(F.max("d").alias("feature_as_of"))
     return reg.latest_regime(last, reg.regime_table(bars)).select("symbol", day_text("feature_as_of"), *rounded(_REGIME))
 
@@ -194,8 +194,8 @@ _NOT_NULL = " AND ".join(f"{c} IS NOT NULL" for c in _FEATURES + _REGIME + ["fea
   {O.rounded(_FEATURES + _REGIME)} FROM attached WHERE {_NOT_NULL}""",
 )
 def timing_labels(spark, sf):
-    bars = views.bars(spark, sf)
-    data = timing.timing_dataset(bars, views.sessions(spark, sf), reg.regime_table(bars))
+    bars = views.stored(views.bars(spark, sf))
+    data = timing.timing_dataset(bars, views.stored(views.sessions(spark, sf)), reg.regime_table(bars))
     stamps = {
         "feature_available_us": "feature_available_at", "decision_us": "decision_at", "entry_us": "entry_at",
         "exit_us": "exit_at", "label_us": "label_available_at",
@@ -215,8 +215,8 @@ def timing_labels(spark, sf):
   FROM attached WHERE {_NOT_NULL}""",
 )
 def timing_chronology_report(spark, sf):
-    bars = views.bars(spark, sf)
-    data = timing.timing_dataset(bars, views.sessions(spark, sf), reg.regime_table(bars))
+    bars = views.stored(views.bars(spark, sf))
+    data = timing.timing_dataset(bars, views.stored(views.sessions(spark, sf)), reg.regime_table(bars))
     per_key = data.groupBy("symbol", "target_session").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(timing.chronology_checks()["chronology"]).alias("bad")
     )

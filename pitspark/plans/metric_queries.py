@@ -61,8 +61,8 @@ _MET_SQL = ", ".join(f"round({m},6) AS {m}" for m in _METRICS)
 
 def _flagship_rows(spark, sf):
     """Test-fold rows scored by their lagged oscillator, returns winsorised at 5 %."""
-    data = feat.daily_dataset(views.bars(spark, sf))
-    oos = wf.base_rate_predictions(data, _P)
+    data = feat.daily_dataset(views.stored(views.bars(spark, sf)))
+    oos = wf.base_rate_predictions(views.stored(data), _P)
     clipped = F.greatest(F.least(F.col("target_return"), F.lit(0.05)), F.lit(-0.05))
     return oos.select(
         "symbol", "d", "fold", "base_probability", (F.col("rsi_14") / 100.0).alias("probability"),
@@ -99,7 +99,7 @@ def flagship_cost_stress(spark, sf):
   FROM predictions p JOIN dates USING (d)) GROUP BY role""",
 )
 def chronological_split(spark, sf):
-    out = wf.chronological_split(views.predictions(spark, sf))
+    out = wf.chronological_split(views.stored(views.predictions(spark, sf)))
     return out.groupBy("role").agg(
         F.count(F.lit(1)).alias("rows"), F.count_distinct("d").alias("sessions"),
         F.min("d").cast("string").alias("first_day"), F.max("d").cast("string").alias("last_day"),
@@ -113,7 +113,7 @@ def chronological_split(spark, sf):
   round(base_probability,6) AS base_probability FROM rates""",
 )
 def walk_forward_folds(spark, sf):
-    rows = views.predictions(spark, sf)
+    rows = views.stored(views.predictions(spark, sf))
     dated = wf.fold_dates(rows, _P)
     return wf.base_rates(rows, dated, _P).select(
         F.col("fold").cast("bigint").alias("fold"), text("train_start"), text("train_end"), "train_rows",
@@ -136,7 +136,7 @@ _TIMED = """timed AS (SELECT *, d::TIMESTAMP + INTERVAL 30 MINUTE AS decision_at
   FROM timed t JOIN dated USING (d) JOIN foldt ON dated.idx<train_to JOIN firstd f ON f.fold=foldt.fold WHERE label_available_at<fd GROUP BY f.fold""",
 )
 def availability_purged_folds(spark, sf):
-    rows = views.predictions(spark, sf).withColumns(
+    rows = views.stored(views.predictions(spark, sf)).withColumns(
         {
             "decision_at": F.timestamp_add("MINUTE", F.lit(30), F.col("d").cast("timestamp")),
             "label_available_at": F.timestamp_add(
@@ -167,7 +167,7 @@ _LOSS = "-avg(CASE WHEN target=1 THEN ln(least(greatest({p},2.220446049250313e-1
   FROM oos JOIN auc USING (fold) GROUP BY fold""",
 )
 def fold_metrics(spark, sf):
-    oos = wf.base_rate_predictions(views.predictions(spark, sf), _P)
+    oos = wf.base_rate_predictions(views.stored(views.predictions(spark, sf)), _P)
     return met.fold_metrics(oos).select(
         F.col("fold").cast("bigint").alias("fold"), text("test_start"), text("test_end"), "test_rows",
         *r6("accuracy", "roc_auc"),
@@ -183,7 +183,7 @@ def fold_metrics(spark, sf):
   FROM oos JOIN auc USING (symbol) GROUP BY symbol""",
 )
 def classification_by_symbol(spark, sf):
-    oos = wf.base_rate_predictions(views.predictions(spark, sf), _P)
+    oos = wf.base_rate_predictions(views.stored(views.predictions(spark, sf)), _P)
     return met.classification(oos, ["symbol"]).select(
         "symbol", "rows", *r6("accuracy", "log_loss", "base_rate_log_loss", "brier_score", "roc_auc")
     )
@@ -195,7 +195,7 @@ def classification_by_symbol(spark, sf):
     + f"SELECT cost_bps, days, {_MET_SQL} FROM m",
 )
 def cost_stress(spark, sf):
-    rows = met.strategy_rows(views.predictions(spark, sf), met.cost_grid(spark, [0, 5, 10, 20]))
+    rows = met.strategy_rows(views.stored(views.predictions(spark, sf)), met.cost_grid(spark, [0, 5, 10, 20]))
     out = met.return_metrics(met.portfolio_daily(rows, ["cost_bps"]), ["cost_bps"])
     return out.select("cost_bps", "days", *r6(*_METRICS))
 
@@ -208,7 +208,7 @@ def cost_stress(spark, sf):
     + "SELECT CAST(d AS VARCHAR) AS d, round(daily_return,6) AS daily_return, round(equity,6) AS equity, round(drawdown,6) AS drawdown FROM m_dd",
 )
 def portfolio_curve(spark, sf):
-    daily = met.portfolio_daily(met.benchmark_rows(views.predictions(spark, sf)))
+    daily = met.portfolio_daily(met.benchmark_rows(views.stored(views.predictions(spark, sf))))
     return met.equity_curve(daily).select(text("d"), *r6("daily_return", "equity", "drawdown"))
 
 
@@ -227,7 +227,7 @@ _LONGFLAT = (
     + f"SELECT split_part(grp,'@',1) AS symbol, CAST(split_part(grp,'@',2) AS DOUBLE) AS cost_bps, days, {_MET_SQL} FROM m",
 )
 def long_flat_by_symbol(spark, sf):
-    rows = met.long_flat_rows(views.predictions(spark, sf), met.cost_grid(spark, [5, 10]))
+    rows = met.long_flat_rows(views.stored(views.predictions(spark, sf)), met.cost_grid(spark, [5, 10]))
     # the sleeve count is per group, so a symbol on its own owns the whole capital
     out = met.return_metrics(met.portfolio_daily(rows.withColumn("s", F.col("symbol")), ["s", "cost_bps"]), ["s", "cost_bps"])
     return out.select(F.col("s").alias("symbol"), "cost_bps", "days", *r6(*_METRICS))
@@ -243,7 +243,7 @@ def long_flat_by_symbol(spark, sf):
     + f"SELECT cost_bps, days, {_MET_SQL} FROM m",
 )
 def always_long_benchmark(spark, sf):
-    rows = met.benchmark_rows(views.predictions(spark, sf), met.cost_grid(spark, [0, 5, 10]))
+    rows = met.benchmark_rows(views.stored(views.predictions(spark, sf)), met.cost_grid(spark, [0, 5, 10]))
     out = met.return_metrics(met.portfolio_daily(rows, ["cost_bps"]), ["cost_bps"])
     return out.select("cost_bps", "days", *r6(*_METRICS))
 
@@ -257,7 +257,7 @@ def always_long_benchmark(spark, sf):
 def prediction_guards(spark, sf):
     checks = met.prediction_checks(5.0)
     label = F.col("target") != (F.col("target_return") > 0).cast("int")
-    per_key = views.predictions(spark, sf).groupBy("symbol", "d").agg(
+    per_key = views.stored(views.predictions(spark, sf)).groupBy("symbol", "d").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(checks["probability"]).alias("probability"),
         F.count_if(F.col("target_return") <= -1).alias("total_loss"), F.count_if(label).alias("label"),
     )
@@ -284,11 +284,11 @@ def prediction_guards(spark, sf):
    CASE WHEN m5.annualized_sharpe<0.75 THEN 'walk-forward Sharpe is below 0.75' END,
    CASE WHEN m5.max_drawdown_pct<-20 THEN 'walk-forward maximum drawdown exceeds 20%' END,
    CASE WHEN pf<0.6 THEN 'fewer than 60% of folds have ROC AUC above 0.50' END,
-   CASE WHEN m10.net_return_pct<=0 THEN 'return is not positive at twice the assumed trading cost' END], x -> x IS NOT NULL),'|') AS reasons
+   CASE WHEN m10.net_return_pct<=0 THEN 'return is not positive at twice the assumed trading cost' END], lambda x: x IS NOT NULL),'|') AS reasons
   FROM one, (SELECT * FROM m WHERE cost_bps=5) m5, (SELECT * FROM m WHERE cost_bps=10) m10""",
 )
 def walk_forward_gate(spark, sf):
-    oos = wf.base_rate_predictions(views.predictions(spark, sf), _P)
+    oos = wf.base_rate_predictions(views.stored(views.predictions(spark, sf)), _P)
     out = met.evaluate(oos, 5.0)
     return out.select(
         "rows", "active_predictions",
@@ -299,7 +299,7 @@ def walk_forward_gate(spark, sf):
 
 @query("H26", None)
 def bootstrap_mean_return(spark, sf):
-    daily = met.portfolio_daily(met.long_flat_rows(views.predictions(spark, sf), met.cost_grid(spark, [5])))
+    daily = met.portfolio_daily(met.long_flat_rows(views.stored(views.predictions(spark, sf)), met.cost_grid(spark, [5])))
     return met.bootstrap_interval(daily)
 
 
@@ -307,7 +307,7 @@ def bootstrap_mean_return(spark, sf):
 
 
 def _model_rows(spark, sf):
-    return feat.daily_dataset(views.bars(spark, sf)).persist()
+    return views.stored(feat.daily_dataset(views.bars(spark, sf)))
 
 
 @query("H5 H7 H29 A23", None)

@@ -16,9 +16,9 @@ KEY = "concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber)"
 
 BARS = f"""bars AS (
   SELECT {SYMBOL} AS symbol, l_shipdate::DATE AS d,
-    first(l_extendedprice/l_quantity ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber) AS open,
+    first(l_extendedprice/l_quantity ORDER BY l_orderkey, l_linenumber, l_partkey) AS open,
     max(l_extendedprice/l_quantity) AS high, min(l_extendedprice/l_quantity) AS low,
-    last(l_extendedprice/l_quantity ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber) AS close,
+    last(l_extendedprice/l_quantity ORDER BY l_orderkey, l_linenumber, l_partkey) AS close,
     sum(l_quantity) AS volume
   FROM lineitem GROUP BY 1, 2)"""
 

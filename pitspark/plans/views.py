@@ -7,6 +7,7 @@ or one aggregation over the whole table.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Keep a small derived table (one row per key and day) that a plan reads several times.
+
+    Without it every branch would scan the source again, because each prunes other
+    columns and no exchange can be shared. Lost blocks are recomputed from lineage.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _mapped(column, mapping: dict[str, str]):
     result = None
     for key, value in mapping.items():
@@ -46,16 +56,13 @@ def symbol_column():
 
 
 def trade_order():
-    """Total order of line items as one DECIMAL(38,0).
+    """Order of line items within a day as one BIGINT: order, line, then 20 bits of the part key.
 
-    A fixed-width ordering value keeps min_by/max_by inside the hash aggregate; a
-    struct would force a sort of the whole table before the partial aggregate.
+    A fixed-width ordering value keeps min_by/max_by inside the hash aggregate; a struct
+    would force a sort of the whole table before the partial aggregate, and a decimal
+    costs three times as much per row. Order keys fit up to 2^40.
     """
-    return F.expr(
-        "cast(l_orderkey as decimal(15,0)) * 10000000000000000000000BD"
-        " + cast(l_partkey as decimal(15,0)) * 100000000000BD"
-        " + cast(l_suppkey as decimal(15,0)) * 10BD + cast(l_linenumber as decimal(2,0))"
-    ).cast("decimal(38,0)")
+    return F.expr("(l_orderkey * 8 + l_linenumber) * 1048576 + l_partkey % 1048576")
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,3 +295,107 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         ret.alias("target_return"),
         (ret > 0).cast("int").alias("target"),
     )
+
+
+# ---- market data ------------------------------------------------------------
+
+# Symbols standing in for the five event types, and the block of a fetch window.
+SYMBOL_OF_EVENT = {"view": "SPY", "click": "JPM", "error": "XOM", "purchase": "WMT", "signup": "BTC/USD"}
+BLOCK_NS = 6 * 3600 * SECOND_NS
+HALF_BLOCK_NS = BLOCK_NS // 2
+
+
+def _event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with their instant and window block; every tenth one arrives twice."""
+    events = table(spark, sf_dir, "events")
+    k = F.col("event_id")
+    rows = events.select(
+        _mapped(F.col("event_type"), SYMBOL_OF_EVENT).alias("symbol"),
+        k.alias("event_id"),
+        (F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + k % 1000).alias("ns"),
+        "value",
+    ).withColumn("w", F.expr(f"ns div {BLOCK_NS}"))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.when(k % 10 == 0, 2).otherwise(1)))).drop("_copy")
+
+
+def _iso(ns, naive):
+    micros = F.expr(f"{ns} div 1000")
+    text = F.concat(
+        F.date_format(F.timestamp_micros(micros), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
+        F.lpad((F.col(ns) % 1000).cast("string"), 3, "0"),
+    )
+    return F.when(naive, text).otherwise(F.concat(text, F.lit("Z")))
+
+
+def _pages(rows: DataFrame, record) -> DataFrame:
+    """One landed page per record: symbol, block and JSON payload."""
+    return rows.select(
+        "symbol", "w",
+        F.to_json(F.struct(F.col("symbol"), F.array(record).alias("records"))).alias("payload"),
+    )
+
+
+def quote_pages(spark: SparkSession, sf_dir: str, cut_to_minute: bool = True) -> DataFrame:
+    """Quote fetches as JSON pages; some crossed, locked, empty, badly flagged or without a zone."""
+    rows, k, v = _event_rows(spark, sf_dir), F.col("event_id"), F.col("value")
+    if cut_to_minute:
+        rows = rows.withColumn("ns", F.expr(f"ns div {60 * SECOND_NS} * {60 * SECOND_NS}"))
+    ask = F.when(k % 97 == 0, v * 0.99).when(k % 61 == 0, v).otherwise(v * (1 + (1 + k % 7) * 0.0001))
+    tapes = F.array(F.lit("A"), F.lit("B"), F.lit("C"))
+    return _pages(
+        rows,
+        F.struct(
+            _iso("ns", k % 211 == 0).alias("t"), v.alias("bp"), ask.alias("ap"),
+            F.when(k % 89 == 0, 0).otherwise(1 + k % 9).alias("bs"), (1 + k % 5).alias("as"),
+            F.lit("V").alias("bx"), F.lit("P").alias("ax"),
+            F.when(k % 53 == 0, F.array(F.lit("R"), F.lit("X"))).otherwise(F.array(F.lit("R"))).alias("c"),
+            F.when(k % 71 == 0, "Z").otherwise(F.element_at(tapes, (1 + k % 3).cast("int"))).alias("z"),
+        ),
+    )
+
+
+def bar_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minute-bar fetches as JSON pages: one raw bar per event, conflicts where a minute has two."""
+    rows, k, v = _event_rows(spark, sf_dir), F.col("event_id"), F.col("value")
+    minute = F.expr(f"ns div {60 * SECOND_NS} * {60 * SECOND_NS}")
+    rows = rows.withColumn("ns", F.when(k % 83 == 0, F.col("ns")).otherwise(minute))
+    return _pages(
+        rows,
+        F.struct(
+            _iso("ns", k % 211 == 0).alias("t"), v.alias("o"),
+            F.when(k % 41 == 0, v * 0.5).otherwise(v * 1.01).alias("h"), (v * 0.99).alias("l"), v.alias("c"),
+            (k % 7).alias("v"), F.when(k % 59 == 0, (k % 5) + 0.5).otherwise((k % 5).cast("double")).alias("n"),
+            v.alias("vw"),
+        ),
+    )
+
+
+def quote_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planned fetch windows: every symbol and six-hour block between the first and last event."""
+    rows = _event_rows(spark, sf_dir)
+    span = rows.agg(F.min("w").alias("lo"), F.max("w").alias("hi"))
+    symbols = rows.select("symbol").distinct()
+    plan = symbols.crossJoin(F.broadcast(span)).select("symbol", F.explode(F.sequence("lo", "hi")).alias("w"))  # one row
+    w = F.col("w")
+    stamped = plan.withColumns(
+        {
+            "start_ns": w * F.lit(BLOCK_NS),
+            "target_ns": w * F.lit(BLOCK_NS) + F.lit(HALF_BLOCK_NS),
+            "end_ns": (w + 1) * F.lit(BLOCK_NS),
+        }
+    )
+    return stamped.withColumns(
+        {
+            "window_name": F.element_at(
+                F.array(F.lit("night"), F.lit("opening"), F.lit("midday"), F.lit("closing")), (1 + w % 4).cast("int")
+            ),
+            "session_date": F.to_date(F.timestamp_micros(F.expr("start_ns div 1000"))),
+            "kind": F.lit("quotes"),
+            "declared_symbol": F.when(w % 17 == 0, "ZZZ").otherwise(F.col("symbol")),
+            "feed": F.when(F.col("symbol") == "BTC/USD", "crypto_us").when(w % 9 == 0, "iex").otherwise("sip"),
+            "complete": w % 11 != 0,
+            "pages": 1 + w % 4,
+            "observed_ns": F.when(w % 13 == 0, F.col("end_ns") - 1).otherwise(F.col("end_ns") + SECOND_NS),
+            "source_sha256": F.sha2(F.concat_ws("|", "symbol", w.cast("string")), 256),
+        }
+    )
