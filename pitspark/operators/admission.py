@@ -289,8 +289,10 @@ def chain_digest(heads: DataFrame) -> DataFrame:
 
 def counts(evaluated: DataFrame) -> DataFrame:
     """Long counts (symbol, measure, value, rows) of states and reasons, with totals as NULL symbol."""
-    state = evaluated.select("symbol", F.lit("state").alias("measure"), F.col("state").alias("value"))
-    reason = evaluated.select("symbol", F.lit("reason").alias("measure"), F.explode("reasons").alias("value"))
-    per_symbol = state.unionByName(reason).groupBy("symbol", "measure", "value").agg(F.count(F.lit(1)).alias("rows"))
-    totals = per_symbol.groupBy("measure", "value").agg(F.sum("rows").alias("rows"))
-    return per_symbol.unionByName(totals, allowMissingColumns=True)
+    fact = lambda measure, value: F.struct(F.lit(measure).alias("measure"), value.alias("value"))
+    facts = F.concat(F.array(fact("state", F.col("state"))), F.transform("reasons", lambda r: fact("reason", r)))
+    rows = evaluated.select("symbol", F.inline(facts))
+    symbol, measure, value = F.col("symbol"), F.col("measure"), F.col("value")
+    return rows.groupingSets([[symbol, measure, value], [measure, value]], symbol, measure, value).agg(
+        F.count(F.lit(1)).alias("rows")
+    )

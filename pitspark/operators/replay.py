@@ -226,25 +226,27 @@ def record_counters(records: DataFrame, by: list[str], identity: str = "identity
 
 
 def aggregate(scenario_rows: DataFrame) -> DataFrame:
-    """Long counts per (symbol, window_name, measure, latency, value), with totals over all as NULL keys."""
-    decision = scenario_rows.filter("latency_ms = 0").select(
-        "symbol", "window_name", F.lit("decision_state").alias("measure"), F.lit(None).cast("bigint").alias("latency_ms"),
-        F.col("decision.status").alias("value"),
-    )
-    reasons = scenario_rows.filter("latency_ms = 0").select(
-        "symbol", "window_name", F.lit("decision_reason").alias("measure"), F.lit(None).cast("bigint").alias("latency_ms"),
-        F.explode(F.array_distinct("decision.reasons")).alias("value"),
-    )
-    outcome = scenario_rows.select(
-        "symbol", "window_name", F.lit("scenario").alias("measure"), F.col("latency_ms"), F.col("scenario_status").alias("value")
+    """Long counts (symbol, window_name, measure, latency_ms, value, rows); totals have NULL keys.
+
+    One pass: every scenario row is unfolded into its counted facts, and group and
+    total counts share a single partial aggregation.
+    """
+
+    def fact(measure: str, value: Column, latency: Column) -> Column:
+        return F.struct(F.lit(measure).alias("measure"), latency.cast("bigint").alias("latency_ms"), value.alias("value"))
+
+    latency, none = F.col("latency_ms"), F.lit(None).cast("bigint")
+    always = F.array(fact("scenario", F.col("scenario_status"), latency), fact("arrival_state", F.col("status"), latency))
+    decision = F.concat(
+        F.array(fact("decision_state", F.col("decision.status"), none)),
+        F.transform(F.array_distinct("decision.reasons"), lambda r: fact("decision_reason", r, none)),
     )
-    arrival = scenario_rows.select(
-        "symbol", "window_name", F.lit("arrival_state").alias("measure"), F.col("latency_ms"), F.col("status").alias("value")
+    facts = F.when(latency == 0, F.concat(always, decision)).otherwise(always)
+    rows = scenario_rows.select("symbol", "window_name", F.inline(facts))
+    keys = ["symbol", "window_name", "measure", "latency_ms", "value"]
+    return rows.groupingSets([[F.col(k) for k in keys], [F.col(k) for k in keys[2:]]], *[F.col(k) for k in keys]).agg(
+        F.count(F.lit(1)).alias("rows")
     )
-    rows = decision.unionByName(reasons).unionByName(outcome).unionByName(arrival)
-    per_group = rows.groupBy("symbol", "window_name", "measure", "latency_ms", "value").agg(F.count(F.lit(1)).alias("rows"))
-    totals = per_group.groupBy("measure", "latency_ms", "value").agg(F.sum("rows").alias("rows"))
-    return per_group.unionByName(totals, allowMissingColumns=True)
 
 
 def mismatches(saved: DataFrame, rebuilt: DataFrame, keys: list[str]) -> DataFrame:

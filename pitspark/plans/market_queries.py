@@ -25,7 +25,7 @@ _HALF = views.HALF_BLOCK_NS
 
 
 def _quotes(spark, sf):
-    return md.parse_quotes(views.quote_pages(spark, sf))
+    return views.quote_records(spark, sf)
 
 
 def _keyed(spark, sf):
@@ -50,7 +50,7 @@ def r6(*names):
     + "SELECT symbol, w, event_ns, bid, ask, bid_size, ask_size, tape, CASE WHEN cond_ok THEN 'R' ELSE 'R,X' END AS conditions FROM qrec",
 )
 def parsed_quotes(spark, sf):
-    return _quotes(spark, sf).select(
+    return md.parse_quotes(views.quote_pages(spark, sf)).select(
         "symbol", "w", "event_ns", "bid", "ask", "bid_size", "ask_size", "tape",
         F.array_join("conditions", ",").alias("conditions"),
     )
@@ -65,6 +65,16 @@ def quote_envelopes(spark, sf):
     return md.envelope_summary(views.quote_pages(spark, sf), _BY)
 
 
+@query(
+    "A16 A18 I1",
+    with_views(M.EVENTS)
+    + f"""SELECT symbol, w, CASE WHEN event_id%211=0 THEN NULL WHEN event_id%83=0 THEN ns ELSE ns//{M.MIN}*{M.MIN} END AS event_ns, value AS o,
+  CASE WHEN event_id%41=0 THEN value*0.5::DOUBLE ELSE value*1.01::DOUBLE END AS h, (event_id%7)::DOUBLE AS v FROM copies""",
+)
+def parsed_bars(spark, sf):
+    return md.parse_bars(views.bar_pages(spark, sf)).select("symbol", "w", "event_ns", "o", "h", "v")
+
+
 # ---- bar quality ------------------------------------------------------------
 
 _BAR_REC = f"""brec AS (SELECT symbol, w, w//4 AS day, CASE WHEN event_id%211=0 THEN NULL WHEN event_id%83=0 THEN ns ELSE ns//{M.MIN}*{M.MIN} END AS event_ns,
@@ -88,7 +98,7 @@ def _bar_inputs(spark, sf):
         "symbol", "day", (F.col("day") * F.lit(day_ns) + 30 * MINUTE_NS).alias("start_ns"),
         (F.col("day") * F.lit(day_ns) + (day_ns - 30 * MINUTE_NS)).alias("end_ns"),
     )
-    records = md.parse_bars(views.bar_pages(spark, sf)).withColumn("day", day)
+    records = views.bar_records(spark, sf).withColumn("day", day)
     return spans, records
 
 

@@ -335,38 +335,86 @@ def _pages(rows: DataFrame, record) -> DataFrame:
     )
 
 
-def quote_pages(spark: SparkSession, sf_dir: str, cut_to_minute: bool = True) -> DataFrame:
-    """Quote fetches as JSON pages; some crossed, locked, empty, badly flagged or without a zone."""
-    rows, k, v = _event_rows(spark, sf_dir), F.col("event_id"), F.col("value")
-    if cut_to_minute:
-        rows = rows.withColumn("ns", F.expr(f"ns div {60 * SECOND_NS} * {60 * SECOND_NS}"))
-    ask = F.when(k % 97 == 0, v * 0.99).when(k % 61 == 0, v).otherwise(v * (1 + (1 + k % 7) * 0.0001))
+def _quote_fields(k, v) -> dict:
+    """Raw quote fields per event: some crossed, locked, of zero size or badly flagged."""
     tapes = F.array(F.lit("A"), F.lit("B"), F.lit("C"))
-    return _pages(
-        rows,
-        F.struct(
-            _iso("ns", k % 211 == 0).alias("t"), v.alias("bp"), ask.alias("ap"),
-            F.when(k % 89 == 0, 0).otherwise(1 + k % 9).alias("bs"), (1 + k % 5).alias("as"),
-            F.lit("V").alias("bx"), F.lit("P").alias("ax"),
-            F.when(k % 53 == 0, F.array(F.lit("R"), F.lit("X"))).otherwise(F.array(F.lit("R"))).alias("c"),
-            F.when(k % 71 == 0, "Z").otherwise(F.element_at(tapes, (1 + k % 3).cast("int"))).alias("z"),
-        ),
+    return {
+        "bp": v,
+        "ap": F.when(k % 97 == 0, v * 0.99).when(k % 61 == 0, v).otherwise(v * (1 + (1 + k % 7) * 0.0001)),
+        "bs": F.when(k % 89 == 0, 0).otherwise(1 + k % 9),
+        "as": 1 + k % 5,
+        "bx": F.lit("V"),
+        "ax": F.lit("P"),
+        "c": F.when(k % 53 == 0, F.array(F.lit("R"), F.lit("X"))).otherwise(F.array(F.lit("R"))),
+        "z": F.when(k % 71 == 0, "Z").otherwise(F.element_at(tapes, (1 + k % 3).cast("int"))),
+    }
+
+
+def _cut_to_minute(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("ns", F.expr(f"ns div {60 * SECOND_NS} * {60 * SECOND_NS}"))
+
+
+def _unzoned(k):
+    """Events whose landed time lacks a zone."""
+    return k % 211 == 0
+
+
+def quote_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quote fetches as landed JSON pages."""
+    rows, k = _cut_to_minute(_event_rows(spark, sf_dir)), F.col("event_id")
+    fields = _quote_fields(k, F.col("value"))
+    return _pages(rows, F.struct(_iso("ns", _unzoned(k)).alias("t"), *[c.alias(n) for n, c in fields.items()]))
+
+
+def quote_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same quotes as a typed table, as stored after parsing."""
+    rows, k = _cut_to_minute(_event_rows(spark, sf_dir)), F.col("event_id")
+    f = _quote_fields(k, F.col("value"))
+    typed = rows.select(
+        "symbol", "w", F.when(~_unzoned(k), F.col("ns")).alias("event_ns"), f["bp"].alias("bid"), f["ap"].alias("ask"),
+        f["bs"].cast("double").alias("bid_size"), f["as"].cast("double").alias("ask_size"), f["bx"].alias("bid_exchange"),
+        f["ax"].alias("ask_exchange"), f["c"].alias("conditions"), f["z"].alias("tape"),
+        F.lit(None).cast("string").alias("record_symbol"),
     )
+    fields = ["event_ns", "bid", "ask", "bid_size", "ask_size", "bid_exchange", "ask_exchange", "conditions", "tape"]
+    return typed.withColumn("identity", F.sha2(F.to_json(F.struct(*fields)), 256))
 
 
-def bar_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Minute-bar fetches as JSON pages: one raw bar per event, conflicts where a minute has two."""
-    rows, k, v = _event_rows(spark, sf_dir), F.col("event_id"), F.col("value")
+def _bar_fields(k, v) -> dict:
+    """Raw minute-bar fields per event: some outside their bounds, with zero volume or broken counts."""
+    return {
+        "o": v,
+        "h": F.when(k % 41 == 0, v * 0.5).otherwise(v * 1.01),
+        "l": v * 0.99,
+        "c": v,
+        "v": k % 7,
+        "n": F.when(k % 59 == 0, (k % 5) + 0.5).otherwise((k % 5).cast("double")),
+        "vw": v,
+    }
+
+
+def _bar_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, k = _event_rows(spark, sf_dir), F.col("event_id")
     minute = F.expr(f"ns div {60 * SECOND_NS} * {60 * SECOND_NS}")
-    rows = rows.withColumn("ns", F.when(k % 83 == 0, F.col("ns")).otherwise(minute))
+    return rows.withColumn("ns", F.when(k % 83 == 0, F.col("ns")).otherwise(minute))
+
+
+def bar_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minute-bar fetches as landed JSON pages: one raw bar per event."""
+    k = F.col("event_id")
+    fields = _bar_fields(k, F.col("value"))
     return _pages(
-        rows,
-        F.struct(
-            _iso("ns", k % 211 == 0).alias("t"), v.alias("o"),
-            F.when(k % 41 == 0, v * 0.5).otherwise(v * 1.01).alias("h"), (v * 0.99).alias("l"), v.alias("c"),
-            (k % 7).alias("v"), F.when(k % 59 == 0, (k % 5) + 0.5).otherwise((k % 5).cast("double")).alias("n"),
-            v.alias("vw"),
-        ),
+        _bar_rows(spark, sf_dir), F.struct(_iso("ns", _unzoned(k)).alias("t"), *[c.alias(n) for n, c in fields.items()])
+    )
+
+
+def bar_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same bars as a typed table, as stored after parsing."""
+    k = F.col("event_id")
+    fields = _bar_fields(k, F.col("value"))
+    return _bar_rows(spark, sf_dir).select(
+        "symbol", "w", F.when(~_unzoned(k), F.col("ns")).alias("event_ns"),
+        *[c.cast("double").alias(n) for n, c in fields.items()],
     )
 
 

@@ -1,8 +1,9 @@
 """Landed bar and quote pages: JSON to typed records with their fetch envelope.
 
-Each page keeps its envelope columns beside the exploded records. The raw record is
-kept as canonical JSON (sorted keys, time spelled by its instant), which is the
-identity used for exact duplicates; fields nobody asked for still take part in it.
+Each page keeps its envelope columns beside the exploded records. The page is parsed
+once into raw record texts, each record once into typed fields. The identity used for
+exact duplicates is the whole record as canonical JSON (sorted keys, time replaced by
+its instant), so fields nobody asked for still take part in it.
 """
 
 from __future__ import annotations
@@ -12,68 +13,60 @@ from pyspark.sql import functions as F
 
 from ..functions.times import event_ns
 
-_PAGE = "struct<symbol: string, next_page_token: string, records: array<variant>>"
+_PAGE = "symbol string, next_page_token string, records array<string>"
+# A string or boolean in a numeric field does not parse and becomes NULL.
+_QUOTE = (
+    "t string, bp double, ap double, bs double, `as` double, bx string, ax string, c array<string>, z string, "
+    "symbol string, S string"
+)
+_BAR = "t string, o double, h double, l double, c double, v double, n double, vw double, symbol string, S string"
 
 
-def _page_records(pages: DataFrame, payload: str) -> DataFrame:
-    """One row per raw record; an empty page keeps one row with a NULL record."""
-    parsed = pages.withColumn("_page", F.from_json(payload, _PAGE))
-    return parsed.select(
-        *[c for c in pages.columns if c != payload],
-        F.col("_page.symbol").alias("page_symbol"),
-        F.col("_page.next_page_token").isNull().alias("page_complete"),
-        F.explode_outer("_page.records").alias("_r"),
-    )
-
-
-def _field(name: str, kind: str) -> Column:
-    return F.try_variant_get("_r", f"$.{name}", kind)
-
-
-def _numeric(name: str) -> Column:
-    """A JSON number as DOUBLE; strings and booleans are not numbers."""
-    kind = F.schema_of_variant(F.try_variant_get("_r", f"$.{name}", "variant"))
-    return F.when(~kind.isin("STRING", "BOOLEAN"), _field(name, "double"))
+def _page_records(pages: DataFrame, payload: str, schema: str) -> DataFrame:
+    """One row per raw record: envelope columns, ``_raw`` text and typed ``_r``."""
+    kept = [c for c in pages.columns if c != payload]
+    parsed = pages.select(*kept, F.from_json(payload, _PAGE).alias("_page"))
+    # the outer form keeps Spark from parsing the page again for an inferred size filter
+    raw = parsed.select(*kept, F.explode_outer("_page.records").alias("_raw")).filter(F.col("_raw").isNotNull())
+    typed = raw.select(*kept, "_raw", F.from_json("_raw", schema, {"caseSensitive": "true"}).alias("_r"))
+    return typed.withColumn("event_ns", event_ns(F.col("_r.t")))
 
 
 def record_identity() -> Column:
     """Digest of the whole record with the time replaced by its instant."""
-    without_time = F.regexp_replace(F.to_json(F.col("_r")), r'"t":"[^"]*"', "")
-    return F.sha2(F.concat_ws("|", F.col("event_ns").cast("string"), without_time), 256)
+    without_time = F.regexp_replace("_raw", r'"t"\s*:\s*"[^"]*"', '"t":0')
+    canonical = F.coalesce(F.to_json(F.try_parse_json(without_time)), F.col("_raw"))
+    return F.sha2(F.concat_ws("|", F.col("event_ns").cast("string"), canonical), 256)
 
 
 def parse_quotes(pages: DataFrame, payload: str = "payload") -> DataFrame:
-    records = _page_records(pages, payload).filter(F.col("_r").isNotNull())
-    typed = records.select(
-        *[c for c in records.columns if c != "_r"],
-        event_ns(_field("t", "string")).alias("event_ns"),
-        _numeric("bp").alias("bid"), _numeric("ap").alias("ask"), _numeric("bs").alias("bid_size"),
-        _numeric("as").alias("ask_size"), _field("bx", "string").alias("bid_exchange"),
-        _field("ax", "string").alias("ask_exchange"), _field("c", "array<string>").alias("conditions"),
-        _field("z", "string").alias("tape"),
-        F.coalesce(_field("symbol", "string"), _field("S", "string")).alias("record_symbol"),
-        "_r",
+    records = _page_records(pages, payload, _QUOTE)
+    kept = [c for c in pages.columns if c != payload]
+    return records.select(
+        *kept, "event_ns",
+        F.col("_r.bp").alias("bid"), F.col("_r.ap").alias("ask"), F.col("_r.bs").alias("bid_size"),
+        F.col("_r.as").alias("ask_size"), F.col("_r.bx").alias("bid_exchange"), F.col("_r.ax").alias("ask_exchange"),
+        F.col("_r.c").alias("conditions"), F.col("_r.z").alias("tape"),
+        F.coalesce("_r.symbol", F.col("_r").getField("S")).alias("record_symbol"),
+        record_identity().alias("identity"),
     )
-    return typed.withColumn("identity", record_identity()).drop("_r")
 
 
 def parse_bars(pages: DataFrame, payload: str = "payload") -> DataFrame:
-    records = _page_records(pages, payload).filter(F.col("_r").isNotNull())
-    typed = records.select(
-        *[c for c in records.columns if c != "_r"],
-        event_ns(_field("t", "string")).alias("event_ns"),
-        *[_numeric(c).alias(c) for c in ("o", "h", "l", "c", "v", "n", "vw")],
-        F.coalesce(_field("symbol", "string"), _field("S", "string")).alias("record_symbol"),
+    records = _page_records(pages, payload, _BAR)
+    kept = [c for c in pages.columns if c != payload]
+    return records.select(
+        *kept, "event_ns", *[F.col(f"_r.{c}").alias(c) for c in ("o", "h", "l", "c", "v", "n", "vw")],
+        F.coalesce("_r.symbol", F.col("_r").getField("S")).alias("record_symbol"),
     )
-    return typed
 
 
 def envelope_summary(pages: DataFrame, by: list[str], payload: str = "payload") -> DataFrame:
     """Pages, records and completeness per fetch: complete when its last page has no next token."""
-    parsed = pages.withColumn("_page", F.from_json(payload, _PAGE))
+    parsed = pages.select(*by, F.from_json(payload, _PAGE).alias("_page"))
     return parsed.groupBy(*by).agg(
         F.count(F.lit(1)).alias("pages"),
         F.sum(F.coalesce(F.size("_page.records"), F.lit(0))).alias("records"),
         F.bool_or(F.col("_page.next_page_token").isNull()).alias("complete"),
-        F.count_if(F.col("_page").isNull()).alias("unreadable_pages"),
+        F.count_if(F.col("_page.records").isNull()).alias("unreadable_pages"),
     )
