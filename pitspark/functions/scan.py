@@ -21,19 +21,22 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Running:
-    """Output ``name``: running sum, max or min of ``column``, or its last non-NULL value."""
+    """Output ``name``: running sum, max or min of ``column``, its last non-NULL value, or its previous value.
+
+    "prev" is the value on the row before (NULL on the first row of a key).
+    """
 
     name: str
     column: Column
     how: str = "sum"
 
     def over(self, column: Column, window) -> Column:
-        if self.how == "last":
+        if self.how in ("last", "prev"):
             return F.last(column, ignorenulls=True).over(window)
         return {"sum": F.sum, "max": F.max, "min": F.min}[self.how](column).over(window)
 
     def total(self, column: Column, order: list[str]) -> Column:
-        if self.how == "last":
+        if self.how in ("last", "prev"):
             at = F.col(order[0]) if len(order) == 1 else F.struct(*order)
             return F.max_by(column, F.when(column.isNotNull(), at))
         return {"sum": F.sum, "max": F.max, "min": F.min}[self.how](column)
@@ -42,9 +45,9 @@ class Running:
         if self.how == "sum":
             result = inner
             for part in outer:
-                result = result + F.coalesce(part, F.lit(0).cast("bigint"))
+                result = result + F.coalesce(part, F.lit(0))
             return result
-        if self.how == "last":
+        if self.how in ("last", "prev"):
             return F.coalesce(inner, *outer)
         pick = F.greatest if self.how == "max" else F.least
         return pick(inner, *outer) if outer else inner
@@ -66,7 +69,16 @@ def running(
     cells = keys + levels
     source = df.select("*", *[s.column.alias(f"_in_{s.name}") for s in specs])
     inner = W.partitionBy(*cells).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = source.select("*", *[s.over(F.col(f"_in_{s.name}"), inner).alias(f"_run_{s.name}") for s in specs])
+    ordered = W.partitionBy(*cells).orderBy(*order)
+    rows = source.select(
+        "*",
+        *[
+            (F.lag(f"_in_{s.name}").over(ordered) if s.how == "prev" else s.over(F.col(f"_in_{s.name}"), inner)).alias(
+                f"_run_{s.name}"
+            )
+            for s in specs
+        ],
+    )
     if keep is not None:
         rows = rows.filter(keep)
 

@@ -271,3 +271,22 @@ def table_stats(tables: dict[str, DataFrame]) -> DataFrame:
     for part in parts[1:]:
         result = result.unionByName(part)
     return result
+
+
+def refresh_outcomes(batches: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(source, fetched, inserted, status) for (fetched, new) frames per source."""
+    result = None
+    for name, (fetched, new) in batches.items():
+        both = fetched.agg(F.count(F.lit(1)).alias("fetched")).crossJoin(new.agg(F.count(F.lit(1)).alias("inserted")))
+        row = both.select(
+            F.lit(name).alias("source"), "fetched", "inserted",
+            F.when(F.col("fetched") == 0, "EMPTY").when(F.col("inserted") > 0, "UPDATED").otherwise("NO_NEW_ROWS").alias("status"),
+        )
+        result = row if result is None else result.unionByName(row)
+    return result
+
+
+def refresh_status(outcomes: DataFrame) -> DataFrame:
+    """COMPLETE iff every source was updated or had nothing new."""
+    done = F.bool_and(F.col("status").isin("UPDATED", "NO_NEW_ROWS"))
+    return outcomes.agg(F.when(done, "COMPLETE").otherwise("PARTIAL").alias("status"))

@@ -13,6 +13,7 @@ MODULES = (
     "pit_queries",
     "metric_queries",
     "market_queries",
+    "source_queries",
 )
 
 
