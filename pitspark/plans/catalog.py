@@ -14,6 +14,8 @@ MODULES = (
     "metric_queries",
     "market_queries",
     "source_queries",
+    "ledger_queries",
+    "stream_queries",
 )
 
 

@@ -92,7 +92,7 @@ MINUTE_QUOTES = QUOTES + """, minute_quotes AS (
 
 FILLS = f"""fills AS (
   SELECT {SYMBOL} AS symbol, CASE WHEN l_linenumber%2=0 THEN 'SELL' ELSE 'BUY' END AS side,
-    l_quantity::DECIMAL(18,8) AS quantity, round(l_extendedprice/l_quantity,2)::DECIMAL(18,8) AS price,
+    l_quantity::DECIMAL(18,8) AS quantity, l_extendedprice::DECIMAL(18,8) AS price,
     CASE WHEN l_linestatus='O' THEN 1 ELSE 100 END AS multiplier, l_shipdate::DATE AS day,
     l_orderkey, l_partkey, l_suppkey, l_linenumber
   FROM lineitem)"""

@@ -270,7 +270,7 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
         symbol_column().alias("symbol"),
         F.when(F.col("l_linenumber") % 2 == 0, "SELL").otherwise("BUY").alias("side"),
         F.col("l_quantity").cast("decimal(18,8)").alias("quantity"),
-        F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).cast("decimal(18,8)").alias("price"),
+        F.col("l_extendedprice").cast("decimal(18,8)").alias("price"),
         F.when(F.col("l_linestatus") == "O", 1).otherwise(100).cast("decimal(6,0)").alias("multiplier"),
         F.to_date("l_shipdate").alias("day"),
         "l_orderkey",
