@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -41,11 +42,13 @@ class Running:
             return F.max_by(column, F.when(column.isNotNull(), at))
         return {"sum": F.sum, "max": F.max, "min": F.min}[self.how](column)
 
-    def combine(self, inner: Column, outer: list[Column]) -> Column:
+    def combine(self, inner: Column, outer: list[Column], kind: T.DataType) -> Column:
         if self.how == "sum":
-            result = inner
+            # adding two DECIMAL(38,s) would drop a digit of the scale; 36 digits leave room
+            fit = (lambda c: c.cast(T.DecimalType(36, kind.scale))) if isinstance(kind, T.DecimalType) else (lambda c: c)
+            result = fit(inner)
             for part in outer:
-                result = result + F.coalesce(part, F.lit(0))
+                result = fit(result + F.coalesce(fit(part), fit(F.lit(0))))
             return result
         if self.how in ("last", "prev"):
             return F.coalesce(inner, *outer)
@@ -82,7 +85,11 @@ def running(
     if keep is not None:
         rows = rows.filter(keep)
 
-    totals = source.groupBy(*cells).agg(
+    present = F.lit(True)
+    for name in cells:
+        present = present & F.col(name).isNotNull()
+    # with the filter spelled out, joins infer nothing new and all levels share one exchange
+    totals = source.filter(present).groupBy(*cells).agg(
         *[s.total(F.col(f"_in_{s.name}"), order).alias(f"_tot_{s.name}") for s in specs]
     )
     prefixes = None
@@ -102,7 +109,9 @@ def running(
     joined = rows.join(prefixes, cells, "left")
     outputs = [
         s.combine(
-            F.col(f"_run_{s.name}"), [F.col(f"_pre{d}_{s.name}") for d in range(len(levels), 0, -1)]
+            F.col(f"_run_{s.name}"),
+            [F.col(f"_pre{d}_{s.name}") for d in range(len(levels), 0, -1)],
+            rows.schema[f"_run_{s.name}"].dataType,
         ).alias(s.name)
         for s in specs
     ]

@@ -18,7 +18,8 @@ OPTION_FEE, OPTION_MINIMUM = 0.65, 1.00
 CRYPTO_RATE = 0.0015
 EQUITY_FEE, EQUITY_MINIMUM = 0.0035, 0.35
 RATE_WINDOW_NS = 1_000_000_000
-MONEY = "decimal(38,8)"
+AMOUNT = "decimal(18,8)"
+MONEY = "decimal(27,8)"
 
 
 # ---- quotes -----------------------------------------------------------------
@@ -68,19 +69,19 @@ def signed(side: str = "side", quantity: str = "quantity") -> Column:
 
 def running_positions(fills: DataFrame, levels: list[str], order: list[str], key: str = "symbol") -> DataFrame:
     """Position, cash flow and fees after every fill, in exact decimals."""
-    s = signed().cast("decimal(28,8)")
-    value = (s * F.col("price").cast("decimal(20,8)")).cast(MONEY) * F.col("multiplier").cast("decimal(6,0)")
+    s = signed().cast(AMOUNT)
     fee = F.col("commission").cast(MONEY) if "commission" in fills.columns else F.lit(0).cast(MONEY)
     return running(
         fills, [key], levels, order,
-        [
-            Running("position", s),
-            Running("cash", (-(value.cast(MONEY) + fee)).cast("decimal(28,8)")),
-            Running("fees_paid", fee.cast("decimal(28,8)")),
-        ],
+        [Running("position", s), Running("cash", -(_notional(s) + fee)), Running("fees_paid", fee)],
     )
 
 
+def _notional(amount: Column) -> Column:
+    """Quantity x price x multiplier; the operand types keep at least eight decimals."""
+    return (amount * F.col("price").cast(AMOUNT) * F.col("multiplier").cast("decimal(6,0)")).cast(MONEY)
+
+
 def _compose(first: Column, second: Column) -> Column:
     """Two consecutive stretches of fills as one: average -> a*average + b, profit r0 + r1*average."""
     return F.struct(
@@ -113,10 +114,10 @@ def fill_effects(fills: DataFrame, levels: list[str], order: list[str], key: str
     profit r0 + r1*average. Effects compose, so the order-dependent average cost needs
     no sequential pass over a whole symbol.
     """
-    s = signed().cast("decimal(28,8)")
+    s = signed().cast(AMOUNT)
     placed = running(fills.withColumn("_s", s), [key], levels, order, [Running("_after", F.col("_s"))])
     if opening is not None:
-        start = opening.select(key, F.col("quantity").cast("decimal(28,8)").alias("_open"))
+        start = opening.select(key, F.col("quantity").cast(MONEY).alias("_open"))
         placed = placed.join(start, key, "left").withColumn("_after", F.col("_after") + F.coalesce("_open", F.lit(0)))
     q1 = F.col("_after").cast("double")
     q0 = (F.col("_after") - F.col("_s")).cast("double")

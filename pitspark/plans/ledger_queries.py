@@ -239,14 +239,14 @@ def commissions(spark, sf):
     "N3",
     V.with_views(V.FILLS, _FEES)
     + f"""SELECT symbol, CAST(day AS VARCHAR) AS day, l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(sum(s) OVER w AS DOUBLE) AS position,
-  round(CAST(sum(-round(s::DOUBLE*price::DOUBLE*multiplier,2)::DECIMAL(28,8) - commission) OVER w AS DOUBLE),2) AS cash, round(CAST(sum(commission) OVER w AS DOUBLE),4) AS fees_paid
+  CAST(sum(-round(s::DOUBLE*price::DOUBLE*multiplier,2)::DECIMAL(28,8) - commission) OVER w AS VARCHAR) AS cash, CAST(sum(commission) OVER w AS VARCHAR) AS fees_paid
   FROM feed WINDOW w AS (PARTITION BY symbol ORDER BY {_ORDER_SQL} ROWS UNBOUNDED PRECEDING)""",
 )
 def position_ledger(spark, sf):
     out = lg.running_positions(_fills(spark, sf), ["day", "bin"], _ORDER)
     return out.select(
         "symbol", text("day"), *_ORDER[1:], F.col("position").cast("double").alias("position"),
-        F.round(F.col("cash").cast("double"), 2).alias("cash"), F.round(F.col("fees_paid").cast("double"), 4).alias("fees_paid"),
+        text("cash"), text("fees_paid"),
     )
 
 
