@@ -232,9 +232,12 @@ def evaluate(
         "observed_ns", "source_reasons", "unparseable_timestamp", "scenario_status", "buy_reference_price",
         "sell_reference_price", "decision", state.alias("arrival"),
     )
-    one_policy = F.broadcast(policy.select(F.struct("*").alias("policy")))  # one row
-    one_evidence = F.broadcast(evidence.select(F.struct("*").alias("evidence")))  # one row
-    joined = intents.join(context, [*by, "latency_ms"], "left").crossJoin(one_policy).crossJoin(one_evidence)
+    joined = intents.join(context, [*by, "latency_ms"], "left").withColumns(
+        {
+            "policy": policy.select(F.struct("*")).scalar(),
+            "evidence": evidence.select(F.struct("*")).scalar(),
+        }
+    )
     arrival_at = F.col("decision_ns") + F.col("latency_ms") * F.lit(MILLI_NS)
     age = effective_age()
     groups = {

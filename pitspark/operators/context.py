@@ -223,7 +223,8 @@ def macro_features(macro: DataFrame, metadata: DataFrame, cutoff: Column) -> Dat
 def feature_packet(market: DataFrame, macro: DataFrame) -> DataFrame:
     """Eleven rows per instrument: its market slots and the shared macro slots."""
     instruments = market.select("instrument_id").distinct()
-    shared = instruments.crossJoin(F.broadcast(macro))  # five rows
+    slots = macro.agg(F.collect_list(F.struct(*macro.columns))).scalar()  # five rows
+    shared = instruments.select("instrument_id", F.inline(slots))
     return market.unionByName(shared, allowMissingColumns=True).withColumn("reason", reason_text(F.col("status")))
 
 

@@ -56,16 +56,14 @@ def first_cutoff(df: DataFrame, cutoffs: DataFrame, time: str, strict: bool = Fa
         "_after",
         F.explode(F.sequence(F.coalesce(F.to_date("_after"), first_day), F.to_date("cutoff"))).alias("_day"),
     )
-    bound = cutoffs.agg(F.min("cutoff").alias("_first"))
-    clamped = df.crossJoin(F.broadcast(bound)).withColumn(  # one row: the earliest cutoff
-        "_day", F.greatest(F.to_date(F.col(time)), F.to_date("_first"))
-    )
+    earliest = cutoffs.agg(F.min("cutoff")).scalar()
+    clamped = df.withColumn("_day", F.greatest(F.to_date(F.col(time)), F.to_date(earliest)))
     t = F.col(time)
     if strict:
         hit = (t < F.col("cutoff")) & (F.col("_after").isNull() | (t >= F.col("_after")))
     else:
         hit = (t <= F.col("cutoff")) & (F.col("_after").isNull() | (t > F.col("_after")))
-    return clamped.join(days, "_day").filter(hit).drop("_day", "_first", "_after", "cutoff")
+    return clamped.join(days, "_day").filter(hit).drop("_day", "_after", "cutoff")
 
 
 def versions_at_cutoffs(
@@ -95,11 +93,11 @@ def versions_at_cutoffs(
     )
     order = W.partitionBy(F.lit(0)).orderBy("cutoff")
     indexed = cutoffs.select("cutoff", F.row_number().over(order).alias("cutoff_index"))
-    last = cutoffs.agg(F.count(F.lit(1)).cast("int").alias("_last"))
-    spans = winners.crossJoin(F.broadcast(last)).select(  # one row: the number of cutoffs
+    last = cutoffs.agg(F.count(F.lit(1)).cast("int")).scalar()
+    spans = winners.select(
         *keys,
         *[F.col(f"_win.row.{c}").alias(c) for c in payload],
-        F.sequence(F.col("cutoff_index"), F.coalesce(F.col("_next") - 1, F.col("_last"))).alias("_span"),
+        F.sequence(F.col("cutoff_index"), F.coalesce(F.col("_next") - 1, last)).alias("_span"),
     )
     filled = spans.select(*keys, *payload, F.explode("_span").alias("cutoff_index"))
     return filled.join(indexed, "cutoff_index").select("cutoff", *keys, *payload)

@@ -235,7 +235,7 @@ def order_rate(orders: DataFrame, limit: int, by: list[str] | None = None, time:
     next one, so each bin is counted on its own.
     """
     by = by or []
-    width = 64 * window_ns
+    width = 16 * window_ns
     binned = orders.withColumn("_bin", F.expr(f"{time} div {width}"))
     near_end = F.col(time) > (F.col("_bin") + 1) * F.lit(width) - F.lit(window_ns)
     copies = F.when(near_end, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -51,30 +51,30 @@ def signal(probability: Column, long: float = LONG_THRESHOLD, short: float = SHO
     return F.when(probability >= long, 1).when(probability <= short, -1).otherwise(0)
 
 
-def cost_grid(spark: SparkSession, costs: list[float]) -> DataFrame:
-    """A handful of round-trip costs; the list is an argument, not data."""
-    return spark.createDataFrame([(float(c),) for c in sorted(set(costs))], "cost_bps double")
+def cost_grid(costs: list[float]) -> Column:
+    """A handful of round-trip costs to unfold every row into; an argument, not data."""
+    return F.explode(F.array(*[F.lit(float(c)) for c in sorted(set(costs))]))
 
 
 def stress_costs(cost_bps: float) -> list[float]:
     return sorted({0.0, float(cost_bps), 2.0 * cost_bps, STRESS_BPS})
 
 
-def strategy_rows(predictions: DataFrame, costs: DataFrame) -> DataFrame:
+def strategy_rows(predictions: DataFrame, costs: list[float]) -> DataFrame:
     """Long/short/flat row returns for each cost; only active rows pay."""
-    signed = predictions.withColumn("signal", signal(F.col("probability"))).crossJoin(F.broadcast(costs))
+    signed = predictions.withColumns({"signal": signal(F.col("probability")), "cost_bps": cost_grid(costs)})
     net = F.col("signal") * F.col("target_return") - F.when(F.col("signal") != 0, F.col("cost_bps") / 10000.0).otherwise(0.0)
     return signed.withColumn("row_return", net)
 
 
-def long_flat_rows(predictions: DataFrame, costs: DataFrame, threshold: float = LONG_THRESHOLD) -> DataFrame:
+def long_flat_rows(predictions: DataFrame, costs: list[float], threshold: float = LONG_THRESHOLD) -> DataFrame:
     """Long when the probability reaches the threshold, else cash."""
-    crossed = predictions.crossJoin(F.broadcast(costs))
+    crossed = predictions.withColumn("cost_bps", cost_grid(costs))
     net = F.when(F.col("probability") >= threshold, F.col("target_return") - F.col("cost_bps") / 10000.0).otherwise(0.0)
     return crossed.withColumn("row_return", net)
 
 
-def benchmark_rows(predictions: DataFrame, costs: DataFrame | None = None) -> DataFrame:
+def benchmark_rows(predictions: DataFrame, costs: list[float] | None = None) -> DataFrame:
     """Always long open to close; free of cost unless a grid is given."""
     if costs is None:
         return predictions.withColumn("row_return", F.col("target_return"))
@@ -198,8 +198,7 @@ def rejection_reasons(auc, log_loss, base_loss, sharpe, drawdown, positive_folds
 
 def evaluate(predictions: DataFrame, cost_bps: float) -> DataFrame:
     """One row: classification, selected and doubled cost metrics, stability and the gate."""
-    spark = predictions.sparkSession
-    daily = portfolio_daily(strategy_rows(predictions, cost_grid(spark, stress_costs(cost_bps))), ["cost_bps"])
+    daily = portfolio_daily(strategy_rows(predictions, stress_costs(cost_bps)), ["cost_bps"])
     per_cost = return_metrics(daily, ["cost_bps"])
     at = lambda c, name: F.max(F.when(F.col("cost_bps") == float(c), F.col(name)))
     money = per_cost.agg(
@@ -259,15 +258,15 @@ def bootstrap_interval(
     before, after = prefix.select(F.col("pos").alias("start"), F.col("total").alias("_s")), prefix.select(
         F.col("pos").alias("_end"), F.col("total").alias("_e")
     )
-    whole = prefix.agg(F.max_by("total", "pos").alias("_all"))
+    whole = prefix.agg(F.max_by("total", "pos")).scalar()
     ends = drawn.withColumn("_stop", F.col("start") + F.col("len")).withColumn(
         "_end", F.when(F.col("_stop") > n, F.col("_stop") - n).otherwise(F.col("_stop"))
     )
     summed = (
-        ends.join(before, "start", "left").join(after, "_end", "left").crossJoin(F.broadcast(whole))
+        ends.join(before, "start", "left").join(after, "_end", "left")
         .withColumn(
             "_block",
-            F.col("_e") - F.coalesce(F.col("_s"), F.lit(0.0)) + F.when(F.col("_stop") > n, F.col("_all")).otherwise(0.0),
+            F.col("_e") - F.coalesce(F.col("_s"), F.lit(0.0)) + F.when(F.col("_stop") > n, whole).otherwise(0.0),
         )
     )
     means = summed.groupBy("resample").agg((F.sum("_block") / n * 10000).alias("mean_bps"))

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.asof import asof_join
+from ..functions.asof import OUTER_BINS, asof_join
 from ..functions.reasons import finite, reason_array
+from ..functions.scan import Running, running
 from ..functions.times import MILLI_NS, SECOND_NS
 from .quality import CRYPTO_FEED, CRYPTO_PAIR, STOCK_FEEDS, mid, spread_bps
 
@@ -193,13 +194,18 @@ def scenarios(
     )
 
 
-def transition_counters(events_: DataFrame, by: list[str]) -> DataFrame:
+def transition_counters(events_: DataFrame, by: list[str], bin_width: int = SECOND_NS) -> DataFrame:
     """Transitions, invalid updates, invalidations, recoveries, ambiguity and first valid seed per window.
 
-    The sequence of one fetched window is short; the window function never spans more.
+    The state before an update comes from a binned scan, so one heavy window is not one task.
     """
-    order = W.partitionBy(*by).orderBy("event_ns")
-    stepped = events_.withColumn("_prev", F.lag("valid").over(order))
+    binned = events_.withColumns(
+        {
+            "_outer": F.expr(f"event_ns div {bin_width * OUTER_BINS}"),
+            "_inner": F.expr(f"event_ns div {bin_width}"),
+        }
+    )
+    stepped = running(binned, by, ["_outer", "_inner"], ["event_ns"], [Running("_prev", F.col("valid"), "prev")])
     return stepped.groupBy(*by).agg(
         F.count(F.lit(1)).alias("state_transitions"),
         F.count_if(~F.col("valid")).alias("invalid_state_updates"),

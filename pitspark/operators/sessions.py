@@ -128,8 +128,9 @@ def study_plan(symbols: DataFrame, sessions: DataFrame, now: Column, last_sessio
         F.lit("crypto_us").alias("feed"),
     )
     equities = symbols.filter(F.col("symbol") != CRYPTO_PAIR).select("symbol").distinct()
-    # the plan is symbols x a handful of sessions; last_sessions bounds the small side
-    planned = equities.crossJoin(F.broadcast(stock)).withColumn("feed", F.lit(stock_feed)).unionByName(crypto)
+    # the plan is symbols x the last few sessions
+    days = stock.agg(F.collect_list(F.struct(*stock.columns))).scalar()  # last_sessions rows at most
+    planned = equities.select("symbol", F.inline(days)).withColumn("feed", F.lit(stock_feed)).unionByName(crypto)
     targets = F.array(
         *[F.struct(F.lit(n).alias("window_name"), F.col(n).alias("target_at")) for n in ("opening", "midday", "closing")]
     )
@@ -174,14 +175,18 @@ def eligible_symbols(symbols: DataFrame, sessions: DataFrame, now: Column) -> Da
     opened (one minute of margin).
     """
     finished = _completed_sessions(sessions, now).agg(
-        F.max_by("next_open_at", "session_date").alias("target_open"),
-        F.max_by("next_session", "session_date").alias("target_session"),
-        F.max("session_date").alias("feature_session"),
-    )
+        F.max_by(
+            F.struct(
+                F.col("next_open_at").alias("target_open"), F.col("next_session").alias("target_session"),
+                F.col("session_date").alias("feature_session"),
+            ),
+            "session_date",
+        )
+    ).scalar()
     open_ahead = F.coalesce(now < minutes(F.col("target_open"), -1), F.lit(False))
     crypto = F.col("symbol").endswith("-USD")
     return (
-        symbols.select("symbol").distinct().crossJoin(F.broadcast(finished))
+        symbols.select("symbol").distinct().select("symbol", finished.alias("_f")).select("symbol", "_f.*")
         .select(
             "symbol", "feature_session", "target_session", (~crypto & open_ahead).alias("eligible"),
             F.when(crypto, "crypto_requires_delayed_entry_target")

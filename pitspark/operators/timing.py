@@ -43,11 +43,9 @@ def expected_sessions(bars: DataFrame, sessions: DataFrame, day: str = "d") -> D
     """Every (symbol, day) a bar is expected for, between the symbol's first and last bar."""
     spans = bars.groupBy("symbol").agg(F.min(day).alias("_from"), F.max(day).alias("_to"))
     crypto = is_crypto(F.col("symbol"))
-    daily = spans.filter(crypto).select("symbol", F.explode(F.sequence("_from", "_to")).alias(day))
+    daily = spans.select("symbol", F.explode(F.sequence("_from", "_to")).alias(day))
     cal = schedule(sessions).select(F.col("session_date").alias(day))
-    # a calendar join with no equality key: sessions x symbols, the size of the result itself
-    exchange = spans.filter(~crypto).join(cal, F.col(day).between(F.col("_from"), F.col("_to"))).select("symbol", day)
-    return daily.unionByName(exchange)
+    return daily.filter(crypto).unionByName(daily.filter(~crypto).join(cal, day, "left_semi"))
 
 
 def complete_lookback(bars: DataFrame, sessions: DataFrame, day: str = "d") -> DataFrame:

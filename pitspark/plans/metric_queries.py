@@ -80,7 +80,7 @@ def _flagship_rows(spark, sf):
     + f"SELECT cost_bps, days, {_MET_SQL} FROM m",
 )
 def flagship_cost_stress(spark, sf):
-    rows = met.strategy_rows(_flagship_rows(spark, sf), met.cost_grid(spark, met.stress_costs(5.0)))
+    rows = met.strategy_rows(_flagship_rows(spark, sf), met.stress_costs(5.0))
     out = met.return_metrics(met.portfolio_daily(rows, ["cost_bps"]), ["cost_bps"])
     return out.select("cost_bps", "days", *r6(*_METRICS))
 
@@ -195,7 +195,7 @@ def classification_by_symbol(spark, sf):
     + f"SELECT cost_bps, days, {_MET_SQL} FROM m",
 )
 def cost_stress(spark, sf):
-    rows = met.strategy_rows(views.stored(views.predictions(spark, sf)), met.cost_grid(spark, [0, 5, 10, 20]))
+    rows = met.strategy_rows(views.stored(views.predictions(spark, sf)), [0, 5, 10, 20])
     out = met.return_metrics(met.portfolio_daily(rows, ["cost_bps"]), ["cost_bps"])
     return out.select("cost_bps", "days", *r6(*_METRICS))
 
@@ -227,7 +227,7 @@ _LONGFLAT = (
     + f"SELECT split_part(grp,'@',1) AS symbol, CAST(split_part(grp,'@',2) AS DOUBLE) AS cost_bps, days, {_MET_SQL} FROM m",
 )
 def long_flat_by_symbol(spark, sf):
-    rows = met.long_flat_rows(views.stored(views.predictions(spark, sf)), met.cost_grid(spark, [5, 10]))
+    rows = met.long_flat_rows(views.stored(views.predictions(spark, sf)), [5, 10])
     # the sleeve count is per group, so a symbol on its own owns the whole capital
     out = met.return_metrics(met.portfolio_daily(rows.withColumn("s", F.col("symbol")), ["s", "cost_bps"]), ["s", "cost_bps"])
     return out.select(F.col("s").alias("symbol"), "cost_bps", "days", *r6(*_METRICS))
@@ -243,7 +243,7 @@ def long_flat_by_symbol(spark, sf):
     + f"SELECT cost_bps, days, {_MET_SQL} FROM m",
 )
 def always_long_benchmark(spark, sf):
-    rows = met.benchmark_rows(views.stored(views.predictions(spark, sf)), met.cost_grid(spark, [0, 5, 10]))
+    rows = met.benchmark_rows(views.stored(views.predictions(spark, sf)), [0, 5, 10])
     out = met.return_metrics(met.portfolio_daily(rows, ["cost_bps"]), ["cost_bps"])
     return out.select("cost_bps", "days", *r6(*_METRICS))
 
@@ -299,7 +299,7 @@ def walk_forward_gate(spark, sf):
 
 @query("H26", None)
 def bootstrap_mean_return(spark, sf):
-    daily = met.portfolio_daily(met.long_flat_rows(views.stored(views.predictions(spark, sf)), met.cost_grid(spark, [5])))
+    daily = met.portfolio_daily(met.long_flat_rows(views.stored(views.predictions(spark, sf)), [5]))
     return met.bootstrap_interval(daily)
 
 

@@ -194,7 +194,7 @@ def pred(symbol, day, p, r):
 def test_portfolio_sleeves_and_calendar(spark):
     rows = [pred("A", 0, 0.6, -0.1), pred("B", 0, 0.5, 0.4), pred("A", 3, 0.4, -0.2)]
     df = spark.createDataFrame(rows, PREDS)
-    costs = met.cost_grid(spark, [0, 10])
+    costs = [0, 10]
     daily = met.portfolio_daily(met.strategy_rows(df, costs), ["cost_bps"])
     got = {(r.cost_bps, r.d.day): r.daily_return for r in daily.collect()}
     assert len(got) == 8 and got[(0.0, 1)] == -0.05 and got[(0.0, 2)] == 0.0
