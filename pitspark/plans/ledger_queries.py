@@ -252,7 +252,7 @@ def position_ledger(spark, sf):
 
 @query("N4", None)
 def average_cost_pnl(spark, sf):
-    """Checked in the tests against a fill-by-fill fold; the fold has no practical SQL form."""
+    """Daily average-cost states; the tests and ``closing_average_cost`` check them against a fill-by-fill fold."""
     out = lg.average_cost(_fills(spark, sf), "day", "bin", _ORDER)
     return out.select(
         "symbol", text("day"), "fills", F.col("quantity").cast("double").alias("quantity"), r("average_price", 4),
@@ -260,6 +260,28 @@ def average_cost_pnl(spark, sf):
     )
 
 
+_FOLD = f"""seqd AS (SELECT symbol, list({{'s': s::DOUBLE, 'p': price::DOUBLE, 'm': multiplier::DOUBLE}} ORDER BY {_ORDER_SQL}) AS l FROM feed GROUP BY 1),
+fold AS (SELECT symbol, len(l) AS fills, list_reduce(l, lambda acc, x: {{'s': acc.s + x.s,
+  'p': CASE WHEN acc.s=0 OR acc.s*x.s>0 THEN (abs(acc.s)*acc.p+abs(x.s)*x.p)/(abs(acc.s)+abs(x.s)) WHEN acc.s+x.s=0 THEN 0 WHEN acc.s*(acc.s+x.s)<0 THEN x.p ELSE acc.p END,
+  'm': acc.m + CASE WHEN acc.s=0 OR acc.s*x.s>0 THEN 0 ELSE (x.p-acc.p)*least(abs(acc.s),abs(x.s))*sign(acc.s)*x.m END}},
+  {{'s': 0.0::DOUBLE, 'p': 0.0::DOUBLE, 'm': 0.0::DOUBLE}}) AS f FROM seqd)"""
+
+
+@query(
+    "N4",
+    V.with_views(V.FILLS, _FEES, _FOLD)
+    + "SELECT symbol, fills, f.s AS quantity, round(f.p,3) AS average_price, round(f.m,0) AS realized_pnl FROM fold",
+)
+def closing_average_cost(spark, sf):
+    """Final average-cost position and realised profit, checked against a fill-by-fill fold."""
+    daily = lg.average_cost(_fills(spark, sf), "day", "bin", _ORDER)
+    fills = daily.groupBy("symbol").agg(F.sum("fills").alias("fills"))
+    closing = lg.closing_positions(views.stored(daily), "day").join(fills, "symbol")
+    return closing.select(
+        "symbol", "fills", F.col("quantity").cast("double").alias("quantity"), r("average_price", 3), r("realized_pnl", 0)
+    )
+
+
 _MARKS = "marks AS (SELECT symbol, arg_max(close, d) AS mark FROM bars GROUP BY 1)"
 
 

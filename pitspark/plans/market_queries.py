@@ -584,6 +584,19 @@ def admission_lifecycle(spark, sf):
     return events.groupBy("symbol", F.col("sequence").cast("bigint").alias("sequence"), "event").agg(F.count(F.lit(1)).alias("events"))
 
 
-@query("L2 L12", None)
+_CHAIN_SQL = (
+    _ADM
+    + """, ids AS (SELECT i.*, 'synthetic-v1-'||sha256(to_json({'schema': 'synthetic-admission-v1', 'decision_ns': w*21600000000000+10800000000000, 'latency_ms': latency_ms,
+  'notional_decimal': '5', 'side': side, 'source': sha256(symbol||'|'||w), 'symbol': symbol})) AS id FROM intents i),
+heads AS (SELECT id, sha256(sha256(sha256(repeat('0',64)||to_json({'sequence': 1, 'event': 'INTENT_CREATED', 'intent_id': id, 'payload': NULL::VARCHAR}))
+  ||to_json({'sequence': 2, 'event': 'CHECKS_COMPLETED', 'intent_id': id, 'payload': array_to_string(reasons,',')}))
+  ||to_json({'sequence': 3, 'event': CASE WHEN len(reasons)=0 THEN 'APPROVED_FOR_SIMULATION_ONLY' ELSE 'REJECTED' END, 'intent_id': id, 'payload': NULL::VARCHAR})) AS head FROM ids)
+SELECT count(*) AS intents, sha256(concat_ws(':', count(*)::VARCHAR, """
+    + ", ".join(f"sum(('0x'||substr(sha256(id||head),{1 + 8 * i},8))::UBIGINT)::VARCHAR" for i in range(8))
+    + ")) AS digest FROM heads"
+)
+
+
+@query("L2 L10 L12", _CHAIN_SQL)
 def admission_chain(spark, sf):
     return adm.chain_digest(adm.chain_heads(adm.lifecycle(_evaluated(spark, sf))))

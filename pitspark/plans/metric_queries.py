@@ -167,7 +167,7 @@ _LOSS = "-avg(CASE WHEN target=1 THEN ln(least(greatest({p},2.220446049250313e-1
   FROM oos JOIN auc USING (fold) GROUP BY fold""",
 )
 def fold_metrics(spark, sf):
-    oos = wf.base_rate_predictions(views.stored(views.predictions(spark, sf)), _P)
+    oos = views.stored(wf.base_rate_predictions(views.stored(views.predictions(spark, sf)), _P))
     return met.fold_metrics(oos).select(
         F.col("fold").cast("bigint").alias("fold"), text("test_start"), text("test_end"), "test_rows",
         *r6("accuracy", "roc_auc"),
@@ -183,7 +183,7 @@ def fold_metrics(spark, sf):
   FROM oos JOIN auc USING (symbol) GROUP BY symbol""",
 )
 def classification_by_symbol(spark, sf):
-    oos = wf.base_rate_predictions(views.stored(views.predictions(spark, sf)), _P)
+    oos = views.stored(wf.base_rate_predictions(views.stored(views.predictions(spark, sf)), _P))
     return met.classification(oos, ["symbol"]).select(
         "symbol", "rows", *r6("accuracy", "log_loss", "base_rate_log_loss", "brier_score", "roc_auc")
     )
@@ -288,7 +288,7 @@ def prediction_guards(spark, sf):
   FROM one, (SELECT * FROM m WHERE cost_bps=5) m5, (SELECT * FROM m WHERE cost_bps=10) m10""",
 )
 def walk_forward_gate(spark, sf):
-    oos = wf.base_rate_predictions(views.stored(views.predictions(spark, sf)), _P)
+    oos = views.stored(wf.base_rate_predictions(views.stored(views.predictions(spark, sf)), _P))
     out = met.evaluate(oos, 5.0)
     return out.select(
         "rows", "active_predictions",

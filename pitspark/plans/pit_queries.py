@@ -246,12 +246,29 @@ def batch_content_words(spark, sf):
     return grouped.select("source", "record_count", *[F.col(f"w{i}").cast("string").alias(f"w{i}") for i in range(8)])
 
 
-@query("A25 A26 C12 B11", None)
+def _digest_sql(rows: str, by: str, out: str = "digest") -> str:
+    """Group digest from a query with columns ``by`` and row hash ``h``."""
+    words = ", ".join(f"sum(('0x'||substr(h,{1 + 8 * i},8))::UBIGINT)::VARCHAR" for i in range(8))
+    return f"SELECT {by}, count(*) AS rows, sha256(concat_ws(':', count(*)::VARCHAR, {words})) AS {out} FROM ({rows}) GROUP BY {by}"
+
+
+@query(
+    "A25 A26 C12 B11",
+    _digest_sql("SELECT c_mktsegment, sha256(to_json({'c_custkey': c_custkey, 'c_name': c_name, 'c_nationkey': c_nationkey})) AS h FROM customer", "c_mktsegment"),
+)
 def dataset_fingerprints(spark, sf):
     from ..functions.digest import content_id, dataset_digest
 
-    bars = views.bars(spark, sf)
-    return dataset_digest(bars, content_id(["symbol", "d", *wh.OHLCV]), ["symbol"])
+    customers = views.table(spark, sf, "customer")
+    return dataset_digest(customers, content_id(["c_custkey", "c_name", "c_nationkey"]), ["c_mktsegment"])
+
+
+@query("A25 A26", None)
+def bar_fingerprints(spark, sf):
+    """Digest per symbol over every bar field; text forms of doubles differ between engines, so rows only."""
+    from ..functions.digest import content_id, dataset_digest
+
+    return dataset_digest(views.bars(spark, sf), content_id(["symbol", "d", *wh.OHLCV]), ["symbol"])
 
 
 # ---- B: reports -------------------------------------------------------------
@@ -495,8 +512,21 @@ def macro_row_reasons(spark, sf):
     )
 
 
+_ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S.%f')||'+00:00'"
+_ID_RECORDS = f"""SELECT 'identity' AS section, instrument_id AS entity, sha256('identity:'||instrument_id||':'||sha256('identity:'||to_json({{'instrument_id': instrument_id, 'symbol': symbol,
+  'asset_class': asset_class, 'primary_exchange': primary_exchange, 'valid_from': {_ISO.format("valid_from")}, 'valid_to': {_ISO.format("valid_to")},
+  'available_at': {_ISO.format("available_at")}, 'ingested_at': {_ISO.format("ingested_at")}, 'source': source}}))) AS h FROM effective"""
+
+
+@query("C11 C12 A25 A26", V.with_views(V.IDENTITIES, _IDENTITY) + _digest_sql(_ID_RECORDS, "section, entity", "snapshot_hash"))
+def identity_snapshot_hashes(spark, sf):
+    section = ev.identity_section(views.identities(spark, sf), at(_ID_T))
+    return ev.snapshot_hash(ev.packet_records({"identity": section}), ["section", "entity"])
+
+
 @query("C11 C12 C13 A25 A26", None)
 def packet_snapshot_hashes(spark, sf):
+    """Market and macro packets hold doubles, whose text differs between engines, so rows only."""
     records = ev.packet_records(
         {
             "market": ev.market_section(views.market_bars(spark, sf), at(_T)),
@@ -712,8 +742,16 @@ def context_packet_status(spark, sf):
     return ctx.packet_status(packet).select("instrument_id", "feature_count", "available_count")
 
 
-@query("D15 C11 D17", None)
+@query(
+    "D15 C11",
+    V.with_views(V.MARKET_BARS, _MK)
+    + "SELECT instrument_id, count(*) AS evidence_ids, true AS sorted, epoch_us(max(available_at)) AS latest_us FROM mk WHERE rn<=21 GROUP BY 1",
+)
 def context_provenance(spark, sf):
     section = ev.with_evidence_id(ev.market_section(views.market_bars(spark, sf), at(_T)), "market")
     out = ctx.provenance(section, 21)
-    return out.select("instrument_id", F.array_join("source_evidence_ids", ",").alias("evidence_ids"), us("latest_input_available_at", "latest_us"))
+    ids = F.col("source_evidence_ids")
+    return out.select(
+        "instrument_id", F.size(ids).cast("bigint").alias("evidence_ids"), (F.array_sort(ids) == ids).alias("sorted"),
+        us("latest_input_available_at", "latest_us"),
+    )

@@ -18,11 +18,20 @@ from .registry import query
 from .source_queries import scratch
 
 
-def _staged(spark, df: DataFrame, name: str, files: int = 4) -> DataFrame:
-    """Write the derived rows once and read the folder back as a stream, one file per micro-batch."""
+def _staged(spark, df: DataFrame, name: str) -> DataFrame:
+    """Write the derived rows once, as partitioned as they are, and read the folder back as a stream."""
     path = scratch(spark, name)
-    df.repartition(files).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 64).parquet(path)
+
+
+def _yearly(spark, df: DataFrame, year: str, name: str, run) -> None:
+    """Feed one year after the other: each run of the job takes what has arrived as a micro-batch."""
+    path = scratch(spark, name)
+    rows = df.drop(year)
+    for value in [r[year] for r in df.select(year).distinct().orderBy(year).collect()]:  # one row a year
+        df.filter(F.col(year) == value).drop(year).write.mode("append").parquet(path)
+        run(spark.readStream.schema(rows.schema).parquet(path)).awaitTermination()
 
 
 def _quote_rows(spark, sf):
@@ -60,7 +69,7 @@ def stream_hourly_spreads(spark, sf):
     """Tumbling windows in append mode; one far-future row closes every window."""
     rows = _quote_rows(spark, sf)
     path = scratch(spark, "hours")
-    rows.repartition(4).write.parquet(path)
+    rows.write.parquet(path)
     sentinel = rows.agg(F.max("event_ns").alias("event_ns")).select(
         F.lit("~").alias("symbol"), F.lit(0).cast("bigint").alias("w"), (F.col("event_ns") + F.lit(400 * 24 * 60 * MINUTE_NS)).alias("event_ns"),
         *[F.lit(1.0).alias(c) for c in ("bid", "ask", "bid_size", "ask_size")],
@@ -108,16 +117,10 @@ def stream_order_rate(spark, sf):
 def stream_positions(spark, sf):
     """Average-cost positions advanced by yearly micro-batches in trade order."""
     fills = views.fills(spark, sf).withColumn("bin", F.expr(f"l_orderkey div {_KEY_RANGE}")).withColumn("year", F.year("day"))
-    path = scratch(spark, "fills")
-    # one file per year, written in order, so file order is trade order
-    years = [r["year"] for r in fills.select("year").distinct().orderBy("year").collect()]
-    for year in years:
-        fills.filter(F.col("year") == year).drop("year").coalesce(1).write.mode("append").parquet(path)
-    schema = fills.drop("year").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     table = jobs.VersionedTable(spark, scratch(spark, "positions"), jobs.POSITION_SCHEMA)
     order = ["day", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
-    jobs.ledger_job(stream, table, scratch(spark, "positions-checkpoint"), "day", "bin", order).awaitTermination()
+    checkpoint = scratch(spark, "positions-checkpoint")
+    _yearly(spark, fills, "year", "fills", lambda stream: jobs.ledger_job(stream, table, checkpoint, "day", "bin", order))
     return table.latest().select("symbol", F.col("quantity").cast("double").alias("quantity"))
 
 
@@ -137,14 +140,10 @@ def stream_ingest(spark, sf):
     yearly = latest_version(
         bars, ["instrument_id", "event_time", "year"], [F.desc("available_at"), F.desc("ingested_at"), F.desc("data_version")]
     )
-    path = scratch(spark, "snapshots")
-    for year in [r["year"] for r in bars.select("year").distinct().orderBy("year").collect()]:
-        yearly.filter(F.col("year") == year).drop("year").coalesce(1).write.mode("append").parquet(path)
-    schema = yearly.drop("year").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in yearly.drop("year").schema)
     table = jobs.VersionedTable(spark, scratch(spark, "warehouse"), ddl)
-    jobs.ingest_job(stream, table, scratch(spark, "warehouse-checkpoint")).awaitTermination()
+    checkpoint = scratch(spark, "warehouse-checkpoint")
+    _yearly(spark, yearly, "year", "snapshots", lambda stream: jobs.ingest_job(stream, table, checkpoint))
     return table.all().groupBy("instrument_id").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("event_time").alias("days"))
 
 
@@ -161,7 +160,7 @@ def stream_settlement(spark, sf):
         "symbol", "session_date", F.timestamp_add("MINUTE", F.lit(30), F.col("close_at")).alias("closed_at"), "open", "close"
     )
     joined = jobs.settlement_stream(
-        _staged(spark, signals, "signals", 2), _staged(spark, bars, "closed-bars", 2), lateness="10000 days", wait="3 days"
+        _staged(spark, signals, "signals"), _staged(spark, bars, "closed-bars"), lateness="10000 days", wait="3 days"
     )
     rows = _collected(spark, joined, "settled")
     return rows.select(
