@@ -16,6 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import reliable_checkpoint
 from .walkforward import Protocol, base_rates, fold_dates, folds, test_rows
 
 # The frozen estimator settings.
@@ -23,6 +24,7 @@ SEED = 17
 TREE_SETTINGS = {"maxIter": 250, "stepSize": 0.05, "maxDepth": 4, "minInstancesPerNode": 30, "seed": SEED}
 LOGISTIC_C = 1.0
 LOGISTIC_ITERATIONS = 1000
+LOGISTIC_TOLERANCE = 1e-4
 MODELS = ("base_rate", "logistic", "gradient_boosting")
 
 
@@ -41,7 +43,7 @@ def logistic_pipeline(features: list[str], rows: int) -> Pipeline:
             *_prepare(features),
             StandardScaler(inputCol="raw_vector", outputCol="features", withMean=True, withStd=True),
             LogisticRegression(
-                labelCol="target", maxIter=LOGISTIC_ITERATIONS, regParam=1.0 / (LOGISTIC_C * rows),
+                labelCol="target", maxIter=LOGISTIC_ITERATIONS, tol=LOGISTIC_TOLERANCE, regParam=1.0 / (LOGISTIC_C * rows),
                 elasticNetParam=0.0, standardization=False,
             ),
         ]
@@ -79,13 +81,14 @@ def walk_forward(
 ) -> DataFrame:
     """Out-of-sample rows of all folds with ``probability``, ``base_probability``, ``fold`` and ``model``.
 
-    ``rows`` should be a stored table or a persisted frame: every fold reads it.
+    Every fold reads the rows many times, so they are checkpointed once: an iterative
+    fit then neither recomputes the features nor depends on an executor's memory.
     """
     dated = fold_dates(rows, protocol, day)
     rates = base_rates(rows, dated, protocol, day).collect()  # at most max_folds rows
     by_fold = {r["fold"]: r for r in rates}
     spans = {r["fold"]: r for r in folds(dated, protocol).collect()}  # at most max_folds rows
-    indexed = rows.join(dated, day)
+    indexed = reliable_checkpoint(rows.join(dated, day))
     outputs = []
     for fold in sorted(spans):
         rate = by_fold[fold]

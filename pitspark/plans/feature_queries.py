@@ -19,12 +19,15 @@ _REGIME = reg.REGIME_COLUMNS
 _NOW = "2000-06-15 21:10:00"
 
 
-# levels are quoted prices passed through: rounding a single division can tie differently
+# levels are quoted prices passed through, and their difference has seven digits at most:
+# rounding those at six can tie differently
 _LEVELS = ("vix_level", "rate_level")
 
 
 def rounded(columns, digits=6):
-    return [F.col(c) if c in _LEVELS else F.round(c, digits).alias(c) for c in columns]
+    return [
+        F.col(c) if c in _LEVELS else F.round(c, 9 if c == "rate_change_20" else digits).alias(c) for c in columns
+    ]
 
 
 def day_text(name="d"):
@@ -226,6 +229,20 @@ def timing_chronology_report(spark, sf):
     )
 
 
+@query(
+    "G13 G11",
+    "SELECT NULL::VARCHAR AS symbol, NULL::VARCHAR AS target_session, "
+    + ", ".join(f"NULL::DOUBLE AS {c}" for c in _FEATURES + _REGIME)
+    + ", NULL::BIGINT AS target FROM lineitem WHERE l_shipdate < DATE '1900-01-01'",
+)
+def timing_without_targets(spark, sf):
+    """No usable target gives a typed result without rows."""
+    bars = views.stored(views.bars(spark, sf).filter(F.col("d") < F.lit("1900-01-01").cast("date")))
+    data = timing.timing_dataset(bars, views.sessions(spark, sf), reg.regime_table(bars))
+    typed = timing.empty_dataset(spark).unionByName(data.select(*timing.empty_dataset(spark).columns))
+    return typed.select("symbol", day_text("target_session"), *_FEATURES, *_REGIME, F.col("target").cast("bigint").alias("target"))
+
+
 _PLAN = f"""stock AS (SELECT * FROM sessions WHERE close_at + INTERVAL 30 MINUTE <= TIMESTAMP '{_NOW}'
   QUALIFY row_number() OVER (ORDER BY session_date DESC) <= 5),
 syms AS (SELECT DISTINCT CASE WHEN symbol='BTC-USD' THEN 'BTC/USD' ELSE symbol END AS symbol FROM (SELECT {V.SYMBOL} AS symbol FROM lineitem)),

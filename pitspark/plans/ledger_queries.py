@@ -188,7 +188,7 @@ def model_scored_signals(spark, sf):
     "N1 N2",
     V.with_views(V.QUOTES)
     + """SELECT symbol, event_id, round(imb,6) AS imbalance, round(mom,6) AS momentum, round(imb+0.01::DOUBLE*mom*10000,6) AS score, abs(imb+0.01::DOUBLE*mom*10000)>=0.5 AS active FROM (
-  SELECT symbol, event_id, (bid_size-ask_size)/(bid_size+ask_size) AS imb, coalesce((mid-prev)/prev,0) AS mom FROM (
+  SELECT symbol, event_id, (bid_size-ask_size)/(bid_size+ask_size) AS imb, CASE WHEN prev IS NULL OR prev=0 THEN 0.0 ELSE (mid-prev)/prev END AS mom FROM (
   SELECT *, lag(mid) OVER (PARTITION BY symbol ORDER BY event_ns, event_id) AS prev FROM (SELECT *, bid+(ask-bid)/2 AS mid FROM quotes)))""",
 )
 def quote_scores(spark, sf):

@@ -82,7 +82,7 @@ _BAR_REC = f"""brec AS (SELECT symbol, w, w//4 AS day, CASE WHEN event_id%211=0
   CASE WHEN event_id%59=0 THEN event_id%5+0.5::DOUBLE ELSE (event_id%5)::DOUBLE END AS n FROM copies),
 spans AS (SELECT DISTINCT symbol, w//4 AS day, (w//4)*86400000000000+1800000000000 AS start_ns, (w//4)*86400000000000+84600000000000 AS end_ns FROM windows),
 bcls AS (SELECT b.*, start_ns, end_ns, coalesce(event_ns<start_ns OR event_ns>=end_ns,false) AS outside,
-  CASE WHEN event_ns IS NULL THEN 'invalid_or_naive_timestamp' WHEN event_ns%{M.MIN}<>0 THEN 'not_exact_minute'
+  CASE WHEN event_ns IS NULL THEN 'invalid_or_naive_timestamp' WHEN event_ns%{M.MIN}<>0 THEN 'not_exact_minute' WHEN least(o,h,l,c)<=0 THEN 'nonfinite_or_invalid_value'
    WHEN h+greatest(o,h,l,c)*1e-12<greatest(o,l,c) THEN 'invalid_ohlc_bounds' WHEN n<>floor(n) THEN 'noninteger_trade_count' END AS reason0
   FROM brec b JOIN spans USING (symbol, day)),
 bcl AS (SELECT *, CASE WHEN NOT outside THEN reason0 END AS reason FROM bcls),

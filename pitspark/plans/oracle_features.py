@@ -70,4 +70,5 @@ def regime_attach(source: str, cutoff: str, out: str = "attached") -> str:
 
 def rounded(columns, digits: int = 6) -> str:
     levels = ("vix_level", "rate_level")
-    return ", ".join(c if c in levels else f"round({c},{digits}) AS {c}" for c in columns)
+    places = {"rate_change_20": 9}
+    return ", ".join(c if c in levels else f"round({c},{places.get(c, digits)}) AS {c}" for c in columns)

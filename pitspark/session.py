@@ -52,7 +52,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     The setting wins always; the local folder is only used when the master is
     local, because executors elsewhere could not read it.
     """
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
+        "spark.checkpoint.dir", None
+    )
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
