@@ -12,7 +12,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_BINS = 64
+_BINS = 256
+
+
+def _bin_of(value: Column, cuts: Column) -> Column:
+    """Number of sorted cuts below the value, by halving: eight steps for 255 cuts."""
+    halves = F.array(*[F.lit(_BINS >> k) for k in range(1, _BINS.bit_length())])
+    return F.aggregate(
+        halves,
+        F.lit(0),
+        lambda found, half: found + F.when(F.get(cuts, found + half - 1) < value, half).otherwise(0),
+    )
 
 
 def value_ranks(df: DataFrame, keys: list[str], value: str, weights: dict[str, Column] | None = None) -> DataFrame:
@@ -29,10 +39,8 @@ def value_ranks(df: DataFrame, keys: list[str], value: str, weights: dict[str, C
     if keys:
         placed = counted.join(cuts, keys)
     else:
-        placed = counted.crossJoin(F.broadcast(cuts))  # cuts is one row
-    binned = placed.withColumn(
-        "_bin", F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))
-    ).drop("_cuts")
+        placed = counted.withColumn("_cuts", cuts.scalar())
+    binned = placed.withColumn("_bin", _bin_of(F.col(value), F.col("_cuts"))).drop("_cuts")
 
     totals = binned.groupBy(*keys, "_bin").agg(*[F.sum(k).alias(f"_b_{k}") for k in sums])
     before_bin = W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)

@@ -1,8 +1,8 @@
 """Walk-forward models on pyspark.ml: base rate, logistic regression, boosted trees.
 
 Each fold is one distributed fit; the loop is over at most ``max_folds`` folds. The
-boosted model plays the same role as the reference estimator with other numbers:
-Spark's trees have a depth limit instead of a leaf limit and no L2 term.
+boosted model uses Spark's trees, which have a depth limit instead of a leaf limit and
+no L2 term.
 """
 
 from __future__ import annotations
