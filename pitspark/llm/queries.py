@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, tokens, training_order
+from . import packing, phrases, quality, tokens, training_order
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,11 @@ def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.ordered_sequences(_table(spark, sf_dir, "documents"))
 
 
+def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_table(spark, sf_dir, "documents"))
 
@@ -23,5 +28,9 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_training_order, op7_best_fit_packing, op8_bpe)}
+def op10_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_training_order, op6_compression_bands, op7_best_fit_packing, op8_bpe, op10_phrase_fingerprints)}
 ORACLE_SQL: dict[str, str] = {}
