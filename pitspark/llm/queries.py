@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, phrases, quality, tokens, training_order
+from . import chat, packing, phrases, quality, tokens, training_order
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.ordered_sequences(_table(spark, sf_dir, "documents"))
 
 
+def op5_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted_digests(_table(spark, sf_dir, "conversations"))
+
+
 def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judge(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -32,5 +36,5 @@ def op10_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_training_order, op6_compression_bands, op7_best_fit_packing, op8_bpe, op10_phrase_fingerprints)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op4_training_order, op5_prefix_target_chat, op6_compression_bands, op7_best_fit_packing, op8_bpe, op10_phrase_fingerprints)}
+ORACLE_SQL: dict[str, str] = {"op5_prefix_target_chat": chat.DIGEST_SQL}
