@@ -128,7 +128,9 @@ def pack(df: DataFrame, order_by: list[str], capacity: int = 1024) -> DataFrame:
     bases = counts.select("length", "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
     number = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy(*order_by))
     ranked = rows.withColumn("_number", number).join(bases, ["length", "_bucket"]).withColumn("_rank", F.col("_base") + F.col("_number") - 1)
-    return ranked.join(slots(spark, plan(histogram, capacity)), ["length", "_rank"]).drop("_bucket", "_base", "_number", "_rank")
+    # Unfolded slots are as many as pieces, which the size estimate of their few source rows does not show: merge.
+    planned = slots(spark, plan(histogram, capacity)).hint("merge")
+    return ranked.join(planned, ["length", "_rank"]).drop("_bucket", "_base", "_number", "_rank")
 
 
 def slots(spark, runs: list[tuple]) -> DataFrame:
