@@ -294,7 +294,7 @@ DIGEST_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
 f AS (SELECT hex, min(page_id) AS first_id FROM p GROUP BY hex)
 SELECT p.page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
-  array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     CAST(1 + ((CAST('0x' || substr(p.hex, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) AS BIGINT), 1)), '') AS payload_digest,
   CASE WHEN p.page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN p.page_id <> first_id THEN first_id END AS refers_to
