@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, packing, phrases, quality, tokens, training_order, urls, warc
+from . import chat, ngram_join, packing, phrases, quality, tokens, training_order, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.groups(_table(spark, sf_dir, "documents"), size=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op2_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(spark, _table(spark, sf_dir, "pages"))
 
@@ -44,5 +49,5 @@ def op10_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc_packages, op3_url_filter, op4_training_order, op5_prefix_target_chat, op6_compression_bands, op7_best_fit_packing, op8_bpe, op10_phrase_fingerprints)}
-ORACLE_SQL: dict[str, str] = {"op2_warc_packages": warc.DIGEST_SQL, "op5_prefix_target_chat": chat.DIGEST_SQL}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc_packages, op3_url_filter, op4_training_order, op5_prefix_target_chat, op6_compression_bands, op7_best_fit_packing, op8_bpe, op10_phrase_fingerprints)}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": ngram_join.GROUPS_SQL, "op2_warc_packages": warc.DIGEST_SQL, "op5_prefix_target_chat": chat.DIGEST_SQL}
