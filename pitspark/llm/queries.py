@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, ngram_join, packing, phrases, quality, tokens, training_order, urls, warc
+from . import chat, ngram_join, packing, phrases, quality, repeats, tokens, training_order, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,9 +45,13 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(_table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed_digests(_table(spark, sf_dir, "documents"))
+
+
 def op10_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc_packages, op3_url_filter, op4_training_order, op5_prefix_target_chat, op6_compression_bands, op7_best_fit_packing, op8_bpe, op10_phrase_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc_packages, op3_url_filter, op4_training_order, op5_prefix_target_chat, op6_compression_bands, op7_best_fit_packing, op8_bpe, op9_suffix_dedup, op10_phrase_fingerprints)}
 ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": ngram_join.GROUPS_SQL, "op2_warc_packages": warc.DIGEST_SQL, "op5_prefix_target_chat": chat.DIGEST_SQL}
