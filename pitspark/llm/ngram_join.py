@@ -21,7 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from . import bloom
 from . import textarrays as ta
 from .components import components
 from .storage import stored
@@ -223,12 +225,12 @@ def _complete(marked: DataFrame, minor: DataFrame, sets: DataFrame, compared: Da
 
 
 def groups(df: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, key and component_id of every row of (doc_id, text); other columns are not read.
+    """doc_id, n_shingles, key, label and component_id of every row of (doc_id, text); other columns are not read.
 
     Two documents link when 100 * intersection >= percent * union of their n-gram sets; component_id is the smallest
     doc_id that links reach. Texts without words (null too) have an empty set and link to nothing. Null doc_ids stay and are
     never the smallest unless a group has no other. Repeated rows are copies like any others. n-grams are compared by
-    64-bit hashes, sets of a pair by all their n-grams.
+    64-bit hashes, sets of a pair by all their n-grams. key stands for the set, label for the group.
     """
     rows = stored(_set_rows(df, size), "sets")
     documents = rows.select("doc_id", "key", "n")
@@ -261,7 +263,37 @@ def groups(df: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     lowest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     joined = named.join(lowest.hint("merge"), "label")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), "key", own.alias("component_id"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), "key", "label", own.alias("component_id"))
+
+
+def representatives(df: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``df`` with all columns, but of each group only one: that of the smallest doc_id (any of equal rows).
+
+    Texts without words stay. Only documents that may have to go are shuffled. A group without a doc_id keeps one row.
+    """
+    found = stored(groups(df, size, percent), "groups")
+    names = df.columns
+    key = next(name for k in range(len(names) + 1) if (name := f"_key{k}") not in names)
+    second = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(False))).alias("goes"))
+    bits = bloom.build(second.where("rows > 1 OR goes OR doc_id IS NULL").select(F.coalesce("doc_id", F.lit(0)).alias("doc_id")), "doc_id")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in ta.blocks(batches):
+            unsure = bloom.may_have(bits, np.asarray(part.column("doc_id").cast(pa.int64()).fill_null(0)))
+            grams, at = text_sets(data, offsets, size)
+            yield part.append_column(key, pa.array(_keys(grams, at).view(np.int64), mask=~unsure))
+
+    marked = df.mapInArrow(mark, T.StructType([*df.schema.fields, T.StructField(key, T.LongType())]))
+    groups_of = found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_set"), F.col("n_shingles").alias("_n"), "label", "component_id").distinct()
+    same = (F.col(key) == F.col("_set")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    unsure = marked.where(F.col(key).isNotNull()).select(F.struct(*names).alias("_row"), F.col("doc_id"), key).join(groups_of.hint("merge"), same)
+    empty = unsure.where("_n = 0")
+    best = Window.partitionBy("label").orderBy(F.col("_id").asc_nulls_last(), "_row.text")
+    first = unsure.where("_n > 0 AND _id <=> component_id").withColumn("_rank", F.row_number().over(best)).where("_rank = 1")
+    kept = marked.where(F.col(key).isNull()).select(*names)
+    for rows in (empty, first):
+        kept = kept.unionByName(rows.select("_row.*").select(*names))
+    return kept
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

@@ -453,15 +453,16 @@ def remove(df: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, texts = batch.column("_spans"), batch.column("text")
-            new = [
-                _cut(texts[i].as_py().encode(), lists[i])[0].decode("utf-8", "ignore") if lists[i].is_valid else texts[i].as_py()
-                for i in range(batch.num_rows)
-            ]
-            columns = [pa.array(new, pa.string()) if name == "text" else batch.column(name) for name in names]
-            yield pa.record_batch(columns, names=names)
+            columns = dict(zip(names, batch.column("_row").flatten(), strict=True))
+            lists, texts = batch.column("_spans"), columns["text"]
+            columns["text"] = pa.array(
+                [_cut(texts[i].as_py().encode(), lists[i])[0].decode("utf-8", "ignore") if lists[i].is_valid else texts[i].as_py() for i in range(batch.num_rows)], pa.string()
+            )
+            yield pa.record_batch(list(columns.values()), names=names)
 
     schema = T.StructType([*df.schema.fields, T.StructField(ref, T.LongType())])
     marked = df.mapInArrow(mark, schema)
-    touched = marked.where(F.col(ref).isNotNull()).join(spans.select(F.col("ref").alias("_key"), F.col("spans").alias("_spans")).hint("merge"), F.col(ref) == F.col("_key"), "left")
-    return marked.where(F.col(ref).isNull()).select(*names).unionByName(touched.select(*names, "_spans").mapInArrow(cut, df.schema))
+    unsure = marked.where(F.col(ref).isNotNull()).select(F.struct(*names).alias("_row"), F.col(ref).alias("_ref"))
+    named = spans.select(F.col("ref").alias("_key"), F.col("spans").alias("_spans"))
+    touched = unsure.join(named.hint("merge"), F.col("_ref") == F.col("_key"), "left").select("_row", "_spans")
+    return marked.where(F.col(ref).isNull()).select(*names).unionByName(touched.mapInArrow(cut, df.schema))
