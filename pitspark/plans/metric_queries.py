@@ -60,13 +60,12 @@ _MET_SQL = ", ".join(f"round({m},6) AS {m}" for m in _METRICS)
 
 
 def _flagship_rows(spark, sf):
-    """Test-fold rows scored by their lagged oscillator, returns winsorised at 5 %."""
+    """Test-fold rows scored by their lagged oscillator."""
     data = feat.daily_dataset(views.stored(views.bars(spark, sf)))
     oos = wf.base_rate_predictions(views.stored(data), _P)
-    clipped = F.greatest(F.least(F.col("target_return"), F.lit(0.05)), F.lit(-0.05))
     return oos.select(
         "symbol", "d", "fold", "base_probability", (F.col("rsi_14") / 100.0).alias("probability"),
-        clipped.alias("target_return"), "target",
+        "target_return", "target",
     )
 
 
@@ -74,7 +73,7 @@ def _flagship_rows(spark, sf):
     "B13 E12 H2 H4 H13 H14 H16 H17 H18 H19 H20 H22",
     V.with_views(
         V.BARS, O.raw_features(), _DATASET, fold_ctes("dataset"),
-        "scored AS (SELECT symbol, d, fold, rsi_14/100.0::DOUBLE AS probability, greatest(least(target_return,0.05::DOUBLE),-0.05::DOUBLE) AS target_return FROM oos)",
+        "scored AS (SELECT symbol, d, fold, rsi_14/100.0::DOUBLE AS probability, target_return FROM oos)",
         _STRATEGY.format(src="scored", sig=_SIGNAL), portfolio_ctes("strat", "cost_bps"),
     )
     + f"SELECT cost_bps, days, {_MET_SQL} FROM m",

@@ -16,9 +16,9 @@ KEY = "concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber)"
 
 BARS = f"""bars AS (
   SELECT {SYMBOL} AS symbol, l_shipdate::DATE AS d,
-    first(l_extendedprice/l_quantity ORDER BY l_orderkey, l_linenumber, l_partkey) AS open,
-    max(l_extendedprice/l_quantity) AS high, min(l_extendedprice/l_quantity) AS low,
-    last(l_extendedprice/l_quantity ORDER BY l_orderkey, l_linenumber, l_partkey) AS close,
+    first(1000+l_extendedprice/l_quantity/20 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS open,
+    max(1000+l_extendedprice/l_quantity/20) AS high, min(1000+l_extendedprice/l_quantity/20) AS low,
+    last(1000+l_extendedprice/l_quantity/20 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS close,
     sum(l_quantity) AS volume
   FROM lineitem GROUP BY 1, 2)"""
 
@@ -63,7 +63,7 @@ MACRO = f"""macro AS (
 NEWS = """news AS (
   SELECT *, first_seen_at AS available_at, first_seen_at + to_hours(CAST(doc_id % 13 AS INTEGER)) AS ingested_at FROM (
   SELECT *, published_at + to_minutes(CAST(doc_id % 4000 AS INTEGER)) AS first_seen_at FROM (
-  SELECT 'N'||doc_id AS event_id, TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id AS INTEGER)) AS published_at,
+  SELECT 'N'||doc_id AS event_id, TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id % 20000 AS INTEGER)) AS published_at,
     'wire-'||lang AS source, sha256(text) AS title_hash, upper(lang) AS e1, source AS e2, doc_id
   FROM documents)))"""
 

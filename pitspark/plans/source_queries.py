@@ -180,12 +180,12 @@ def metadata_checks(spark, sf):
 @query(
     "A14",
     """SELECT 'alpaca:'||doc_id AS event_id, 'alpaca-news:'||source AS source, sha256(text) AS title_hash, CASE WHEN lang<source THEN '["'||lang||'","'||source||'"]' ELSE '["'||source||'","'||lang||'"]' END AS entity_ids,
-  epoch_us(greatest(TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id AS INTEGER)), TIMESTAMP '2024-01-20')) AS available_us,
-  (TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id AS INTEGER)) < TIMESTAMP '2024-01-19') AS backfill FROM documents""",
+  epoch_us(greatest(TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id % 20000 AS INTEGER)), TIMESTAMP '2024-01-20')) AS available_us,
+  (TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id % 20000 AS INTEGER)) < TIMESTAMP '2024-01-19') AS backfill FROM documents""",
 )
 def news_metadata(spark, sf):
     docs = views.table(spark, sf, "documents")
-    created = F.timestamp_add("HOUR", F.col("doc_id").cast("int"), F.lit("2024-01-01").cast("timestamp"))
+    created = F.timestamp_add("HOUR", (F.col("doc_id") % views.NEWS_HOURS).cast("int"), F.lit("2024-01-01").cast("timestamp"))
     articles = docs.select(
         F.col("doc_id").alias("id"), F.col("text").alias("headline"), created.alias("created_at"), created.alias("updated_at"),
         F.lit("desk").alias("author"), "source", F.lit(None).cast("string").alias("url"), F.array("source", "lang").alias("symbols"),
@@ -249,8 +249,8 @@ def snapshot_validation(spark, sf):
 
 @query(
     "A4 A5 A20",
-    f"""WITH trades AS (SELECT {V.SYMBOL} AS symbol, l_shipdate::DATE AS d, l_extendedprice/l_quantity AS p, l_quantity AS v, (l_orderkey*8+l_linenumber)*1048576+l_partkey%1048576 AS seq FROM lineitem),
-  last AS (SELECT * FROM trades QUALIFY row_number() OVER (PARTITION BY symbol, d ORDER BY seq DESC)=1)
+    f"""WITH trades AS (SELECT {V.SYMBOL} AS symbol, l_shipdate::DATE AS d, l_extendedprice/l_quantity AS p, l_quantity AS v, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem),
+  last AS (SELECT * FROM trades QUALIFY row_number() OVER (PARTITION BY symbol, d ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC)=1)
   SELECT symbol, count(*) AS rows, CAST(min(d) AS VARCHAR) AS first_date, CAST(max(d) AS VARCHAR) AS last_date, CAST(sum(v) AS DOUBLE) AS volume FROM last WHERE d < DATE '2000-06-15' GROUP BY 1""",
 )
 def keep_last_rows(spark, sf):

@@ -22,6 +22,7 @@ SYMBOL_OF_FLAGS = {
     "RF": "^TNX",
     "RO": "BTC-USD",
 }
+NEWS_HOURS = 20_000  # documents are spread over so many hours, whatever their number
 SERIES_OF_PRIORITY = {
     "1-URGENT": "DFF",
     "2-HIGH": "DGS10",
@@ -56,31 +57,34 @@ def symbol_column():
 
 
 def trade_order():
-    """Order of line items within a day as one BIGINT: order, line, then 20 bits of the part key.
-
-    A fixed-width ordering value keeps min_by/max_by inside the hash aggregate; a struct
-    would force a sort of the whole table before the partial aggregate, and a decimal
-    costs three times as much per row. Order keys fit up to 2^40.
-    """
-    return F.expr("(l_orderkey * 8 + l_linenumber) * 1048576 + l_partkey % 1048576")
+    """Order of line items within a day; order and line alone are not unique, all four keys are."""
+    return F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars (symbol, d, open, high, low, close, volume): one hash aggregation."""
+    """Daily bars (symbol, d, open, high, low, close, volume).
+
+    Ordering every line item by four columns would sort the table before its first aggregate. The first and last
+    order of a day are plain minima, so only the line items of those two orders are ordered by the full key.
+    """
+    # around 1,050: daily returns of a few per cent, as a traded instrument has, and none near -100 %
+    price = (F.lit(1000) + F.col("l_extendedprice") / F.col("l_quantity") / 20).alias("price")
     items = table(spark, sf_dir, "lineitem").select(
-        symbol_column().alias("symbol"),
-        F.to_date("l_shipdate").alias("d"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
-        "l_quantity",
-        trade_order().alias("seq"),
+        symbol_column().alias("symbol"), F.to_date("l_shipdate").alias("d"), price, "l_quantity", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"
     )
-    return items.groupBy("symbol", "d").agg(
-        F.min_by("price", "seq").alias("open"),
+    days = items.groupBy("symbol", "d").agg(
+        F.min("l_orderkey").alias("_first"),
+        F.max("l_orderkey").alias("_last"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
-        F.max_by("price", "seq").alias("close"),
         F.sum("l_quantity").alias("volume"),
     )
+    edges = items.join(days.select("symbol", "d", "_first", "_last"), ["symbol", "d"])
+    edges = edges.filter((F.col("l_orderkey") == F.col("_first")) | (F.col("l_orderkey") == F.col("_last")))
+    ends = edges.groupBy("symbol", "d").agg(
+        F.min_by("price", trade_order()).alias("open"), F.max_by("price", trade_order()).alias("close")
+    )
+    return days.join(ends, ["symbol", "d"]).select("symbol", "d", "open", "high", "low", "close", "volume")
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +205,7 @@ def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """News metadata from documents; the hash covers the whole text."""
     docs = table(spark, sf_dir, "documents")
-    published = F.timestamp_add("HOUR", F.col("doc_id").cast("int"), F.lit("2024-01-01").cast("timestamp"))
+    published = F.timestamp_add("HOUR", (F.col("doc_id") % NEWS_HOURS).cast("int"), F.lit("2024-01-01").cast("timestamp"))
     first_seen = F.timestamp_add("MINUTE", (F.col("doc_id") % 4000).cast("int"), published)
     return docs.select(
         F.concat(F.lit("N"), F.col("doc_id").cast("string")).alias("event_id"),

@@ -23,7 +23,7 @@ def read_daily_csv(spark: SparkSession, path: str) -> DataFrame:
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
     # one file per symbol, or one folder ``symbol=<name>`` per symbol
-    stem = F.when(folder.startswith("symbol="), F.url_decode(F.substring(folder, 8, 200))).otherwise(
+    stem = F.when(folder.startswith("symbol="), F.url_decode(F.regexp_replace(folder, "^symbol=", ""))).otherwise(
         F.regexp_replace(name, r"\.csv(\.gz)?$", "")
     )
     return raw.select(
