@@ -192,16 +192,19 @@ def _complete(marked: DataFrame, minor: DataFrame, sets: DataFrame, compared: Da
     """All pairs that share a prefix n-gram across groups, filtered, verified once: (a, b, linked)."""
     x = minor.select("gram", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("label").alias("lx"))
     y = marked.select("gram", F.col("key").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("in_main"))
-    # length filter; pairs of two minor members are found from both sides and taken from one
+    # length filter, and positional filter at this n-gram: a pair that links passes it at its first common one;
+    # pairs of two minor members are found from both sides and taken from one
     fits = (F.col("lx") != F.col("ly")) & (F.col("in_main") | (F.col("x") < F.col("y")))
     fits &= (100 * F.col("nx") >= percent * F.col("ny")) & (100 * F.col("ny") >= percent * F.col("nx"))
+    least_common = F.ceil(F.lit(percent) * (F.col("nx") + F.col("ny")) / (100 + percent))
+    fits &= (F.col("nx") - F.col("px") >= least_common) & (F.col("ny") - F.col("py") >= least_common)
     met = x.join(y.hint("merge"), (x["gram"] == y["gram"]) & fits)
     a_first = F.col("x") < F.col("y")
     pick = lambda p, q: F.when(a_first, F.col(p)).otherwise(F.col(q))
     pairs = met.select(
         F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), pick("nx", "ny").alias("na"), pick("ny", "nx").alias("nb"), F.struct(pick("px", "py").alias("pa"), pick("py", "px").alias("pb")).alias("p")
     )
-    # positional filter at the first common n-gram: what follows it bounds what can be common
+    # the same at the first common n-gram, now that it is known
     first = pairs.groupBy("a", "b", "na", "nb").agg(F.min("p").alias("p"))
     common = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent))
     most = 1 + F.least(F.col("na") - F.col("p.pa"), F.col("nb") - F.col("p.pb")) - 1
