@@ -199,7 +199,7 @@ def repeated_spans(left: list[bytes], right: list[bytes], group: np.ndarray) ->
     start = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if n else np.zeros(0, np.int64)
     size = np.diff(np.append(start, n))
     sides = (Strings(left), Strings(right))
-    best, before, after = [], [], []
+    best, before, after, sorted_rows = [], [], [], []
     for strings in sides:
         order = merge_sort(strings, start, size)
         inner = np.ones(max(n - 1, 0), bool)
@@ -210,9 +210,12 @@ def repeated_spans(left: list[bytes], right: list[bytes], group: np.ndarray) ->
         np.maximum.at(most, a, common)
         np.maximum.at(most, b, common)
         up[b], down[a] = a, b
+        shared = np.full(n, -1)  # with the row before in order; none at the start of a group
+        shared[1:][inner] = common
         best.append(most)
         before.append(up)
         after.append(down)
+        sorted_rows.append((order, shared))
     most_left, most_right = best
     # string j needs j equal bytes on the left and SIDE - j on the right
     low, high = np.maximum(SIDE - most_right, 0), np.minimum(most_left, SIDE)
@@ -227,44 +230,33 @@ def repeated_spans(left: list[bytes], right: list[bytes], group: np.ndarray) ->
     found = [(int(i), -int(high[i]), LENGTH - int(low[i])) for i in np.flatnonzero(done)]
     rest = np.flatnonzero(hope & ~done)
     if len(rest):
-        found += _each_string(sides, group, rest, low, high)
+        found += _each_string(sorted_rows, group, rest, low, high)
     return found
 
 
-def _each_string(sides: tuple[Strings, Strings], group: np.ndarray, rest: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[tuple[int, int, int]]:
-    """Rows whose best neighbours differ to the left and right: their strings one by one, against all of the group."""
-    found: dict[int, list[int]] = {}
+def _each_string(sorted_rows: list, group: np.ndarray, rest: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[tuple[int, int, int]]:
+    """Rows whose best neighbours differ to the left and right: their strings one by one, against all of the group.
+
+    In either order, rows that share d bytes are a run without a common extension below d, so the two runs of a row, at j
+    bytes to the left and SIDE - j to the right, name string j exactly.
+    """
+    n = len(group)
+    (by_left, shared_left), (by_right, shared_right) = sorted_rows
     wanted = np.isin(group, np.unique(group[rest]))
+    left, right = np.empty(n, np.int64), np.empty(n, np.int64)
+    again = np.zeros((n, SIDE + 2), bool)
     for j in range(int(low[rest].min()), int(high[rest].max()) + 1):
-        fits = np.flatnonzero(wanted & (sides[0].size >= j) & (sides[1].size >= SIDE - j))
-        # equal bytes have equal hashes; candidates are compared byte by byte
-        key = ta.mix(sides[0].prefix[fits, j] + ta.mix(sides[1].prefix[fits, SIDE - j] + ta.mix(group[fits])))
-        order = np.lexsort((fits, key))
-        fits, key = fits[order], key[order]
-        head = np.append(True, key[1:] != key[:-1])
-        count = np.bincount(np.cumsum(head) - 1)
-        again = np.repeat(count > 1, count)
-        if not again.any():
-            continue
-        run = np.cumsum(head) - 1
-        seen: dict[bytes, int] = {}
-        rows, runs = fits[again], run[again]
-        texts = [bytes(sides[0].bytes[i, :j]) + bytes(sides[1].bytes[i, : SIDE - j]) + int(r).to_bytes(8, "little") for i, r in zip(rows, runs, strict=True)]
-        for text in texts:
-            seen[text] = seen.get(text, 0) + 1
-        for i, text in zip(rows.tolist(), texts, strict=True):
-            if seen[text] > 1:
-                found.setdefault(i, []).append(j)
-    mine, out = set(rest.tolist()), []
-    for i, values in found.items():
-        if i in mine:
-            begin = previous = values[0]
-            for j in [*values[1:], LENGTH * 2]:
-                if j != previous + 1:
-                    out.append((i, -previous, LENGTH - begin))
-                    begin = j
-                previous = j
-    return out
+        rows = np.flatnonzero(wanted & (low <= j) & (j <= high))
+        left[by_left], right[by_right] = np.cumsum(shared_left < j), np.cumsum(shared_right < SIDE - j)
+        name = left[rows] * (n + 1) + right[rows]
+        order = np.argsort(name)
+        same = name[order][1:] == name[order][:-1]
+        again[rows[order[1:][same]], j] = True
+        again[rows[order[:-1][same]], j] = True
+    again = again[rest]
+    edge = np.diff(again, axis=1, prepend=False)
+    row, at = np.nonzero(edge)  # starts and ends of runs alternate within a row
+    return [(int(rest[i]), -(int(end) - 1), LENGTH - int(begin)) for i, begin, end in zip(row[::2], at[::2], at[1::2], strict=True)]
 
 
 # -- operator ------------------------------------------------------------------------------------------------------
