@@ -94,8 +94,9 @@ def session_stats(value: str, prefix: str = "") -> list[Column]:
     ]
 
 
-def require_one_per_session(rows: DataFrame) -> DataFrame:
-    return require_unique(rows, ["symbol", "session_date", "window_name", "latency_ms"], "study observation")
+def require_one_per_session(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Fail on two rows of one planned observation."""
+    return require_unique(rows, keys or ["symbol", "session_date", "window_name", "latency_ms"], "study observation")
 
 
 def mixed_feed_guard(rows: DataFrame) -> DataFrame:
@@ -111,7 +112,9 @@ def aggregate_latency(rows: DataFrame) -> DataFrame:
     pooled = guarded.withColumns(
         {
             "_spread": F.when(usable, F.col("full_spread_bps")),
+            "_paired_spread": F.when(usable & F.col("paired_with_zero"), F.col("full_spread_bps")),
             "_paired": F.when(usable & F.col("paired_with_zero"), F.col("ask_displacement_bps")),
+            "_bid": F.when(usable & F.col("paired_with_zero"), F.col("bid_displacement_bps")),
             "_gap": F.when(usable & F.col("paired_with_zero"), F.col("event_gap_ms")),
             "_wait": F.when(usable, F.col("wait_seconds")),
         }
@@ -122,26 +125,37 @@ def aggregate_latency(rows: DataFrame) -> DataFrame:
         F.count_if(~usable).alias("unavailable_samples"),
         F.count_if(usable & F.col("paired_with_zero")).alias("paired_with_zero_samples"),
         *session_stats("_spread", "spread_"),
+        *session_stats("_paired_spread", "paired_spread_"),
         *session_stats("_paired", "ask_displacement_"),
+        *session_stats("_bid", "bid_displacement_"),
         F.percentile("_gap", 0.5).alias("gap_median_ms"),
         F.percentile("_wait", 0.5).alias("wait_median_s"),
     )
 
 
 def aggregate_windows(windows: DataFrame) -> DataFrame:
-    """Per (symbol, window): the sample counters. One row per planned window comes in."""
-    return windows.groupBy("symbol", "window_name").agg(
+    """Per (symbol, window): the sample counters. One row per planned window comes in.
+
+    Symbols seen on several feeds have no usable samples; the other counters still show every row.
+    """
+    guarded = mixed_feed_guard(windows)
+    usable, shaped = F.col("usable") & F.col("pooling_allowed"), F.col("distribution_usable") & F.col("pooling_allowed")
+    metadata = F.array_except("source_reasons", F.array(F.lit("fetch_incomplete_or_truncated")))
+    pooled = guarded.withColumn("_spread", F.when(usable, F.col("full_spread_bps")))
+    return pooled.groupBy("symbol", "window_name").agg(
         F.count(F.lit(1)).alias("expected_samples"),
-        F.count_if("usable").alias("usable_selected_samples"),
-        F.count_if(~F.col("usable")).alias("unusable_selected_samples"),
-        F.count_if("distribution_usable").alias("usable_distribution_samples"),
+        F.count_if(usable).alias("usable_selected_samples"),
+        F.count_if(~usable).alias("unusable_selected_samples"),
+        F.count_if(shaped).alias("usable_distribution_samples"),
         F.count_if(F.col("received_count") == 0).alias("missing_window_count"),
         F.count_if(~F.col("complete")).alias("incomplete_window_count"),
         F.count_if(F.col("invalid_count") > 0).alias("invalid_quote_window_count"),
         F.sum("invalid_count").alias("invalid_quote_record_count"),
+        F.count_if(F.size(metadata) > 0).alias("invalid_source_metadata_window_count"),
         F.count_if(F.size("source_reasons") > 0).alias("unusable_source_window_count"),
         F.count_if(F.col("timely_valid_quote_count") == 0).alias("no_timely_valid_quote_window_count"),
         F.count_if("ambiguous").alias("ambiguous_first_quote_window_count"),
+        *session_stats("_spread", "selected_spread_"),
     )
 
 
@@ -171,10 +185,21 @@ def observation_windows(plan: DataFrame, counters: DataFrame, zero: DataFrame, b
     ).drop("available")
 
 
+def bar_source_usable() -> Column:
+    """Whether the envelope of a session's bar fetch covers it: right symbol and kind, range, time, feed, complete."""
+    checks = source_reasons("bars", "bars", F.col("session_start_ns"), F.col("session_end_ns"))
+    return (F.size(reason_array(checks)) == 0) & feed_allowed(F.col("symbol"), F.col("feed")) & F.coalesce("complete", F.lit(False))
+
+
 def coverage_totals(bar_quality: DataFrame) -> DataFrame:
-    """Minute coverage per symbol; only usable sources enter the trusted count."""
-    trusted = F.col("source_usable")
-    return bar_quality.groupBy("symbol").agg(
+    """Minute coverage per symbol, one row per session coming in; only usable sources enter the trusted counts.
+
+    ``bar_quality`` has ``source_usable`` and ``feed`` beside its counters. A symbol on several feeds is not pooled.
+    """
+    known = bar_quality.withColumn("feed", F.when(feed_allowed(F.col("symbol"), F.col("feed")), F.col("feed")))
+    guarded = mixed_feed_guard(known)
+    trusted = F.col("source_usable") & F.col("pooling_allowed")
+    return guarded.withColumn("_ratio", F.when(trusted, F.col("coverage_ratio"))).groupBy("symbol").agg(
         F.count(F.lit(1)).alias("expected_sessions"),
         F.sum("expected_minutes").alias("expected_minutes"),
         F.sum("valid_count").alias("observed_valid_minutes"),
@@ -184,6 +209,7 @@ def coverage_totals(bar_quality: DataFrame) -> DataFrame:
         F.sum("missing_count").alias("observed_missing_minutes"),
         F.sum("invalid_count").alias("observed_invalid_bar_records"),
         F.sum("zero_volume_count").alias("observed_zero_volume_minutes"),
+        *session_stats("_ratio", "daily_coverage_"),
     )
 
 

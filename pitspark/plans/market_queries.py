@@ -327,6 +327,7 @@ SELECT symbol, window_name, latency_ms, count(*) AS expected_samples, count(*) F
   count(*) FILTER (NOT (available AND ok)) AS unavailable_samples, count(*) FILTER (available AND ok AND paired) AS paired_with_zero_samples,
   round(quantile_cont(spread,0.5) FILTER (available AND ok),6) AS spread_median, round(quantile_cont(spread,0.9) FILTER (available AND ok),6) AS spread_p90,
   round(max(spread) FILTER (available AND ok),6) AS spread_max, round(max(abs(ask_bps)) FILTER (available AND ok AND paired),4) AS ask_displacement_absolute_max,
+  round(max(abs(bid_bps)) FILTER (available AND ok AND paired),4) AS bid_displacement_absolute_max, round(quantile_cont(spread,0.5) FILTER (available AND ok AND paired),6) AS paired_spread_median,
   round(quantile_cont(gap_ms,0.5) FILTER (available AND ok AND paired),6) AS gap_median_ms FROM scen JOIN pool USING (symbol) GROUP BY 1,2,3""",
 )
 def study_latency_summary(spark, sf):
@@ -334,7 +335,7 @@ def study_latency_summary(spark, sf):
     return out.select(
         "symbol", "window_name", "latency_ms", "expected_samples", "available_samples",
         "unavailable_samples", "paired_with_zero_samples", *r6("spread_median", "spread_p90", "spread_max", "gap_median_ms"),
-        F.round("ask_displacement_absolute_max", 4).alias("ask_displacement_absolute_max"),
+        *[F.round(c, 4).alias(c) for c in ("ask_displacement_absolute_max", "bid_displacement_absolute_max")], *r6("paired_spread_median"),
     )
 
 
@@ -357,13 +358,17 @@ def _observations(spark, sf):
     _STUDY
     + ", "
     + _OBS
-    + """ SELECT symbol, window_name, count(*) AS expected_samples, count(*) FILTER (available) AS usable_selected_samples, count(*) FILTER (NOT available) AS unusable_selected_samples,
-  count(*) FILTER (len(source_reasons)=0 AND valid>0) AS usable_distribution_samples, count(*) FILTER (received=0) AS missing_window_count, count(*) FILTER (NOT complete) AS incomplete_window_count,
-  count(*) FILTER (invalid>0) AS invalid_quote_window_count, CAST(sum(invalid) AS BIGINT) AS invalid_quote_record_count, count(*) FILTER (len(source_reasons)>0) AS unusable_source_window_count,
-  count(*) FILTER (timely=0) AS no_timely_valid_quote_window_count, count(*) FILTER (ambiguous) AS ambiguous_first_quote_window_count FROM obs GROUP BY 1,2""",
+    + """, pool AS (SELECT symbol, count(DISTINCT feed)<=1 AS ok FROM windows GROUP BY 1), po AS (SELECT obs.*, pool.ok, CASE WHEN available AND pool.ok THEN spread END AS sp FROM obs JOIN pool USING (symbol))
+  SELECT symbol, window_name, count(*) AS expected_samples, count(*) FILTER (available AND ok) AS usable_selected_samples, count(*) FILTER (NOT (available AND ok)) AS unusable_selected_samples,
+  count(*) FILTER (len(source_reasons)=0 AND valid>0 AND ok) AS usable_distribution_samples, count(*) FILTER (received=0) AS missing_window_count, count(*) FILTER (NOT complete) AS incomplete_window_count,
+  count(*) FILTER (invalid>0) AS invalid_quote_window_count, CAST(sum(invalid) AS BIGINT) AS invalid_quote_record_count,
+  count(*) FILTER (len(list_filter(source_reasons, lambda r: r<>'fetch_incomplete_or_truncated'))>0) AS invalid_source_metadata_window_count, count(*) FILTER (len(source_reasons)>0) AS unusable_source_window_count,
+  count(*) FILTER (timely=0) AS no_timely_valid_quote_window_count, count(*) FILTER (ambiguous) AS ambiguous_first_quote_window_count, count(sp) AS selected_spread_count,
+  round(quantile_cont(sp,0.5),6) AS selected_spread_median, round(quantile_cont(sp,0.9),6) AS selected_spread_p90 FROM po GROUP BY 1,2""",
 )
 def study_window_summary(spark, sf):
-    return st.aggregate_windows(_observations(spark, sf))
+    drop = ("selected_spread_min", "selected_spread_max", "selected_spread_absolute_max")
+    return st.aggregate_windows(_observations(spark, sf)).drop(*drop).withColumns({c: F.round(c, 6) for c in ("selected_spread_median", "selected_spread_p90")})
 
 
 @query(
@@ -379,20 +384,27 @@ def study_reason_counts(spark, sf):
 
 
 @query(
-    "J9 J10",
+    "J9 J10 I12",
     _BARS
-    + """SELECT symbol, count(*) AS expected_sessions, CAST(sum(1380) AS BIGINT) AS expected_minutes, CAST(sum(valid) AS BIGINT) AS observed_valid_minutes,
-  CAST(sum(CASE WHEN day%5<>0 THEN valid ELSE 0 END) AS BIGINT) AS source_usable_valid_minutes, count(*) FILTER (day%5<>0) AS source_usable_sessions,
-  count(*) FILTER (day%5<>0 AND valid=1380) AS all_minutes_present_sessions, CAST(sum(1380-valid) AS BIGINT) AS observed_missing_minutes,
-  CAST(sum(errors+crecs) AS BIGINT) AS observed_invalid_bar_records, CAST(sum(zero) AS BIGINT) AS observed_zero_volume_minutes FROM (
-  SELECT s.symbol, s.day, coalesce(valid,0) AS valid, coalesce(zero,0) AS zero, coalesce(crecs,0) AS crecs, coalesce(errors,0) AS errors FROM spans s
+    + """, env AS (SELECT *, day%17<>0 AND day%13<>0 AND day%11<>0 AS usable, CASE WHEN symbol='BTC/USD' THEN 'crypto_us' WHEN symbol='XOM' AND day%2=0 THEN 'iex' ELSE 'sip' END AS feed FROM spans),
+  pool AS (SELECT symbol, count(DISTINCT feed)<=1 AS ok FROM env GROUP BY 1),
+  ses AS (SELECT s.symbol, s.day, usable AND ok AS good, coalesce(valid,0) AS valid, coalesce(zero,0) AS zero, coalesce(crecs,0) AS crecs, coalesce(errors,0) AS errors FROM env s JOIN pool USING (symbol)
   LEFT JOIN (SELECT symbol, day, count(reason) AS errors FROM bcl GROUP BY 1,2) r USING (symbol, day)
-  LEFT JOIN (SELECT symbol, day, count(*) FILTER (k=1) AS valid, count(*) FILTER (k=1 AND v=0) AS zero, sum(recs) FILTER (k>1) AS crecs FROM mins GROUP BY 1,2) m USING (symbol, day)) GROUP BY symbol""",
+  LEFT JOIN (SELECT symbol, day, count(*) FILTER (k=1) AS valid, count(*) FILTER (k=1 AND v=0) AS zero, sum(recs) FILTER (k>1) AS crecs FROM mins GROUP BY 1,2) m USING (symbol, day))
+  SELECT symbol, count(*) AS expected_sessions, CAST(sum(1380) AS BIGINT) AS expected_minutes, CAST(sum(valid) AS BIGINT) AS observed_valid_minutes,
+  CAST(sum(CASE WHEN good THEN valid ELSE 0 END) AS BIGINT) AS source_usable_valid_minutes, count(*) FILTER (good) AS source_usable_sessions,
+  count(*) FILTER (good AND valid=1380) AS all_minutes_present_sessions, CAST(sum(1380-valid) AS BIGINT) AS observed_missing_minutes,
+  CAST(sum(errors+crecs) AS BIGINT) AS observed_invalid_bar_records, CAST(sum(zero) AS BIGINT) AS observed_zero_volume_minutes, round(quantile_cont(CASE WHEN good THEN valid/1380 END,0.5),9) AS daily_coverage_median
+  FROM ses GROUP BY symbol""",
 )
 def minute_coverage_totals(spark, sf):
     spans, records = _bar_inputs(spark, sf)
-    quality = ql.bar_quality(spans, records, ["symbol", "day"]).withColumn("source_usable", F.col("day") % 5 != 0)
-    return st.coverage_totals(quality)
+    by = ["symbol", "day"]
+    envelopes = views.bar_envelopes(spans).withColumn("source_usable", st.bar_source_usable())
+    quality = ql.bar_quality(spans, records, by).join(envelopes.select(*by, "feed", "source_usable"), by)
+    totals = st.coverage_totals(st.require_one_per_session(quality, by))
+    kept = [c for c in totals.columns if not c.startswith("daily_coverage_")]
+    return totals.select(*kept, F.round("daily_coverage_median", 9).alias("daily_coverage_median"))
 
 
 @query(

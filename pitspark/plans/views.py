@@ -451,3 +451,14 @@ def quote_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
             "source_sha256": F.sha2(F.concat_ws("|", "symbol", w.cast("string")), 256),
         }
     )
+
+
+def bar_envelopes(spans: DataFrame) -> DataFrame:
+    """One bar fetch per (symbol, day) session: some for another symbol, observed early, cut off, or on a second feed."""
+    day, symbol = F.col("day"), F.col("symbol")
+    return spans.select(
+        "symbol", "day", "start_ns", "end_ns", F.col("start_ns").alias("session_start_ns"), F.col("end_ns").alias("session_end_ns"),
+        F.lit("bars").alias("kind"), F.when(day % 17 == 0, "ZZZ").otherwise(symbol).alias("declared_symbol"),
+        F.when(symbol == "BTC/USD", "crypto_us").when((symbol == "XOM") & (day % 2 == 0), "iex").otherwise("sip").alias("feed"),
+        F.when(day % 13 == 0, F.col("end_ns") - 1).otherwise(F.col("end_ns") + SECOND_NS).alias("observed_ns"), (day % 11 != 0).alias("complete"),
+    )
