@@ -88,9 +88,15 @@ def macro_section(macro: DataFrame, cutoff: Column, series: list[str] | None = N
 
 
 def entities_malformed(column: str = "entity_ids") -> Column:
-    """TRUE unless the text is a JSON array holding strings only."""
+    """TRUE unless the text is a JSON array whose every element is a string."""
+    items = f"try_variant_get(try_parse_json({column}), '$', 'array<variant>')"
+    return ~F.coalesce(F.expr(f"forall({items}, x -> schema_of_variant(x) = 'STRING')"), F.lit(False))
+
+
+def flags_malformed(column: str = "quality_flags") -> Column:
+    """TRUE unless the text is a JSON object."""
     kind = F.schema_of_variant(F.try_parse_json(F.col(column)))
-    return ~F.coalesce(kind.isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit(False))
+    return ~F.coalesce(F.startswith(kind, F.lit("OBJECT")), F.lit(False))
 
 
 def time_eligible_news(news: DataFrame, cutoff: Column, mode: str = "local_observed") -> DataFrame:
@@ -100,8 +106,8 @@ def time_eligible_news(news: DataFrame, cutoff: Column, mode: str = "local_obser
 
 
 def require_wellformed_entities(eligible: DataFrame) -> DataFrame:
-    """Fail when an eligible row cannot prove whether it mentions an entity."""
-    return require_zero(eligible, {"malformed news entities": entities_malformed()})
+    """Fail when an eligible row cannot prove whether it mentions an entity, or its flags are no object."""
+    return require_zero(eligible, {"malformed news entities": entities_malformed(), "malformed news flags": flags_malformed()})
 
 
 def news_section(news: DataFrame, cutoff: Column, entity: str | None = None, mode: str = "local_observed"):
@@ -206,6 +212,7 @@ def row_checks(kind: str, cutoff: Column, mode: str = "local_observed") -> list:
     elif kind == "news":
         checks += [
             ("entities_malformed", entities_malformed()),
+            ("flags_malformed", flags_malformed()),
             ("title_hash_invalid", ~F.col("title_hash").rlike("^[a-fA-F0-9]{64}$")),
             ("available_before_seen", F.greatest("published_at", "first_seen_at") > F.col("available_at")),
         ]

@@ -43,10 +43,13 @@ def _number_checks(columns: list[str], positive: bool) -> list:
     return checks
 
 
-def _optional(name: str) -> list:
+def _optional(name: str, columns: list[str]) -> list:
     """An absent optional field is fine; a present one must be a nonnegative number."""
     value = F.col(name)
-    return [("nonfinite_or_invalid_value", value.isNotNull() & (~finite(value) | (value < 0)))]
+    checks = [("nonfinite_or_invalid_value", value.isNotNull() & (~finite(value) | (value < 0)))]
+    if f"{name}_not_a_number" in columns:
+        checks.insert(0, ("nonnumeric_value", F.col(f"{name}_not_a_number")))
+    return checks
 
 
 def classify_bars(records: DataFrame, start: str = "start_ns", end: str = "end_ns") -> DataFrame:
@@ -60,9 +63,9 @@ def classify_bars(records: DataFrame, start: str = "start_ns", end: str = "end_n
         *_number_checks(["o", "h", "l", "c"], True),
         *_number_checks(["v"], False),
         ("invalid_ohlc_bounds", (F.col("h") + slack < F.greatest("o", "l", "c")) | (F.col("l") - slack > F.least("o", "h", "c"))),
-        *_optional("n"),
+        *_optional("n", records.columns),
         ("noninteger_trade_count", F.coalesce(F.col("n") != F.floor("n"), F.lit(False))),
-        *_optional("vw"),
+        *_optional("vw", records.columns),
     ]
     return records.withColumn("outside", outside).withColumn("reason", F.when(~outside, first_reason(checks)))
 

@@ -47,12 +47,12 @@ def r6(*names):
 @query(
     "A16 A17 A18 I5",
     with_views(M.EVENTS, M.QUOTE_RECORDS)
-    + "SELECT symbol, w, event_ns, bid, ask, bid_size, ask_size, tape, CASE WHEN cond_ok THEN 'R' ELSE 'R,X' END AS conditions FROM qrec",
+    + "SELECT symbol, w, event_ns, bid, ask, bid_size, ask_size, tape, CASE WHEN cond_ok THEN 'R' ELSE 'R,X' END AS conditions, CASE WHEN event_id%307=0 THEN 'OTHER' ELSE symbol END AS record_symbol FROM qrec",
 )
 def parsed_quotes(spark, sf):
     return md.parse_quotes(views.quote_pages(spark, sf)).select(
         "symbol", "w", "event_ns", "bid", "ask", "bid_size", "ask_size", "tape",
-        F.array_join("conditions", ",").alias("conditions"),
+        F.array_join("conditions", ",").alias("conditions"), "record_symbol",
     )
 
 
@@ -69,21 +69,22 @@ def quote_envelopes(spark, sf):
     "A16 A18 I1",
     with_views(M.EVENTS)
     + f"""SELECT symbol, w, CASE WHEN event_id%211=0 THEN NULL WHEN event_id%83=0 THEN ns ELSE ns//{M.MIN}*{M.MIN} END AS event_ns, value AS o,
-  CASE WHEN event_id%41=0 THEN value*0.5::DOUBLE ELSE value*1.01::DOUBLE END AS h, (event_id%7)::DOUBLE AS v FROM copies""",
+  CASE WHEN event_id%41=0 THEN value*0.5::DOUBLE ELSE value*1.01::DOUBLE END AS h, (event_id%7)::DOUBLE AS v,
+  CASE WHEN event_id%67<>0 THEN CASE WHEN event_id%59=0 THEN event_id%5+0.5::DOUBLE ELSE (event_id%5)::DOUBLE END END AS n, event_id%67=0 AS n_not_a_number, event_id%73=0 AS vw_not_a_number FROM copies""",
 )
 def parsed_bars(spark, sf):
-    return md.parse_bars(views.bar_pages(spark, sf)).select("symbol", "w", "event_ns", "o", "h", "v")
+    return md.parse_bars(views.bar_pages(spark, sf)).select("symbol", "w", "event_ns", "o", "h", "v", "n", "n_not_a_number", "vw_not_a_number")
 
 
 # ---- bar quality ------------------------------------------------------------
 
 _BAR_REC = f"""brec AS (SELECT symbol, w, w//4 AS day, CASE WHEN event_id%211=0 THEN NULL WHEN event_id%83=0 THEN ns ELSE ns//{M.MIN}*{M.MIN} END AS event_ns,
   value AS o, CASE WHEN event_id%41=0 THEN value*0.5::DOUBLE ELSE value*1.01::DOUBLE END AS h, value*0.99::DOUBLE AS l, value AS c, (event_id%7)::DOUBLE AS v,
-  CASE WHEN event_id%59=0 THEN event_id%5+0.5::DOUBLE ELSE (event_id%5)::DOUBLE END AS n FROM copies),
+  CASE WHEN event_id%67<>0 THEN CASE WHEN event_id%59=0 THEN event_id%5+0.5::DOUBLE ELSE (event_id%5)::DOUBLE END END AS n, event_id%67=0 AS nbad, event_id%73=0 AS vbad FROM copies),
 spans AS (SELECT DISTINCT symbol, w//4 AS day, (w//4)*86400000000000+1800000000000 AS start_ns, (w//4)*86400000000000+84600000000000 AS end_ns FROM windows),
 bcls AS (SELECT b.*, start_ns, end_ns, coalesce(event_ns<start_ns OR event_ns>=end_ns,false) AS outside,
   CASE WHEN event_ns IS NULL THEN 'invalid_or_naive_timestamp' WHEN event_ns%{M.MIN}<>0 THEN 'not_exact_minute' WHEN least(o,h,l,c)<=0 THEN 'nonfinite_or_invalid_value'
-   WHEN h+greatest(o,h,l,c)*1e-12<greatest(o,l,c) THEN 'invalid_ohlc_bounds' WHEN n<>floor(n) THEN 'noninteger_trade_count' END AS reason0
+   WHEN h+greatest(o,h,l,c)*1e-12<greatest(o,l,c) THEN 'invalid_ohlc_bounds' WHEN nbad THEN 'nonnumeric_value' WHEN n<>floor(n) THEN 'noninteger_trade_count' WHEN vbad THEN 'nonnumeric_value' END AS reason0
   FROM brec b JOIN spans USING (symbol, day)),
 bcl AS (SELECT *, CASE WHEN NOT outside THEN reason0 END AS reason FROM bcls),
 sigs AS (SELECT symbol, day, event_ns, o,h,l,c,v,n, count(*) AS copies FROM bcl WHERE NOT outside AND reason IS NULL GROUP BY ALL),

@@ -54,11 +54,12 @@ inst AS (SELECT symbol, w, event_ns, count(*) AS updates, list_sort(list_distinc
    FROM updr GROUP BY symbol, w, event_ns),
 inst2 AS (SELECT *, updates=1 AND len(allr)=0 AS valid,
    CASE WHEN updates>1 THEN list_append(allr,'distinct_same_timestamp_updates_unsequenced') ELSE allr END AS reasons FROM inst),
-bad AS (SELECT symbol, w, count(*) FILTER (event_ns IS NULL) AS unparseable, count(*) AS received FROM qrec GROUP BY 1,2),
+bad AS (SELECT symbol, w, count(*) FILTER (event_ns IS NULL) AS unparseable, count(*) FILTER (event_id%307=0) AS wrong, count(*) AS received FROM qrec GROUP BY 1,2),
 src AS (SELECT n.*, coalesce(unparseable,0) AS unparseable, list_sort(list_filter([CASE WHEN declared_symbol<>n.symbol THEN 'fetch_symbol_missing_or_wrong' END,
    CASE WHEN NOT complete THEN 'fetch_incomplete_or_truncated' END, CASE WHEN pages>3 THEN 'fetch_page_count_missing_or_invalid' END,
    CASE WHEN observed_ns<end_ns THEN 'observation_time_missing_or_before_window_end' END,
-   CASE WHEN coalesce(unparseable,0)>0 THEN 'event_timestamp_missing_or_unparseable_cannot_order' END], lambda x: x IS NOT NULL)) AS source_reasons
+   CASE WHEN coalesce(unparseable,0)>0 THEN 'event_timestamp_missing_or_unparseable_cannot_order' END,
+   CASE WHEN coalesce(wrong,0)>0 THEN 'record_declares_wrong_symbol' END], lambda x: x IS NOT NULL)) AS source_reasons
    FROM windows n LEFT JOIN bad b ON b.symbol=n.symbol AND b.w=n.w)"""
 
 

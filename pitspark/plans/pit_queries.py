@@ -427,13 +427,21 @@ _PROPS = """props_rows AS (SELECT event_type, event_id, props, epoch_us(ts) AS a
 @query(
     "C7 C6",
     V.with_views(_PROPS)
-    + """SELECT event_type, count(*) AS rows, count(*) FILTER (json_type(props)<>'ARRAY') AS malformed FROM props_rows GROUP BY event_type""",
+    + """, lists AS (SELECT event_type, props, CASE event_id%7 WHEN 0 THEN props WHEN 1 THEN '["a","b"]' WHEN 2 THEN '[]' WHEN 3 THEN '[null]' WHEN 4 THEN '["a",null]' WHEN 5 THEN '["a",1]' ELSE '["a",' END AS entities FROM props_rows)
+SELECT event_type, count(*) AS rows, count(*) FILTER (CASE WHEN NOT json_valid(entities) THEN true WHEN json_type(entities)<>'ARRAY' THEN true
+  ELSE len(list_filter(json_extract(entities,'$[*]'), lambda e: json_type(e)<>'VARCHAR'))>0 END) AS malformed,
+  count(*) FILTER (NOT json_valid(entities) OR json_type(CASE WHEN json_valid(entities) THEN entities END)<>'OBJECT') AS not_objects FROM lists GROUP BY event_type""",
 )
 def malformed_entity_arrays(spark, sf):
-    """JSON objects where an array of strings is required: every one is reported."""
-    rows = views.table(spark, sf, "events")
+    """Lists with nulls and numbers, objects and broken text where an array of strings is required."""
+    texts = ['["a","b"]', "[]", "[null]", '["a",null]', '["a",1]', '["a",']
+    entities = F.col("props")
+    for number, text in enumerate(texts, 1):
+        entities = F.when(F.col("event_id") % 7 == number, F.lit(text)).otherwise(entities)
+    rows = views.table(spark, sf, "events").withColumn("entities", entities)
     return rows.groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(ev.entities_malformed("props")).alias("malformed")
+        F.count(F.lit(1)).alias("rows"), F.count_if(ev.entities_malformed("entities")).alias("malformed"),
+        F.count_if(ev.flags_malformed("entities")).alias("not_objects"),
     )
 
 

@@ -358,6 +358,11 @@ def _cut_to_minute(rows: DataFrame) -> DataFrame:
     return rows.withColumn("ns", F.expr(f"ns div {60 * SECOND_NS} * {60 * SECOND_NS}"))
 
 
+def _other_symbol(k):
+    """A few records name another symbol in their short field, beside the right one in the long field."""
+    return F.when(k % 307 == 0, "OTHER")
+
+
 def _unzoned(k):
     """Events whose landed time lacks a zone."""
     return k % 211 == 0
@@ -367,7 +372,8 @@ def quote_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quote fetches as landed JSON pages."""
     rows, k = _cut_to_minute(_event_rows(spark, sf_dir)), F.col("event_id")
     fields = _quote_fields(k, F.col("value"))
-    return _pages(rows, F.struct(_iso("ns", _unzoned(k)).alias("t"), *[c.alias(n) for n, c in fields.items()]))
+    symbols = [F.col("symbol").alias("symbol"), _other_symbol(k).alias("S")]
+    return _pages(rows, F.struct(_iso("ns", _unzoned(k)).alias("t"), *[c.alias(n) for n, c in fields.items()], *symbols))
 
 
 def quote_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -378,7 +384,7 @@ def quote_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "symbol", "w", F.when(~_unzoned(k), F.col("ns")).alias("event_ns"), f["bp"].alias("bid"), f["ap"].alias("ask"),
         f["bs"].cast("double").alias("bid_size"), f["as"].cast("double").alias("ask_size"), f["bx"].alias("bid_exchange"),
         f["ax"].alias("ask_exchange"), f["c"].alias("conditions"), f["z"].alias("tape"),
-        F.lit(None).cast("string").alias("record_symbol"),
+        F.coalesce(_other_symbol(k), F.col("symbol")).alias("record_symbol"),
     )
     fields = ["event_ns", "bid", "ask", "bid_size", "ask_size", "bid_exchange", "ask_exchange", "conditions", "tape"]
     return typed.withColumn("identity", F.sha2(F.to_json(F.struct(*fields)), 256))
@@ -392,11 +398,21 @@ def _bar_fields(k, v) -> dict:
         "l": v * 0.99,
         "c": v,
         "v": k % 7,
-        "n": F.when(k % 59 == 0, (k % 5) + 0.5).otherwise((k % 5).cast("double")),
-        "vw": v,
+        "n": F.when(~_broken_count(k), F.when(k % 59 == 0, (k % 5) + 0.5).otherwise((k % 5).cast("double"))),
+        "vw": F.when(~_broken_average(k), v),
     }
 
 
+def _broken_count(k):
+    """Records whose trade count is a text."""
+    return k % 67 == 0
+
+
+def _broken_average(k):
+    """Records whose average price is a boolean."""
+    return k % 73 == 0
+
+
 def _bar_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, k = _event_rows(spark, sf_dir), F.col("event_id")
     minute = F.expr(f"ns div {60 * SECOND_NS} * {60 * SECOND_NS}")
@@ -407,6 +423,8 @@ def bar_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minute-bar fetches as landed JSON pages: one raw bar per event."""
     k = F.col("event_id")
     fields = _bar_fields(k, F.col("value"))
+    fields["n"] = F.parse_json(F.when(_broken_count(k), F.lit('"x"')).otherwise(fields["n"].cast("string")))
+    fields["vw"] = F.parse_json(F.when(_broken_average(k), F.lit("true")).otherwise(fields["vw"].cast("string")))
     return _pages(
         _bar_rows(spark, sf_dir), F.struct(_iso("ns", _unzoned(k)).alias("t"), *[c.alias(n) for n, c in fields.items()])
     )
@@ -419,6 +437,7 @@ def bar_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bar_rows(spark, sf_dir).select(
         "symbol", "w", F.when(~_unzoned(k), F.col("ns")).alias("event_ns"),
         *[c.cast("double").alias(n) for n, c in fields.items()],
+        _broken_count(k).alias("n_not_a_number"), _broken_average(k).alias("vw_not_a_number"),
     )
 
 

@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from ..functions.times import event_ns
 
 _PAGE = "symbol string, next_page_token string, records array<string>"
-# A string or boolean in a numeric field does not parse and becomes NULL.
+# A string or boolean in a numeric field does not parse and becomes NULL. Optional fields are read as variants, so that
+# a value of another type is told apart from a field that is not there.
 _QUOTE = (
-    "t string, bp double, ap double, bs double, `as` double, bx string, ax string, c array<string>, z string, "
+    "t string, bp double, ap double, bs double, `as` double, bx string, ax string, c variant, z string, "
     "symbol string, S string"
 )
-_BAR = "t string, o double, h double, l double, c double, v double, n double, vw double, symbol string, S string"
+_BAR = "t string, o double, h double, l double, c double, v double, n variant, vw variant, symbol string, S string"
 
 
 def _page_records(pages: DataFrame, payload: str, schema: str) -> DataFrame:
@@ -39,6 +40,41 @@ def record_identity() -> Column:
     return F.sha2(F.concat_ws("|", F.col("event_ns").cast("string"), canonical), 256)
 
 
+def _declared_symbol() -> Column:
+    """The symbol a record names: the one that differs from the fetch's, if either does."""
+    names = [F.col("_r.symbol"), F.col("_r").getField("S")]
+    wrong = F.coalesce(*[F.when(n != F.col("symbol"), n) for n in names])
+    return F.coalesce(wrong, *names)
+
+
+_NUMBERS = ("BIGINT", "DOUBLE", "FLOAT")
+
+
+def _is_number(value: Column) -> Column:
+    kind = F.schema_of_variant(value)
+    return kind.isin(*_NUMBERS) | F.startswith(kind, F.lit("DECIMAL"))
+
+
+def _number(value: Column) -> Column:
+    return F.when(_is_number(value), F.try_variant_get(value, "$", "double"))
+
+
+def _not_a_number(value: Column) -> Column:
+    """Present, but no number (a string, a boolean, a null)."""
+    return value.isNotNull() & ~F.coalesce(_is_number(value), F.lit(False))
+
+
+def _conditions(value: Column) -> Column:
+    """The list of condition codes; NULL unless every element is a string."""
+    items = F.try_variant_get(value, "$", "array<variant>")
+    whole = F.forall(items, lambda x: F.schema_of_variant(x) == "STRING")
+    return F.when(F.coalesce(whole, F.lit(False)), F.try_variant_get(value, "$", "array<string>"))
+
+
+def _conditions_shape(value: Column) -> Column:
+    return F.when(value.isNull(), "missing").when(_conditions(value).isNotNull(), "list_of_strings").otherwise("malformed")
+
+
 def parse_quotes(pages: DataFrame, payload: str = "payload") -> DataFrame:
     records = _page_records(pages, payload, _QUOTE)
     kept = [c for c in pages.columns if c != payload]
@@ -46,9 +82,8 @@ def parse_quotes(pages: DataFrame, payload: str = "payload") -> DataFrame:
         *kept, "event_ns",
         F.col("_r.bp").alias("bid"), F.col("_r.ap").alias("ask"), F.col("_r.bs").alias("bid_size"),
         F.col("_r.as").alias("ask_size"), F.col("_r.bx").alias("bid_exchange"), F.col("_r.ax").alias("ask_exchange"),
-        F.col("_r.c").alias("conditions"), F.col("_r.z").alias("tape"),
-        F.coalesce("_r.symbol", F.col("_r").getField("S")).alias("record_symbol"),
-        record_identity().alias("identity"),
+        _conditions(F.col("_r.c")).alias("conditions"), F.col("_r.z").alias("tape"), _declared_symbol().alias("record_symbol"),
+        _conditions_shape(F.col("_r.c")).alias("conditions_shape"), record_identity().alias("identity"),
     )
 
 
@@ -56,8 +91,10 @@ def parse_bars(pages: DataFrame, payload: str = "payload") -> DataFrame:
     records = _page_records(pages, payload, _BAR)
     kept = [c for c in pages.columns if c != payload]
     return records.select(
-        *kept, "event_ns", *[F.col(f"_r.{c}").alias(c) for c in ("o", "h", "l", "c", "v", "n", "vw")],
-        F.coalesce("_r.symbol", F.col("_r").getField("S")).alias("record_symbol"),
+        *kept, "event_ns", *[F.col(f"_r.{c}").alias(c) for c in ("o", "h", "l", "c", "v")],
+        *[_number(F.col(f"_r.{c}")).alias(c) for c in ("n", "vw")],
+        *[_not_a_number(F.col(f"_r.{c}")).alias(f"{c}_not_a_number") for c in ("n", "vw")],
+        _declared_symbol().alias("record_symbol"),
     )
 
 

@@ -79,7 +79,7 @@ def main() -> int:
     if args.module:
         from pitspark.plans.catalog import all_queries
 
-        queries = {n: q for n, q in queries.items() if all_queries()[n].module == args.module}
+        queries = {n: q for n, q in queries.items() if n in all_queries() and all_queries()[n].module == args.module}
     failures = 0
     for name in args.names or [n for n in queries if args.match in n]:
         start = time.time()

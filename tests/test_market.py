@@ -101,12 +101,11 @@ def test_latency_pairing_and_denominator(spark):
 
 
 def test_mixed_feeds_disable_pooling(spark):
-    base = {"symbol": "SPY", "window_name": "opening", "available": True, "paired_with_zero": True, "full_spread_bps": 2.0, "ask_displacement_bps": 1.0, "event_gap_ms": 1.0, "wait_seconds": 1.0, "latency_ms": 0}
-    cols = "symbol string, window_name string, session_date date, feed string, available boolean, paired_with_zero boolean, full_spread_bps double, ask_displacement_bps double, event_gap_ms double, wait_seconds double, latency_ms bigint"
-    row = lambda d, feed: ("SPY", "opening", date(2024, 1, d), feed, True, True, 2.0, 1.0, 1.0, 1.0, 0)
+    cols = "symbol string, window_name string, session_date date, feed string, available boolean, paired_with_zero boolean, full_spread_bps double, ask_displacement_bps double, bid_displacement_bps double, event_gap_ms double, wait_seconds double, latency_ms bigint"
+    row = lambda d, feed: ("SPY", "opening", date(2024, 1, d), feed, True, True, 2.0, 1.0, -1.0, 1.0, 1.0, 0)
     one = st.aggregate_latency(spark.createDataFrame([row(1, "sip"), row(2, None)], cols)).first()
     two = st.aggregate_latency(spark.createDataFrame([row(1, "sip"), row(2, "iex")], cols)).first()
-    assert base and (one.available_samples, one.spread_median) == (2, 2.0)
+    assert (one.available_samples, one.spread_median) == (2, 2.0)
     assert (two.expected_samples, two.available_samples, two.spread_median) == (2, 0, None)
 
 
