@@ -30,9 +30,9 @@ from .storage import stored
 
 SLICE = 5 / 16  # of the hash space; frequencies there decide which sets can have links
 STRATA = 16  # equal parts of the hash space whose counts the suffix filter compares
-PART = 256  # sets compared in one run of a round
+PART = 2048  # sets compared in one run of a round
 TRIES = 12  # comparisons without a link after which a round leaves a set to the next
-ROUNDS = 4
+ROUNDS = 6  # at most; two are enough where no n-gram has more than PART sets
 _U = np.uint64
 
 
@@ -130,10 +130,15 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     return placed.where(F.col("pos") < F.col("n") - needed(F.col("n"), percent) + 1).select("gram", "key", "n", "pos")
 
 
-def _round(prefixes: DataFrame, sets: DataFrame, labels: DataFrame | None, percent: int, number: int) -> DataFrame:
-    """Compared pairs (a, b, linked): each set with neighbours that share one of its prefix n-grams."""
+def _round(prefixes: DataFrame, sets: DataFrame, labels: DataFrame | None, percent: int, number: int) -> tuple[DataFrame, bool]:
+    """Compared pairs (a, b, linked): each set with neighbours that share one of its prefix n-grams.
+
+    Also whether the sets of some n-gram were dealt to several parts, whose members another round may bring together.
+    """
     chosen = prefixes.groupBy("key").agg(F.min_by("gram", F.xxhash64("gram", F.lit(number))).alias("gram"))
-    counts = chosen.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
+    chosen = stored(chosen, "chosen")
+    counts = stored(chosen.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"), "counts")
+    largest = counts.agg(F.max("m")).first()[0] or 0
     parts = F.pmod(F.xxhash64("key", F.lit(number)), F.ceil(F.col("m") / PART))
     dealt = chosen.join(counts.hint("merge"), "gram").select("key", "gram", parts.alias("part"))
     if labels is None:
@@ -176,7 +181,8 @@ def _round(prefixes: DataFrame, sets: DataFrame, labels: DataFrame | None, perce
                 members.append((key, label, own))
             yield pa.record_batch([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "linked"])
 
-    return runs.select("gram", "part", "key", "label", "n", "grams").mapInArrow(compare, "a long, b long, linked boolean")
+    pairs = runs.select("gram", "part", "key", "label", "n", "grams").mapInArrow(compare, "a long, b long, linked boolean")
+    return pairs, largest > PART
 
 
 def _open_members(prefixes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -211,12 +217,9 @@ def _complete(marked: DataFrame, minor: DataFrame, sets: DataFrame, compared: Da
     near = first.where(most >= common).select("a", "b", (F.col("na") + F.col("nb") - 2 * common).alias("apart"))
     near = near.join(compared.select("a", "b").distinct().hint("merge"), ["a", "b"], "left_anti")
     # suffix filter: the counts of equal hash ranges differ by no more than the sets may
-    strata = sets.select("key", "strata")
-    near = near.join(strata.select(F.col("key").alias("a"), F.col("strata").alias("sa")).hint("merge"), "a").join(strata.select(F.col("key").alias("b"), F.col("strata").alias("sb")).hint("merge"), "b")
+    sides = [sets.select(F.col("key").alias(side), F.col("grams").alias(f"g{side}"), F.col("strata").alias(f"s{side}")).hint("merge") for side in ("a", "b")]
     distance = F.aggregate(F.zip_with("sa", "sb", lambda s, t: F.abs(s - t)), F.lit(0), lambda s, t: s + t)
-    kept = near.where(distance <= F.col("apart")).select("a", "b")
-    left, right = sets.select(F.col("key").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("key").alias("b"), F.col("grams").alias("gb"))
-    both = kept.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ga", "gb")
+    both = near.join(sides[0], "a").join(sides[1], "b").where(distance <= F.col("apart")).select("a", "b", "ga", "gb")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,10 +254,12 @@ def groups(df: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     compared, labels, open_before = [], None, None
     for number in range(ROUNDS):
-        compared.append(stored(_round(prefixes, sets, labels, percent, number), "compared"))
-        linked = _union(compared).where("linked")
-        labels = stored(components(linked), "labels")
+        found, split = _round(prefixes, sets, labels, percent, number)
+        compared.append(stored(found, "compared"))
+        labels = stored(components(_union(compared).where("linked")), "labels")
         marked, minor = _open_members(prefixes, labels)
+        if number and not split:
+            break
         left = minor.agg(F.sum("m")).first()[0] or 0
         if open_before is not None and left > open_before / 2:
             break
