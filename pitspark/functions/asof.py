@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .scan import Running, running
 
 OUTER_BINS = 1440
+CALENDAR = None  # as a bin width: the calendar bounds a key, so one group holds it
 
 
 def asof_join(
@@ -30,14 +31,14 @@ def asof_join(
     direction: str = "backward",
     strict: bool = False,
     tolerance: int | None = None,
-    bin_width: int | None = None,
+    *,
+    bin_width: int | None,
 ) -> DataFrame:
     """Targets plus ``<name>`` and ``<name>_at`` for each value; NULL without a match.
 
     Times are BIGINT in one unit. ``strict`` excludes an event at the target
-    itself; ``tolerance`` is inclusive. With ``bin_width`` (same unit) rows are
-    scanned per bin; without it a key is one group, which suits only series that
-    are bounded by the calendar, such as one row a day.
+    itself; ``tolerance`` is inclusive. Rows are scanned per bin of ``bin_width`` (same
+    unit). ``CALENDAR`` makes a key one group: only for series of at most a row a day.
     """
     if direction not in ("backward", "forward"):
         raise ValueError("direction must be backward or forward")

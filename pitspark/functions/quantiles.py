@@ -3,7 +3,8 @@
 Spark's ``percentile`` keeps every distinct value of a group in one aggregation
 buffer. Here values are counted first (copies collapse map-side), cut into bins
 by an approximate sketch, and ranked inside the bins; the sketch only balances
-the bins, so the result stays exact.
+the bins, so the result stays exact. A bin that is still large is cut again by a
+sketch of its own, so a group of any size is spread over up to 256 x 256 bins.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _BINS = 256
+_LARGE = 100_000  # distinct values above which a bin is cut again
 
 
 def _bin_of(value: Column, cuts: Column) -> Column:
@@ -40,7 +42,15 @@ def value_ranks(df: DataFrame, keys: list[str], value: str, weights: dict[str, C
         placed = counted.join(cuts, keys)
     else:
         placed = counted.withColumn("_cuts", cuts.scalar())
-    binned = placed.withColumn("_bin", _bin_of(F.col(value), F.col("_cuts"))).drop("_cuts")
+    outer = placed.withColumn("_outer", _bin_of(F.col(value), F.col("_cuts"))).drop("_cuts")
+    finer = outer.groupBy(*keys, "_outer").agg(
+        F.count(F.lit(1)).alias("_values"),
+        F.percentile_approx(value, [i / _BINS for i in range(1, _BINS)], 1000).alias("_cuts"),
+    )
+    cut_again = finer.filter(F.col("_values") > _LARGE).drop("_values")
+    inner = F.when(F.col("_cuts").isNull(), 0).otherwise(_bin_of(F.col(value), F.col("_cuts")))
+    nested = outer.join(cut_again, [*keys, "_outer"], "left")
+    binned = nested.withColumn("_bin", F.col("_outer") * _BINS + inner).drop("_cuts", "_outer")
 
     totals = binned.groupBy(*keys, "_bin").agg(*[F.sum(k).alias(f"_b_{k}") for k in sums])
     before_bin = W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)

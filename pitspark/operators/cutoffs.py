@@ -38,32 +38,26 @@ def latest_version(df: DataFrame, keys: list[str], order: list[Column]) -> DataF
 def first_cutoff(df: DataFrame, cutoffs: DataFrame, time: str, strict: bool = False) -> DataFrame:
     """Adds ``cutoff_index``: the first cutoff (1-based, ascending) at which a row is known.
 
-    Rows known only after the last cutoff drop out. ``cutoffs(cutoff)`` holds distinct
-    instants. The gap between neighbouring cutoffs is spread over the days it touches,
-    so the match is an equality join on the day plus a residual comparison.
+    Rows known only after the last cutoff drop out. ``cutoffs(cutoff)`` holds distinct instants, as many as a calendar
+    has. Rows older than the first cutoff need no match. The gap between neighbouring cutoffs is spread over the hours it
+    touches, so the others are matched by an equality join on the hour plus a residual comparison.
     """
     order = W.partitionBy(F.lit(0)).orderBy("cutoff")
     spans = cutoffs.select(
-        "cutoff",
-        F.row_number().over(order).alias("cutoff_index"),
-        F.lag("cutoff").over(order).alias("_after"),
-        F.first("cutoff").over(order).alias("_first"),
+        "cutoff", F.row_number().over(order).alias("cutoff_index"), F.lag("cutoff").over(order).alias("_after")
     )
-    first_day = F.to_date("_first")
-    days = spans.select(
-        "cutoff",
-        "cutoff_index",
-        "_after",
-        F.explode(F.sequence(F.coalesce(F.to_date("_after"), first_day), F.to_date("cutoff"))).alias("_day"),
+    hour = lambda c: F.date_trunc("HOUR", c)
+    hours = spans.filter(F.col("_after").isNotNull()).select(
+        "cutoff", "cutoff_index", "_after",
+        F.explode(F.sequence(hour(F.col("_after")), hour(F.col("cutoff")), F.expr("INTERVAL 1 HOUR"))).alias("_hour"),
     )
     earliest = cutoffs.agg(F.min("cutoff")).scalar()
-    clamped = df.withColumn("_day", F.greatest(F.to_date(F.col(time)), F.to_date(earliest)))
     t = F.col(time)
-    if strict:
-        hit = (t < F.col("cutoff")) & (F.col("_after").isNull() | (t >= F.col("_after")))
-    else:
-        hit = (t <= F.col("cutoff")) & (F.col("_after").isNull() | (t > F.col("_after")))
-    return clamped.join(days, "_day").filter(hit).drop("_day", "_after", "cutoff")
+    before = (lambda bound: t < bound) if strict else (lambda bound: t <= bound)
+    old = df.filter(before(earliest)).withColumn("cutoff_index", F.lit(1))
+    later = df.filter(~before(earliest)).withColumn("_hour", hour(t))
+    matched = later.join(hours, "_hour").filter(before(F.col("cutoff")) & ~before(F.col("_after")))
+    return old.unionByName(matched.select(*df.columns, "cutoff_index"))
 
 
 def versions_at_cutoffs(

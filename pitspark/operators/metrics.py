@@ -24,6 +24,7 @@ DAYS_PER_YEAR = 365.25
 EPSILON = 2.220446049250313e-16
 STRESS_BPS = 20.0
 
+# The admission limits.
 ADMISSION = {
     "min_auc": 0.53,
     "min_sharpe": 0.75,
@@ -197,8 +198,12 @@ def rejection_reasons(auc, log_loss, base_loss, sharpe, drawdown, positive_folds
 
 
 def evaluate(predictions: DataFrame, cost_bps: float) -> DataFrame:
-    """One row: classification, selected and doubled cost metrics, stability and the gate."""
-    daily = portfolio_daily(strategy_rows(predictions, stress_costs(cost_bps)), ["cost_bps"])
+    """One row: classification, selected and doubled cost metrics, stability and the gate.
+
+    Raises on a duplicate or invalid prediction, and on a day that loses all capital.
+    """
+    require_predictions(predictions, cost_bps)
+    daily = require_daily(portfolio_daily(strategy_rows(predictions, stress_costs(cost_bps)), ["cost_bps"]))
     per_cost = return_metrics(daily, ["cost_bps"])
     at = lambda c, name: F.max(F.when(F.col("cost_bps") == float(c), F.col(name)))
     money = per_cost.agg(

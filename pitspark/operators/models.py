@@ -1,12 +1,13 @@
 """Walk-forward models on pyspark.ml: base rate, logistic regression, boosted trees.
 
-Each fold is one distributed fit; the loop is over at most ``max_folds`` folds. The
+Each fold is one distributed fit; there are at most ``max_folds`` folds. The
 boosted model uses Spark's trees, which have a depth limit instead of a leaf limit and
 no L2 term.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Pipeline
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import reliable_checkpoint
-from .walkforward import Protocol, base_rates, fold_dates, folds, test_rows
+from .walkforward import Protocol, fold_dates, folds, purged_base_rates, require_trainable
 
 # The frozen estimator settings.
 SEED = 17
@@ -77,32 +78,46 @@ def score(model, rows: DataFrame) -> DataFrame:
 
 
 def walk_forward(
-    rows: DataFrame, features: list[str], protocol: Protocol, name: str, day: str = "d", **overrides
+    rows: DataFrame, features: list[str], protocol: Protocol, names: list[str], day: str = "target_session",
+    at_once: int = 4, **overrides,
 ) -> DataFrame:
-    """Out-of-sample rows of all folds with ``probability``, ``base_probability``, ``fold`` and ``model``.
+    """Out-of-sample rows of all folds and models, from training labels that were known in time.
 
-    Every fold reads the rows many times, so they are checkpointed once: an iterative
-    fit then neither recomputes the features nor depends on an executor's memory.
+    A fold trains on the sessions before its purge gap whose ``label_available_at`` lies before the first
+    ``decision_at`` of its test rows. Folds are made once and shared by all models, so the models see the same rows.
+    Adds ``fold``, ``model``, ``probability``, ``base_probability``, ``train_rows`` and ``last_label_available_at``; the
+    features go. Every fold reads the rows many times, so they are checkpointed once: an iterative fit then neither
+    recomputes the features nor depends on an executor's memory. ``at_once`` fits share the cluster.
     """
     dated = fold_dates(rows, protocol, day)
-    rates = base_rates(rows, dated, protocol, day).collect()  # at most max_folds rows
-    by_fold = {r["fold"]: r for r in rates}
-    spans = {r["fold"]: r for r in folds(dated, protocol).collect()}  # at most max_folds rows
+    rates = require_trainable(purged_base_rates(rows, dated, protocol, day), protocol)
+    plan = sorted(rates.join(folds(dated, protocol), "fold").collect(), key=lambda r: r["fold"])  # at most max_folds rows
+    if not plan:
+        raise ValueError("insufficient historical sessions for the validation protocol")
     indexed = reliable_checkpoint(rows.join(dated, day))
-    outputs = []
-    for fold in sorted(spans):
-        rate = by_fold[fold]
-        if not 0 < rate["base_probability"] < 1:
-            raise ValueError("walk-forward training fold lacks both target classes")
-        test = indexed.filter(F.col("fold") == fold)
+
+    def one(task) -> DataFrame:
+        fold, name = task
+        test = indexed.filter(F.col("fold") == fold["fold"])
         if name == "base_rate":
-            scored = test.withColumn("probability", F.lit(float(rate["base_probability"])))
+            scored = test.withColumn("probability", F.lit(float(fold["base_probability"])))
         else:
-            train = indexed.filter(F.col("idx") < int(spans[fold]["train_to"])).select(*features, "target")
-            model = estimator(name, features, int(rate["train_rows"]), **overrides).fit(train)
+            known = (F.col("idx") < int(fold["train_to"])) & (F.col("label_available_at") < F.lit(fold["first_decision_at"]))
+            train = indexed.filter(known).select(*features, "target")
+            model = estimator(name, features, int(fold["train_rows"]), **(overrides if name == "gradient_boosting" else {})).fit(train)
             scored = score(model, test)
-        outputs.append(scored.withColumn("base_probability", F.lit(float(rate["base_probability"]))))
-    return reduce(DataFrame.unionByName, outputs).drop("idx", *features).withColumn("model", F.lit(name))
+        return scored.withColumns(
+            {
+                "base_probability": F.lit(float(fold["base_probability"])),
+                "model": F.lit(name),
+                "train_rows": F.lit(int(fold["train_rows"])).cast("bigint"),
+                "last_label_available_at": F.lit(fold["last_label_available_at"]),
+            }
+        )
+
+    with ThreadPoolExecutor(at_once) as pool:
+        outputs = list(pool.map(one, [(fold, name) for fold in plan for name in names]))
+    return reduce(DataFrame.unionByName, outputs).drop("idx", *features)
 
 
 def final_model(rows: DataFrame, features: list[str], name: str, **overrides):
@@ -110,9 +125,4 @@ def final_model(rows: DataFrame, features: list[str], name: str, **overrides):
     return estimator(name, features, rows.count(), **overrides).fit(rows.select(*features, "target"))
 
 
-def model_panel(rows: DataFrame, features: list[str], protocol: Protocol, names: list[str], **overrides) -> DataFrame:
-    """Predictions of several models, told apart by ``model``."""
-    return reduce(DataFrame.unionByName, [walk_forward(rows, features, protocol, n, **overrides) for n in names])
-
-
-__all__ = ["MODELS", "final_model", "model_panel", "score", "test_rows", "walk_forward"]
+__all__ = ["MODELS", "final_model", "score", "walk_forward"]

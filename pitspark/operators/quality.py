@@ -179,7 +179,7 @@ def quote_instants(quotes: DataFrame, by: list[str], identity: str = "identity")
 
 def first_quotes(
     targets: DataFrame, instants: DataFrame, by: list[str], target: str = "target_ns",
-    wait_ns: int = WAIT_NS, bin_width: int | None = None,
+    wait_ns: int = WAIT_NS, bin_width: int = MINUTE_NS,
 ) -> DataFrame:
     """First valid instant at or after the target within the wait (inclusive); ties select nothing.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.asof import asof_join
+from ..functions.asof import CALENDAR, asof_join
 from ..functions.reasons import finite, null_unless_finite, require_unique, require_zero, ValidationError
 from ..functions.rolling import pct_change, rolling_std
 from ..functions.times import epoch_micros
@@ -91,6 +91,7 @@ def regime_as_of(cutoffs: DataFrame, regime: DataFrame, cutoff: str) -> DataFram
         "_avail",
         {c: F.col(c) for c in REGIME_COLUMNS},
         tolerance=MAX_CONTEXT_AGE_US,
+        bin_width=CALENDAR,
     ).select(cutoff, *REGIME_COLUMNS)
     return cutoffs.join(matched, cutoff, "left")
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.asof import OUTER_BINS, asof_join
 from ..functions.reasons import finite, reason_array
 from ..functions.scan import Running, running
-from ..functions.times import MILLI_NS, SECOND_NS
+from ..functions.times import MILLI_NS, MINUTE_NS, SECOND_NS
 from .quality import CRYPTO_FEED, CRYPTO_PAIR, STOCK_FEEDS, mid, spread_bps
 
 # Symbols with stock conditions, latencies, window, page and record limits.
@@ -129,7 +129,7 @@ def usable_windows(
 
 def states(
     asks: DataFrame, events_: DataFrame, by: list[str], asof: str, max_age_ms: int = MAX_AGE_MS,
-    bin_width: int | None = None,
+    bin_width: int = MINUTE_NS,
 ) -> DataFrame:
     """State strictly before ``asof`` for rows that carry ``source_reasons``.
 
@@ -161,7 +161,7 @@ def states(
 
 def scenarios(
     windows: DataFrame, events_: DataFrame, by: list[str], latencies_ms=LATENCIES_MS, max_age_ms: int = MAX_AGE_MS,
-    bin_width: int | None = None,
+    bin_width: int = MINUTE_NS,
 ) -> DataFrame:
     """Decision state and one arrival state per latency; a blocked decision dominates.
 

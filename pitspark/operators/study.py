@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.reasons import reason_array, require_unique
-from ..functions.times import MILLI_NS, SECOND_NS
+from ..functions.times import MILLI_NS, MINUTE_NS, SECOND_NS
 from .quality import WAIT_NS, feed_allowed, first_quotes, source_reasons
 
 # Latencies and the planned quote range.
@@ -41,7 +41,7 @@ def strict_source_reasons(window_ns: int = WINDOW_NS) -> Column:
 
 def latency_scenarios(
     windows: DataFrame, instants: DataFrame, by: list[str], latencies_ms=LATENCIES_MS, wait_ns: int = WAIT_NS,
-    bin_width: int | None = None,
+    bin_width: int = MINUTE_NS,
 ) -> DataFrame:
     """One row per planned window and latency, paired with its own zero-latency quote.
 

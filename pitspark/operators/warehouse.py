@@ -102,10 +102,11 @@ def append_if_changed(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Incoming snapshots that are new or differ from the latest stored version.
 
     An old value that comes back after a correction differs from the latest one,
-    so it appends again.
+    so it appends again. Only the history of the incoming bars is ranked.
     """
     keys = ["instrument_id", "event_time", "interval", "source"]
-    stored = existing.filter((F.col("source") == "yahoo") & F.col("data_version").startswith(SNAPSHOT_PREFIX))
+    snapshots = existing.filter((F.col("source") == "yahoo") & F.col("data_version").startswith(SNAPSHOT_PREFIX))
+    stored = snapshots.join(incoming.select(*keys).distinct(), keys, "left_semi")
     latest = latest_version(
         stored, keys, [F.desc("available_at"), F.desc("ingested_at"), F.desc("data_version")]
     ).select(*keys, F.struct(*OHLCV).alias("_prior"))
@@ -117,9 +118,9 @@ def append_if_changed(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def insert_or_ignore(existing: DataFrame, incoming: DataFrame, table: str) -> DataFrame:
-    """Rows whose primary key is neither stored nor repeated within the batch."""
+    """Rows whose primary key is not stored; of rows that share a key the one of least content hash, on every run."""
     keys = PRIMARY_KEYS[table]
-    return incoming.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
+    return latest_version(incoming, keys, [F.xxhash64(*incoming.columns)]).join(existing.select(*keys), keys, "left_anti")
 
 
 def changed_values(existing: DataFrame, incoming: DataFrame, keys: list[str], value: str) -> DataFrame:

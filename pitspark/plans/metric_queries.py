@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from ..operators import features as feat
 from ..operators import metrics as met
 from ..operators import models
+from ..operators import regime as reg
+from ..operators import timing
 from ..operators import walkforward as wf
 from . import oracle_features as O
 from . import oracle_views as V
 from . import views
-from .feature_queries import _DATASET
+from .feature_queries import _DATASET, _NOT_NULL, _SCHEDULE, _TIMING
 from .registry import query
 
 _P = wf.Protocol()
@@ -305,19 +307,40 @@ def bootstrap_mean_return(spark, sf):
 # ---- models -----------------------------------------------------------------
 
 
-def _model_rows(spark, sf):
-    return views.stored(feat.daily_dataset(views.bars(spark, sf)))
+_PANEL = V.with_views(
+    V.BARS, V.SESSIONS, _SCHEDULE, _TIMING.replace("dated", "scheduled"), O.regime_table(), O.regime_attach("paired", "decision_at"),
+    f"""known AS (SELECT symbol, target_session AS d, CASE WHEN target_return>0 THEN 1 ELSE 0 END AS target, decision_at, exit_at + INTERVAL 30 MINUTE AS label_available_at
+  FROM attached WHERE {_NOT_NULL})""",
+    fold_ctes("known"),
+    "firstd AS (SELECT fold, min(decision_at) AS fd, count(*) AS test_rows FROM oos GROUP BY fold)",
+    """trained AS (SELECT f.fold, count(*) AS train_rows, max(label_available_at) AS last_label, avg(target) AS base_rate FROM known t JOIN dated USING (d)
+  JOIN foldt ON dated.idx<train_to JOIN firstd f ON f.fold=foldt.fold WHERE label_available_at<fd GROUP BY f.fold)""",
+)
+
+
+def _panel_sql(names: str) -> str:
+    return _PANEL + f"""SELECT model, CAST(t.fold AS BIGINT) AS fold, train_rows, epoch_us(last_label) AS last_label_us, round(base_rate,6) AS base_probability,
+  test_rows, test_rows AS scored_keys, test_rows AS probabilities FROM trained t JOIN firstd USING (fold), (SELECT unnest([{names}]) AS model)"""
+
+
+def _panel(spark, sf, names):
+    """All folds of the protocol on the 19 features; everything but the probabilities has a check in SQL."""
+    bars = views.stored(views.bars(spark, sf))
+    rows = timing.timing_dataset(bars, views.stored(views.sessions(spark, sf)), reg.regime_table(bars))
+    scored = models.walk_forward(rows, feat.FEATURE_COLUMNS + reg.REGIME_COLUMNS, _P, names)
+    p = F.col("probability")
+    return scored.groupBy("model", F.col("fold").cast("bigint").alias("fold")).agg(
+        F.max("train_rows").alias("train_rows"), F.unix_micros(F.max("last_label_available_at")).alias("last_label_us"),
+        F.round(F.max("base_probability"), 6).alias("base_probability"), F.count(F.lit(1)).alias("test_rows"),
+        F.count_distinct("symbol", "target_session").alias("scored_keys"), F.count_if((p >= 0) & (p <= 1)).alias("probabilities"),
+    )
 
 
-@query("H5 H7 H29 A23", None)
+@query("H3 H5 H7 H29", _panel_sql("'base_rate','logistic'"))
 def logistic_walk_forward(spark, sf):
-    rows = _model_rows(spark, sf)
-    panel = models.model_panel(rows, feat.FEATURE_COLUMNS, wf.Protocol(max_folds=3), ["base_rate", "logistic"])
-    return met.classification(panel, ["model"])
+    return _panel(spark, sf, ["base_rate", "logistic"])
 
 
-@query("H6 H7", None)
+@query("H3 H6 H7", _panel_sql("'gradient_boosting'"))
 def boosted_walk_forward(spark, sf):
-    rows = _model_rows(spark, sf)
-    panel = models.walk_forward(rows, feat.FEATURE_COLUMNS, wf.Protocol(max_folds=1), "gradient_boosting", maxIter=10)
-    return met.classification(panel, ["model"])
+    return _panel(spark, sf, ["gradient_boosting"])

@@ -120,6 +120,25 @@ def fundamentals_at_year_starts(spark, sf):
     )
 
 
+@query(
+    "B21 B13",
+    V.with_views(V.MARKET_BARS, "cutoffs AS (SELECT DISTINCT date_trunc('year', o_orderdate)::TIMESTAMP AS cutoff FROM orders)")
+    + """SELECT epoch_us(cutoff) AS cutoff_us, instrument_id, count(*) AS bars, epoch_us(max(event_time)) AS last_event_us, epoch_us(max(available_at)) AS last_available_us,
+  max(data_version) AS last_version, min(close) AS lowest_close, max(close) AS highest_close FROM (
+  SELECT * FROM cutoffs JOIN market_bars ON available_at<=cutoff WHERE source='yahoo' AND interval='1d' AND data_version LIKE 'snapshot-v2:%'
+  QUALIFY row_number() OVER (PARTITION BY cutoff, instrument_id, event_time ORDER BY available_at DESC, ingested_at DESC, data_version DESC)=1) GROUP BY 1,2""",
+)
+def bars_at_year_starts(spark, sf):
+    orders = views.table(spark, sf, "orders")
+    cutoffs = orders.select(F.date_trunc("year", F.col("o_orderdate").cast("timestamp")).alias("cutoff")).distinct()
+    rows = wh.bars_at_cutoffs(views.market_bars(spark, sf), cutoffs)
+    return rows.groupBy(F.unix_micros("cutoff").alias("cutoff_us"), "instrument_id").agg(
+        F.count(F.lit(1)).alias("bars"), F.unix_micros(F.max("event_time")).alias("last_event_us"),
+        F.unix_micros(F.max("available_at")).alias("last_available_us"), F.max("data_version").alias("last_version"),
+        F.min("close").alias("lowest_close"), F.max("close").alias("highest_close"),
+    )
+
+
 # ---- B: ingest --------------------------------------------------------------
 
 

@@ -88,6 +88,33 @@ def unique_company_facts(spark, sf):
     )
 
 
+@query(
+    "A9 A10",
+    V.with_views(_FACT_SQL, "keyed AS (SELECT *, split_part(accession_number,'-',1)::BIGINT AS o FROM facts)")
+    + """SELECT metric, unit, count(*) AS facts, count(*) FILTER (o%23=0 AND o%19<>0) AS conflicts, count(*) FILTER (o%19=0) AS nonfinite,
+  count(*) FILTER (o%13=0) AS starts_after_end, count(*) FILTER (o%17=0) AS filed_before_end, count(*) FILTER (o%13<>0 AND o%17<>0 AND o%19<>0) AS accepted FROM keyed GROUP BY 1,2""",
+)
+def fact_violations(spark, sf):
+    """Facts with periods the wrong way round, filed early, not finite, or with two values in one accession."""
+    facts = filings.parse_company_facts(_fact_documents(spark, sf))
+    order = F.split_part("accession_number", F.lit("-"), F.lit(1)).cast("bigint")
+    shifted = F.when((order % 23 == 0) & F.col("frame").isNotNull(), F.col("value") + 1).otherwise(F.col("value"))
+    broken = facts.withColumns(
+        {
+            "value": F.when(order % 19 == 0, F.lit(float("nan"))).otherwise(shifted),
+            "period_start": F.when(order % 13 == 0, F.date_add("period_end", 1)).otherwise(F.col("period_start")),
+            "filed_date": F.when(order % 17 == 0, F.date_sub("period_end", 1)).otherwise(F.col("filed_date")),
+        }
+    )
+    merged = filings.unique_facts(filings.with_reasons(broken))
+    has = lambda reason: F.count_if(F.array_contains("reasons", reason))
+    return merged.groupBy("metric", "unit").agg(
+        F.count(F.lit(1)).alias("facts"), F.count_if("conflict").alias("conflicts"), has("value_nonfinite").alias("nonfinite"),
+        has("period_starts_after_it_ends").alias("starts_after_end"), has("filed_before_period_end").alias("filed_before_end"),
+        F.count_if(F.size("reasons") == 0).alias("accepted"),
+    )
+
+
 # ---- macro ------------------------------------------------------------------
 
 

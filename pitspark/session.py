@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -47,19 +49,20 @@ def local_session(cores: int = 8, name: str = "pitspark") -> SparkSession:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for checkpoints: the cluster's setting, else a local one for tests.
+    """Shared folder for checkpoints and staged tables: the session's ``spark.checkpoint.dir``.
 
-    The setting wins always; the local folder is only used when the master is
-    local, because executors elsewhere could not read it.
+    Where it is unset and one machine does all the work, one folder is made and set for the whole session, and goes
+    when Python ends. Executors elsewhere could not read it, so other masters must set it.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None
-    )
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="pitspark-checkpoint-")
+    if spark.sparkContext._jsc.sc().isLocal():
+        folder = tempfile.mkdtemp(prefix="pitspark-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", f"file://{folder}")
+        return f"file://{folder}"
+    raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
 def reliable_checkpoint(df):

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.reasons import finite
 from ..operators import ledger, warehouse
 from ..operators.metrics import signal
 
@@ -96,13 +97,18 @@ def ingest_job(bars: DataFrame, table: VersionedTable, checkpoint: str, trigger:
 
 
 def settlement_stream(signals: DataFrame, bars: DataFrame, lateness: str = "7 days", wait: str = "3 days") -> DataFrame:
-    """Stream-stream interval join: a signal settles on its exact target bar only.
+    """Stream-stream interval join: a pending signal settles on its exact target bar only, if that bar is valid.
 
     ``signals`` has event time ``target_close``, ``bars`` has ``closed_at``; the bar must
     arrive within ``wait`` of the close, which bounds the state.
     """
+    if "status" in signals.columns:
+        signals = signals.filter(F.col("status") == "PENDING")
+    valid = F.lit(True)
+    for price in ("open", "close"):
+        valid = valid & finite(F.col(price)) & (F.col(price) > 0)
     s = signals.withWatermark("target_close", lateness).alias("s")
-    b = bars.withWatermark("closed_at", lateness).alias("b")
+    b = bars.filter(valid).withWatermark("closed_at", lateness).alias("b")
     on = (
         (F.col("s.symbol") == F.col("b.symbol"))
         & (F.col("s.target_session") == F.col("b.session_date"))

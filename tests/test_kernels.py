@@ -34,7 +34,7 @@ def test_asof_matches_brute_force(spark, bin_width, direction, strict, tolerance
     tg = spark.createDataFrame(asks, "k string, a bigint")
     got = {
         (r.k, r.a): (r.v, r.v_at)
-        for r in asof_join(tg, ev, ["k"], "a", "t", {"v": F.col("v")}, direction, strict, tolerance, bin_width).collect()
+        for r in asof_join(tg, ev, ["k"], "a", "t", {"v": F.col("v")}, direction, strict, tolerance, bin_width=bin_width).collect()
     }
     assert len(got) == len(asks)
     for key, at in asks:
@@ -52,7 +52,7 @@ def test_asof_matches_brute_force(spark, bin_width, direction, strict, tolerance
 def test_asof_skips_null_per_column_but_not_structs(spark):
     ev = spark.createDataFrame([("k", 1, 10, 7), ("k", 2, None, 8)], "k string, t bigint, a int, b int")
     tg = spark.createDataFrame([("k", 3)], "k string, t0 bigint")
-    row = asof_join(tg, ev, ["k"], "t0", "t", {"a": F.col("a"), "b": F.col("b"), "s": F.struct("a")}).first()
+    row = asof_join(tg, ev, ["k"], "t0", "t", {"a": F.col("a"), "b": F.col("b"), "s": F.struct("a")}, bin_width=4).first()
     assert (row.a, row.a_at, row.b, row.s.a) == (10, 1, 8, None)
 
 
