@@ -32,6 +32,7 @@ SLICE = 5 / 16  # of the hash space; frequencies there decide which sets can hav
 STRATA = 16  # equal parts of the hash space whose counts the suffix filter compares
 PART = 2048  # sets compared in one run of a round
 TRIES = 12  # comparisons without a link after which a round leaves a set to the next
+HELD = 128  # sets of a block that others are compared with
 ROUNDS = 6  # at most; two are enough where no n-gram has more than PART sets
 _U = np.uint64
 
@@ -145,7 +146,7 @@ def _round(prefixes: DataFrame, sets: DataFrame, labels: DataFrame | None, perce
         named = dealt.withColumn("label", F.col("key"))
     else:
         named = dealt.join(labels.hint("merge"), dealt["key"] == labels["node"], "left").select("key", "gram", "part", F.coalesce("label", "key").alias("label"))
-    rows = named.join(sets.select("key", "n", "grams").hint("merge"), "key")
+    rows = named.join(sets.select("key", "n", "grams"), "key")
     runs = rows.repartition("gram", "part").sortWithinPartitions("gram", "part", "n", "key")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,27 +208,64 @@ def _complete(marked: DataFrame, minor: DataFrame, sets: DataFrame, compared: Da
     met = x.join(y.hint("merge"), (x["gram"] == y["gram"]) & fits)
     a_first = F.col("x") < F.col("y")
     pick = lambda p, q: F.when(a_first, F.col(p)).otherwise(F.col(q))
+    # the side of the largest group is the one that many others are compared with
+    role = F.struct("in_main", F.col("ly").alias("target"), F.col("y").alias("y"))
     pairs = met.select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), pick("nx", "ny").alias("na"), pick("ny", "nx").alias("nb"), F.struct(pick("px", "py").alias("pa"), pick("py", "px").alias("pb")).alias("p")
-    )
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), pick("nx", "ny").alias("na"), pick("ny", "nx").alias("nb"),
+        F.struct(pick("px", "py").alias("pa"), pick("py", "px").alias("pb")).alias("p"), role.alias("role"),
+    )
     # the same at the first common n-gram, now that it is known
-    first = pairs.groupBy("a", "b", "na", "nb").agg(F.min("p").alias("p"))
+    first = pairs.groupBy("a", "b", "na", "nb").agg(F.min("p").alias("p"), F.max("role").alias("role"))
     common = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent))
-    most = 1 + F.least(F.col("na") - F.col("p.pa"), F.col("nb") - F.col("p.pb")) - 1
-    near = first.where(most >= common).select("a", "b", (F.col("na") + F.col("nb") - 2 * common).alias("apart"))
+    near = first.where(F.least(F.col("na") - F.col("p.pa"), F.col("nb") - F.col("p.pb")) >= common)
     near = near.join(compared.select("a", "b").distinct().hint("merge"), ["a", "b"], "left_anti")
-    # suffix filter: the counts of equal hash ranges differ by no more than the sets may
-    sides = [sets.select(F.col("key").alias(side), F.col("grams").alias(f"g{side}"), F.col("strata").alias(f"s{side}")).hint("merge") for side in ("a", "b")]
-    distance = F.aggregate(F.zip_with("sa", "sb", lambda s, t: F.abs(s - t)), F.lit(0), lambda s, t: s + t)
-    both = near.join(sides[0], "a").join(sides[1], "b").where(distance <= F.col("apart")).select("a", "b", "ga", "gb")
+    y = F.col("role.y")
+    return _verified(near.select(F.col("role.target").alias("target"), F.when(y == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("x"), y.alias("y")), sets, percent)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked) of pairs (x, y), with the sets sent once per block of pairs and not once per pair.
+
+    A block holds at most about HELD sets x of one target group; the sets y, each after its pairs, pass by.
+    """
+    pairs = stored(pairs, "pairs")
+    dealt = pairs.groupBy("target").agg(F.ceil(F.count_distinct("x") / HELD).alias("blocks"))
+    blocks = F.pmod(F.xxhash64("x"), F.col("blocks")).alias("block")
+    placed = stored(pairs.join(dealt.hint("merge"), "target").select("target", blocks, "x", "y"), "placed")
+    own = sets.select("key", "grams", "strata")
+    nothing = [F.lit(None).cast("array<long>").alias("grams"), F.lit(None).cast("array<int>").alias("strata")]
+    held = placed.select("target", "block", F.col("x").alias("key")).distinct().join(own, "key").select("target", "block", F.lit(-(1 << 63)).alias("y"), F.lit(0).alias("kind"), "key", "grams", "strata")
+    asked = placed.select("target", "block", "y", F.lit(1).alias("kind"), F.col("x").alias("key"), *nothing)
+    passing = placed.select("target", "block", F.col("y").alias("key")).distinct().join(own, "key").select("target", "block", F.col("key").alias("y"), F.lit(2).alias("kind"), "key", "grams", "strata")
+    rows = held.unionByName(asked).unionByName(passing).repartition("target", "block").sortWithinPartitions("target", "block", "y", "kind", "key")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, known, wanted = None, {}, []
         for batch in batches:
-            ga, gb = batch.column("ga"), batch.column("gb")
-            found = [links(ga[i].values.to_numpy().view(np.uint64), gb[i].values.to_numpy().view(np.uint64), percent) for i in range(batch.num_rows)]
-            yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(found, pa.bool_())], names=["a", "b", "linked"])
+            out: list[tuple[int, int, bool]] = []
+            columns = [batch.column(c).to_pylist() for c in ("target", "block", "kind", "key")]
+            grams, strata = batch.column("grams"), batch.column("strata")
+            for i, (target, block, kind, key) in enumerate(zip(*columns, strict=True)):
+                if (target, block) != at:
+                    at, known, wanted = (target, block), {}, []
+                if kind == 1:
+                    wanted.append(key)
+                    continue
+                own = grams[i].values.to_numpy().view(np.uint64), strata[i].values.to_numpy()
+                if kind == 0:
+                    known[key] = own
+                    continue
+                for x in wanted:
+                    other = known[x]
+                    size = len(own[0]) + len(other[0])
+                    common = -(-percent * size // (100 + percent))
+                    # suffix filter: the counts of equal hash ranges differ by no more than the sets may
+                    linked = bool(np.abs(own[1] - other[1]).sum() <= size - 2 * common) and links(own[0], other[0], percent)
+                    out.append((min(x, key), max(x, key), linked))
+                wanted = []
+            yield pa.record_batch([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "linked"])
 
-    return both.mapInArrow(verify, "a long, b long, linked boolean")
+    return rows.select("target", "block", "kind", "key", "grams", "strata").mapInArrow(verify, "a long, b long, linked boolean")
 
 
 def groups(df: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
