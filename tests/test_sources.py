@@ -115,7 +115,8 @@ def test_manifest_detects_tampering(spark, tmp_path):
 
 def test_checkpoint_root_prefers_the_session_setting(spark):
     root = checkpoint_root(spark)
-    assert os.path.isdir(root)
+    assert checkpoint_root(spark) == root == spark.conf.get("spark.checkpoint.dir")
+    assert os.path.isdir(root.removeprefix("file://"))
 
 
 QUOTE = "symbol string, event_ns bigint, bid double, ask double, bid_size double, ask_size double, conditions array<string>, tape string, identity string"
