@@ -3,26 +3,16 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; set here only where it is unset and the master is local (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and every executor share")
-        root = "file://" + tempfile.mkdtemp(prefix="pitspark-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+from ..session import checkpoint_root
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """URI of a folder of its own below the shared one; it goes when the session's JVM ends."""
-    uri = f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    uri = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(uri)
     system = path.getFileSystem(spark._jsc.hadoopConfiguration())
     system.mkdirs(path)
