@@ -26,9 +26,9 @@ from pyspark.sql import types as T
 from . import bloom
 from . import textarrays as ta
 from .components import components
-from .storage import stored
+from .storage import release_shuffles, stored
 
-SLICE = 5 / 16  # of the hash space; frequencies there decide which sets can have links
+SLICE = 1 / 4  # of the hash space; frequencies there decide which sets can have links
 STRATA = 16  # equal parts of the hash space whose counts the suffix filter compares
 PART = 2048  # sets compared in one run of a round
 TRIES = 12  # comparisons without a link after which a round leaves a set to the next
@@ -122,7 +122,8 @@ def _full_sets(df: DataFrame, size: int) -> DataFrame:
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """gram, key, n, pos of every n-gram of a prefix that another set has too; pos counts from 0 in rare-first order."""
     rows = sets.select("key", "n", F.explode("grams").alias("gram"))
-    shared = rows.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
+    shared = stored(rows.groupBy("gram").agg(F.count("*").cast("int").alias("df")).where("df > 1"), "shared")
+    release_shuffles(sets.sparkSession)
     own = rows.join(shared.hint("merge"), "gram")
     by_set = Window.partitionBy("key")
     # n-grams no other set has come first
@@ -276,19 +277,26 @@ def groups(df: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     never the smallest unless a group has no other. Repeated rows are copies like any others. n-grams are compared by
     64-bit hashes, sets of a pair by all their n-grams. key stands for the set, label for the group.
     """
-    rows = stored(_set_rows(df, size), "sets")
-    documents = rows.select("doc_id", "key", "n")
+    spark = df.sparkSession
+    # The text is read again for the slices: writing them would take more disk than reading it takes time.
+    documents = stored(_set_rows(df, size).select("doc_id", "key", "n"), "sets")
     alone = (
-        rows.select("key", F.explode("slice").alias("gram"))
+        _set_rows(df, size).select("key", F.explode("slice").alias("gram"))
         .groupBy("gram").agg(F.min("key").alias("low"), F.max("key").alias("high"))
         .where("low = high").groupBy(F.col("low").alias("key")).agg(F.count("*").alias("own"))
     )
     unique = documents.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("doc_id"))
-    prefix = F.col("n") - needed(F.col("n"), percent) + 1
+    prefix = F.col("n") - needed(F.col("n"), percent).cast("long") + 1
     alive = stored(unique.join(alone, "key", "left").where(F.coalesce("own", F.lit(0)) < prefix).select("key", "doc_id"), "alive")
+    release_shuffles(spark)
     texts = _source(df).join(alive.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = stored(_full_sets(texts, size).join(alive.select("key"), "key", "left_semi").dropDuplicates(["key"]), "alive-sets")
+    numbered = _full_sets(texts, size).join(alive.select("key"), "key", "left_semi").dropDuplicates(["key"]).withColumn("number", F.monotonically_increasing_id())
+    numbered = stored(numbered, "alive-sets")
+    # from here on a set goes by its number, which shuffles in fewer bytes than its hash
+    sets = numbered.select(F.col("number").alias("key"), F.col("n").cast("int").alias("n"), "grams", "strata")
+    release_shuffles(spark)
     prefixes = stored(_prefixes(sets, percent), "prefixes")
+    release_shuffles(spark)
 
     compared, labels, open_before = [], None, None
     for number in range(ROUNDS):
@@ -296,6 +304,7 @@ def groups(df: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         compared.append(stored(found, "compared"))
         labels = stored(components(_union(compared).where("linked")), "labels")
         marked, minor = _open_members(prefixes, labels)
+        release_shuffles(spark)
         if number and not split:
             break
         left = minor.agg(F.sum("m")).first()[0] or 0
@@ -303,7 +312,9 @@ def groups(df: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
             break
         open_before = left
     compared.append(stored(_complete(marked, minor, sets, _union(compared), percent), "compared"))
-    labels = components(_union(compared).where("linked"))
+    release_shuffles(spark)
+    found = components(_union(compared).where("linked"))
+    labels = numbered.select("number", F.col("key").alias("node")).join(found.withColumnRenamed("node", "number"), "number").select("node", F.xxhash64("label").alias("label"))
     named = documents.join(labels.hint("merge"), documents["key"] == labels["node"], "left")
     named = stored(named.select("doc_id", "n", "key", F.coalesce("label", "key").alias("label")), "named")
     lowest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))

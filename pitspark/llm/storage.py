@@ -27,6 +27,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Ask the driver to collect the handles of finished jobs, whose shuffle files Spark's cleaner then deletes.
+
+    Without it they stay until the driver happens to run a collection, and the phases of a long operator add up on disk.
+    """
+    spark._jvm.System.gc()
+
+
 def _system(uri: str):
     from pyarrow import fs
 
