@@ -40,9 +40,11 @@ def record_identity() -> Column:
     return F.sha2(F.concat_ws("|", F.col("event_ns").cast("string"), canonical), 256)
 
 
-def _declared_symbol() -> Column:
+def _declared_symbol(columns: list[str]) -> Column:
     """The symbol a record names: the one that differs from the fetch's, if either does."""
     names = [F.col("_r.symbol"), F.col("_r").getField("S")]
+    if "symbol" not in columns:
+        return F.coalesce(*names)
     wrong = F.coalesce(*[F.when(n != F.col("symbol"), n) for n in names])
     return F.coalesce(wrong, *names)
 
@@ -82,7 +84,7 @@ def parse_quotes(pages: DataFrame, payload: str = "payload") -> DataFrame:
         *kept, "event_ns",
         F.col("_r.bp").alias("bid"), F.col("_r.ap").alias("ask"), F.col("_r.bs").alias("bid_size"),
         F.col("_r.as").alias("ask_size"), F.col("_r.bx").alias("bid_exchange"), F.col("_r.ax").alias("ask_exchange"),
-        _conditions(F.col("_r.c")).alias("conditions"), F.col("_r.z").alias("tape"), _declared_symbol().alias("record_symbol"),
+        _conditions(F.col("_r.c")).alias("conditions"), F.col("_r.z").alias("tape"), _declared_symbol(kept).alias("record_symbol"),
         _conditions_shape(F.col("_r.c")).alias("conditions_shape"), record_identity().alias("identity"),
     )
 
@@ -94,7 +96,7 @@ def parse_bars(pages: DataFrame, payload: str = "payload") -> DataFrame:
         *kept, "event_ns", *[F.col(f"_r.{c}").alias(c) for c in ("o", "h", "l", "c", "v")],
         *[_number(F.col(f"_r.{c}")).alias(c) for c in ("n", "vw")],
         *[_not_a_number(F.col(f"_r.{c}")).alias(f"{c}_not_a_number") for c in ("n", "vw")],
-        _declared_symbol().alias("record_symbol"),
+        _declared_symbol(kept).alias("record_symbol"),
     )
 
 
