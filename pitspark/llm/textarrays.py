@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20  # text bytes worked on at once
+BLOCK_BYTES = 1 << 19  # text bytes worked on at once
 BLOCK_ROWS = 4096
 
 _U = np.uint64
