@@ -24,8 +24,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes or more that occur twice are cut out of all texts; n_chars follows the text."""
-    return repeats.remove(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    """Passages of over 50 words and strings of 400 bytes that occur twice are cut out of all texts; n_chars follows."""
+    return repeats.remove(docs, words=51).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,12 +8,15 @@ finds the common extension of two suffixes by binary search over prefix polynomi
 neighbours, checked byte by byte, say which strings around the anchor occur again.
 
 Only anchors are shuffled (one in about 85 bytes), and the surroundings of seeds that have several.
+
+Lengths can be counted in words instead (``Size``): a text is then the string of its words' hashes, WORD bytes each.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +29,60 @@ from . import textarrays as ta
 from .storage import stored
 
 LENGTH = 400
-REACH = 200  # anchors are the least of this many places in a row
-SEED = LENGTH - REACH + 1
-SIDE = REACH - 1  # bytes of a string that may lie on either side of its seed
+WORD = 8  # bytes that stand for a word when lengths are counted in words
 TOGETHER = 4096  # surroundings sorted at once
 LARGEST = 32768  # surroundings of one seed sorted in one task; the strings of larger ones are counted one by one
 _U = np.uint64
 _TOP = _U(2**64 - 1)
 
 
+class Size(NamedTuple):
+    """Length of the strings in units (bytes, or words of WORD bytes each), and what follows from it."""
+
+    count: int
+    unit: int = 1
+
+    @property
+    def reach(self) -> int:
+        """Anchors are the least of this many units in a row."""
+        return self.count // 2
+
+    @property
+    def length(self) -> int:
+        return self.count * self.unit
+
+    @property
+    def side(self) -> int:
+        """Bytes of a string that may lie on either side of its seed."""
+        return (self.reach - 1) * self.unit
+
+    @property
+    def seed(self) -> int:
+        return self.length - self.side
+
+
+BYTES = Size(LENGTH)
+SEED, SIDE = BYTES.seed, BYTES.side
+
+
+class _WordHash(ta.PrefixHash):
+    """The same over the hashes of words in place of bytes."""
+
+    def __init__(self, words: np.ndarray):
+        n = len(words)
+        self.sums = np.zeros(n + 1, _U)
+        np.cumsum(words * ta.powers(ta.BASE, n)[:n], out=self.sums[1:])
+        self.inverse = ta.powers(ta.INVERSE, n)
+
+
+def _units(data: np.ndarray, offsets: np.ndarray, hashes: ta.PrefixHash, size: Size) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a block or the hashes of its words, and where each text begins in them."""
+    if size.unit == 1:
+        return data, offsets
+    starts, ends, first = ta.words(data, offsets)
+    return ta.mix(hashes.ranges(starts, ends)), first
+
+
 def _slide(values: np.ndarray, width: int, op: np.ufunc, fill: np.uint64) -> np.ndarray:
     """op over every ``width`` values in a row, from running values within blocks in both directions."""
     n = len(values) - width + 1
@@ -48,20 +96,21 @@ def _text_hash(hashes: ta.PrefixHash, offsets: np.ndarray) -> np.ndarray:
     return ta.mix(hashes.ranges(offsets[:-1], offsets[1:]) + ta.mix(np.diff(offsets))).view(np.int64)
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, hashes: ta.PrefixHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, place in the block and seed hash of all anchors of a block of texts."""
-    n = len(data)
-    if n < LENGTH:
+def anchors(data: np.ndarray, offsets: np.ndarray, hashes: ta.PrefixHash, size: Size = BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, place in the block (in units) and seed hash of all anchors of a block of texts."""
+    n, length, reach = len(data), size.count, size.reach
+    width = size.seed // size.unit
+    if n < length:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U)
     end = np.repeat(offsets[1:], np.diff(offsets))
-    place = np.arange(n - SEED + 1)
-    seed = ta.mix(hashes.ranges(place, place + SEED))
-    outside = place + SEED > end[: len(place)]
+    place = np.arange(n - width + 1)
+    seed = ta.mix(hashes.ranges(place, place + width))
+    outside = place + width > end[: len(place)]
     seed[outside] = _TOP
-    least = _slide(seed, REACH, np.minimum, _TOP)
-    least[np.arange(len(least)) + LENGTH > end[: len(least)]] = 0  # a string may not cross texts
-    margin = np.zeros(REACH - 1, _U)
-    chosen = np.flatnonzero((_slide(np.concatenate([margin, least, margin]), REACH, np.maximum, _U(0)) == seed) & ~outside)
+    least = _slide(seed, reach, np.minimum, _TOP)
+    least[np.arange(len(least)) + length > end[: len(least)]] = 0  # a string may not cross texts
+    margin = np.zeros(reach - 1, _U)
+    chosen = np.flatnonzero((_slide(np.concatenate([margin, least, margin]), reach, np.maximum, _U(0)) == seed) & ~outside)
     return np.searchsorted(offsets, chosen, "right") - 1, chosen, seed[chosen]
 
 
@@ -69,36 +118,41 @@ def _texts(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def _anchor_rows(df: DataFrame) -> DataFrame:
+def _anchor_rows(df: DataFrame, size: Size) -> DataFrame:
     """ref (hash of the text), doc_id, n_bytes, sha256 and the anchors: place, seed and hash of the surroundings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in ta.blocks(batches):
             hashes = ta.PrefixHash(data)
-            row, at, seed = anchors(data, offsets, hashes)
-            start, end = np.maximum(at - SIDE, offsets[row]), np.minimum(at + LENGTH, offsets[row + 1])
-            around = ta.mix(hashes.ranges(start, end) + ta.mix((at - start) * (LENGTH + 1) + end - at))
+            ref = _text_hash(hashes, offsets)
+            units, first = _units(data, offsets, hashes, size)
+            if size.unit > 1:
+                hashes = _WordHash(units)
+            row, at, seed = anchors(units, first, hashes, size)
+            start, end = np.maximum(at - (size.reach - 1), first[row]), np.minimum(at + size.count, first[row + 1])
+            around = ta.mix(hashes.ranges(start, end) + ta.mix((at - start) * (size.count + 1) + end - at))
             cuts = pa.array(np.searchsorted(row, np.arange(len(offsets))).astype(np.int32))
             raw, ends = memoryview(np.ascontiguousarray(data)), offsets.tolist()
             digests = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            lists = [pa.ListArray.from_arrays(cuts, pa.array(v)) for v in (at - offsets[row], seed.view(np.int64), around.view(np.int64))]
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(v)) for v in ((at - first[row]) * size.unit, seed.view(np.int64), around.view(np.int64))]
             yield pa.record_batch(
-                [pa.array(_text_hash(hashes, offsets)), part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(digests), *lists],
+                [pa.array(ref), part.column("doc_id"), pa.array(np.diff(first) * size.unit), pa.array(digests), *lists],
                 names=["ref", "doc_id", "n_bytes", "sha256", "places", "seeds", "arounds"],
             )
 
     return _texts(df).mapInArrow(run, "ref long, doc_id long, n_bytes long, sha256 string, places array<long>, seeds array<long>, arounds array<long>")
 
 
-def _possible_texts(df: DataFrame, bits: bytes) -> DataFrame:
-    """ref and bytes of the texts that the filter lets pass, one row per row of ``df``."""
+def _possible_texts(df: DataFrame, bits: bytes, size: Size) -> DataFrame:
+    """ref and bytes (of words: their hashes) of the texts that the filter lets pass, one row per row of ``df``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in ta.blocks(batches):
-            ref = _text_hash(ta.PrefixHash(data), offsets)
+            hashes = ta.PrefixHash(data)
+            ref = _text_hash(hashes, offsets)
             number = np.asarray(part.column("doc_id").fill_null(0))
             kept = pa.array(bloom.may_have(bits, bloom.xxhash64(number, bloom.xxhash64(ref))))
-            yield pa.record_batch([pa.array(ref), ta.binary(data, offsets)], names=["ref", "data"]).filter(kept)
+            yield pa.record_batch([pa.array(ref), ta.binary(*_units(data, offsets, hashes, size))], names=["ref", "data"]).filter(kept)
 
     return _texts(df).mapInArrow(run, "ref long, data binary")
 
@@ -117,20 +171,21 @@ def _filtered(rows: DataFrame, column: str, bits: bytes) -> DataFrame:
 
 
 class Strings:
-    """Rows of at most SIDE bytes with the hashes of all their prefixes."""
+    """Rows of at most ``side`` bytes with the hashes of all their prefixes."""
 
-    def __init__(self, values: list[bytes]):
+    def __init__(self, values: list[bytes], side: int = SIDE):
+        self.side = side
         self.size = np.array([len(v) for v in values], np.int64)
-        flat = np.frombuffer(b"".join(v.ljust(SIDE + 1, b"\0") for v in values), np.uint8)
-        self.bytes = flat.reshape(len(values), SIDE + 1)
-        terms = ta._BYTE_VALUES[0][self.bytes[:, :SIDE]] * ta.powers(ta.BASE, SIDE)[:SIDE]
-        self.prefix = np.zeros((len(values), SIDE + 1), _U)
+        flat = np.frombuffer(b"".join(v.ljust(side + 1, b"\0") for v in values), np.uint8)
+        self.bytes = flat.reshape(len(values), side + 1)
+        terms = ta._BYTE_VALUES[0][self.bytes[:, :side]] * ta.powers(ta.BASE, side)[:side]
+        self.prefix = np.zeros((len(values), side + 1), _U)
         np.cumsum(terms, axis=1, out=self.prefix[:, 1:])
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common extension of rows a and b: binary search for the longest prefix of equal hash."""
         low, high = np.zeros(len(a), np.int64), np.minimum(self.size[a], self.size[b])
-        for _ in range(SIDE.bit_length()):
+        for _ in range(self.side.bit_length()):
             middle = (low + high + 1) >> 1
             same = self.prefix[a, middle] == self.prefix[b, middle]
             low, high = np.where(same, middle, low), np.where(same, high, np.maximum(middle - 1, low))
@@ -148,7 +203,7 @@ class Strings:
         for at in range(0, len(a), 1 << 14):
             x, y = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
             differ = self.bytes[x] != self.bytes[y]
-            differ[:, SIDE] = True
+            differ[:, self.side] = True
             out[at : at + len(x)] = np.minimum(differ.argmax(axis=1), np.minimum(self.size[x], self.size[y]))
         return out
 
@@ -189,19 +244,19 @@ def merge_sort(strings: Strings, start: np.ndarray, size: np.ndarray) -> np.ndar
     return order
 
 
-def repeated_spans(left: list[bytes], right: list[bytes], group: np.ndarray) -> list[tuple[int, int, int]]:
+def repeated_spans(left: list[bytes], right: list[bytes], group: np.ndarray, size: Size = BYTES) -> list[tuple[int, int, int]]:
     """(row, start, end) relative to the anchor: parts covered by strings that another row of the group has too.
 
     ``left`` are the reversed bytes before the seed, ``right`` those after it; rows of a group are together. Strings are
-    those of LENGTH bytes around the anchor that begin j bytes before it, j = 0..SIDE.
+    those of ``length`` bytes around the anchor that begin j bytes before it, j = 0..side.
     """
-    n = len(group)
+    n, length, widest = len(group), size.length, size.side
     start = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if n else np.zeros(0, np.int64)
-    size = np.diff(np.append(start, n))
-    sides = (Strings(left), Strings(right))
+    sizes = np.diff(np.append(start, n))
+    sides = (Strings(left, widest), Strings(right, widest))
     best, before, after, sorted_rows = [], [], [], []
     for strings in sides:
-        order = merge_sort(strings, start, size)
+        order = merge_sort(strings, start, sizes)
         inner = np.ones(max(n - 1, 0), bool)
         inner[start[1:] - 1] = False
         a, b = order[:-1][inner], order[1:][inner]
@@ -217,8 +272,8 @@ def repeated_spans(left: list[bytes], right: list[bytes], group: np.ndarray) ->
         after.append(down)
         sorted_rows.append((order, shared))
     most_left, most_right = best
-    # string j needs j equal bytes on the left and SIDE - j on the right
-    low, high = np.maximum(SIDE - most_right, 0), np.minimum(most_left, SIDE)
+    # string j needs j equal bytes on the left and side - j on the right
+    low, high = np.maximum(widest - most_right, 0), np.minimum(most_left, widest)
     hope = (most_left >= 0) & (low <= high)
     done = np.zeros(n, bool)
     rows = np.arange(n)
@@ -227,27 +282,27 @@ def repeated_spans(left: list[bytes], right: list[bytes], group: np.ndarray) ->
             ask = np.flatnonzero(hope & ~done & (partner >= 0))
             both = [sides[k].checked(rows[ask], partner[ask]) for k in (0, 1)]
             done[ask] = (both[0] >= most_left[ask]) & (both[1] >= most_right[ask])
-    found = [(int(i), -int(high[i]), LENGTH - int(low[i])) for i in np.flatnonzero(done)]
+    found = [(int(i), -int(high[i]), length - int(low[i])) for i in np.flatnonzero(done)]
     rest = np.flatnonzero(hope & ~done)
     if len(rest):
-        found += _each_string(sorted_rows, group, rest, low, high)
+        found += _each_string(sorted_rows, group, rest, low, high, length, widest)
     return found
 
 
-def _each_string(sorted_rows: list, group: np.ndarray, rest: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[tuple[int, int, int]]:
+def _each_string(sorted_rows: list, group: np.ndarray, rest: np.ndarray, low: np.ndarray, high: np.ndarray, length: int, side: int) -> list[tuple[int, int, int]]:
     """Rows whose best neighbours differ to the left and right: their strings one by one, against all of the group.
 
     In either order, rows that share d bytes are a run without a common extension below d, so the two runs of a row, at j
-    bytes to the left and SIDE - j to the right, name string j exactly.
+    bytes to the left and side - j to the right, name string j exactly.
     """
     n = len(group)
     (by_left, shared_left), (by_right, shared_right) = sorted_rows
     wanted = np.isin(group, np.unique(group[rest]))
     left, right = np.empty(n, np.int64), np.empty(n, np.int64)
-    again = np.zeros((n, SIDE + 2), bool)
+    again = np.zeros((n, side + 2), bool)
     for j in range(int(low[rest].min()), int(high[rest].max()) + 1):
         rows = np.flatnonzero(wanted & (low <= j) & (j <= high))
-        left[by_left], right[by_right] = np.cumsum(shared_left < j), np.cumsum(shared_right < SIDE - j)
+        left[by_left], right[by_right] = np.cumsum(shared_left < j), np.cumsum(shared_right < side - j)
         name = left[rows] * (n + 1) + right[rows]
         order = np.argsort(name)
         same = name[order][1:] == name[order][:-1]
@@ -256,14 +311,15 @@ def _each_string(sorted_rows: list, group: np.ndarray, rest: np.ndarray, low: np
     again = again[rest]
     edge = np.diff(again, axis=1, prepend=False)
     row, at = np.nonzero(edge)  # starts and ends of runs alternate within a row
-    return [(int(rest[i]), -(int(end) - 1), LENGTH - int(begin)) for i, begin, end in zip(row[::2], at[::2], at[1::2], strict=True)]
+    return [(int(rest[i]), -(int(end) - 1), length - int(begin)) for i, begin, end in zip(row[::2], at[::2], at[1::2], strict=True)]
 
 
 # -- operator ------------------------------------------------------------------------------------------------------
 
 
-def _surroundings(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+def _surroundings(texts: DataFrame, wanted: DataFrame, size: Size) -> DataFrame:
     """seed, proof (second hash of the seed), around, left (reversed), right of every wanted place."""
+    side, seed = size.side, size.seed
     lists = wanted.groupBy("ref").agg(F.collect_list(F.struct("place", "seed", "around")).alias("want"))
     rows = texts.join(lists.hint("merge"), "ref").select("data", F.col("want.place").alias("place"), F.col("want.seed").alias("seed"), F.col("want.around").alias("around"))
 
@@ -273,10 +329,10 @@ def _surroundings(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 raw = batch.column("data")[i].as_buffer()
                 data = np.frombuffer(raw, np.uint8)
                 place = batch.column("place")[i].values.to_numpy()
-                proof = ta.PrefixHash(data, 1).ranges(place, place + SEED).view(np.int64)
+                proof = ta.PrefixHash(data, 1).ranges(place, place + seed).view(np.int64)
                 view = raw.to_pybytes()
-                left = [view[max(0, p - SIDE) : p][::-1] for p in place.tolist()]
-                right = [view[p + SEED : p + SEED + SIDE] for p in place.tolist()]
+                left = [view[max(0, p - side) : p][::-1] for p in place.tolist()]
+                right = [view[p + seed : p + seed + side] for p in place.tolist()]
                 yield pa.record_batch(
                     [batch.column("seed")[i].values, pa.array(proof), batch.column("around")[i].values, pa.array(left, pa.binary()), pa.array(right, pa.binary())],
                     names=["seed", "proof", "around", "left", "right"],
@@ -288,13 +344,13 @@ def _surroundings(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 _SPANS = "seed long, around long, spans array<struct<start:long,end:long>>"
 
 
-def _sorted_spans(rows: DataFrame) -> DataFrame:
+def _sorted_spans(rows: DataFrame, size: Size) -> DataFrame:
     """seed, around, spans for surroundings that share strings with others of their seed."""
     dealt = rows.repartition("seed").sortWithinPartitions("seed", "proof", "around")
 
     def work(seeds: list, arounds: list, left: list, right: list, group: list) -> pa.RecordBatch:
         spans: dict[int, list] = {}
-        for i, start, end in repeated_spans(left, right, np.array(group, np.int64)):
+        for i, start, end in repeated_spans(left, right, np.array(group, np.int64), size):
             spans.setdefault(i, []).append({"start": start, "end": end})
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.record_batch([pa.array([seeds[i] for i in spans], pa.int64()), pa.array([arounds[i] for i in spans], pa.int64()), pa.array(list(spans.values()), kind)], names=["seed", "around", "spans"])
@@ -321,18 +377,21 @@ def _sorted_spans(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, _SPANS)
 
 
-def _counted_spans(rows: DataFrame) -> DataFrame:
+def _counted_spans(rows: DataFrame, size: Size) -> DataFrame:
     """The same for seeds with too many surroundings for one task: every string is a row, counted by its hashes."""
 
+    side = size.side
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                left, right = Strings(part.column("left").to_pylist()), Strings(part.column("right").to_pylist())
-                j = np.arange(SIDE + 1)
-                fits = (left.size[:, None] >= j) & (right.size[:, None] >= SIDE - j)
+                left, right = (Strings(part.column(c).to_pylist(), side) for c in ("left", "right"))
+                j = np.arange(0, side + 1, size.unit)
+                fits = (left.size[:, None] >= j) & (right.size[:, None] >= side - j)
                 row, begin = np.nonzero(fits)
-                hashes = [ta.mix(left.prefix[row, begin] + ta.mix(right.prefix[row, SIDE - begin] + _U(salt))) for salt in (1, 2)]
+                begin = j[begin]
+                hashes = [ta.mix(left.prefix[row, begin] + ta.mix(right.prefix[row, side - begin] + _U(salt))) for salt in (1, 2)]
                 index = pa.array(row)
                 columns = [part.column(c).take(index) for c in ("seed", "proof", "around")]
                 yield pa.record_batch([*columns, pa.array(begin), *(pa.array(h.view(np.int64)) for h in hashes)], names=["seed", "proof", "around", "j", "h1", "h2"])
@@ -340,20 +399,20 @@ def _counted_spans(rows: DataFrame) -> DataFrame:
     strings = rows.mapInArrow(run, "seed long, proof long, around long, j long, h1 long, h2 long").distinct()
     keys = ["seed", "proof", "j", "h1", "h2"]
     again = strings.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    span = F.struct((-F.col("j")).alias("start"), (F.lit(LENGTH) - F.col("j")).cast("long").alias("end"))
+    span = F.struct((-F.col("j")).alias("start"), (F.lit(size.length) - F.col("j")).cast("long").alias("end"))
     return strings.join(again.hint("merge"), keys, "left_semi").groupBy("seed", "around").agg(F.collect_list(span).alias("spans"))
 
 
-def removals(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def removals(df: DataFrame, size: Size = BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, spans, texts) over the rows (doc_id, text) of ``df``; other columns are not read.
 
     documents: ref (hash of the text), doc_id, n_bytes, sha256 of every row. spans: ref, spans (start, end in bytes; sorted,
     they may overlap), for every text with removed bytes. texts: ref and bytes of all texts with partly removed bytes, and some
-    more. A byte goes if it lies in a string of LENGTH bytes that also starts elsewhere, in any text; matches never
-    cross texts. Null texts are empty; texts below LENGTH bytes lose nothing. Repeated rows are copies: a text of LENGTH
-    bytes with a copy goes whole.
+    more. A byte goes if it lies in a string of ``size`` that also starts elsewhere, in any text; matches never
+    cross texts. Null texts are empty; shorter texts lose nothing. Repeated rows are copies: a text of that
+    length with a copy goes whole. Counted in words, n_bytes, spans and bytes are those of the words' hashes.
     """
-    rows = stored(_anchor_rows(df), "anchors")
+    rows = stored(_anchor_rows(df, size), "anchors")
     documents = rows.select("ref", "doc_id", "n_bytes", "sha256")
     copies = documents.groupBy("ref").agg(F.count("*").alias("copies"), F.min(F.coalesce("doc_id", F.lit(0))).alias("first_id"), F.max("n_bytes").alias("n_bytes"))
     unfolded = rows.select("ref", "n_bytes", F.inline(F.arrays_zip("places", "seeds", "arounds"))).toDF("ref", "n_bytes", "place", "seed", "around")
@@ -363,7 +422,7 @@ def removals(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     again = stored(seeds.where("n > 1").select("seed", (F.col("low") != F.col("high")).alias("differs")), "seeds")
     possible = _filtered(unfolded, "seed", bloom.build(again, "seed")).distinct()  # copies of a text fall together
     places = stored(possible.join(again.hint("merge"), "seed"), "places")
-    whole = F.struct((F.col("place") - F.least("place", F.lit(SIDE))).alias("start"), F.least(F.col("place") + LENGTH, "n_bytes").alias("end"))
+    whole = F.struct((F.col("place") - F.least("place", F.lit(size.side))).alias("start"), F.least(F.col("place") + size.length, "n_bytes").alias("end"))
     equal = places.where("NOT differs").select("ref", whole.alias("span"))
 
     # one place for each kind of surroundings; those that occur again are removed without a comparison
@@ -371,14 +430,14 @@ def removals(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     kinds = differing.groupBy("seed", "around").agg(F.count("*").alias("n"), F.min("ref").alias("ref"), F.min_by("place", "ref").alias("place"))
     kinds = stored(kinds, "kinds")
     firsts = places.select("ref").distinct().join(copies.hint("merge"), "ref").select(F.xxhash64("ref", "first_id").alias("key"))
-    texts = stored(_possible_texts(df, bloom.build(firsts, "key")), "texts")
-    around = _surroundings(texts, kinds.select("ref", "place", "seed", "around"))
+    texts = stored(_possible_texts(df, bloom.build(firsts, "key"), size), "texts")
+    around = _surroundings(texts, kinds.select("ref", "place", "seed", "around"), size)
     large = stored(kinds.groupBy("seed").agg(F.count("*").alias("m")).where(F.col("m") > LARGEST).select("seed"), "large-seeds")
     if large.isEmpty():
-        compared = _sorted_spans(around)
+        compared = _sorted_spans(around, size)
     else:
         around = stored(around, "surroundings")
-        compared = _sorted_spans(around.join(large, "seed", "left_anti")).unionByName(_counted_spans(around.join(large, "seed", "left_semi")))
+        compared = _sorted_spans(around.join(large, "seed", "left_anti"), size).unionByName(_counted_spans(around.join(large, "seed", "left_semi"), size))
     known = kinds.where("n > 1").select("seed", "around", F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
     single = compared.join(kinds.where("n = 1").select("seed", "around").hint("merge"), ["seed", "around"], "left_semi")
     decided = stored(known.unionByName(single), "decided")
@@ -386,7 +445,7 @@ def removals(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     shifted = F.transform("spans", lambda s: F.struct((F.col("place") + s["start"]).alias("start"), (F.col("place") + s["end"]).alias("end")))
     different = met.select("ref", F.explode(F.coalesce(shifted, F.array(whole))).alias("span"))
 
-    twice = copies.where(F.col("copies") > 1).where(F.col("n_bytes") >= LENGTH).select("ref", F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")).alias("span"))
+    twice = copies.where(F.col("copies") > 1).where(F.col("n_bytes") >= size.length).select("ref", F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")).alias("span"))
     every = equal.unionByName(different).unionByName(twice).distinct()
     gathered = every.groupBy("ref").agg(F.array_sort(F.collect_list("span")).alias("spans"))
     return documents, stored(gathered, "spans"), texts
@@ -399,10 +458,30 @@ def joined(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[fresh], reach[np.append(np.flatnonzero(fresh)[1:] - 1, len(ends) - 1)]
 
 
-def _cut(data: bytes, spans: pa.ListScalar) -> tuple[bytes, int, int]:
-    """What is left of a text, and the number of removed bytes and runs."""
+def _bounds(spans: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
     fields = spans.values
-    starts, ends = joined(fields.field("start").to_numpy(), fields.field("end").to_numpy())
+    return fields.field("start").to_numpy(), fields.field("end").to_numpy()
+
+
+def _word_bounds(data: bytes, spans: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    """Spans over the hashes of words as spans of bytes: whole words, each with the white space behind it."""
+    starts, _, _ = ta.words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    starts = np.append(starts, len(data))
+    starts[0] = 0
+    first, last = _bounds(spans)
+    return starts[-(-first // WORD)], starts[last // WORD]
+
+
+def _cut(data: bytes, spans: pa.ListScalar, word_spans: pa.ListScalar | None = None) -> tuple[bytes, int, int]:
+    """What is left of a text, and the number of removed bytes and runs."""
+    found = [_bounds(spans)] if spans.is_valid else []
+    if word_spans is not None and word_spans.is_valid:
+        found.append(_word_bounds(data, word_spans))
+    starts, ends = (np.concatenate(x) for x in zip(*found, strict=True))
+    if len(found) > 1:
+        order = np.argsort(starts, kind="stable")
+        starts, ends = starts[order], ends[order]
+    starts, ends = joined(starts, ends)
     keep = zip([0, *ends.tolist()], [*starts.tolist(), len(data)], strict=True)
     return b"".join(data[a:b] for a, b in keep), int((ends - starts).sum()), len(starts)
 
@@ -428,13 +507,20 @@ def removed_digests(df: DataFrame) -> DataFrame:
     return named.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept", "sha256").alias("kept_sha256"))
 
 
-def remove(df: DataFrame) -> DataFrame:
+def remove(df: DataFrame, words: int | None = None) -> DataFrame:
     """The rows of ``df`` with all columns and the repeated bytes cut out of ``text``.
 
+    With ``words``, passages of so many words that occur twice go too, whatever their bytes and the white space between them.
+
     Rows that lose nothing are neither shuffled nor changed. A character cut in half goes whole. Rows that lose all stay,
     with an empty text.
     """
-    _, spans, _ = removals(df)
+    spans = removals(df)[1].withColumnRenamed("spans", "bytes")
+    if words is None:
+        spans = spans.withColumn("words", F.lit(None).cast(spans.schema["bytes"].dataType))
+    else:
+        more = removals(df, Size(words, WORD))[1].withColumnRenamed("spans", "words")
+        spans = stored(spans.join(more.hint("merge"), "ref", "full_outer"), "both-spans")
     bits, names = bloom.build(spans, "ref"), df.columns
     ref = next(name for k in range(len(names) + 1) if (name := f"_ref{k}") not in names)
 
@@ -446,15 +532,15 @@ def remove(df: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = dict(zip(names, batch.column("_row").flatten(), strict=True))
-            lists, texts = batch.column("_spans"), columns["text"]
+            (lists, more), texts = batch.column("_spans").flatten(), columns["text"]
             columns["text"] = pa.array(
-                [_cut(texts[i].as_py().encode(), lists[i])[0].decode("utf-8", "ignore") if lists[i].is_valid else texts[i].as_py() for i in range(batch.num_rows)], pa.string()
+                [_cut(texts[i].as_py().encode(), lists[i], more[i])[0].decode("utf-8", "ignore") if lists[i].is_valid or more[i].is_valid else texts[i].as_py() for i in range(batch.num_rows)], pa.string()
             )
             yield pa.record_batch(list(columns.values()), names=names)
 
     schema = T.StructType([*df.schema.fields, T.StructField(ref, T.LongType())])
     marked = df.mapInArrow(mark, schema)
     unsure = marked.where(F.col(ref).isNotNull()).select(F.struct(*names).alias("_row"), F.col(ref).alias("_ref"))
-    named = spans.select(F.col("ref").alias("_key"), F.col("spans").alias("_spans"))
+    named = spans.select(F.col("ref").alias("_key"), F.struct("bytes", "words").alias("_spans"))
     touched = unsure.join(named.hint("merge"), F.col("_ref") == F.col("_key"), "left").select("_row", "_spans")
     return marked.where(F.col(ref).isNull()).select(*names).unionByName(touched.mapInArrow(cut, df.schema))
