@@ -34,28 +34,34 @@ def _yearly(spark, df: DataFrame, year: str, name: str, run) -> None:
         run(spark.readStream.schema(rows.schema).parquet(path)).awaitTermination()
 
 
-def _quote_rows(spark, sf):
-    return views.quote_records(spark, sf).filter(F.col("event_ns").isNotNull())
-
-
 def _collected(spark, stream: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     jobs.run_to_table(stream, path, scratch(spark, name + "-checkpoint"))
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def _split(spark, stream: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The stream's quotes with an instant, and the table of those without one, which the job rejects."""
+    readable, rejected = sq.split_readable(stream)
+    return readable, _collected(spark, rejected, name + "-rejected")
+
+
 @query(
     "O1",
     with_views(M.EVENTS, M.QUOTE_RECORDS)
     + "SELECT symbol, count(*) AS quotes, min(event_ns) AS first_ns, max(event_ns) AS last_ns FROM (SELECT DISTINCT symbol, event_ns, bid, ask, bid_size, ask_size, cond_ok, tape FROM qrec WHERE event_ns IS NOT NULL) GROUP BY 1",
 )
 def stream_deduplicated_quotes(spark, sf):
-    stream = sq.with_event_time(_staged(spark, _quote_rows(spark, sf), "quotes"))
-    unique = sq.deduplicate(stream, ["symbol", "event_ns", "identity"], "60 days")
+    return _deduplicated(spark, sf)[0]
+
+
+def _deduplicated(spark, sf) -> tuple[DataFrame, DataFrame]:
+    readable, rejected = _split(spark, _staged(spark, views.quote_records(spark, sf), "quotes"), "dedup")
+    unique = sq.deduplicate(sq.with_event_time(readable), ["symbol", "event_ns", "identity"], "60 days")
     rows = _collected(spark, unique.select("symbol", "event_ns"), "dedup")
     return rows.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("quotes"), F.min("event_ns").alias("first_ns"), F.max("event_ns").alias("last_ns")
-    )
+    ), rejected
 
 
 @query(
@@ -67,7 +73,11 @@ def stream_deduplicated_quotes(spark, sf):
 )
 def stream_hourly_spreads(spark, sf):
     """Tumbling windows in append mode; one far-future row closes every window."""
-    rows = _quote_rows(spark, sf)
+    return _hourly(spark, sf)[0]
+
+
+def _hourly(spark, sf) -> tuple[DataFrame, DataFrame]:
+    rows = views.quote_records(spark, sf)
     path = scratch(spark, "hours")
     rows.write.parquet(path)
     sentinel = rows.agg(F.max("event_ns").alias("event_ns")).select(
@@ -76,12 +86,12 @@ def stream_hourly_spreads(spark, sf):
     )
     sentinel.coalesce(1).write.mode("append").parquet(path)
     schema = rows.schema
-    stream = sq.with_event_time(spark.readStream.schema(schema).parquet(path))
-    out = _collected(spark, sq.minute_windows(stream, "60 days", "1 hour"), "hourly")
+    readable, rejected = _split(spark, spark.readStream.schema(schema).parquet(path), "hourly")
+    out = _collected(spark, sq.minute_windows(sq.with_event_time(readable), "60 days", "1 hour"), "hourly")
     return out.filter(F.col("symbol") != "~").select(
         "symbol", F.unix_micros("window_start").alias("window_us"), "quotes", "invalid",
         F.round("min_spread_bps", 6).alias("min_spread_bps"), F.round("max_spread_bps", 6).alias("max_spread_bps"),
-    )
+    ), rejected
 
 
 @query(
@@ -90,12 +100,28 @@ def stream_hourly_spreads(spark, sf):
     + "SELECT symbol, w, event_ns, updates>1 AS ambiguous, valid, CASE WHEN valid THEN bid END AS bid, CASE WHEN valid THEN ask END AS ask FROM inst2 QUALIFY row_number() OVER (PARTITION BY symbol, w ORDER BY event_ns DESC)=1",
 )
 def stream_last_states(spark, sf):
-    stream = _staged(spark, _quote_rows(spark, sf), "states")
+    return _last_states(spark, sf)[0]
+
+
+def _last_states(spark, sf) -> tuple[DataFrame, DataFrame]:
+    readable, rejected = _split(spark, _staged(spark, views.quote_records(spark, sf), "states"), "last-states")
     path = scratch(spark, "last-states")
     jobs.run_complete(
-        sq.last_states(stream, ["symbol", "w"]), lambda df: df.write.mode("overwrite").parquet(path), scratch(spark, "last-states-checkpoint")
+        sq.last_states(readable, ["symbol", "w"]), lambda df: df.write.mode("overwrite").parquet(path), scratch(spark, "last-states-checkpoint")
     )
-    return spark.read.parquet(path)
+    return spark.read.parquet(path), rejected
+
+
+@query(
+    "O1 O2 O3",
+    with_views(M.EVENTS, M.QUOTE_RECORDS)
+    + "SELECT job, symbol, w, 'invalid_or_naive_timestamp' AS reason, count(*) AS quotes FROM qrec, (VALUES ('O1'),('O2'),('O3')) AS jobs(job) WHERE event_ns IS NULL GROUP BY 1,2,3",
+)
+def stream_rejected_quotes(spark, sf):
+    """Quotes without a readable instant that the three quote jobs rejected, copies included, per job and window."""
+    rejects = [run(spark, sf)[1].select(F.lit(job).alias("job"), "symbol", "w", "reason") for job, run in (("O1", _deduplicated), ("O2", _hourly), ("O3", _last_states))]
+    every = rejects[0].unionByName(rejects[1]).unionByName(rejects[2])
+    return every.groupBy("job", "symbol", "w", "reason").agg(F.count(F.lit(1)).alias("quotes"))
 
 
 @query(

@@ -19,6 +19,12 @@ def with_event_time(quotes: DataFrame, time: str = "event_ns") -> DataFrame:
     return quotes.withColumn("event_time", F.timestamp_micros(F.expr(f"{time} div 1000")))
 
 
+def split_readable(quotes: DataFrame, time: str = "event_ns") -> tuple[DataFrame, DataFrame]:
+    """(quotes with an instant, those without one and the reason); a watermark would drop the latter unseen."""
+    rejected = quotes.filter(F.col(time).isNull()).withColumn("reason", F.lit("invalid_or_naive_timestamp"))
+    return quotes.filter(F.col(time).isNotNull()), rejected
+
+
 def deduplicate(quotes: DataFrame, keys: list[str], lateness: str = "10 minutes") -> DataFrame:
     """Exact copies arriving within the lateness bound are dropped."""
     return quotes.withWatermark("event_time", lateness).dropDuplicatesWithinWatermark(keys)
