@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, codebooks, interactions, ngram_join, packing, phrases, quality, repeats, tokens, training_order, urls, warc
+from . import articles, chat, codebooks, interactions, ngram_join, packing, phrases, quality, repeats, tokens, training_order, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op11_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return articles.extract(_table(spark, sf_dir, "pages"))
+
+
 def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -61,5 +65,5 @@ def op13_cover_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codebooks.coded(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc_packages, op3_url_filter, op4_training_order, op5_prefix_target_chat, op6_compression_bands, op7_best_fit_packing, op8_bpe, op9_suffix_dedup, op10_phrase_fingerprints, op12_filter_interactions, op13_cover_tree_codes)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc_packages, op3_url_filter, op4_training_order, op5_prefix_target_chat, op6_compression_bands, op7_best_fit_packing, op8_bpe, op9_suffix_dedup, op10_phrase_fingerprints, op11_tag_path_text, op12_filter_interactions, op13_cover_tree_codes)}
 ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": ngram_join.GROUPS_SQL, "op2_warc_packages": warc.DIGEST_SQL, "op5_prefix_target_chat": chat.DIGEST_SQL, "op12_filter_interactions": interactions.AUDIT_SQL, "op13_cover_tree_codes": codebooks.CODED_SQL}
