@@ -118,14 +118,14 @@ def _integers(df: DataFrame) -> DataFrame:
     """vec_id, label, vector: kept rows with their components as integers."""
     value = F.col("embedding")
     finite = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
-    kept = df.where(value.isNotNull() & finite).select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), value.alias("embedding")
-    )
     limit = F.lit(LARGEST / SCALE)
     scaled = lambda x: F.when(F.abs(x.cast("double")) < limit, F.floor(SCALE * x.cast("double"))).otherwise(
         F.raise_error(F.lit(f"a component beyond {LARGEST // SCALE}")).cast("long")
     )
-    return kept.select("vec_id", "label", F.transform("embedding", scaled).alias("vector"))
+    # One expression: a filter of its own could be moved behind the conversion, which raises.
+    vector = F.when(value.isNotNull() & finite, F.transform(value, scaled))
+    whole = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), vector.alias("vector"))
+    return whole.where("vector IS NOT NULL")
 
 
 def trees(kept: DataFrame, size: int, parts: int) -> DataFrame:
