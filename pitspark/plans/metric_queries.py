@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import boosting
 from ..operators import features as feat
 from ..operators import metrics as met
 from ..operators import models
@@ -11,6 +12,7 @@ from ..operators import regime as reg
 from ..operators import timing
 from ..operators import walkforward as wf
 from . import oracle_features as O
+from . import oracle_trees as T
 from . import oracle_views as V
 from . import views
 from .feature_queries import _DATASET, _NOT_NULL, _SCHEDULE, _TIMING
@@ -344,3 +346,31 @@ def logistic_walk_forward(spark, sf):
 @query("H3 H6 H7", _panel_sql("'gradient_boosting'"))
 def boosted_walk_forward(spark, sf):
     return _panel(spark, sf, ["gradient_boosting"])
+
+
+_TREES = 2
+
+
+@query(
+    "H6",
+    V.with_views(
+        V.BARS, O.raw_features(), _DATASET, fold_ctes("dataset"),
+        f"""train AS MATERIALIZED (SELECT foldt.fold, row_number() OVER () AS rid, target, {', '.join(f'round({c},9) AS {c}' for c in O.FEATURES)}
+  FROM dataset JOIN dated USING (d) JOIN foldt ON dated.idx<train_to)""",
+        T.binned("train", O.FEATURES), T.trees("train", _TREES),
+    )
+    + """SELECT fold::INTEGER AS fold, tree::INTEGER AS tree, step::INTEGER AS step, node, feature::INTEGER AS feature, round(threshold,6) AS threshold, round(gain,6) AS gain,
+  left_rows::BIGINT AS left_rows, right_rows::BIGINT AS right_rows, round(left_value,8) AS left_value, round(right_value,8) AS right_value FROM splits""",
+)
+def boosted_first_trees(spark, sf):
+    """All splits of the first trees of every fold on the ten daily features, with the frozen settings."""
+    data = views.stored(feat.daily_dataset(views.stored(views.bars(spark, sf))))
+    dated = wf.fold_dates(data, _P)
+    plan = wf.folds(dated, _P).collect()  # at most max_folds rows
+    rounded = [F.round(c, 9).alias(c) for c in O.FEATURES]
+    indexed = data.join(dated.select("d", "idx"), "d").select(*rounded, "target", "idx")
+    is_known = {int(f["fold"]): F.col("idx") < int(f["train_to"]) for f in plan}
+    fitted = models.boosted_folds(indexed, O.FEATURES, is_known, trees=_TREES)
+    found = boosting.split_table(spark, fitted).withColumn("fold", F.col("grp").cast("int"))
+    return found.select("fold", "tree", "step", "node", "feature", *r6("threshold", "gain"), "left_rows", "right_rows",
+                        *[F.round(c, 8).alias(c) for c in ("left_value", "right_value")])
