@@ -82,18 +82,34 @@ def _notional(amount: Column) -> Column:
     return (amount * F.col("price").cast(AMOUNT) * F.col("multiplier").cast("decimal(6,0)")).cast(MONEY)
 
 
+# The average after a fill is a*average + b, its profit r0 + r1*average. Digits behind the point are chosen so that
+# products of two fit into 38 digits after rounding; a factor is kept to 30 digits, a price to 20, a profit to 18.
+_FACTOR, _PRICE, _CLOSED, _PROFIT = "decimal(31,30)", "decimal(28,20)", "decimal(34,24)", "decimal(36,18)"
+_HALF_FACTOR = 10**15
+
+
+def _effect(a: Column, b: Column, r0: Column, r1: Column) -> list[Column]:
+    return [a.cast(_FACTOR).alias("a"), b.cast(_PRICE).alias("b"), r0.cast(_PROFIT).alias("r0"), r1.cast(_CLOSED).alias("r1")]
+
+
+def _after(average: Column, effect: Column) -> Column:
+    """Average price behind a stretch of fills."""
+    return ((effect["a"] * average).cast(_PRICE) + effect["b"]).cast(_PRICE)
+
+
+def _gain(average: Column, effect: Column) -> Column:
+    """Profit within a stretch of fills."""
+    return (effect["r0"] + (effect["r1"] * average).cast(_PROFIT)).cast(_PROFIT)
+
+
 def _compose(first: Column, second: Column) -> Column:
-    """Two consecutive stretches of fills as one: average -> a*average + b, profit r0 + r1*average."""
-    return F.struct(
-        (second["a"] * first["a"]).alias("a"),
-        (second["a"] * first["b"] + second["b"]).alias("b"),
-        (first["r0"] + second["r0"] + second["r1"] * first["b"]).alias("r0"),
-        (first["r1"] + second["r1"] * first["a"]).alias("r1"),
-    )
+    """Two consecutive stretches of fills as one."""
+    slope = first["r1"] + (second["r1"] * first["a"]).cast(_CLOSED)
+    return F.struct(*_effect(second["a"] * first["a"], _after(first["b"], second), first["r0"] + _gain(first["b"], second), slope))
 
 
 def _identity() -> Column:
-    return F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("r0"), F.lit(0.0).alias("r1"))
+    return F.struct(*_effect(F.lit(1), F.lit(0), F.lit(0), F.lit(0)))
 
 
 def _fold(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -106,8 +122,18 @@ def _fold(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return listed.select(*keys, "signed", "fills", folded.alias("_f")).select(*keys, "signed", "fills", "_f.*")
 
 
+def _share(part: Column, whole: Column) -> Column:
+    """part / whole to 30 digits, by two long divisions of 15 (a decimal quotient keeps 20 at most)."""
+    n, d = ((x * 10**8).cast("decimal(18,0)") for x in (part, whole))
+    first = (n * _HALF_FACTOR).cast("decimal(34,0)")
+    rest = (F.pmod(first, d) * _HALF_FACTOR).cast("decimal(34,0)")
+    unit = F.lit(1).cast("decimal(1,0)") / F.lit(_HALF_FACTOR).cast("decimal(16,0)")
+    part_of_one = lambda x: (F.floor((x - F.pmod(x, d)) / d).cast("decimal(16,0)") * unit.cast("decimal(16,15)")).cast("decimal(17,15)")
+    return (part_of_one(first).cast(_FACTOR) + (part_of_one(rest) * unit.cast("decimal(16,15)")).cast(_FACTOR)).cast(_FACTOR)
+
+
 def fill_effects(fills: DataFrame, levels: list[str], order: list[str], key: str = "symbol", opening: DataFrame | None = None):
-    """Each fill as an affine effect on the average cost.
+    """Each fill as an affine effect on the average cost, in decimals.
 
     The position before a fill is a running sum, which fixes whether it opens, adds,
     reduces or flips; given that, the new average is a*average + b and the realised
@@ -119,68 +145,70 @@ def fill_effects(fills: DataFrame, levels: list[str], order: list[str], key: str
     if opening is not None:
         start = opening.select(key, F.col("quantity").cast(MONEY).alias("_open"))
         placed = placed.join(start, key, "left").withColumn("_after", F.col("_after") + F.coalesce("_open", F.lit(0)))
-    q1 = F.col("_after").cast("double")
-    q0 = (F.col("_after") - F.col("_s")).cast("double")
-    sd, p = F.col("_s").cast("double"), F.col("price").cast("double")
-    adds = (q0 == 0) | (q0 * sd > 0)
-    flat, flips = q1 == 0, q0 * q1 < 0
-    closed = F.least(F.abs(q0), F.abs(sd)) * F.signum(q0) * F.col("multiplier").cast("double")
-    size = F.abs(q0) + F.abs(sd)
-    zero = F.lit(0.0)
-    return placed.select(
+    placed = placed.withColumns({"_q1": F.col("_after").cast(AMOUNT), "_q0": (F.col("_after") - F.col("_s")).cast(AMOUNT)})
+    q0, q1, sd, price = F.col("_q0"), F.col("_q1"), F.col("_s"), F.col("price").cast(AMOUNT)
+    adds = (q0 == 0) | (F.signum(q0) == F.signum(sd))
+    flips = F.signum(q0) * F.signum(q1) < 0
+    size = (F.abs(q0) + F.abs(sd)).cast(AMOUNT)
+    kept = F.when(size > 0, _share(F.abs(q0).cast(AMOUNT), size)).otherwise(F.lit(1).cast(_FACTOR))
+    closed = (F.least(F.abs(q0), F.abs(sd)) * F.signum(q0).cast("decimal(1,0)")).cast(AMOUNT)
+    multiplier = F.col("multiplier").cast("decimal(6,0)")
+    zero = F.lit(0).cast(_PRICE)
+    added = ((F.lit(1).cast("decimal(1,0)") - F.col("_kept")).cast(_FACTOR) * price).cast(_PRICE)
+    return placed.withColumn("_kept", kept).select(
         key, *levels, *order,
-        F.when(adds, F.try_divide(F.abs(q0), size)).when(flat | flips, zero).otherwise(1.0).alias("a"),
-        F.when(adds, F.try_divide(F.abs(sd) * p, size)).when(flips, p).otherwise(zero).alias("b"),
-        F.when(adds, zero).otherwise(closed * p).alias("r0"),
-        F.when(adds, zero).otherwise(-closed).alias("r1"),
+        *_effect(
+            F.when(adds, F.col("_kept")).when((q1 == 0) | flips, F.lit(0).cast(_FACTOR)).otherwise(F.lit(1).cast(_FACTOR)),
+            F.when(adds, added).when(flips, price.cast(_PRICE)).otherwise(zero),
+            F.when(adds, F.lit(0).cast(_PROFIT)).otherwise(((closed * price).cast("decimal(30,16)") * multiplier).cast(_PROFIT)),
+            F.when(adds, F.lit(0).cast(_CLOSED)).otherwise((-closed * multiplier).cast(_CLOSED)),
+        ),
         F.col("_s").alias("signed"),
         F.lit(1).cast("bigint").alias("fills"),
     )
 
 
+QUANTITY = "decimal(28,8)"
+
+
 def average_cost(
     fills: DataFrame, day: str, bin_: str, order: list[str], key: str = "symbol", opening: DataFrame | None = None
 ) -> DataFrame:
-    """Per (symbol, day): closing quantity, average price and realised profit, flips included.
+    """Per (symbol, day): fills, closing quantity, average price and realised profit, flips included, in decimals.
 
-    Fills are folded per (symbol, day, key range), key ranges per day, and only the
-    daily effects of a symbol (bounded by the calendar) are chained in order.
+    Fills are folded per (symbol, day, key range) and key ranges per day; the daily effects
+    of a symbol (bounded by the calendar) are chained by one aggregate over their array.
+    Prices below 10^8, positions below 10^10 and profits below 10^18 fit; larger ones raise.
     """
     effects = fill_effects(fills, [day, bin_], order, key, opening)
     per_bin = _fold(effects, [key, day, bin_], order)
     per_day = _fold(per_bin, [key, day], [bin_])
-    columns = f"{key} string, {day} date, fills bigint, quantity decimal(28,8), average_price double, realized_day double, realized_pnl double"
-
-    start = None
-    if opening is not None:
-        start = opening.select(key, F.col("quantity").cast("double").alias("_q"), F.col("average_price").alias("_avg"),
-                               F.col("realized_pnl").alias("_pnl"))
-        per_day = per_day.join(start, key, "left")
+    daily = F.struct(day, "fills", F.col("signed").cast(QUANTITY).alias("signed"), F.struct("a", "b", "r0", "r1").alias("e"))
+    chained = per_day.groupBy(key).agg(F.array_sort(F.collect_list(daily)).alias("_l"))
+    if opening is None:
+        start = chained.select("*", *[F.lit(None).alias(c) for c in ("_q", "_avg", "_pnl")])
     else:
-        per_day = per_day.withColumns({"_q": F.lit(0.0), "_avg": F.lit(0.0), "_pnl": F.lit(0.0)})
-
-    def chain(pdf):
-        pdf = pdf.sort_values(day)
-        first = pdf.iloc[0].fillna(0.0) if pdf[["_q", "_avg", "_pnl"]].isna().any().any() else pdf.iloc[0]
-        average, realized = float(first["_avg"]), float(first["_pnl"])
-        averages, days, totals = [], [], []
-        for a, b, r0, r1 in zip(pdf["a"], pdf["b"], pdf["r0"], pdf["r1"]):
-            gain = r0 + r1 * average
-            average = a * average + b
-            realized += gain
-            averages.append(average)
-            days.append(gain)
-            totals.append(realized)
-        return pdf.assign(
-            quantity=pdf["signed"].cumsum(), average_price=averages, realized_day=days, realized_pnl=totals
-        )[[key, day, "fills", "quantity", "average_price", "realized_day", "realized_pnl"]]
-
-    out = per_day.groupBy(key).applyInPandas(chain, columns)
-    if opening is not None:
-        out = out.join(start.select(key, "_q"), key, "left").withColumn(
-            "quantity", (F.col("quantity") + F.coalesce("_q", F.lit(0.0)).cast("decimal(28,8)")).cast("decimal(28,8)")
-        ).drop("_q")
-    return out
+        start = chained.join(
+            opening.select(key, F.col("quantity").alias("_q"), F.col("average_price").alias("_avg"), F.col("realized_pnl").alias("_pnl")), key, "left"
+        )
+
+    def state(quantity: Column, average: Column, gain: Column, realized: Column, at: Column, fills_: Column) -> Column:
+        return F.struct(
+            at.alias(day), fills_.cast("bigint").alias("fills"), quantity.cast(QUANTITY).alias("quantity"), average.cast(_PRICE).alias("average_price"),
+            gain.cast(_PROFIT).alias("realized_day"), realized.cast(_PROFIT).alias("realized_pnl"),
+        )
+
+    none = F.lit(0)
+    first = state(F.coalesce("_q", none), F.coalesce("_avg", none), none, F.coalesce("_pnl", none), F.lit(None).cast(per_day.schema[day].dataType), none)
+
+    def step(states: Column, x: Column) -> Column:
+        last = F.element_at(states, -1)
+        gain = _gain(last["average_price"], x["e"])
+        after = state(last["quantity"] + x["signed"], _after(last["average_price"], x["e"]), gain, last["realized_pnl"] + gain, x[day], x["fills"])
+        return F.array_append(states, after)
+
+    states = F.aggregate("_l", F.array(first), step)
+    return start.select(key, F.inline(F.slice(states, 2, F.size("_l"))))
 
 
 def closing_positions(daily: DataFrame, day: str, key: str = "symbol") -> DataFrame:
@@ -193,18 +221,20 @@ def closing_positions(daily: DataFrame, day: str, key: str = "symbol") -> DataFr
 # ---- portfolio --------------------------------------------------------------
 
 
-def mark_to_market(positions: DataFrame, marks: DataFrame, starting_cash: float) -> DataFrame:
-    """Equity, gross notional and missing marks.
+def mark_to_market(positions: DataFrame, marks: DataFrame, starting_cash) -> DataFrame:
+    """Equity, gross notional, fees (exact decimals) and missing marks.
 
-    ``positions(symbol, quantity, multiplier, cash, fees_paid)``; ``marks(symbol, mark)``.
+    ``positions(symbol, quantity, multiplier, cash, fees_paid)``; ``marks(symbol, mark)``, a mark counts to eight decimals.
     """
     joined = positions.join(marks, "symbol", "left")
-    open_ = F.col("quantity") != 0
-    value = F.col("quantity").cast("double") * F.col("mark") * F.col("multiplier")
+    quantity = F.col("quantity").cast(AMOUNT)
+    open_ = quantity != 0
+    worth = ((quantity * F.col("mark").cast(AMOUNT)).cast("decimal(30,16)") * F.col("multiplier").cast("decimal(6,0)")).cast(_PROFIT)
+    total = lambda value: F.coalesce(F.sum(value), F.lit(0)).cast(_PROFIT)
     return joined.agg(
-        (F.lit(float(starting_cash)) + F.sum(F.col("cash").cast("double")) + F.coalesce(F.sum(F.when(open_, value)), F.lit(0.0))).alias("equity"),
-        F.coalesce(F.sum(F.when(open_, F.abs(value))), F.lit(0.0)).alias("gross_notional"),
-        F.sum(F.col("fees_paid").cast("double")).alias("fees_paid"),
+        (F.lit(starting_cash).cast("decimal(27,8)") + total(F.col("cash").cast(MONEY)) + total(F.when(open_, worth))).cast(_PROFIT).alias("equity"),
+        total(F.when(open_, F.abs(worth))).alias("gross_notional"),
+        total(F.col("fees_paid").cast(MONEY)).alias("fees_paid"),
         F.count_if(open_ & F.col("mark").isNull()).alias("missing_marks"),
     )
 

@@ -17,8 +17,8 @@ from .registry import query
 _NOW = "2000-06-15 21:10:00"
 _ORDER = ["day", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 _ORDER_SQL = "day, l_orderkey, l_partkey, l_suppkey, l_linenumber"
-# Key ranges cut a day of fills; wide enough to be one range on small data.
-_KEY_RANGE = 1 << 26
+# Key ranges cut a day of fills into bins; narrow enough that small data has many.
+_KEY_RANGE = 1 << 10
 
 
 def r(name, digits):
@@ -250,14 +250,38 @@ def position_ledger(spark, sf):
     )
 
 
-@query("N4", None)
+def _money(value: str, digits: int = 24) -> str:
+    """SQL text of a whole number of 10^-digits as decimal text with eight places, halves away from zero."""
+    unit = 10 ** (digits - 8)
+    return f"CAST(CAST((sign({value})*((abs({value})+{unit // 2})//{unit}))::DECIMAL(28,0)*0.00000001::DECIMAL(9,8) AS DECIMAL(28,8)) AS VARCHAR)"
+
+
+# Fill by fill in whole numbers: prices and profits in units of 10^-24, quantities as they are (whole in these tables).
+# The fold keeps the state before each new day.
+_UNITS = 10**24
+_ADDS = "acc.q=0 OR (acc.q>0)=(x.q>0)"
+_FILL_STEP = f"""lambda acc, x: {{'q': acc.q+x.q,
+  'p': CASE WHEN {_ADDS} THEN (abs(acc.q)*acc.p+abs(x.q)*x.p)//(abs(acc.q)+abs(x.q)) WHEN acc.q+x.q=0 THEN 0::HUGEINT WHEN (acc.q>0)<>(acc.q+x.q>0) THEN x.p ELSE acc.p END,
+  'r': acc.r + CASE WHEN {_ADDS} THEN 0::HUGEINT ELSE (x.p-acc.p)*least(abs(acc.q),abs(x.q))*sign(acc.q)::HUGEINT*x.m END, 'm': x.m, 'n': acc.n+1, 'd': x.d,
+  'o': CASE WHEN x.d IS DISTINCT FROM acc.d THEN list_append(acc.o, {{'q': acc.q, 'p': acc.p, 'r': acc.r, 'n': acc.n, 'd': acc.d}}) ELSE acc.o END}}"""
+_STATES = f"""lists AS (SELECT symbol, list({{'q': s::HUGEINT, 'p': (price*100)::HUGEINT*{_UNITS // 100}::HUGEINT, 'r': 0::HUGEINT, 'm': multiplier::HUGEINT, 'n': 0::BIGINT, 'd': day,
+    'o': [{{'q': 0::HUGEINT, 'p': 0::HUGEINT, 'r': 0::HUGEINT, 'n': 0::BIGINT, 'd': day}}]}} ORDER BY {_ORDER_SQL}) AS l FROM feed GROUP BY symbol),
+folded AS (SELECT symbol, list_reduce(l, {_FILL_STEP}, {{'q': 0::HUGEINT, 'p': 0::HUGEINT, 'r': 0::HUGEINT, 'm': 0::HUGEINT, 'n': 0::BIGINT, 'd': NULL::DATE, 'o': l[1].o[:0]}}) AS f FROM lists),
+opened AS (SELECT symbol, unnest(list_append(f.o, {{'q': f.q, 'p': f.p, 'r': f.r, 'n': f.n, 'd': f.d}}), recursive := true) FROM folded),
+states AS (SELECT *, r-lag(r) OVER w AS gained, n-lag(n) OVER w AS fills FROM opened WINDOW w AS (PARTITION BY symbol ORDER BY d NULLS FIRST))"""
+
+
+@query(
+    "N4",
+    V.with_views(V.FILLS, _FEES, _STATES)
+    + f"""SELECT symbol, CAST(d AS VARCHAR) AS day, fills, CAST(q AS VARCHAR) AS quantity, {_money('p')} AS average_price,
+  {_money('gained')} AS realized_day, {_money('r')} AS realized_pnl FROM states WHERE d IS NOT NULL""",
+)
 def average_cost_pnl(spark, sf):
-    """Daily average-cost states; the tests and ``closing_average_cost`` check them against a fill-by-fill fold."""
+    """Daily average-cost states against a fill-by-fill fold in whole numbers; quantities are whole in these tables."""
     out = lg.average_cost(_fills(spark, sf), "day", "bin", _ORDER)
-    return out.select(
-        "symbol", text("day"), "fills", F.col("quantity").cast("double").alias("quantity"), r("average_price", 4),
-        r("realized_day", 2), r("realized_pnl", 2),
-    )
+    money = [F.col(c).cast("decimal(28,8)").cast("string").alias(c) for c in ("average_price", "realized_day", "realized_pnl")]
+    return out.select("symbol", text("day"), "fills", F.col("quantity").cast("decimal(28,0)").cast("string").alias("quantity"), *money)
 
 
 _FOLD = f"""seqd AS (SELECT symbol, list({{'s': s::DOUBLE, 'p': price::DOUBLE, 'm': multiplier::DOUBLE}} ORDER BY {_ORDER_SQL}) AS l FROM feed GROUP BY 1),
@@ -278,7 +302,8 @@ def closing_average_cost(spark, sf):
     fills = daily.groupBy("symbol").agg(F.sum("fills").alias("fills"))
     closing = lg.closing_positions(views.stored(daily), "day").join(fills, "symbol")
     return closing.select(
-        "symbol", "fills", F.col("quantity").cast("double").alias("quantity"), r("average_price", 3), r("realized_pnl", 0)
+        "symbol", "fills", *[F.col(c).cast("double").alias(c) for c in ("quantity", "average_price", "realized_pnl")]
+    ).select("symbol", "fills", "quantity", r("average_price", 3), r("realized_pnl", 0)
     )
 
 
@@ -289,8 +314,8 @@ def _positions(spark, sf):
     fills = _fills(spark, sf)
     s = lg.signed()
     return fills.groupBy("symbol").agg(
-        F.sum(s).alias("quantity"), F.max("multiplier").cast("double").alias("multiplier"),
-        F.sum(-(s * F.col("price")).cast("decimal(38,8)") * F.col("multiplier").cast("decimal(6,0)") - F.col("commission")).alias("cash"),
+        F.sum(s).alias("quantity"), F.max("multiplier").alias("multiplier"),
+        F.sum(-(s * F.col("price")).cast("decimal(30,8)") * F.col("multiplier").cast("decimal(6,0)") - F.col("commission")).alias("cash"),
         F.sum("commission").alias("fees_paid"),
     )
 
@@ -299,16 +324,21 @@ def _marks(spark, sf):
     return views.bars(spark, sf).groupBy("symbol").agg(F.max_by("close", "d").alias("mark"))
 
 
+_WORTH = "(q::DECIMAL(19,8)*round(mark,8)::DECIMAL(18,8))::DECIMAL(30,16)*m::DECIMAL(6,0)"
+
+
 @query(
     "N5",
     V.with_views(V.BARS, V.FILLS, _FEES, _MARKS)
-    + """, pos AS (SELECT symbol, sum(s) AS q, max(multiplier) AS m, sum(-round(s::DOUBLE*price::DOUBLE*multiplier,2)::DECIMAL(28,8)-commission) AS cash, sum(commission) AS fees FROM feed GROUP BY 1)
-SELECT round(1000000.0+CAST(sum(cash) AS DOUBLE)+sum(CASE WHEN q<>0 THEN CAST(q AS DOUBLE)*mark*m ELSE 0 END),0) AS equity, round(sum(CASE WHEN q<>0 THEN abs(CAST(q AS DOUBLE)*mark*m) ELSE 0 END),0) AS gross_notional,
-  round(CAST(sum(fees) AS DOUBLE),3) AS fees_paid, count(*) FILTER (q<>0 AND mark IS NULL) AS missing_marks FROM pos LEFT JOIN marks USING (symbol)""",
+    + f""", pos AS (SELECT symbol, sum(s) AS q, max(multiplier) AS m, sum(-(s::DECIMAL(19,8)*price)::DECIMAL(30,8)*multiplier::DECIMAL(6,0)-commission) AS cash, sum(commission) AS fees FROM feed GROUP BY 1)
+SELECT CAST((1000000+sum(cash::DECIMAL(27,8))+coalesce(sum(({_WORTH})::DECIMAL(34,16)) FILTER (q<>0),0))::DECIMAL(28,8) AS VARCHAR) AS equity,
+  CAST(coalesce(sum(abs(({_WORTH})::DECIMAL(34,16))) FILTER (q<>0),0)::DECIMAL(28,8) AS VARCHAR) AS gross_notional,
+  CAST(sum(fees)::DECIMAL(28,8) AS VARCHAR) AS fees_paid, count(*) FILTER (q<>0 AND mark IS NULL) AS missing_marks FROM pos LEFT JOIN marks USING (symbol)""",
 )
 def mark_to_market(spark, sf):
-    out = lg.mark_to_market(_positions(spark, sf), _marks(spark, sf), 1_000_000.0)
-    return out.select(r("equity", 0), r("gross_notional", 0), r("fees_paid", 3), "missing_marks")
+    out = lg.mark_to_market(_positions(spark, sf), _marks(spark, sf), 1_000_000)
+    money = [F.col(c).cast("decimal(28,8)").cast("string").alias(c) for c in ("equity", "gross_notional", "fees_paid")]
+    return out.select(*money, "missing_marks")
 
 
 @query(

@@ -62,7 +62,7 @@ class VersionedTable:
         df.write.mode("overwrite").parquet(f"{self.root}/v={batch_id}")
 
 
-POSITION_SCHEMA = "symbol string, quantity decimal(28,8), average_price double, realized_pnl double"
+POSITION_SCHEMA = "symbol string, quantity decimal(28,8), average_price decimal(28,20), realized_pnl decimal(36,18)"
 
 
 def ledger_job(

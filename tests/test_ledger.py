@@ -5,6 +5,7 @@ import json
 import random
 from datetime import date, datetime, timedelta
 from decimal import Decimal
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,33 +60,74 @@ def test_running_positions(spark):
         assert (r.position, r.cash, r.fees_paid) == (q, cash, fees)
 
 
+def exact(rows):
+    """The sequential fold in rationals: closing (quantity, average, realized) per (symbol, day)."""
+    state, out = {}, {}
+    for symbol, side, quantity, price, multiplier, _, day, _ in rows:
+        q, average, realized = state.get(symbol, (Fraction(0),) * 3)
+        quantity, price = Fraction(quantity), Fraction(price)
+        s = quantity if side == "BUY" else -quantity
+        if q == 0 or (q > 0) == (s > 0):
+            average = (abs(q) * average + quantity * price) / (abs(q) + quantity)
+        else:
+            realized += (price - average) * min(abs(q), quantity) * (1 if q > 0 else -1) * Fraction(multiplier)
+            average = Fraction(0) if q + s == 0 else price if (q > 0) != (q + s > 0) else average
+        state[symbol] = out[symbol, day] = (q + s, average, realized)
+    return out
+
+
+def close_to(decimal, fraction, places):
+    return abs(Fraction(decimal) - fraction) < Fraction(1, 10**places)
+
+
 @pytest.mark.parametrize("seed", [2, 3])
-def test_average_cost_matches_sequential_fold(spark, seed):
-    rows = fills(seed, 120)
-    last = {}
-    for (symbol, seq), state in sequential(rows).items():
-        last[(symbol, state[5])] = state
+def test_average_cost_matches_an_exact_fold(spark, seed):
+    rng = random.Random(seed)
+    rows = [(s, side, Decimal(rng.randint(1, 10**9)) / 10**8, Decimal(rng.randint(1, 10**12)) / 10**8, m, fee, day, i) for s, side, _, _, m, fee, day, i in fills(seed, 200)]
+    want = exact(rows)
     got = {(r.symbol, r.day): r for r in lg.average_cost(with_bins(spark, rows), "day", "bin", ["day", "seq"]).collect()}
-    assert set(got) == set(last)
-    for key, (q, average, realized, *_rest) in last.items():
+    assert set(got) == set(want)
+    before = {}
+    for key, (q, average, realized) in sorted(want.items(), key=lambda x: x[0][1]):
         r = got[key]
-        assert float(r.quantity) == float(q)
-        assert r.average_price == pytest.approx(float(average), abs=1e-9)
-        assert r.realized_pnl == pytest.approx(float(realized), abs=1e-6)
+        assert Fraction(r.quantity) == q and close_to(r.average_price, average, 17) and close_to(r.realized_pnl, realized, 12)
+        assert close_to(r.realized_day, realized - before.get(key[0], 0), 12)
+        before[key[0]] = realized
+
+
+def test_average_cost_does_not_depend_on_the_bins(spark):
+    rows = fills(7, 150)
+    wide = spark.createDataFrame(rows, FILL).withColumn("bin", F.lit(0).cast("bigint"))
+    narrow = spark.createDataFrame(rows, FILL).withColumn("bin", F.col("seq"))
+    states = [{(r.symbol, r.day): r for r in lg.average_cost(df, "day", "bin", ["day", "seq"]).collect()} for df in (wide, narrow)]
+    for key, r in states[0].items():
+        o = states[1][key]
+        assert r.quantity == o.quantity and close_to(r.average_price, Fraction(o.average_price), 17) and close_to(r.realized_pnl, Fraction(o.realized_pnl), 12)
 
 
 def test_average_cost_continues_from_an_opening(spark):
     rows = fills(4, 90)
     cut = date(2024, 1, 6)
-    whole = lg.closing_positions(lg.average_cost(with_bins(spark, rows), "day", "bin", ["day", "seq"]), "day")
+    want = exact(rows)
     first = lg.average_cost(with_bins(spark, [r for r in rows if r[6] < cut]), "day", "bin", ["day", "seq"])
     opening = lg.closing_positions(first, "day")
-    second = lg.average_cost(with_bins(spark, [r for r in rows if r[6] >= cut]), "day", "bin", ["day", "seq"], opening=opening)
-    a = {r.symbol: r for r in whole.collect()}
-    b = {r.symbol: r for r in lg.closing_positions(second, "day").collect()}
-    for s in a:
-        assert float(a[s].quantity) == float(b[s].quantity)
-        assert a[s].average_price == pytest.approx(b[s].average_price) and a[s].realized_pnl == pytest.approx(b[s].realized_pnl)
+    later = lg.average_cost(with_bins(spark, [r for r in rows if r[6] >= cut]), "day", "bin", ["day", "seq"], opening=opening).collect()
+    assert {(r.symbol, r.day) for r in later} == {k for k in want if k[1] >= cut}
+    for r in later:
+        q, average, realized = want[r.symbol, r.day]
+        assert Fraction(r.quantity) == q and close_to(r.average_price, average, 17) and close_to(r.realized_pnl, realized, 12)
+
+
+def test_average_cost_edges(spark):
+    day = date(2024, 1, 1)
+    rows = [("A", side, Decimal(q), Decimal(p), Decimal(1), Decimal(0), day, i) for i, (side, q, p) in enumerate([("BUY", "3", "1"), ("SELL", "1", "2"), ("BUY", "1", "4"), ("SELL", "7", "5"), ("BUY", "4", "6"), ("BUY", "0.00000001", "0.00000001")])]
+    (r,) = lg.average_cost(with_bins(spark, rows), "day", "bin", ["day", "seq"]).collect()
+    # 3 at 1, sold 1 at 2, 1 more at 4 gives 3 at 2; 7 sold at 5 leaves -4 at 5, bought back at 6.
+    assert (r.fills, r.quantity, r.average_price, r.realized_pnl) == (6, Decimal("0.00000001"), Decimal("0.00000001"), Decimal(1 + 9 - 4))
+    assert lg.average_cost(with_bins(spark, []), "day", "bin", ["day", "seq"]).collect() == []
+    with pytest.raises(Exception, match="(?i)overflow|out of range|NUMERIC"):
+        huge = [("A", "BUY", Decimal(9 * 10**9), Decimal(1), Decimal(1), Decimal(0), day, i) for i in range(2)]
+        lg.average_cost(with_bins(spark, huge), "day", "bin", ["day", "seq"]).collect()
 
 
 def test_commission_schedule(spark):
