@@ -204,7 +204,7 @@ class Bpe:
 
     def _words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, place, number): the ids of word i are ids[place[i]:place[i] + number[i]]."""
-        keys = [PrefixHash(data, salt).ranges(starts, ends) for salt in (0, 1)]
+        keys = [PrefixHash(data, salt).pieces(starts, ends) for salt in (0, 1)]
         mixed = mix(keys[0])
         slot = (mixed >> np.uint64(64 - _SLOTS.bit_length() + 1)).astype(np.int64)
         known = (self.slot_key[0][slot] == keys[0]) & (self.slot_key[1][slot] == keys[1])

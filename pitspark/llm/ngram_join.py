@@ -44,7 +44,7 @@ def text_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndar
     """
     data = ta.LOWER[data]
     starts, ends, first = ta.words(data, offsets)
-    words = ta.mix(ta.PrefixHash(data).ranges(starts, ends))
+    words = ta.mix(ta.PrefixHash(data).pieces(starts, ends))
     row, count = ta.rows_of(first), np.diff(first)
     grams = ta.window_hashes(words, size)
     whole = row[: len(grams)] == row[size - 1 :] if len(grams) else np.zeros(0, bool)

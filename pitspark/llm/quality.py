@@ -67,7 +67,7 @@ def measures(data: np.ndarray, offsets: np.ndarray, bands=BANDS) -> dict[str, np
     starts, ends, first = ta.words(data, offsets)
     row = ta.rows_of(first)
     hashes = ta.PrefixHash(data)
-    words = ta.mix(hashes.ranges(starts, ends))
+    words = ta.mix(hashes.pieces(starts, ends))
     n_words = np.diff(first)
     lead = ((data & 0xC0) != 0x80) & ~ta.SPACE[data]
 
@@ -84,7 +84,7 @@ def measures(data: np.ndarray, offsets: np.ndarray, bands=BANDS) -> dict[str, np
     has_word = np.searchsorted(starts, line_end) > np.searchsorted(starts, line_start)
     line_start, line_end = line_start[has_word], line_end[has_word]
     line_row = np.searchsorted(offsets, line_start, "right") - 1
-    _, again = _groups(line_row, hashes.ranges(line_start, line_end))
+    _, again = _groups(line_row, hashes.pieces(line_start, line_end))
 
     size = np.diff(offsets)
     ratio, bad = np.ones(n), np.zeros(n)

@@ -80,7 +80,7 @@ def _units(data: np.ndarray, offsets: np.ndarray, hashes: ta.PrefixHash, size: S
     if size.unit == 1:
         return data, offsets
     starts, ends, first = ta.words(data, offsets)
-    return ta.mix(hashes.ranges(starts, ends)), first
+    return ta.mix(hashes.pieces(starts, ends)), first
 
 
 def _slide(values: np.ndarray, width: int, op: np.ufunc, fill: np.uint64) -> np.ndarray:
@@ -93,7 +93,7 @@ def _slide(values: np.ndarray, width: int, op: np.ufunc, fill: np.uint64) -> np.
 
 
 def _text_hash(hashes: ta.PrefixHash, offsets: np.ndarray) -> np.ndarray:
-    return ta.mix(hashes.ranges(offsets[:-1], offsets[1:]) + ta.mix(np.diff(offsets))).view(np.int64)
+    return ta.mix(hashes.pieces(offsets[:-1], offsets[1:]) + ta.mix(np.diff(offsets))).view(np.int64)
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, hashes: ta.PrefixHash, size: Size = BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -487,7 +487,7 @@ def _cut(data: bytes, spans: pa.ListScalar, word_spans: pa.ListScalar | None = N
 
 
 def removed_digests(df: DataFrame) -> DataFrame:
-    """Contract of the query: bytes, removed bytes and runs, and the digest of what is left, of every document.
+    """Contract of the query: bytes, removed bytes and runs, digest and length of what is left, of every document.
 
     A text is cut once however many documents have it.
     """
@@ -504,7 +504,7 @@ def removed_digests(df: DataFrame) -> DataFrame:
     cut = stored(cut, "cut").dropDuplicates(["ref"])
     named = documents.join(cut.hint("merge"), "ref", "left")
     none = F.lit(0).cast("long")
-    return named.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept", "sha256").alias("kept_sha256"))
+    return named.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept", "sha256").alias("kept_sha256"), (F.col("n_bytes") - F.coalesce("n_removed", none)).alias("n_left"))
 
 
 def remove(df: DataFrame, words: int | None = None) -> DataFrame:

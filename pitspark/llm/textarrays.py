@@ -7,12 +7,14 @@ found for many documents at once. Memory is bounded by ``BLOCK_BYTES`` plus the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 19  # text bytes worked on at once
 BLOCK_ROWS = 4096
+LONG = 256  # bytes up to which words, lines and texts are hashed by the polynomial
 
 _U = np.uint64
 # An odd base, its inverse modulo 2**64, and the multipliers of the splitmix64 finaliser.
@@ -52,10 +54,15 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 class PrefixHash:
-    """Polynomial hash of every byte range of ``data`` from one prefix sum (modulo 2**64)."""
+    """Polynomial hash of every byte range of ``data`` from one prefix sum (modulo 2**64).
+
+    Ranges of 1,024 bytes and more can be built to collide (Thue-Morse strings, whatever the base): ``pieces`` hashes long
+    words, lines and texts by BLAKE2 instead.
+    """
 
     def __init__(self, data: np.ndarray, salt: int = 0):
         n = len(data)
+        self.data, self.salt = data, salt.to_bytes(8, "little")
         terms = _BYTE_VALUES[salt][data]
         terms *= powers(BASE, n)[:n]
         self.sums = np.zeros(n + 1, _U)
@@ -66,6 +73,14 @@ class PrefixHash:
         """Hash of bytes [start, end): equal bytes give equal hashes wherever they lie."""
         return (self.sums[end] - self.sums[start]) * self.inverse[start]
 
+    def pieces(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """As ``ranges``, for ranges that do not overlap: those of more than ``LONG`` bytes by a cryptographic hash."""
+        out = self.ranges(start, end)
+        for i in np.flatnonzero(end - start > LONG):
+            raw = np.ascontiguousarray(self.data[start[i] : end[i]])
+            out[i] = int.from_bytes(blake2b(raw, digest_size=8, salt=self.salt).digest(), "little")
+        return out
+
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the offsets of its rows; a null is an empty text."""

@@ -59,7 +59,7 @@ def test_equals_brute_force(spark, monkeypatch, largest):
     monkeypatch.setattr(repeats, "LARGEST", largest)
     monkeypatch.setattr(repeats, "TOGETHER", 16)
     texts = corpus(largest)
-    rows = sorted(map(tuple, repeats.removed_digests(frame(spark, texts)).collect()))
+    rows = sorted(tuple(r)[:5] for r in repeats.removed_digests(frame(spark, texts)).collect())
     assert rows == brute(texts)
 
 
