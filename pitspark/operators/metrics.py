@@ -228,56 +228,43 @@ def evaluate(predictions: DataFrame, cost_bps: float) -> DataFrame:
     )
 
 
-def bootstrap_interval(
-    daily: DataFrame, resamples: int = 500, block: int = 20, seed: int = 17
-) -> DataFrame:
-    """Circular block bootstrap of the mean daily return in bps, 95 % interval.
+def block_start(seed: int, resample: Column, block: Column, days: Column) -> Column:
+    """Day 0 .. days - 1 on which a block begins: a counter-based draw, the same on every run and executor."""
+    counter = F.concat_ws(":", F.lit(str(seed)), resample.cast("string"), block.cast("string"))
+    return F.conv(F.substring(F.md5(counter), 1, 15), 16, 10).cast("bigint") % days
+
 
-    The driver draws only block starts (``resamples`` x days/``block`` integers). A
-    block sum is a difference of prefix sums; a block that wraps adds the head.
+def bootstrap_means(daily: DataFrame, resamples: int = 500, block: int = 20, seed: int = 17) -> DataFrame:
+    """(resample, mean_bps): circular block resamples of the daily returns, as many days as there are.
+
+    Blocks are drawn on the executors. A block sum is a difference of prefix sums; a block that wraps adds the head.
     """
-    import numpy as np
-
-    spark = daily.sparkSession
-    n = daily.count()  # calendar days
-    if n == 0:
-        raise ValueError("no daily returns to resample")
-    width = min(block, n)
-    blocks = (n + width - 1) // width
-    starts = np.random.default_rng(seed).integers(0, n, size=(resamples, blocks))
-    lengths = np.full(blocks, width)
-    lengths[-1] = n - width * (blocks - 1)
-    drawn = spark.createDataFrame(
-        [
-            (r, int(s), int(lengths[b]))
-            for r in range(resamples)
-            for b, s in enumerate(starts[r])
-        ],
-        "resample int, start int, len int",
-    )
-    order = W.partitionBy(F.lit(0)).orderBy("d")
+    order = W.partitionBy(F.lit(0)).orderBy("d")  # one row a calendar day
     run = order.rowsBetween(W.unboundedPreceding, W.currentRow)
-    prefix = daily.select(
-        F.row_number().over(order).alias("pos"), F.sum("daily_return").over(run).alias("total")
-    )  # total of the first ``pos`` days
-    before, after = prefix.select(F.col("pos").alias("start"), F.col("total").alias("_s")), prefix.select(
-        F.col("pos").alias("_end"), F.col("total").alias("_e")
-    )
-    whole = prefix.agg(F.max_by("total", "pos")).scalar()
-    ends = drawn.withColumn("_stop", F.col("start") + F.col("len")).withColumn(
-        "_end", F.when(F.col("_stop") > n, F.col("_stop") - n).otherwise(F.col("_stop"))
+    prefix = daily.select(F.row_number().over(order).alias("pos"), F.sum("daily_return").over(run).alias("total"))
+    shape = daily.agg(F.count(F.lit(1)).alias("n"), F.sum("daily_return").alias("whole")).withColumn("width", F.least(F.lit(block).cast("bigint"), "n"))
+    shape = shape.where("n > 0").withColumn("blocks", F.expr("(n + width - 1) div width"))
+    drawn = daily.sparkSession.range(resamples).withColumnRenamed("id", "resample").crossJoin(F.broadcast(shape)).select(  # one row
+        "*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("b")
     )
-    summed = (
-        ends.join(before, "start", "left").join(after, "_end", "left")
-        .withColumn(
-            "_block",
-            F.col("_e") - F.coalesce(F.col("_s"), F.lit(0.0)) + F.when(F.col("_stop") > n, whole).otherwise(0.0),
-        )
-    )
-    means = summed.groupBy("resample").agg((F.sum("_block") / n * 10000).alias("mean_bps"))
-    interval = means.agg(F.percentile("mean_bps", [0.025, 0.975]).alias("q"))
-    mean = daily.agg((F.avg("daily_return") * 10000).alias("mean_daily_bps"))
-    return mean.crossJoin(interval).select(
+    start = block_start(seed, F.col("resample"), F.col("b"), F.col("n"))
+    stop = F.col("start") + F.least("width", F.col("n") - F.col("b") * F.col("width"))
+    ends = drawn.withColumn("start", start).withColumn("stop", stop).withColumn("end", F.when(stop > F.col("n"), stop - F.col("n")).otherwise(stop))
+    before, after = (prefix.select(F.col("pos").alias(name), F.col("total").alias(total)) for name, total in (("start", "_s"), ("end", "_e")))
+    head = F.when(F.col("stop") > F.col("n"), F.col("whole")).otherwise(0.0)
+    summed = ends.join(before, "start", "left").join(after, "end")
+    return summed.groupBy("resample").agg((F.sum(F.col("_e") - F.coalesce("_s", F.lit(0.0)) + head) / F.max("n") * 10000).alias("mean_bps"))
+
+
+def bootstrap_interval(
+    daily: DataFrame, resamples: int = 500, block: int = 20, seed: int = 17
+) -> DataFrame:
+    """Circular block bootstrap of the mean daily return in bps, 95 % interval; no row without daily returns."""
+    if min(resamples, block) < 1:
+        raise ValueError("resamples and block must be positive")
+    interval = bootstrap_means(daily, resamples, block, seed).agg(F.percentile("mean_bps", [0.025, 0.975]).alias("q"))
+    mean = daily.agg((F.avg("daily_return") * 10000).alias("mean_daily_bps"), F.count(F.lit(1)).alias("n")).where("n > 0")
+    return mean.crossJoin(interval).select(  # one row each
         "mean_daily_bps", F.col("q")[0].alias("lower_95_bps"), F.col("q")[1].alias("upper_95_bps"),
-        F.lit(width).alias("block_calendar_days"), F.lit(resamples).alias("resamples"),
+        F.least(F.lit(block).cast("bigint"), "n").cast("int").alias("block_calendar_days"), F.lit(resamples).alias("resamples"),
     )

@@ -300,10 +300,28 @@ def walk_forward_gate(spark, sf):
     )
 
 
-@query("H26", None)
+_BOOTSTRAP = V.with_views(
+    V.PREDICTIONS, _LONGFLAT.format(src="predictions"), "five AS (SELECT * FROM lf WHERE cost_bps=5)", portfolio_ctes("five", "cost_bps"),
+    """day0 AS (SELECT row_number() OVER (ORDER BY d)-1 AS i, daily_return FROM m_daily),
+size AS (SELECT count(*) AS n, least(20, count(*)) AS width FROM day0),
+drawn AS (SELECT r AS resample, b, n, width, ('0x'||substr(md5('17:'||r||':'||b),1,15))::BIGINT % n AS start FROM size, range(500) t(r), range(10000) u(b) WHERE b*width<n),
+taken AS (SELECT resample, n, unnest(range(start, start+least(width, n-b*width))) % n AS i FROM drawn),
+means AS (SELECT resample, sum(daily_return)/any_value(n)*10000 AS mean_bps FROM taken JOIN day0 USING (i) GROUP BY resample)""",
+)
+
+
+@query("H26", _BOOTSTRAP + """SELECT (SELECT round(avg(daily_return)*10000,6) FROM day0) AS mean_daily_bps, round(quantile_cont(mean_bps,0.025),6) AS lower_95_bps,
+  round(quantile_cont(mean_bps,0.975),6) AS upper_95_bps, (SELECT width::INTEGER FROM size) AS block_calendar_days, 500::INTEGER AS resamples FROM means""")
 def bootstrap_mean_return(spark, sf):
+    """The interval, against resamples built day by day from the same draws."""
+    daily = met.portfolio_daily(met.long_flat_rows(views.stored(views.predictions(spark, sf)), [5]))
+    return met.bootstrap_interval(views.stored(daily)).select(*r6("mean_daily_bps", "lower_95_bps", "upper_95_bps"), "block_calendar_days", "resamples")
+
+
+@query("H26", _BOOTSTRAP + "SELECT resample, round(mean_bps,6) AS mean_bps FROM means")
+def bootstrap_resamples(spark, sf):
     daily = met.portfolio_daily(met.long_flat_rows(views.stored(views.predictions(spark, sf)), [5]))
-    return met.bootstrap_interval(daily)
+    return met.bootstrap_means(views.stored(daily)).select("resample", *r6("mean_bps"))
 
 
 # ---- models -----------------------------------------------------------------

@@ -3,6 +3,8 @@
 import math
 from datetime import date, datetime, timedelta
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -253,8 +255,11 @@ def test_gate_and_bootstrap(spark):
     values = np.sin(np.arange(47)) / 100
     daily = spark.createDataFrame([(date(2024, 1, 1) + timedelta(days=i), float(v)) for i, v in enumerate(values)], "d date, daily_return double")
     row = met.bootstrap_interval(daily).first()
-    starts = np.random.default_rng(17).integers(0, 47, size=(500, 3))
+    starts = np.array([[int(hashlib.md5(f"17:{r}:{b}".encode()).hexdigest()[:15], 16) % 47 for b in range(3)] for r in range(500)])
     picks = (starts[..., None] + np.arange(20)) % 47
     means = values[picks.reshape(500, -1)[:, :47]].mean(axis=1) * 10000
     low, high = np.quantile(means, [0.025, 0.975])
     assert (row.lower_95_bps, row.upper_95_bps) == (pytest.approx(low), pytest.approx(high))
+    one = {r.resample: r.mean_bps for r in met.bootstrap_means(daily, resamples=7, block=100).collect()}  # one wrapping block of all days
+    assert len(one) == 7 and all(m == pytest.approx(values.mean() * 10000) for m in one.values())
+    assert met.bootstrap_interval(daily.limit(0)).collect() == []
