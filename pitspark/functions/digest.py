@@ -18,6 +18,12 @@ def canonical_json(columns: list[Column | str]) -> Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
+def canonical_number(value: Column) -> Column:
+    """Shortest plain decimal text of a double (no exponent, no trailing zeros); beyond 10^20 as the engine writes it."""
+    plain = value.try_cast("decimal(38,18)").cast("string")
+    return F.coalesce(F.rtrim(F.rtrim(plain, F.lit("0")), F.lit(".")), value.cast("string"))
+
+
 def content_id(columns: list[Column | str]) -> Column:
     return F.sha2(canonical_json(columns), 256)
 

@@ -6,12 +6,14 @@ order, so a limit of N reads N+1 rows per section and reports truncation.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.digest import combine_words, kind_id, word_sums
-from ..functions.reasons import finite, ohlc_checks, reason_array, require_zero
+from ..functions.digest import canonical_json, canonical_number, combine_words, kind_id, word_sums
+from ..functions.reasons import ValidationError, finite, ohlc_checks, reason_array, require_zero
 from ..functions.times import utc_text
 from .cutoffs import known_strict, latest_version
 from .warehouse import observed_daily
@@ -228,11 +230,10 @@ def require_valid_rows(section: DataFrame, kind: str, cutoff: Column, mode: str
 
 
 def normalised(section: DataFrame, kind: str) -> list[Column]:
-    """Stored values as canonical JSON scalars: instants become UTC microsecond text."""
+    """Stored values as canonical JSON scalars: instants become UTC microsecond text, doubles their shortest decimal."""
     types = dict(section.dtypes)
-    return [
-        utc_text(F.col(c)).alias(c) if types[c] == "timestamp" else F.col(c) for c in FIELDS[kind] if c in types
-    ]
+    forms = {"timestamp": utc_text, "double": canonical_number}
+    return [forms.get(types[c], lambda x: x)(F.col(c)).alias(c) for c in FIELDS[kind] if c in types]
 
 
 def normalisation_violations(section: DataFrame) -> dict[str, Column]:
@@ -264,6 +265,111 @@ def snapshot_hash(records: DataFrame, by: list[str] | None = None) -> DataFrame:
     return grouped.select(*(by or []), "rows", combine_words().alias("snapshot_hash"))
 
 
+# ---- packets ----------------------------------------------------------------
+
+SECTION_FIELDS = ["section", "entity", "status", "count", "truncated", "latest_us", "warnings", "snapshot_hash"]
+
+
+@dataclass(frozen=True)
+class Packet:
+    """An archived snapshot: records with their ids per kind, one row per (section, entity), and one row with the hash."""
+
+    records: dict[str, DataFrame]
+    sections: DataFrame
+    hash: DataFrame
+
+
+def packet_hash(sections: DataFrame, request: str) -> DataFrame:
+    """One row: digest over the request text and all section rows, in any order of rows."""
+    row = F.sha2(canonical_json(SECTION_FIELDS), 256)
+    whole = sections.withColumn("_h", row).agg(F.count(F.lit(1)).alias("rows"), *word_sums(F.col("_h")))
+    return whole.select(F.sha2(F.concat_ws(":", F.sha2(F.lit(request), 256), combine_words()), 256).alias("packet_hash"))
+
+
+def build_packet(
+    asked: dict[str, DataFrame], sections: dict[str, DataFrame], cutoff: Column, limits: dict[str, int], request: str
+) -> Packet:
+    """Records within their limits, section rows for every requested entity, and the packet's hash.
+
+    ``asked`` and ``sections`` hold the requested entities and the section rows per kind.
+    """
+    records, rows = {}, None
+    for kind, section in sections.items():
+        held = limited(section, kind, limits[kind])
+        summary = section_summary(asked[kind], held, kind, cutoff, limits[kind])
+        records[kind] = with_evidence_id(held.filter(F.col("row") <= limits[kind]).drop("row"), kind)
+        rows = summary if rows is None else rows.unionByName(summary)
+    stamped = rows.withColumn("latest_us", F.unix_micros("latest_available_at"))
+    joined = stamped.join(_record_hashes(records).drop("rows"), ["section", "entity"], "left")
+    table = joined.select(*SECTION_FIELDS)
+    return Packet(records, table, packet_hash(table, request))
+
+
+def _record_hashes(records: dict[str, DataFrame]) -> DataFrame:
+    result = None
+    for kind, df in records.items():
+        rows = df.select(F.lit(kind).alias("section"), F.col(ENTITY_OF[kind]).alias("entity"), "evidence_id")
+        result = rows if result is None else result.unionByName(rows)
+    return snapshot_hash(result, ["section", "entity"])
+
+
+def packet_violations(packet: Packet, cutoff: Column, limits: dict[str, int], request: str, mode: str = "local_observed") -> DataFrame:
+    """(section, entity, reason, rows) of everything in an archived packet that does not follow from its records.
+
+    Records: ids that do not recompute, repeated ids, rows that may not be in the section. Sections: counts, latest
+    availability, status, warnings, truncation and digests against the records. The packet's hash against the request and
+    the section rows as they are. No row: the packet is intact, whatever today's tables hold.
+    """
+    found, states = None, None
+    for kind, df in packet.records.items():
+        entity = F.col(ENTITY_OF[kind])
+        bare = df.drop("evidence_id")
+        fresh = kind_id(kind, normalised(bare, kind))
+        repeat = F.count(F.lit(1)).over(W.partitionBy("evidence_id")) > 1  # as many rows as copies of one record
+        reasons = F.concat(
+            reason_array([("record_hash_mismatch", ~F.col("evidence_id").eqNullSafe(fresh)), ("duplicate_record", F.col("_repeat"))]),
+            reason_array(row_checks(kind, cutoff, mode)),
+        )
+        tagged = df.withColumn("_repeat", repeat).select(F.lit(kind).alias("section"), entity.alias("entity"), F.explode(reasons).alias("reason"))
+        found = tagged if found is None else found.unionByName(tagged)
+        empty = F.coalesce(F.max(F.col("value").isNull().cast("int")), F.lit(0)) if "value" in df.columns else F.lit(0)
+        state = df.groupBy(F.lit(kind).alias("section"), entity.alias("entity")).agg(
+            F.count(F.lit(1)).alias("_count"), F.unix_micros(F.max("available_at")).alias("_latest"), empty.cast("bigint").alias("_nulls")
+        )
+        states = state if states is None else states.unionByName(state)
+    states = states.join(_record_hashes(packet.records).select("section", "entity", F.col("snapshot_hash").alias("_hash")), ["section", "entity"])
+    joined = packet.sections.join(states, ["section", "entity"], "full")
+    count, truncated = F.coalesce("_count", F.lit(0)), F.coalesce("truncated", F.lit(False))
+    limit = F.element_at(F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]), F.col("section"))
+    several = (F.col("section") == "identity") & ((count > 1) | truncated)
+    flags = [truncated, count == 0, (F.col("section") == "news") & (count > 0), several]
+    warnings = sum((f.cast("bigint") for f in flags), F.coalesce("_nulls", F.lit(0).cast("bigint")))
+    status = F.when(count == 0, "MISSING").when(warnings > 0, "PARTIAL").otherwise("AVAILABLE")
+    checks = [
+        ("section_missing", F.col("status").isNull()),
+        ("count_mismatch", F.col("count") != count),
+        ("count_over_limit", count > limit),
+        ("truncation_inconsistent", truncated & (F.col("count") != limit)),
+        ("latest_mismatch", ~F.col("latest_us").eqNullSafe(F.col("_latest"))),
+        ("status_inconsistent", F.col("status") != status),
+        ("warnings_inconsistent", F.col("warnings") != warnings),
+        ("snapshot_hash_mismatch", ~F.col("snapshot_hash").eqNullSafe(F.col("_hash"))),
+    ]
+    of_sections = joined.select("section", "entity", F.explode(reason_array([(name, F.coalesce(test, F.lit(False))) for name, test in checks])).alias("reason"))
+    rebuilt = packet_hash(packet.sections, request).withColumnRenamed("packet_hash", "_fresh")
+    of_packet = packet.hash.crossJoin(rebuilt).filter("NOT (packet_hash <=> _fresh)").select(  # one row each
+        F.lit("packet").alias("section"), F.lit(None).cast("string").alias("entity"), F.lit("packet_hash_mismatch").alias("reason")
+    )
+    return found.unionByName(of_sections).unionByName(of_packet).groupBy("section", "entity", "reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def require_intact(packet: Packet, cutoff: Column, limits: dict[str, int], request: str, mode: str = "local_observed") -> Packet:
+    violations = packet_violations(packet, cutoff, limits, request, mode).limit(5).collect()
+    if violations:
+        raise ValidationError(f"evidence packet is not intact: {[tuple(v) for v in violations]}")
+    return packet
+
+
 def packet_mismatches(archived: DataFrame, rebuilt: DataFrame) -> DataFrame:
     """(section, entity, evidence_id) whose multiplicity differs between archive and rebuild."""
     keys = ["section", "entity", "evidence_id"]

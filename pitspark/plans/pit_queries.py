@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import context as ctx
@@ -282,12 +283,19 @@ def dataset_fingerprints(spark, sf):
     return dataset_digest(customers, content_id(["c_custkey", "c_name", "c_nationkey"]), ["c_mktsegment"])
 
 
-@query("A25 A26", None)
+@query(
+    "A25 A26",
+    V.with_views(V.BARS)
+    + _digest_sql(
+        "SELECT symbol, sha256(to_json({'symbol': symbol, 'd': d::VARCHAR, " + ", ".join(f"'{c}': rtrim(rtrim({c}::VARCHAR,'0'),'.')" for c in wh.OHLCV) + "})) AS h FROM bars", "symbol"
+    ),
+)
 def bar_fingerprints(spark, sf):
-    """Digest per symbol over every bar field; text forms of doubles differ between engines, so rows only."""
-    from ..functions.digest import content_id, dataset_digest
+    """Digest per symbol over every bar field; doubles enter as their shortest decimal text."""
+    from ..functions.digest import canonical_number, content_id, dataset_digest
 
-    return dataset_digest(views.bars(spark, sf), content_id(["symbol", "d", *wh.OHLCV]), ["symbol"])
+    fields = ["symbol", F.col("d").cast("string").alias("d"), *[canonical_number(F.col(c)).alias(c) for c in wh.OHLCV]]
+    return dataset_digest(views.bars(spark, sf), content_id(fields), ["symbol"])
 
 
 # ---- B: reports -------------------------------------------------------------
@@ -551,20 +559,86 @@ def identity_snapshot_hashes(spark, sf):
     return ev.snapshot_hash(ev.packet_records({"identity": section}), ["section", "entity"])
 
 
-@query("C11 C12 C13 A25 A26", None)
+_NUM = "rtrim(rtrim({c}::VARCHAR,'0'),'.')"
+_MK_FIELDS = ", ".join(f"'{c}': {_NUM.format(c=c)}" for c in ("open", "high", "low", "close", "volume"))
+
+
+def _record_id(kind: str, fields: str) -> str:
+    return f"sha256('{kind}:'||to_json({{{fields}}}))"
+
+
+_MARKET_ID = _record_id(
+    "market",
+    f"'instrument_id': instrument_id, 'event_time': {_ISO.format('event_time')}, 'interval': interval, {_MK_FIELDS}, 'available_at': {_ISO.format('available_at')}, "
+    f"'ingested_at': {_ISO.format('ingested_at')}, 'source': source, 'data_version': data_version",
+)
+_MACRO_ID = _record_id(
+    "macro",
+    f"'series_id': series_id, 'observation_date': observation_date::VARCHAR, 'value': {_NUM.format(c='value')}, 'vintage_date': vintage_date::VARCHAR, 'available_at': {_ISO.format('available_at')}, "
+    f"'ingested_at': {_ISO.format('ingested_at')}, 'source': source, 'availability_basis': availability_basis",
+)
+_LIMITS = {"market": 500, "macro": 500}
+_REQUEST = '{"as_of":"' + _T + '","max_records":500,"mode":"local_observed"}'
+_PACKET = V.with_views(
+    V.MARKET_BARS, V.MACRO,
+    f"""mk AS (SELECT * FROM market_bars WHERE {_KNOWN.format(t=_T)} AND data_version LIKE 'snapshot-v2:%' AND event_time + INTERVAL 1 DAY <= TIMESTAMP '{_T}'
+  QUALIFY row_number() OVER (PARTITION BY instrument_id, event_time ORDER BY available_at DESC, ingested_at DESC, data_version DESC)=1)""",
+    f"""mc AS (SELECT * FROM macro WHERE {_KNOWN.format(t=_T)} AND observation_date <= DATE '{_T[:10]}' AND vintage_date <= DATE '{_T[:10]}'
+  QUALIFY row_number() OVER (PARTITION BY series_id, observation_date ORDER BY vintage_date DESC, available_at DESC, ingested_at DESC)=1)""",
+    _summary_sql("mk", "market", "instrument_id", "event_time DESC, source, data_version DESC", 500, _T, "SELECT DISTINCT instrument_id AS entity FROM market_bars"),
+    _summary_sql("mc", "macro", "series_id", "observation_date DESC, source, vintage_date DESC", 500, _T, "SELECT DISTINCT series_id AS entity FROM macro", value=True),
+    f"""ids AS (SELECT 'market' AS section, instrument_id AS entity, {_MARKET_ID} AS id FROM ranked_market WHERE rn<=500
+  UNION ALL SELECT 'macro', series_id, {_MACRO_ID} FROM ranked_macro WHERE rn<=500)""",
+    f"hashed AS ({_digest_sql("SELECT section, entity, sha256(section||':'||entity||':'||id) AS h FROM ids", 'section, entity', 'snapshot_hash')})",
+    """rows_ AS (SELECT section, entity, status, count, truncated, latest_us, warnings, snapshot_hash FROM (SELECT * FROM out_market UNION ALL SELECT * FROM out_macro)
+  LEFT JOIN (SELECT section, entity, snapshot_hash FROM hashed) USING (section, entity))""",
+    f"""whole AS (SELECT sha256(sha256('{_REQUEST}')||':'||digest) AS packet_hash FROM ({_digest_sql("SELECT 1 AS g, sha256(to_json({'section': section, 'entity': entity, 'status': status, 'count': count, 'truncated': truncated, 'latest_us': latest_us, 'warnings': warnings, 'snapshot_hash': snapshot_hash})) AS h FROM rows_", 'g')}))""",
+)
+
+
+def _packet(spark, sf) -> ev.Packet:
+    bars, macro = views.market_bars(spark, sf), views.macro(spark, sf)
+    sections = {"market": ev.market_section(bars, at(_T)), "macro": ev.macro_section(macro, at(_T))}
+    return ev.build_packet({"market": bars, "macro": macro}, sections, at(_T), _LIMITS, _REQUEST)
+
+
+@query("C11 C12 A25 A26", _PACKET + "SELECT section, entity, status, count, truncated, latest_us, warnings, snapshot_hash, packet_hash FROM rows_, whole")
 def packet_snapshot_hashes(spark, sf):
-    """Market and macro packets hold doubles, whose text differs between engines, so rows only."""
-    records = ev.packet_records(
-        {
-            "market": ev.market_section(views.market_bars(spark, sf), at(_T)),
-            "macro": ev.macro_section(views.macro(spark, sf), at(_T)),
-        }
-    )
-    return ev.snapshot_hash(records, ["section", "entity"])
+    """Section rows with the digest of their records, and the hash over the request and all of them."""
+    packet = _packet(spark, sf)
+    return packet.sections.crossJoin(packet.hash)  # one row
+
+
+@query(
+    "C13",
+    _PACKET
+    + """SELECT 'market' AS section, instrument_id AS entity, 'record_hash_mismatch' AS reason, count(*) AS rows FROM ranked_market WHERE rn<=500 AND dayofyear(event_time)%100=0 GROUP BY 2
+UNION ALL SELECT 'macro', series_id, unnest(['count_mismatch', 'snapshot_hash_mismatch']), 1 FROM ranked_macro WHERE rn<=500 AND rn>1 AND dayofyear(observation_date)%50=0 GROUP BY series_id
+UNION ALL SELECT section, entity, unnest(['warnings_inconsistent', 'status_inconsistent']), 1 FROM rows_ WHERE section='market' AND status='PARTIAL' AND entity LIKE '%7'
+UNION ALL SELECT 'packet', NULL, 'packet_hash_mismatch', 1""",
+)
+def packet_tampering(spark, sf):
+    """An archive with altered prices, dropped observations and prettified sections: everything altered is found."""
+    packet = _packet(spark, sf)
+    market = packet.records["market"].withColumn("close", F.col("close") + F.when(F.dayofyear("event_time") % 100 == 0, 0.25).otherwise(0.0))
+    newest = F.max("observation_date").over(W.partitionBy("series_id"))
+    macro = packet.records["macro"].withColumn("_newest", newest).filter((F.dayofyear("observation_date") % 50 != 0) | (F.col("observation_date") == F.col("_newest"))).drop("_newest")
+    pretty = (F.col("section") == "market") & (F.col("status") == "PARTIAL") & F.col("entity").endswith("7")
+    sections = packet.sections.withColumns({"status": F.when(pretty, "AVAILABLE").otherwise(F.col("status")), "warnings": F.when(pretty, 0).otherwise(F.col("warnings"))})
+    return ev.packet_violations(ev.Packet({"market": market, "macro": macro}, sections, packet.hash), at(_T), _LIMITS, _REQUEST)
+
+
+@query("C13", _PACKET + "SELECT section, count(*) AS entities, 0::BIGINT AS violations FROM rows_ GROUP BY section")
+def packet_intact(spark, sf):
+    """The packet as it was built has nothing to complain about."""
+    packet = _packet(spark, sf)
+    wrong = ev.packet_violations(packet, at(_T), _LIMITS, _REQUEST).agg(F.sum("rows").alias("n"))
+    violations = F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("violations")
+    return packet.sections.groupBy("section").agg(F.count(F.lit(1)).alias("entities")).crossJoin(wrong).select("section", "entities", violations)  # one row
 
 
 @query(
-    "C13 C17",
+    "C13",
     V.with_views(V.MARKET_BARS)
     + f"""SELECT entity, count(*) AS mismatches FROM (
   SELECT instrument_id AS entity, event_time, open, high, low, close, volume, available_at, ingested_at, data_version,
