@@ -263,17 +263,37 @@ def feed_allowed(symbol: Column, feed: Column) -> Column:
     return F.coalesce(allowed, F.lit(False))
 
 
-def cost_pairs(entry: DataFrame, exit_: DataFrame, keys: list[str], blocked: Column | None = None) -> DataFrame:
+def bar_leg(envelopes: DataFrame, records: DataFrame, keys: list[str]) -> DataFrame:
+    """The bars fetch of each session as a leg of the pair: feed, completeness, metadata reasons, bad and missing minutes."""
+    checks = reason_array(source_reasons("bars", "bars", F.col("session_start_ns"), F.col("session_end_ns")))
+    counts = bar_quality(envelopes, records, keys).select(*keys, "invalid_count", "missing_count")
+    return envelopes.select(*keys, "feed", "complete", checks.alias("reasons")).join(counts, keys)
+
+
+def cost_pairs(entry: DataFrame, exit_: DataFrame, keys: list[str], bars: DataFrame | None = None) -> DataFrame:
     """Entry and exit touch compared: gross mid return, touch return, drag and approximate spread.
 
-    Both sides hold selected first quotes with ``feed``, ``complete`` and ``reasons``.
-    Every planned key stays; blocked ones carry reasons and no numbers.
+    Both sides hold selected first quotes with ``feed``, ``complete`` and ``reasons``; ``bars`` is the session's
+    ``bar_leg``. All fetches must be complete, undisputed and on one feed the symbol may have. Every planned key
+    stays; blocked ones carry reasons and no numbers. Bad or missing minutes are reasons that block nothing.
     """
     cols = ["bid", "ask", "mid_price", "full_spread_bps", "feed", "complete", "ambiguous", "reasons"]
     left = entry.select(*keys, F.struct(*cols).alias("en"))
     right = exit_.select(*keys, F.struct(*cols).alias("ex"))
     joined = left.join(right, keys, "full")
+    fetches = ["en", "ex"]
+    if bars is not None:
+        fetches = ["ba", *fetches]
+        leg = F.struct("feed", "complete", "reasons", "invalid_count", "missing_count").alias("ba")
+        joined = joined.join(bars.select(*keys, leg), keys, "full")
     symbol = F.col("symbol")
+    names = {"ba": "bars", "en": "entry_quotes", "ex": "exit_quotes"}
+    same = F.lit(True)
+    for one, other in zip(fetches, fetches[1:]):
+        same = same & F.col(f"{one}.feed").eqNullSafe(F.col(f"{other}.feed"))
+    allowed = F.lit(True)
+    for one in fetches:
+        allowed = allowed & feed_allowed(symbol, F.col(f"{one}.feed"))
     no_quote = lambda s: (
         (f"{s[1]}_first_quote_ambiguous_without_sequence", F.coalesce(F.col(f"{s[0]}.ambiguous"), F.lit(False))),
         (
@@ -281,30 +301,30 @@ def cost_pairs(entry: DataFrame, exit_: DataFrame, keys: list[str], blocked: Col
             F.col(f"{s[0]}.mid_price").isNull() & ~F.coalesce(F.col(f"{s[0]}.ambiguous"), F.lit(False)),
         ),
     )
-    own = reason_array(
-        [
-            ("entry_quotes_fetch_incomplete", ~F.coalesce(F.col("en.complete"), F.lit(False))),
-            ("exit_quotes_fetch_incomplete", ~F.coalesce(F.col("ex.complete"), F.lit(False))),
-        ]
-    )
+    own = reason_array([(f"{names[x]}_fetch_incomplete", ~F.coalesce(F.col(f"{x}.complete"), F.lit(False))) for x in fetches])
     rest = reason_array(
         [
-            (
-                "unknown_or_unsupported_feed_for_symbol",
-                ~(feed_allowed(symbol, F.col("en.feed")) & feed_allowed(symbol, F.col("ex.feed"))),
-            ),
-            ("cross_feed_quote_pair_forbidden", ~F.col("en.feed").eqNullSafe(F.col("ex.feed"))),
+            ("unknown_or_unsupported_feed_for_symbol", ~allowed),
+            ("cross_feed_quote_pair_forbidden", ~same),
             *no_quote(("en", "entry")),
             *no_quote(("ex", "exit")),
         ]
     )
     empty = F.array().cast("array<string>")
-    reasons = F.concat(own, F.coalesce(F.col("en.reasons"), empty), F.coalesce(F.col("ex.reasons"), empty), rest)
-    usable = F.size("reasons") == 0
+    blocking = F.concat(own, *[F.coalesce(F.col(f"{x}.reasons"), empty) for x in fetches], rest)
+    quality = empty
+    if bars is not None:
+        quality = reason_array(
+            [
+                ("bar_quality_contains_invalid_or_conflicting_records", F.coalesce(F.col("ba.invalid_count") > 0, F.lit(False))),
+                ("bar_quality_has_missing_minutes", F.coalesce(F.col("ba.missing_count") > 0, F.lit(False))),
+            ]
+        )
+    usable = F.col("usable")
     gross = F.col("ex.mid_price") / F.col("en.mid_price") - 1
     touch = F.col("ex.bid") / F.col("en.ask") - 1
-    return joined.withColumn("reasons", reasons).select(
-        *keys, "reasons", usable.alias("usable"),
+    return joined.withColumns({"usable": F.size(blocking) == 0, "reasons": F.concat(blocking, quality)}).select(
+        *keys, "reasons", "usable",
         F.when(usable, gross).alias("gross_mid_return"), F.when(usable, touch).alias("touch_long_return"),
         F.when(usable, (gross - touch) * 10000).alias("spread_drag_bps"),
         F.when(usable, (F.col("en.full_spread_bps") + F.col("ex.full_spread_bps")) / 2).alias(

@@ -234,38 +234,51 @@ def fetch_source_reasons(spark, sf):
 
 _LEGS = f"""en0 AS (SELECT w//4 AS day, symbol, w, start_ns AS target_ns FROM windows WHERE w%4=1), ex0 AS (SELECT w//4 AS day, symbol, w, start_ns AS target_ns FROM windows WHERE w%4=3),
 {M.first_quote("en0", "target_ns", "symbol,w", 60 * M.MIN, "en")}, {M.first_quote("ex0", "target_ns", "symbol,w", 60 * M.MIN, "ex")},
-legs AS (SELECT en.symbol, en.day, en.bid AS eb, en.ask AS ea, en.mid AS em, en.spread AS es, en.ambiguous AS eamb, ex.bid AS xb, ex.mid AS xm, ex.spread AS xs, ex.ambiguous AS xamb,
-  e.feed AS ef, x.feed AS xf, e.complete AS ec, x.complete AS xc, e.source_reasons AS er, x.source_reasons AS xr
+benv AS (SELECT symbol, day, CASE WHEN symbol='BTC/USD' THEN 'crypto_us' WHEN symbol='XOM' AND day%2=0 THEN 'iex' ELSE 'sip' END AS bf, day%11<>0 AS bc,
+  list_filter([CASE WHEN day%17=0 THEN 'bars_declares_wrong_symbol' END, CASE WHEN day%13=0 THEN 'bars_observation_time_missing_or_before_window_end' END], lambda x: x IS NOT NULL) AS br,
+  coalesce(errors,0)+coalesce(crecs,0) AS bad, 1380-coalesce(valid,0) AS missing FROM spans LEFT JOIN (SELECT symbol, day, count(reason) AS errors FROM bcl GROUP BY 1,2) r USING (symbol, day)
+  LEFT JOIN (SELECT symbol, day, count(*) FILTER (k=1) AS valid, sum(recs) FILTER (k>1) AS crecs FROM mins GROUP BY 1,2) m USING (symbol, day)),
+quoted AS (SELECT en.symbol, en.day, en.bid AS eb, en.ask AS ea, en.mid AS em, en.spread AS es, en.ambiguous AS eamb, ex.bid AS xb, ex.mid AS xm, ex.spread AS xs, ex.ambiguous AS xamb,
+  e.feed AS ef, x.feed AS xf, e.complete AS ec, x.complete AS xc, e.entry_reasons AS er, x.exit_reasons AS xr
   FROM en JOIN ex USING (symbol, day) JOIN sw2 e ON e.symbol=en.symbol AND e.w=en.w JOIN sw2 x ON x.symbol=ex.symbol AND x.w=ex.w),
-pairs AS (SELECT *, list_concat(list_concat(list_concat(list_filter([CASE WHEN NOT ec THEN 'entry_quotes_fetch_incomplete' END, CASE WHEN NOT xc THEN 'exit_quotes_fetch_incomplete' END], lambda x: x IS NOT NULL), er), xr),
-  list_filter([CASE WHEN ef<>xf THEN 'cross_feed_quote_pair_forbidden' END, CASE WHEN eamb THEN 'entry_first_quote_ambiguous_without_sequence' END,
-   CASE WHEN em IS NULL AND NOT eamb THEN 'entry_has_no_valid_timely_quote' END, CASE WHEN xamb THEN 'exit_first_quote_ambiguous_without_sequence' END,
-   CASE WHEN xm IS NULL AND NOT xamb THEN 'exit_has_no_valid_timely_quote' END], lambda x: x IS NOT NULL)) AS reasons FROM legs)"""
-_LEG_REASONS = """sw2 AS (SELECT *, list_filter([CASE WHEN declared_symbol<>symbol THEN 'quotes_declares_wrong_symbol' END,
-  CASE WHEN observed_ns<end_ns THEN 'quotes_observation_time_missing_or_before_window_end' END], lambda x: x IS NOT NULL) AS source_reasons FROM windows)"""
-_PAIRS = with_views(M.EVENTS, M.QUOTE_RECORDS, M.WINDOWS, M.QUALITY, _LEG_REASONS, _LEGS)
+legs AS (SELECT * FROM quoted FULL JOIN benv USING (symbol, day)),
+judged AS (SELECT *, list_concat(list_concat(list_concat(list_concat(list_filter([CASE WHEN NOT coalesce(bc,false) THEN 'bars_fetch_incomplete' END, CASE WHEN NOT coalesce(ec,false) THEN 'entry_quotes_fetch_incomplete' END,
+   CASE WHEN NOT coalesce(xc,false) THEN 'exit_quotes_fetch_incomplete' END], lambda x: x IS NOT NULL), coalesce(br,[])), coalesce(er,[])), coalesce(xr,[])),
+  list_filter([CASE WHEN bf IS NULL OR ef IS NULL OR xf IS NULL THEN 'unknown_or_unsupported_feed_for_symbol' END, CASE WHEN bf IS DISTINCT FROM ef OR ef IS DISTINCT FROM xf THEN 'cross_feed_quote_pair_forbidden' END,
+   CASE WHEN eamb THEN 'entry_first_quote_ambiguous_without_sequence' END, CASE WHEN em IS NULL AND NOT coalesce(eamb,false) THEN 'entry_has_no_valid_timely_quote' END,
+   CASE WHEN xamb THEN 'exit_first_quote_ambiguous_without_sequence' END, CASE WHEN xm IS NULL AND NOT coalesce(xamb,false) THEN 'exit_has_no_valid_timely_quote' END], lambda x: x IS NOT NULL)) AS blocking FROM legs),
+pairs AS (SELECT *, len(blocking)=0 AS usable, list_concat(blocking, list_filter([CASE WHEN bad>0 THEN 'bar_quality_contains_invalid_or_conflicting_records' END,
+  CASE WHEN missing>0 THEN 'bar_quality_has_missing_minutes' END], lambda x: x IS NOT NULL)) AS reasons FROM judged)"""
+_LEG_REASONS = ", ".join(
+    f"""{name}_l AS (SELECT symbol, w, list_filter([CASE WHEN declared_symbol<>symbol THEN '{name}_quotes_declares_wrong_symbol' END,
+  CASE WHEN observed_ns<end_ns THEN '{name}_quotes_observation_time_missing_or_before_window_end' END], lambda x: x IS NOT NULL) AS {name}_reasons FROM windows)"""
+    for name in ("entry", "exit")
+) + ", sw2 AS (SELECT * FROM windows JOIN entry_l USING (symbol, w) JOIN exit_l USING (symbol, w))"
+_PAIRS = with_views(M.EVENTS, M.QUOTE_RECORDS, M.WINDOWS, M.QUALITY, _BAR_REC, _LEG_REASONS, _LEGS)
 
 
 def _pairs(spark, sf):
-    """Opening against closing window of each day."""
+    """Opening against closing window of each day, beside the day's bars."""
     windows = views.quote_windows(spark, sf).withColumns({"target_ns": F.col("start_ns"), "day": F.expr("w div 4")})
-    reasons = ql.reason_array(
-        ql.source_reasons("quotes", "quotes", F.col("target_ns"), F.col("target_ns") + F.lit(60 * MINUTE_NS + 1))
-    )
-    planned = windows.withColumn("reasons", reasons)
-    found = ql.first_quotes(
-        planned.filter(F.col("window_name").isin("opening", "closing")), _instants(spark, sf), _BY, wait_ns=60 * MINUTE_NS, bin_width=_BIN
-    )
+    name = F.when(F.col("window_name") == "opening", "entry").otherwise("exit")
+    checks = {
+        leg: ql.reason_array(ql.source_reasons(f"{leg}_quotes", "quotes", F.col("target_ns"), F.col("target_ns") + F.lit(60 * MINUTE_NS + 1)))
+        for leg in ("entry", "exit")
+    }
+    planned = windows.filter(F.col("window_name").isin("opening", "closing")).withColumn("reasons", F.when(name == "entry", checks["entry"]).otherwise(checks["exit"]))
+    found = ql.first_quotes(planned, _instants(spark, sf), _BY, wait_ns=60 * MINUTE_NS, bin_width=_BIN)
     leg = lambda name: found.filter(F.col("window_name") == name)
-    return ql.cost_pairs(leg("opening"), leg("closing"), ["symbol", "day"])
+    spans, records = _bar_inputs(spark, sf)
+    bars = ql.bar_leg(views.bar_envelopes(spans), records, ["symbol", "day"])
+    return ql.cost_pairs(leg("opening"), leg("closing"), ["symbol", "day"], bars)
 
 
 @query(
     "I13 I14 I16",
     _PAIRS
-    + """SELECT symbol, day, array_to_string(reasons,',') AS reasons, CASE WHEN len(reasons)=0 THEN round(xm/em-1,6) END AS gross_mid_return,
-  CASE WHEN len(reasons)=0 THEN round(xb/ea-1,6) END AS touch_long_return, CASE WHEN len(reasons)=0 THEN round((es+xs)/2,6) END AS approximate_round_trip_spread_bps,
-  CASE WHEN len(reasons)=0 THEN round(((xm/em-1)-(xb/ea-1))*10000,4) END AS spread_drag_bps FROM pairs""",
+    + """SELECT symbol, day, array_to_string(reasons,',') AS reasons, CASE WHEN usable THEN round(xm/em-1,6) END AS gross_mid_return,
+  CASE WHEN usable THEN round(xb/ea-1,6) END AS touch_long_return, CASE WHEN usable THEN round((es+xs)/2,6) END AS approximate_round_trip_spread_bps,
+  CASE WHEN usable THEN round(((xm/em-1)-(xb/ea-1))*10000,4) END AS spread_drag_bps FROM pairs""",
 )
 def touch_cost_pairs(spark, sf):
     out = _pairs(spark, sf)
@@ -279,7 +292,7 @@ def touch_cost_pairs(spark, sf):
 @query(
     "I15",
     _PAIRS
-    + """SELECT symbol, day, fee AS assumed_fee_bps, round((es+xs)/2+fee,6) AS spread_plus_fee_bps FROM pairs, (SELECT unnest([0,5,10,25,50])::DOUBLE AS fee) WHERE len(reasons)=0""",
+    + """SELECT symbol, day, fee AS assumed_fee_bps, round((es+xs)/2+fee,6) AS spread_plus_fee_bps FROM pairs, (SELECT unnest([0,5,10,25,50])::DOUBLE AS fee) WHERE usable""",
 )
 def fee_scenarios(spark, sf):
     return ql.fee_scenarios(_pairs(spark, sf)).select("symbol", "day", "assumed_fee_bps", *r6("spread_plus_fee_bps"))

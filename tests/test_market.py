@@ -80,6 +80,25 @@ def test_cost_pair_values(spark):
     assert not lone.usable and "exit_has_no_valid_timely_quote" in lone.reasons
 
 
+def test_bars_leg_of_the_pair(spark):
+    cols = "symbol string, bid double, ask double, mid_price double, full_spread_bps double, feed string, complete boolean, ambiguous boolean, reasons array<string>"
+    leg = spark.createDataFrame([("SPY", 99.0, 101.0, 100.0, 200.0, "sip", True, False, [])], cols)
+    bar = lambda feed="sip", done=True, reasons=(), bad=0, gaps=0: spark.createDataFrame(
+        [("SPY", feed, done, list(reasons), bad, gaps)], "symbol string, feed string, complete boolean, reasons array<string>, invalid_count bigint, missing_count bigint"
+    )
+    pair = lambda bars: ql.cost_pairs(leg, leg, ["symbol"], bars).first()
+    assert pair(bar()).reasons == [] and pair(bar()).usable
+    worn = pair(bar(bad=2, gaps=3))
+    assert worn.usable and worn.gross_mid_return == 0.0
+    assert worn.reasons == ["bar_quality_contains_invalid_or_conflicting_records", "bar_quality_has_missing_minutes"]
+    assert pair(bar(done=False)).reasons == ["bars_fetch_incomplete"] and not pair(bar(done=False)).usable
+    assert pair(bar("iex")).reasons == ["cross_feed_quote_pair_forbidden"]
+    assert pair(bar("crypto_us")).reasons == ["unknown_or_unsupported_feed_for_symbol", "cross_feed_quote_pair_forbidden"]
+    assert pair(bar(reasons=["bars_declares_wrong_symbol"], gaps=1)).reasons == ["bars_declares_wrong_symbol", "bar_quality_has_missing_minutes"]
+    gone = pair(bar().limit(0))
+    assert not gone.usable and gone.reasons[0] == "bars_fetch_incomplete"
+
+
 def test_feed_rules(spark):
     rows = [("SPY", "sip", True), ("SPY", "crypto_us", False), ("BTC/USD", "crypto_us", True), ("BTC/USD", "sip", False), ("ETH/USD", "crypto_us", False), ("ETH-USD", "sip", False), ("SPY", None, False)]
     df = spark.createDataFrame(rows, "symbol string, feed string, want boolean")
