@@ -35,7 +35,11 @@ FEATURE_COLUMNS = [
 def validate_daily_bars(bars: DataFrame, key: str = "symbol", day: str = "d") -> DataFrame:
     """Fail closed on duplicate days, NULL, non-finite, non-positive or unordered OHLCV."""
     require_unique(bars, [key, day], "daily bar")
-    return require_zero(bars, {"missing_day": F.col(day).isNull(), **dict(ohlc_checks(BOUND_TOLERANCE))})
+    return require_zero(bars, daily_bar_checks(day))
+
+
+def daily_bar_checks(day: str = "d") -> dict:
+    return {"missing_day": F.col(day).isNull(), **dict(ohlc_checks(BOUND_TOLERANCE))}
 
 
 def raw_features(bars: DataFrame, key: str = "symbol", day: str = "d") -> DataFrame:

@@ -228,6 +228,21 @@ def evaluate(predictions: DataFrame, cost_bps: float) -> DataFrame:
     )
 
 
+def group_summary(predictions: DataFrame, groups: list[str], cost_bps: float) -> DataFrame:
+    """One row per group and model: span, AUC, and the long/flat portfolio at the group's selected cost.
+
+    ``predictions`` has ``model`` beside the group columns; every model of a group must cover the same span.
+    """
+    by = [*groups, "model"]
+    span = predictions.groupBy(*by).agg(F.min("d").alias("oos_start"), F.max("d").alias("oos_end"))
+    daily = require_daily(portfolio_daily(long_flat_rows(predictions, [cost_bps]), by))
+    scores = roc_auc(predictions, by)
+    return span.join(return_metrics(daily, by), by).join(scores, by, "left").select(
+        *by, "oos_start", "oos_end", F.lit(float(cost_bps)).alias("selected_round_trip_cost_bps"), "roc_auc",
+        "days", "net_return_pct", "annualized_sharpe", "max_drawdown_pct",
+    )
+
+
 def block_start(seed: int, resample: Column, block: Column, days: Column) -> Column:
     """Day 0 .. days - 1 on which a block begins: a counter-based draw, the same on every run and executor."""
     counter = F.concat_ws(":", F.lit(str(seed)), resample.cast("string"), block.cast("string"))

@@ -35,9 +35,11 @@ def validate_context(bars: DataFrame) -> DataFrame:
     if missing:
         raise ValidationError(f"missing market context symbols: {missing}")
     require_unique(context, ["symbol", "d"], "context bar")
-    return require_zero(
-        context, {"missing_day": F.col("d").isNull(), "invalid_close": ~finite(F.col("close")) | (F.col("close") <= 0)}
-    )
+    return require_zero(context, context_checks())
+
+
+def context_checks() -> dict:
+    return {"missing_day": F.col("d").isNull(), "invalid_close": ~finite(F.col("close")) | (F.col("close") <= 0)}
 
 
 def regime_table(bars: DataFrame) -> DataFrame:

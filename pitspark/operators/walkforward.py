@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -131,15 +131,17 @@ def validate_dataset(rows: DataFrame, symbols: list[str], features: list[str]) -
     if present != set(symbols):
         raise ValidationError("each declared symbol must have usable data; the universe may not change")
     require_unique(rows, ["symbol", "target_session"], "target session")
+    return require_zero(rows, dataset_checks(features))
+
+
+def dataset_checks(features: list[str]) -> dict[str, Column]:
+    """What no row of a dataset may be: nonfinite, at odds with its label, of another contract or out of order."""
     values_ok = F.lit(True)
     for name in [*features, "target_return"]:
         values_ok = values_ok & finite(F.col(name))
-    return require_zero(
-        rows,
-        {
-            "nonfinite value": ~values_ok,
-            "label": ~F.col("target").isin(0, 1) | (F.col("target") != (F.col("target_return") > 0).cast("int")),
-            "contract": F.col("target_contract_version") != CONTRACT_VERSION,
-            **chronology_checks(),
-        },
-    )
+    return {
+        "nonfinite value": ~values_ok,
+        "label": ~F.col("target").isin(0, 1) | (F.col("target") != (F.col("target_return") > 0).cast("int")),
+        "contract": F.col("target_contract_version") != CONTRACT_VERSION,
+        **chronology_checks(),
+    }

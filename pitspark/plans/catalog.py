@@ -15,6 +15,7 @@ MODULES = (
     "market_queries",
     "source_queries",
     "ledger_queries",
+    "gate_queries",
     "stream_queries",
 )
 

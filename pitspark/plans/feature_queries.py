@@ -69,7 +69,7 @@ def latest_features(spark, sf):
 
 
 @query(
-    "E11 F12 G4",
+    "G4",
     V.with_views(V.BARS)
     + """SELECT symbol, count(*) AS bars, count(*)-count(DISTINCT d) AS duplicate_days,
  count(*) FILTER (least(open,high,low,close)<=0) AS nonpositive_price, count(*) FILTER (volume<0) AS negative_volume,
@@ -210,7 +210,7 @@ def timing_labels(spark, sf):
 
 
 @query(
-    "G12 H28",
+    "G12",
     _TIMED
     + f"""SELECT count(*) AS n, count(*) FILTER (NOT (feature_date::TIMESTAMP < feature_available_at AND feature_available_at<=decision_at
    AND decision_at<entry_at AND entry_at<exit_at)) AS chronology,

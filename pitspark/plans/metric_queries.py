@@ -222,7 +222,7 @@ _LONGFLAT = (
 
 
 @query(
-    "H15 H27 H30",
+    "H15 H27",
     V.with_views(
         V.PREDICTIONS, _LONGFLAT.format(src="predictions"), "tagged AS (SELECT *, symbol||'@'||cost_bps AS grp FROM lf)",
         portfolio_ctes("tagged", "grp"),
@@ -252,7 +252,7 @@ def always_long_benchmark(spark, sf):
 
 
 @query(
-    "H21 H28",
+    "H21",
     V.with_views(V.PREDICTIONS)
     + """SELECT count(*) AS rows, count(*) FILTER (probability<0 OR probability>1) AS probability, count(*) FILTER (target_return<=-1) AS total_loss,
   count(*) FILTER (target<>CASE WHEN target_return>0 THEN 1 ELSE 0 END) AS label, count(*)-count(DISTINCT symbol||d) AS duplicate_keys FROM predictions""",

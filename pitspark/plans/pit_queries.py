@@ -249,7 +249,7 @@ def upsert_aliases(spark, sf):
 
 
 @query(
-    "B11 A25 A26",
+    "A25 A26",
     V.with_views(V.NEWS)
     + "SELECT source, count(*) AS record_count, "
     + ", ".join(
@@ -273,7 +273,7 @@ def _digest_sql(rows: str, by: str, out: str = "digest") -> str:
 
 
 @query(
-    "A25 A26 C12 B11",
+    "A25 A26 C12",
     _digest_sql("SELECT c_mktsegment, sha256(to_json({'c_custkey': c_custkey, 'c_name': c_name, 'c_nationkey': c_nationkey})) AS h FROM customer", "c_mktsegment"),
 )
 def dataset_fingerprints(spark, sf):
