@@ -41,8 +41,9 @@ def word_sums(row_hash: Column) -> list[Column]:
     return [F.sum(word).cast("decimal(28,0)").alias(f"w{i}") for i, word in enumerate(words)]
 
 
-def combine_words(count: str = "rows") -> Column:
-    parts = [F.coalesce(F.col(f"w{i}"), F.lit(0)).cast("string") for i in range(_WORDS)]
+def combine_words(count: str = "rows", words: str | None = None) -> Column:
+    """Digest of word sums and the row count; ``words`` names a struct that holds the sums."""
+    parts = [F.coalesce(F.col(f"{words}.w{i}" if words else f"w{i}"), F.lit(0)).cast("string") for i in range(_WORDS)]
     return F.sha2(F.concat_ws(":", F.col(count).cast("string"), *parts), 256)
 
 

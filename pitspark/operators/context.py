@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.digest import combine_words, content_id, word_sums
+from ..functions.digest import canonical_number, combine_words, content_id, word_sums
 from ..functions.reasons import finite
+from ..functions.times import utc_text
 
 # Feature names, macro definitions, age limits and reasons of the frozen contract.
 MARKET_FEATURES = {
@@ -79,8 +80,10 @@ def market_features(market: DataFrame, instruments: DataFrame, cutoff: Column) -
     """Six rows per requested instrument from its evidence market section.
 
     Only the last 21 bars matter: the numbering limits every instrument before the
-    shuffle, and the rest is one aggregation.
+    shuffle, and the rest is one aggregation. Where the section carries ``evidence_id``,
+    every slot names the records it was computed from.
     """
+    traced = "evidence_id" in market.columns
     recent = W.partitionBy("instrument_id").orderBy(F.desc("event_time"))
     last = market.withColumn("rn", F.row_number().over(recent)).filter(F.col("rn") <= _DEEPEST)
     # the neighbour in this numbering is the next older bar
@@ -101,6 +104,7 @@ def market_features(market: DataFrame, instruments: DataFrame, cutoff: Column) -
         F.avg(F.when(F.col("rn") <= 20, F.col("volume"))).alias("mean_volume"),
         *[F.max(F.when(F.col("rn") < n, F.col("_gap"))).alias(f"gap{n}") for n in counts],
         *[F.max(F.when(F.col("rn") <= n, F.col("available_at"))).alias(f"avail{n}") for n in counts],
+        *[F.array_sort(F.collect_set(F.when(F.col("rn") <= n, F.col("evidence_id")))).alias(f"ids{n}") for n in counts if traced],
     )
     asked = instruments.select("instrument_id").distinct().join(wide, "instrument_id", "left")
     c1 = F.col("c1")
@@ -131,11 +135,21 @@ def market_features(market: DataFrame, instruments: DataFrame, cutoff: Column) -
                 F.least(F.coalesce(F.col("bars"), F.lit(0)), F.lit(count)).cast("bigint").alias("records_used"),
                 # with fewer bars than asked for, the selection is what there is
                 F.col(f"avail{count}").alias("latest_input_available_at"),
+                *([F.coalesce(f"ids{count}", _none()).alias("source_evidence_ids"), _none().alias("metadata_record_hashes")] if traced else []),
             )
         )
     return asked.select("instrument_id", F.inline(F.array(*slots)))
 
 
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def metadata_hash() -> Column:
+    """Content hash of a series definition as it was observed."""
+    return content_id(["series_id", "units", "frequency", "seasonal_adjustment", utc_text(F.col("observed_at")).alias("observed_at")])
+
+
 def metadata_as_of(catalog: DataFrame, cutoff: Column) -> DataFrame:
     """Per series: the record, or why it may not be used at the cutoff.
 
@@ -168,11 +182,17 @@ def macro_features(macro: DataFrame, metadata: DataFrame, cutoff: Column) -> Dat
     """
     spark = macro.sparkSession
     policy = macro_policy(spark)
-    row = F.struct("observation_date", "available_at", "value")
+    traced = "evidence_id" in macro.columns
+    row = F.struct("observation_date", "available_at", "value", *(["evidence_id"] if traced else []))
     latest = macro.groupBy("series_id").agg(F.max_by(row, "observation_date").alias("o"))
     definition = metadata.select(
-        "series_id", F.struct("observed_at", "units", "frequency", "seasonal_adjustment").alias("m")
+        "series_id", F.struct("observed_at", "units", "frequency", "seasonal_adjustment", metadata_hash().alias("hash")).alias("m")
     )
+    lineage = {}
+    if traced:
+        lineage = {
+            "source_evidence_ids": F.array_compact(F.array("o.evidence_id")), "metadata_record_hashes": F.array_compact(F.array("m.hash")),
+        }
     joined = policy.join(latest, "series_id", "left").join(definition, "series_id", "left")
     day_us = 86_400_000_000
     age = lambda c: F.unix_micros(cutoff) - F.unix_micros(c)
@@ -199,11 +219,13 @@ def macro_features(macro: DataFrame, metadata: DataFrame, cutoff: Column) -> Dat
         F.when(F.col("o").isNotNull(), 1).otherwise(0).cast("bigint").alias("records_used"),
         F.greatest("o.available_at", "m.observed_at").alias("latest_input_available_at"),
         F.col("o.observation_date").alias("observation_date"),
+        *[ids.alias(name) for name, ids in lineage.items()],
     )
     pair = lambda s, c: F.max(F.when(F.col("feature") == f"macro.{s}.level", F.col(c)))
     both = levels.filter(F.col("feature").isin("macro.DGS10.level", "macro.DFF.level")).agg(
         *[pair(s, c).alias(f"{s}_{c}") for s in ("DGS10", "DFF") for c in ("status", "value", "observation_date", "records_used")],
         F.max("latest_input_available_at").alias("latest_input_available_at"),
+        *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(name)))).alias(name) for name in lineage],  # two series
     )
     difference = F.col("DGS10_value") - F.col("DFF_value")
     spread_status = (
@@ -215,7 +237,7 @@ def macro_features(macro: DataFrame, metadata: DataFrame, cutoff: Column) -> Dat
     spread = both.select(
         F.lit(SPREAD).alias("feature"), F.lit("percentage_points").alias("unit"), spread_status.alias("status"),
         F.when(spread_status == "AVAILABLE", difference).alias("value"),
-        (F.col("DGS10_records_used") + F.col("DFF_records_used")).alias("records_used"), "latest_input_available_at",
+        (F.col("DGS10_records_used") + F.col("DFF_records_used")).alias("records_used"), "latest_input_available_at", *lineage,
     )
     return levels.drop("observation_date").unionByName(spread)
 
@@ -229,16 +251,24 @@ def feature_packet(market: DataFrame, macro: DataFrame) -> DataFrame:
 
 
 def packet_status(features: DataFrame) -> DataFrame:
-    """COMPLETE iff every slot is available, plus an order-free feature digest."""
-    hashed = features.withColumn("_h", content_id(["feature", "status", "value", "unit"]))
-    grouped = hashed.groupBy("instrument_id").agg(
+    """COMPLETE iff every slot is available, plus an order-free digest of all result fields of the slots.
+
+    Slots that carry their lineage also get ``lineage_hash``: statuses, units and inputs without the values.
+    """
+    origin = [c for c in ("source_evidence_ids", "metadata_record_hashes") if c in features.columns]
+    stamp = utc_text(F.col("latest_input_available_at")).alias("latest_input_available_at")
+    fields = ["feature", "status", "unit", "reason", *origin, stamp] if "reason" in features.columns else ["feature", "status", "unit", *origin, stamp]
+    hashes = {"feature_hash": content_id([*fields, canonical_number(F.col("value")).alias("value")])}
+    if origin:
+        hashes["lineage_hash"] = content_id(fields)
+    grouped = features.groupBy("instrument_id").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(F.col("status") == "AVAILABLE").alias("available_count"),
-        *word_sums(F.col("_h")),
+        *[F.struct(*word_sums(h)).alias(name) for name, h in hashes.items()],
     )
     return grouped.select(
         "instrument_id", F.col("rows").alias("feature_count"), "available_count",
         F.when(F.col("rows") == F.col("available_count"), "COMPLETE").otherwise("PARTIAL").alias("status"),
-        combine_words().alias("feature_hash"),
+        *[combine_words(words=name).alias(name) for name in hashes],
     )
 
 

@@ -856,3 +856,61 @@ def context_provenance(spark, sf):
         "instrument_id", F.size(ids).cast("bigint").alias("evidence_ids"), (F.array_sort(ids) == ids).alias("sorted"),
         us("latest_input_available_at", "latest_us"),
     )
+
+
+_DEFINED = "VALUES " + ", ".join(
+    f"('{name}','{units}','{'Weekly' if name == 'UNRATE' else frequency}','{adjusted}')" for name, (units, frequency, adjusted, *_) in ctx.MACRO_POLICY.items()
+)
+_REASON_ROWS = "VALUES " + ", ".join("('{}','{}')".format(k, v.replace("'", "''")) for k, v in ctx.REASONS.items() if v)
+_SLOTS = V.with_views(
+    V.MARKET_BARS, _MK, V.MACRO, _POLICY, _LEVELS.replace(_MACRO_T, _T).replace(_MACRO_T[:10], _T[:10]),
+    f"mid AS (SELECT instrument_id, rn, {_MARKET_ID} AS id FROM mk WHERE rn<=21)",
+    """mslots AS (SELECT m.instrument_id, m.feature, m.unit, m.status, m.latest_input AS latest, list_sort(list(id) FILTER (rn<=m.n)) AS ids, []::VARCHAR[] AS hashes
+  FROM mfeat m JOIN mid USING (instrument_id) GROUP BY ALL)""",
+    f"oid AS (SELECT series_id, {_MACRO_ID} AS id FROM lastobs)",
+    f"""mhash AS (SELECT series_id, sha256(to_json({{'series_id': series_id, 'units': units, 'frequency': frequency, 'seasonal_adjustment': adjusted, 'observed_at': {_ISO.format('observed_at')}}})) AS h
+  FROM meta JOIN ({_DEFINED}) d(series_id, units, frequency, adjusted) USING (series_id))""",
+    "lslots AS (SELECT l.*, list_filter([id], lambda x: x IS NOT NULL) AS ids, list_filter([h], lambda x: x IS NOT NULL) AS hashes FROM levels l LEFT JOIN oid USING (series_id) LEFT JOIN mhash USING (series_id))",
+    """shared AS (SELECT feature, unit, status, latest, ids, hashes FROM lslots UNION ALL SELECT 'macro.DGS10_minus_DFF.spread_pp', 'percentage_points',
+  CASE WHEN a.status<>'AVAILABLE' OR b.status<>'AVAILABLE' THEN 'INPUT_BLOCKED' WHEN a.observation_date<>b.observation_date THEN 'OBSERVATION_DATE_MISMATCH' ELSE 'AVAILABLE' END,
+  greatest(a.latest,b.latest), list_sort(list_distinct(list_concat(a.ids,b.ids))), list_sort(list_distinct(list_concat(a.hashes,b.hashes))) FROM lslots a, lslots b WHERE a.series_id='DGS10' AND b.series_id='DFF')""",
+    f"""slots AS (SELECT s.*, reason FROM (SELECT instrument_id, feature, unit, status, latest, ids, hashes FROM mslots UNION ALL SELECT instrument_id, s.* FROM (SELECT DISTINCT instrument_id FROM mslots), shared s) s
+  LEFT JOIN ({_REASON_ROWS}) r(status, reason) USING (status))""",
+)
+
+
+def _traced_packet(spark, sf):
+    """Eleven slots per instrument with the evidence and metadata each was computed from."""
+    bars = views.market_bars(spark, sf)
+    market = ctx.market_features(ev.with_evidence_id(ev.market_section(bars, at(_T)), "market"), bars, at(_T))
+    section = ev.with_evidence_id(ev.macro_section(views.macro(spark, sf), at(_T), list(ctx.MACRO_POLICY)), "macro")
+    return ctx.feature_packet(market, ctx.macro_features(section, _metadata(spark, sf, _T).filter("status = 'AVAILABLE'"), at(_T)))
+
+
+@query(
+    "D15 C11",
+    _SLOTS + "SELECT instrument_id, feature, status, len(ids)::INTEGER AS evidence_ids, sha256(array_to_string(ids,',')) AS ids_digest, array_to_string(hashes,',') AS metadata_hashes, epoch_us(latest) AS latest_us FROM slots",
+)
+def context_slot_lineage(spark, sf):
+    """What each of the eleven slots was computed from, macro slots and the spread included."""
+    return _traced_packet(spark, sf).select(
+        "instrument_id", "feature", "status", F.size("source_evidence_ids").alias("evidence_ids"), F.sha2(F.array_join("source_evidence_ids", ","), 256).alias("ids_digest"),
+        F.array_join("metadata_record_hashes", ",").alias("metadata_hashes"), us("latest_input_available_at", "latest_us"),
+    )
+
+
+@query(
+    "D17 D15",
+    _SLOTS
+    + f"""SELECT instrument_id, feature_count, available_count, CASE WHEN feature_count=available_count THEN 'COMPLETE' ELSE 'PARTIAL' END AS status, lineage_hash FROM
+  (SELECT instrument_id, count(*) AS feature_count, count(*) FILTER (status='AVAILABLE') AS available_count FROM slots GROUP BY 1) JOIN ("""
+    + _digest_sql(
+        "SELECT instrument_id, sha256(to_json({'feature': feature, 'status': status, 'unit': unit, 'reason': reason, 'source_evidence_ids': ids, 'metadata_record_hashes': hashes, 'latest_input_available_at': "
+        + _ISO.format("latest") + "})) AS h FROM slots",
+        "instrument_id", "lineage_hash",
+    )
+    + ") USING (instrument_id)",
+)
+def context_packet_hashes(spark, sf):
+    """Status of every packet and the digest over its slots' statuses, reasons and inputs."""
+    return ctx.packet_status(_traced_packet(spark, sf)).drop("feature_hash")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pitspark.functions.digest import canonical_number
 from pitspark.functions.reasons import ValidationError
+from pitspark.operators import context as ctx
 from pitspark.operators import evidence as ev
 
 T = datetime.fromisoformat
@@ -77,3 +78,39 @@ def test_canonical_numbers(spark):
     rows = spark.createDataFrame([(k,) for k in cases], "x double").select("x", canonical_number(F.col("x")).alias("t")).collect()
     assert {r.x: r.t for r in rows} == cases
     assert spark.createDataFrame([(None,)], "x double").select(canonical_number(F.col("x"))).first()[0] is None
+
+
+BAR = "instrument_id string, event_time timestamp, interval string, open double, high double, low double, close double, volume double, available_at timestamp, ingested_at timestamp, source string, data_version string"
+
+
+def test_slots_name_their_inputs(spark):
+    rows = []
+    for i in range(25):
+        day = datetime(2024, 5, 1 + i)
+        rows.append(("YF:A", day, "1d", 100.0 + i, 102.0 + i, 99.0 + i, 101.0 + i, 10.0, day.replace(hour=23), day.replace(hour=23), "yahoo", f"snapshot-v2:{i}"))
+    bars = spark.createDataFrame(rows, BAR)
+    section = ev.with_evidence_id(bars, "market")
+    ids = [r.evidence_id for r in section.orderBy(F.desc("event_time")).collect()]
+    cut = F.lit("2024-05-27 00:00:00").cast("timestamp")
+    market = ctx.market_features(section, bars, cut)
+    slots = {r.feature: r for r in market.collect()}
+    for name, (count, _) in ctx.MARKET_FEATURES.items():
+        assert slots[name].source_evidence_ids == sorted(ids[:count]) and slots[name].metadata_record_hashes == []
+    assert "source_evidence_ids" not in ctx.market_features(bars, bars, cut).columns
+    seen = T("2024-05-20T00:00:00")
+    macro = spark.createDataFrame([(s, date(2024, 5, 20), v, date(2024, 5, 20), seen, seen, "fred", "b") for s, v in (("DFF", 5.0), ("DGS10", 4.0), ("UNRATE", None))], MACRO)
+    policy = ctx.macro_policy(spark)
+    metadata = policy.filter("series_id <> 'CPIAUCSL'").select("series_id", F.lit(seen).alias("observed_at"), "units", "frequency", "seasonal_adjustment")
+    traced = ev.with_evidence_id(macro, "macro")
+    of = {r.series_id: r.evidence_id for r in traced.collect()}
+    packet = ctx.feature_packet(market, ctx.macro_features(traced, metadata, cut))
+    found = {r.feature: r for r in packet.collect()}
+    assert len(found) == 11 and found[ctx.SPREAD].source_evidence_ids == sorted([of["DFF"], of["DGS10"]]) and len(found[ctx.SPREAD].metadata_record_hashes) == 2
+    assert found["macro.UNRATE.level"].source_evidence_ids == [of["UNRATE"]] and found["macro.UNRATE.level"].status == "MISSING_VALUE"
+    assert (found["macro.CPIAUCSL.level"].source_evidence_ids, found["macro.CPIAUCSL.level"].metadata_record_hashes) == ([], [])
+    base = ctx.packet_status(packet).first()
+    assert base == ctx.packet_status(packet.repartition(3)).first() and base.status == "PARTIAL"
+    moved = ctx.packet_status(packet.withColumn("value", F.col("value") + 1e-9)).first()
+    assert moved.feature_hash != base.feature_hash and moved.lineage_hash == base.lineage_hash
+    other = ctx.packet_status(packet.withColumn("source_evidence_ids", F.slice("source_evidence_ids", 1, 1))).first()
+    assert other.feature_hash != base.feature_hash and other.lineage_hash != base.lineage_hash
