@@ -6,8 +6,9 @@ return the rows to append (or the merged table). Publishing is the sink's job.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.digest import canonical_json
 from ..functions.reasons import ohlc_checks, require_unique, require_zero
@@ -165,6 +166,33 @@ def merge_macro(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return merged.select(*keys, *columns).select(*existing.columns)
 
 
+MACRO_PARTS = ("series_id", "period")
+
+
+def write_macro(rows: DataFrame, root: str) -> None:
+    """A macro table on disk, partitioned by series and year of observation."""
+    rows.withColumn("period", F.year("observation_date")).write.partitionBy(*MACRO_PARTS).parquet(root)
+
+
+def read_macro(spark: SparkSession, root: str, columns: list) -> DataFrame:
+    """The table written by ``write_macro``; ``columns`` are the fields of its rows."""
+    return spark.read.schema(T.StructType([*columns, T.StructField("period", T.IntegerType())])).parquet(root)
+
+
+def merge_macro_into(root: str, incoming: DataFrame) -> None:
+    """``merge_macro`` into the stored table: partitions the batch touches are read, merged and replaced, no other file is.
+
+    The replaced partitions are written aside and moved when the job commits; a rejected batch changes nothing.
+    """
+    spark, period = incoming.sparkSession, F.year("observation_date").alias("period")
+    touched = incoming.select("series_id", period).distinct()
+    years = [r.period for r in touched.select("period").distinct().collect()]  # bounded by the calendar
+    stored = read_macro(spark, root, incoming.schema.fields).where(F.col("period").isin(years))
+    existing = stored.join(touched, list(MACRO_PARTS), "left_semi").select(*incoming.columns)
+    merged = merge_macro(existing, incoming).withColumn("period", period)
+    merged.write.partitionBy(*MACRO_PARTS).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(root)
+
+
 def _rest(df: DataFrame, keys: list[str]) -> list[str]:
     return [c for c in df.columns if c not in keys and c != "realtime_end"]
 

@@ -14,6 +14,7 @@ from ..schemas import contract_checks
 from . import oracle_views as V
 from . import views
 from .registry import query
+from .source_queries import scratch
 
 _T = "1998-07-01 00:00:00"
 _CATALOG_T = "1998-06-30 00:00:00"
@@ -220,6 +221,25 @@ def merge_macro(spark, sf):
     )
 
 
+@query(
+    "B8",
+    V.with_views(V.MACRO)
+    + """SELECT series_id, CAST(observation_date AS VARCHAR) AS observation_date, CAST(vintage_date AS VARCHAR) AS vintage_date, value,
+  CAST(CASE WHEN available_at > TIMESTAMP '1998-01-01' - INTERVAL 90 DAY AND available_at <= TIMESTAMP '1998-07-01' THEN realtime_end + 30 ELSE realtime_end END AS VARCHAR) AS realtime_end
+  FROM macro WHERE available_at <= TIMESTAMP '1998-07-01'""",
+)
+def merge_macro_partitions(spark, sf):
+    """The same merge into a stored table, in two batches: only the partitions they touch are replaced."""
+    rows, root = views.stored(views.macro(spark, sf)), scratch(spark, "macro-table")
+    wh.write_macro(rows.filter(F.col("available_at") <= at("1998-01-01")), root)
+    early = F.timestamp_add("DAY", F.lit(-90), at("1998-01-01"))
+    for first, last in ((early, at("1998-03-01")), (at("1998-03-01"), at("1998-07-01"))):
+        batch = rows.filter((F.col("available_at") > first) & (F.col("available_at") <= last))
+        wh.merge_macro_into(root, batch.withColumn("realtime_end", F.date_add("realtime_end", 30)))
+    merged = wh.read_macro(spark, root, rows.schema.fields)
+    return merged.select("series_id", day("observation_date"), day("vintage_date"), "value", day("realtime_end"))
+
+
 @query(
     "B9 A14",
     V.with_views(V.NEWS)

@@ -315,7 +315,7 @@ def csv_round_trip(spark, sf):
 
 
 @query(
-    "A21 A22 A25 B12",
+    "A21 A22 A25",
     V.with_views(V.BARS, V.MACRO) + "SELECT 'bars' AS part, count(*) AS rows, true AS matches FROM bars UNION ALL SELECT 'macro', count(*), true FROM macro",
 )
 def manifest_round_trip(spark, sf):
@@ -324,6 +324,26 @@ def manifest_round_trip(spark, sf):
     return sinks.verify(spark, root).select("part", "rows", "matches")
 
 
+@query(
+    "B12 B11",
+    V.with_views(V.BARS, V.IDENTITIES)
+    + """SELECT version, part, rows, request FROM (SELECT 1::INTEGER AS version, 'bars' AS part, count(*) AS rows, 'first' AS request FROM bars WHERE year(d)<1998
+  UNION ALL SELECT 1, 'aliases', count(*), 'first' FROM identities UNION ALL SELECT 2, 'bars', count(*), 'second' FROM bars UNION ALL SELECT 2, 'aliases', count(*), 'second' FROM identities)""",
+)
+def atomic_batches(spark, sf):
+    """Two batches of bars and aliases, each published at once; the counts are those of the rows read back."""
+    root, bars, aliases = scratch(spark, "batches"), views.stored(views.bars(spark, sf)), views.identities(spark, sf)
+    for request, rows in (("first", bars.filter(F.year("d") < 1998)), ("second", bars)):
+        sinks.publish_batch({"bars": rows, "aliases": aliases}, root, request)
+    audits = sinks.pointers(spark, root)
+    read = None
+    for version in (1, 2):
+        for part, schema in (("bars", bars.schema), ("aliases", aliases.schema)):
+            found = sinks.read_batch(spark, root, part, schema, version).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(version).alias("version"), F.lit(part).alias("part"), "rows")
+            read = found if read is None else read.unionByName(found)
+    return audits.select("version", "part", "request").join(read, ["version", "part"]).select("version", "part", "rows", "request")
+
+
 @query(
     "A23",
     V.with_views(V.PREDICTIONS) + "SELECT symbol, CAST(d AS VARCHAR) AS d, probability, target_return, CAST(target AS BIGINT) AS target FROM predictions",
