@@ -27,6 +27,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+READ_BYTES = 32 << 20  # of written files that one task reads back
+
+
+def readers(total_bytes: int | None) -> int:
+    """Number of tasks that read so many bytes back. Given as a number, adaptive execution does not merge them: it would
+    judge by the size of the listing, not of the files."""
+    return max(1, -(-(total_bytes or 0) // READ_BYTES))
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Ask the driver to collect the handles of finished jobs, whose shuffle files Spark's cleaner then deletes.
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import textarrays as ta
 from .bpe import Bpe, default_path
-from .storage import new_folder, open_input, open_output, stored
+from .storage import new_folder, open_input, open_output, readers, stored
 
 _U = np.uint64
 HEADER = np.dtype([("doc_id", "<i8"), ("null_id", "u1"), ("pad", "u1"), ("n_tokens", "<u2"), ("piece", "<u4")])
@@ -147,7 +147,8 @@ def read_slots(
 ) -> DataFrame:
     """Sequences of slots start..stop-1 read back by byte ranges: slot, doc_id, piece, n_tokens, ids (binary u32).
 
-    Reading on after a stop is a seek: nothing before ``start`` is touched.
+    Reading on after a stop is a seek: nothing before ``start`` is touched. Shards are cut into ranges of their bytes, so
+    a large shard is read by several tasks. An empty manifest gives no rows; a shard without rows is not opened.
     """
     record = record_type(sequence_length, id_type)
     step = max(1, (4 << 20) // record.itemsize)
@@ -155,9 +156,9 @@ def read_slots(
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard in batch.to_pylist():
-                first, count = shard["first_slot"], shard["rows"]
-                at = max(0, start - first)
-                end = count if stop is None else min(count, stop - first)
+                first, last = shard["first_slot"], min(shard["at"] + step, shard["rows"])
+                at = max(shard["at"], start - first)
+                end = last if stop is None else min(last, stop - first)
                 if at >= end:
                     continue
                 with open_input(shard["uri"]) as file:
@@ -179,7 +180,10 @@ def read_slots(
                         )
                         at += n
 
-    spread = manifest.select("uri", "first_slot", "rows").repartition("uri")
+    pieces = F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(step).cast("long"))).alias("at")
+    ranges = manifest.where("rows > 0").select("uri", "first_slot", "rows", pieces)
+    total = manifest.agg(F.sum("rows")).first()[0]
+    spread = ranges.repartition(readers((total or 0) * record.itemsize))
     return spread.mapInArrow(read, "slot long, doc_id long, piece int, n_tokens long, ids binary")
 
 

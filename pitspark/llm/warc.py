@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import new_folder, open_input, open_output, stored
+from .storage import new_folder, open_input, open_output, readers, stored
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PACKAGE_BYTES = 256 << 20  # a package is closed beyond this size
@@ -244,11 +244,13 @@ def locate(packages: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                         names=["uri", "start", "lengths"],
                     )
 
-    return packages.select("uri").repartition("uri").mapInArrow(find, "uri string, start long, lengths array<long>")
+    size, number = packages.agg(F.sum("bytes"), F.count("*")).first()
+    spread = packages.select("uri").repartition(max(1, min(readers(size), number)))
+    return spread.mapInArrow(find, "uri string, start long, lengths array<long>")
 
 
-def read_records(located: DataFrame, payload: bool = True) -> DataFrame:
-    """The records of the given blocks, one range read each: page_id, url, payload_bytes, payload_digest, record_type,
+def read_records(located: DataFrame, payload: bool = True, tasks: int | None = None) -> DataFrame:
+    """The records of the given blocks, one range read each, dealt to ``tasks`` (by the blocks' bytes if not given): page_id, url, payload_bytes, payload_digest, record_type,
     refers_to and, if asked for, payload (null for a revisit).
 
     A response whose payload does not have the digest of its header raises.
@@ -280,7 +282,10 @@ def read_records(located: DataFrame, payload: bool = True) -> DataFrame:
                 yield pa.record_batch([pa.array([r[k] for r in rows], kinds[k]) for k in range(7 if payload else 6)], names=names[: 7 if payload else 6])
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    spread = located.repartition("uri", "start")
+    if tasks is None:
+        located = stored(located, "blocks")
+        tasks = readers(located.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, b: a + b))).first()[0])
+    spread = located.repartition(tasks)
     return spread.mapInArrow(read, schema + ", payload binary" if payload else schema)
 
 
