@@ -228,6 +228,28 @@ def evaluate(predictions: DataFrame, cost_bps: float) -> DataFrame:
     )
 
 
+def split_rejection_reasons(auc, sharpe, drawdown, net_return) -> Column:
+    """Ordered reasons of the gate after one chronological split; empty means approved for paper signals."""
+    checks = [
+        (F.coalesce(auc < ADMISSION["min_auc"], F.lit(True)), "ROC AUC is below 0.53"),
+        (sharpe < ADMISSION["min_sharpe"], "annualized Sharpe is below 0.75"),
+        (drawdown < ADMISSION["max_drawdown_pct"], "maximum drawdown exceeds 20%"),
+        (net_return <= 0, "net out-of-sample return is not positive"),
+    ]
+    return F.array_compact(F.array(*[F.when(cond, F.lit(text)) for cond, text in checks]))
+
+
+def evaluate_split(predictions: DataFrame, cost_bps: float) -> DataFrame:
+    """One row for the test part of a chronological split: classification, money at one cost, and the gate."""
+    require_predictions(predictions, cost_bps)
+    rows = strategy_rows(predictions, [cost_bps])
+    money = return_metrics(require_daily(portfolio_daily(rows))).drop("days")
+    active = rows.agg(F.count_if(F.col("signal") != 0).alias("active_predictions"))
+    joined = classification(predictions, []).crossJoin(money).crossJoin(active)  # one row each
+    reasons = split_rejection_reasons(*[F.col(c) for c in ("roc_auc", "annualized_sharpe", "max_drawdown_pct", "net_return_pct")])
+    return joined.withColumn("rejection_reasons", reasons).withColumn("approved_for_paper", F.size("rejection_reasons") == 0)
+
+
 def group_summary(predictions: DataFrame, groups: list[str], cost_bps: float) -> DataFrame:
     """One row per group and model: span, AUC, and the long/flat portfolio at the group's selected cost.
 

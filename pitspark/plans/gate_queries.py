@@ -12,6 +12,7 @@ from ..functions.reasons import failed, violation_counts
 from ..operators import evidence as ev
 from ..operators import features as feat
 from ..operators import identity as idn
+from ..operators import ledger as lg
 from ..operators import metrics as met
 from ..operators import regime as reg
 from ..operators import timing
@@ -21,7 +22,8 @@ from . import oracle_features as O
 from . import oracle_views as V
 from . import views
 from .feature_queries import _NOT_NULL, _SCHEDULE, _TIMING
-from .metric_queries import _AUC, _LONGFLAT, portfolio_ctes, r6, text
+from .ledger_queries import _FEES, _MARKS, _marks, _positions
+from .metric_queries import _AUC, _LONGFLAT, _SIGNAL, _STRATEGY, portfolio_ctes, r6, text
 from .pit_queries import _ID_T, _IDENTITY, _RESOLVE, _digest_sql, at
 from .registry import query
 
@@ -171,3 +173,37 @@ def group_report_summary(spark, sf):
         "grp", "model", text("oos_start"), text("oos_end"), "selected_round_trip_cost_bps", *r6("roc_auc"), "days",
         *r6("net_return_pct", "annualized_sharpe", "max_drawdown_pct"),
     )
+
+
+@query(
+    "H25 H1",
+    V.with_views(
+        V.PREDICTIONS, "dates AS (SELECT d, row_number() OVER (ORDER BY d)-1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT d FROM predictions))",
+        "tested AS (SELECT p.*, 0 AS g FROM predictions p JOIN dates USING (d) WHERE idx>=floor(n*(1.0::DOUBLE-0.2::DOUBLE)))", _AUC.format(by="g", src="tested", out="auc"),
+        _STRATEGY.format(src="tested", sig=_SIGNAL), "five AS (SELECT * FROM strat WHERE cost_bps=5)", portfolio_ctes("five", "g"),
+        "one AS (SELECT m.*, roc_auc, (SELECT count(*) FILTER (sig<>0) FROM five) AS active FROM m, auc)",
+    )
+    + """SELECT (SELECT count(*) FROM tested) AS rows, active AS active_predictions, round(roc_auc,6) AS roc_auc, round(net_return_pct,6) AS net_return_pct, round(annualized_sharpe,6) AS annualized_sharpe,
+  round(max_drawdown_pct,6) AS max_drawdown_pct, array_to_string(list_filter([CASE WHEN coalesce(roc_auc<0.53,true) THEN 'ROC AUC is below 0.53' END, CASE WHEN annualized_sharpe<0.75 THEN 'annualized Sharpe is below 0.75' END,
+   CASE WHEN max_drawdown_pct<-20 THEN 'maximum drawdown exceeds 20%' END, CASE WHEN net_return_pct<=0 THEN 'net out-of-sample return is not positive' END], lambda x: x IS NOT NULL),'|') AS reasons FROM one""",
+)
+def one_split_gate(spark, sf):
+    """The gate over the last fifth of the sessions."""
+    split = wf.chronological_split(views.stored(views.predictions(spark, sf)))
+    out = met.evaluate_split(views.stored(split.filter("role = 'test'").drop("role").withColumn("base_probability", F.lit(0.5))), 5.0)
+    return out.select("rows", "active_predictions", *r6("roc_auc", "net_return_pct", "annualized_sharpe", "max_drawdown_pct"), F.array_join("rejection_reasons", "|").alias("reasons"))
+
+
+@query(
+    "N8",
+    V.with_views(V.BARS, V.FILLS, _FEES, _MARKS)
+    + """, pos AS (SELECT symbol, sum(s) AS q, max(multiplier) AS m FROM feed GROUP BY 1),
+ord AS (SELECT symbol, sum(quantity) FILTER (side='BUY') AS b, sum(quantity) FILTER (side='SELL') AS s FROM fills WHERE day>=DATE '2001-01-01' GROUP BY 1)
+SELECT round(sum(CAST(greatest(abs(q+coalesce(b,0)),abs(q-coalesce(s,0))) AS DOUBLE)*mark*m),0) AS gross_worst_notional, count(*) FILTER (mark IS NULL) AS missing_marks
+FROM pos LEFT JOIN ord USING (symbol) LEFT JOIN marks USING (symbol)""",
+)
+def gross_worst_case(spark, sf):
+    """The worst case of all symbols together."""
+    pending = views.fills(spark, sf).filter(F.col("day") >= F.lit("2001-01-01").cast("date"))
+    exposure = lg.worst_case_exposure(_positions(spark, sf), pending, _marks(spark, sf))
+    return lg.gross_exposure(exposure).select(F.round("gross_worst_notional", 0).alias("gross_worst_notional"), "missing_marks")
