@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.reasons import failed, violation_counts
+from ..operators import admission as adm
 from ..operators import evidence as ev
 from ..operators import features as feat
 from ..operators import identity as idn
@@ -19,6 +20,7 @@ from ..operators import timing
 from ..operators import walkforward as wf
 from ..operators import warehouse as wh
 from . import oracle_features as O
+from . import oracle_market as M
 from . import oracle_views as V
 from . import views
 from .feature_queries import _NOT_NULL, _SCHEDULE, _TIMING
@@ -207,3 +209,50 @@ def gross_worst_case(spark, sf):
     pending = views.fills(spark, sf).filter(F.col("day") >= F.lit("2001-01-01").cast("date"))
     exposure = lg.worst_case_exposure(_positions(spark, sf), pending, _marks(spark, sf))
     return lg.gross_exposure(exposure).select(F.round("gross_worst_notional", 0).alias("gross_worst_notional"), "missing_marks")
+
+
+@query(
+    "L3 L2",
+    V.with_views(M.EVENTS, M.WINDOWS, "offers AS (SELECT w.* FROM windows w, range(6))")
+    + _gate_sql(
+        "offers",
+        {
+            "INTENT_SYMBOL_UNSUPPORTED": "w%31=0", "INTENT_SIDE_INVALID": "w%37=0", "INTENT_NOTIONAL_INVALID": "w%41=0", "INTENT_DECISION_TIME_INVALID": "w%61=0",
+            "INTENT_LATENCY_INVALID": "w%47=0", "INTENT_SOURCE_HASH_INVALID": "w%53=0", "INTENT_NOTIONAL_LIMIT_EXCEEDED": "w%43=0 AND w%41<>0", "INTENT_ID_MISMATCH": "w%59=0",
+        },
+    ),
+)
+def intent_gate(spark, sf):
+    """Intents with a foreign symbol, side, amount, latency, source or id, and without a decision time."""
+    w = F.col("w")
+    plant = lambda modulus, value, name: F.when(w % modulus == 0, F.lit(value)).otherwise(F.col(name))
+    intents = adm.generate_intents(views.quote_windows(spark, sf), ["w"]).withColumns(
+        {
+            "symbol": plant(31, "ZZZ", "symbol"), "side": plant(37, "HOLD", "side"), "latency_ms": plant(47, 7, "latency_ms"), "source_sha256": plant(53, "short", "source_sha256"),
+            "notional_decimal": F.when(w % 41 == 0, "5.123456789").when(w % 43 == 0, "25.01").otherwise(F.col("notional_decimal")),
+            "decision_ns": F.when(w % 61 != 0, F.col("decision_ns")),
+        }
+    )
+    forged = intents.withColumn("intent_id", F.when(w % 59 == 0, F.lit("forged")).otherwise(adm.intent_id()))
+    return _gate(forged, dict(adm.intent_checks(F.lit(25).cast("decimal(38,8)"))), adm.require_unique_intents)
+
+
+@query(
+    "L4",
+    _gate_sql(
+        "customer",
+        {
+            "POLICY_PAPER_ONLY_REQUIRED": "c_custkey%7=0", "POLICY_EXECUTION_MUST_BE_DISABLED": "c_custkey%11=0", "POLICY_NOTIONAL_LIMIT_INVALID": "c_custkey%13=0 OR 1+c_custkey%40>25",
+            "POLICY_QUOTE_AGE_LIMIT_INVALID": "c_custkey%1500>1000", "POLICY_EXPECTED_FEED_INVALID": "c_custkey%17=0", "POLICY_SOURCE_HASH_INVALID": "c_custkey%19=0",
+        },
+    ),
+)
+def policy_gate(spark, sf):
+    """One policy per customer: amounts and ages beyond the hard caps, execution allowed, foreign feeds, broken hashes."""
+    k = F.col("c_custkey")
+    policy = F.struct(
+        F.when(k % 13 == 0, "x").otherwise((1 + k % 40).cast("string")).alias("max_notional_usd"), (k % 7 != 0).alias("paper_only"), (k % 11 == 0).alias("execution_enabled"),
+        (k % 1500).cast("int").alias("max_quote_age_ms"), F.when(k % 17 == 0, "otc").otherwise("sip").alias("expected_stock_feed"), F.lit("crypto_us").alias("expected_crypto_feed"),
+        F.when(k % 19 == 0, "zz").alias("expected_source_sha256"),
+    )
+    return _gate(views.table(spark, sf, "customer").select(policy.alias("policy")), dict(adm.policy_checks()), lambda clean: None)
