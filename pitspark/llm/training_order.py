@@ -134,7 +134,7 @@ def write_shards(
         yield pa.record_batch([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.int32(), pa.string(), pa.int64()))], names=["shard", "uri", "rows"])
 
     cuts = source.mapInArrow(cut, "shard int, place long, record binary")
-    ranged = cuts.repartition(shards, "shard").sortWithinPartitions("shard", "place", "record")
+    ranged = cuts.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "place", "record")  # one shard a task
     written = stored(ranged.mapInArrow(write, "shard int, uri string, rows long"), "shard-rows")
     # One row per shard, not per sequence: the window is as small as the file listing.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
