@@ -583,7 +583,7 @@ _ADM = with_views(
 
 
 @query(
-    "L1 L2 L5 L6 L7 L9",
+    "L1 L2 L5 L6 L7 L8 L9",
     _ADM
     + "SELECT symbol, w, latency_ms, side, CASE WHEN len(reasons)=0 THEN 'APPROVED_FOR_SIMULATION_ONLY' ELSE 'REJECTED' END AS state, array_to_string(reasons,',') AS reasons FROM intents",
 )
