@@ -27,9 +27,13 @@ def assertion_checks(cutoff: Column, mode: str = "local_observed") -> dict[str,
     return checks
 
 
-def require_assertions(rows: DataFrame, cutoff: Column, mode: str = "local_observed") -> DataFrame:
+def require_assertions(rows: DataFrame, cutoff: Column, mode: str = "local_observed", record: tuple[str, ...] = ()) -> DataFrame:
+    """Valid assertions, none delivered twice.
+
+    ``record`` names the source's record key where it has one: different records may then assert the same.
+    """
     require_zero(rows, assertion_checks(cutoff, mode))
-    require_unique(rows.select(content_id(ROW_FIELDS).alias("assertion_id")), ["assertion_id"], "identity assertion")
+    require_unique(rows.select(content_id([*record, *ROW_FIELDS]).alias("assertion_id")), ["assertion_id"], "identity assertion")
     return rows
 
 

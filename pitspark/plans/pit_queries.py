@@ -693,7 +693,7 @@ _RESOLVE = """resolved AS (SELECT a.instrument_id, coalesce(n,0) AS assertion_co
 )
 def identity_resolution(spark, sf):
     ids = views.identities(spark, sf)
-    rows = idn.require_assertions(ev.identity_section(ids, at(_ID_T)), at(_ID_T))
+    rows = idn.require_assertions(ev.identity_section(ids, at(_ID_T)), at(_ID_T), record=("c_custkey",))
     return idn.resolve(rows, ids).drop("resolved")
 
 

@@ -168,6 +168,16 @@ def test_identity_statuses(spark):
         idn.require_assertions(section, at("2024-01-02 00:00:00"))
 
 
+def test_records_that_assert_the_same_are_told_apart_by_their_key(spark):
+    rows = [(*assertion("YF:A", "A"), 1), (*assertion("YF:A", "A"), 2), (*assertion("YF:B", "B"), 3)]
+    df = spark.createDataFrame(rows, IDENTITY + ", record long")
+    kept = idn.require_assertions(ev.identity_section(df, at()), at(), record=("record",))
+    out = {r.instrument_id: (r.status, r.assertion_count) for r in idn.resolve(kept, df).collect()}
+    assert out == {"YF:A": ("EQUIVALENT_ASSERTIONS", 2), "YF:B": ("SINGLE_ASSERTION", 1)}
+    with pytest.raises(ValidationError, match="duplicate identity assertion"):
+        idn.require_assertions(kept.unionByName(kept), at(), record=("record",))
+
+
 def test_binding_and_mask(spark):
     df = spark.createDataFrame([assertion("YF:A", "A"), assertion("YF:B", "X"), assertion("YF:C", "C", asset="crypto")], IDENTITY)
     resolved = idn.resolve(ev.identity_section(df, at()), df)
