@@ -4,8 +4,9 @@ A tree grows best first: of all leaves the one whose best split gains most is sp
 them. The gain has the L2 term in its denominator. What a split gains depends on the rows of its node alone, so all
 nodes the best-first order can reach next are searched in one job: every task sends one gradient histogram per (group,
 node), histograms are added by key, running sums over bins give all splits, and one split per node reaches the driver. A
-tree takes about as many jobs as it is deep, whatever the number of groups and rows. These thousands of small jobs are
-RDD jobs over binned blocks: planning each as a query takes longer than running it.
+node of at most ``SMALL_NODE`` rows is not searched level by level: its rows meet in one task, which finds all splits
+below it. A tree takes a job per level with larger nodes and one more. These many small jobs are RDD jobs over binned
+blocks: planning each as a query takes longer than running it.
 
 Gradients are integers (multiples of 2^-30), so sums, and with them the trees, are the same however rows are dealt out
 and whichever tasks are run again.
@@ -14,6 +15,7 @@ and whichever tasks are run again.
 from __future__ import annotations
 
 import heapq
+import operator
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from typing import NamedTuple
@@ -31,6 +33,7 @@ from ..session import reliable_checkpoint
 
 UNIT = 1 << 30  # gradients and hessians are multiples of 1/UNIT
 GAIN_DIGITS = 9  # gains equal to so many digits are ties: lower node, feature and bin first
+SMALL_NODE = 1 << 16  # rows up to which one task grows all that is below a node
 WRITTEN_EVERY = 10  # trees after which the raw scores are written anew
 
 
@@ -171,18 +174,20 @@ def cuts(train: DataFrame, group: str, features: Sequence[str], bins: int) -> Da
     return edges.select("grp", "feature", "median", ((F.col("last") + following) / 2).alias("threshold"))
 
 
-def _start(train: DataFrame, group: str, features: Sequence[str], settings: Settings) -> dict:
-    """Models without trees: groups x features x bins rows reach the driver."""
-    rates = {r.grp: r.rate for r in train.groupBy(F.col(group).alias("grp")).agg(F.avg(F.col("target").cast("double")).alias("rate")).collect()}
+def _start(train: DataFrame, group: str, features: Sequence[str], settings: Settings) -> tuple[dict, dict]:
+    """(models without trees, row counts) by group: groups x features x bins rows reach the driver."""
+    known = train.groupBy(F.col(group).alias("grp")).agg(F.avg(F.col("target").cast("double")).alias("rate"), F.count("*").alias("rows")).collect()
+    rates = {r.grp: r.rate for r in known}
     if any(rate is None or not 0 < rate < 1 for rate in rates.values()):
         raise ValidationError("every group needs both classes")
     found: dict = {g: [(0.0, []) for _ in features] for g in rates}
     for r in cuts(train, group, features, settings.bins).collect():
         found[r.grp][r.feature] = (r.median, [*found[r.grp][r.feature][1], *([] if r.threshold is None else [r.threshold])])
-    return {
+    models = {
         g: GroupModel(float(np.log(rate / (1 - rate))), np.array([m for m, _ in found[g]]), tuple(np.sort(np.array(c, float)) for _, c in found[g]))
         for g, rate in rates.items()
     }
+    return models, {r.grp: r.rows for r in known}
 
 
 def _values(batch: pa.RecordBatch, features: Sequence[str]) -> np.ndarray:
@@ -230,11 +235,14 @@ def _with_trees(groups: np.ndarray, bins: np.ndarray, raw: np.ndarray, pending:
     return raw
 
 
-def histograms(blocks: RDD, pending: Sequence[Sequence[Tree]], partial: Sequence[Tree], wanted: Sequence[set]) -> RDD:
-    """((group, node), int64 array of rows, gradients and hessians by feature and bin) of the wanted nodes, once per task."""
+def histograms(blocks: RDD, pending: Sequence[Sequence[Tree]], partial: Sequence[Tree], wanted: Sequence[set], small: Sequence[set] = ()) -> RDD:
+    """((group, node), int64 array of rows, gradients and hessians by feature and bin) of the wanted nodes, once per task.
+
+    For nodes in ``small`` the value is a list instead: bins, gradients and hessians of the node's rows.
+    """
 
     def run(rows):
-        found: dict[tuple[int, int], np.ndarray] = {}
+        found: dict[tuple[int, int], np.ndarray | list] = {}
         for block in rows:
             groups, target, bins, raw = _unpacked(block)
             width = bins.shape[1]
@@ -247,17 +255,52 @@ def histograms(blocks: RDD, pending: Sequence[Sequence[Tree]], partial: Sequence
                 node = tree.path[tree.place(bins[mine])]
                 for path in wanted[one]:
                     inside = mine[node == path]
-                    if len(inside):
+                    if len(inside) and small and path in small[one]:
+                        found.setdefault((one, path), []).append((bins[inside], g[inside], h[inside]))
+                    elif len(inside):
                         total = found.setdefault((one, path), np.zeros((3, width, 256), np.int64))
-                        cell = (bins[inside] + 256 * np.arange(width)).ravel()
-                        for k, weight in enumerate((None, g, h)):  # sums of one block are exact in doubles
-                            weights = None if weight is None else np.repeat(weight[inside], width)
-                            total[k] += np.bincount(cell, weights, width * 256).astype(np.int64).reshape(width, 256)
+                        total += histogram(bins[inside], g[inside], h[inside])  # sums of one block are exact in doubles
         return found.items()
 
     return blocks.mapPartitions(run)
 
 
+def histogram(bins: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Rows, gradients and hessians by feature and bin."""
+    width = bins.shape[1]
+    cell = (bins + 256 * np.arange(width)).ravel()
+    sums = (np.bincount(cell, w if w is None else np.repeat(w, width), width * 256) for w in (None, g, h))
+    return np.stack([s.astype(np.int64).reshape(width, 256) for s in sums])
+
+
+def subtree(node: int, rows: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray]], settings: Settings) -> list[Split]:
+    """Best splits of a small node and of the nodes below it that a best-first tree can reach."""
+    bins, g, h = (np.concatenate(part) for part in zip(*rows, strict=True))
+    whole = histogram(bins, g, h)
+    inside, sums, found, waiting = {node: np.arange(len(bins))}, {node: whole}, [], []
+
+    def search(at: int) -> None:
+        split = best_split(at, sums[at], settings)
+        if split:
+            found.append(split)
+            heapq.heappush(waiting, (-split.gain, at, split))
+
+    search(node)
+    for _ in range(settings.leaves - 2):  # children of the last possible split stay leaves
+        if not waiting:
+            break
+        _, at, split = heapq.heappop(waiting)
+        mine, total = inside.pop(at), sums.pop(at)
+        goes = bins[mine, split.feature] <= split.bin
+        inside[2 * at], inside[2 * at + 1] = mine[goes], mine[~goes]
+        less, more = (2 * at, 2 * at + 1) if split.left_rows <= split.right_rows else (2 * at + 1, 2 * at)
+        sums[less] = histogram(bins[inside[less]], g[inside[less]], h[inside[less]])
+        sums[more] = total - sums[less]
+        search(2 * at)
+        search(2 * at + 1)
+    return found
+
+
 def best_split(node: int, histogram: np.ndarray, settings: Settings) -> Split | None:
     """The best admissible split of a node, None where nothing gains."""
     left = histogram.cumsum(axis=2)
@@ -278,28 +321,43 @@ def best_split(node: int, histogram: np.ndarray, settings: Settings) -> Split |
     return Split(node, int(feature), int(bin_), float(gain[feature, bin_]), int(left[0, feature, bin_]), int(right[0, feature, bin_]), *map(float, values))
 
 
-def _grow(blocks: RDD, pending: list[list[Tree]], settings: Settings) -> list[Tree]:
-    """The next tree of every group."""
+def _grow(blocks: RDD, pending: list[list[Tree]], sizes: Sequence[int], settings: Settings) -> list[Tree]:
+    """The next tree of every group; ``sizes`` are the groups' row counts."""
     groups = range(len(pending))
     known: list[dict[int, Split]] = [{} for _ in groups]
     searched: list[set] = [set() for _ in groups]
+    below: list[set] = [set() for _ in groups]  # small nodes: all below them is known
+    tasks = max(blocks.getNumPartitions(), min(len(groups), blocks.ctx.defaultParallelism))
+
+    def added(found) -> list[Split]:
+        (_, node), value = found
+        if isinstance(value, list):
+            return subtree(node, value, settings)
+        split = best_split(node, value, settings)
+        return [split] if split else []
+
     while True:
         orders = [grown(known[g], settings.leaves) for g in groups]
         # Children of all splits made so far; those of the last possible one stay leaves.
-        wanted = []
+        wanted, small = [], []
         for g in groups:
             made = orders[g][: settings.leaves - 2]
-            reach = {1} if settings.leaves > 1 else set()
-            wanted.append((reach | {c for s in made for c in (2 * s.node, 2 * s.node + 1)}) - searched[g])
+            reach = {1: sizes[g]} if settings.leaves > 1 else {}
+            for s in made:
+                reach |= {2 * s.node: s.left_rows, 2 * s.node + 1: s.right_rows}
+            new = {n for n in reach if n not in searched[g] and not any(n >> up in below[g] for up in range(1, n.bit_length()))}
+            wanted.append(new)
+            small.append({n for n in new if reach[n] <= SMALL_NODE})
         if not any(wanted):
             return [tree_of(order) for order in orders]
         partial = [tree_of(order) for order in orders]
-        added = histograms(blocks, pending, partial, wanted).reduceByKey(np.add, blocks.getNumPartitions())
-        for (g, node), split in added.map(lambda x: (x[0], best_split(x[0][1], x[1], settings))).collect():  # one per wanted node
-            if split:
-                known[g][node] = split
+        # `add` adds histograms and joins the row lists of small nodes
+        parts = histograms(blocks, pending, partial, wanted, small).reduceByKey(operator.add, tasks)
+        for g, splits in parts.map(lambda x: (x[0][0], added(x))).collect():  # at most two splits per leaf
+            known[g] |= {split.node: split for split in splits}
         for g in groups:
             searched[g] |= wanted[g]
+            below[g] |= small[g]
 
 
 def _written(state: DataFrame, pending: list[list[Tree]]) -> DataFrame:
@@ -322,18 +380,19 @@ def fit(train: DataFrame, features: Sequence[str], group: str | None = None, set
     column = group or "_group"
     if group is None:
         train = train.withColumn(column, F.lit(0))
-    models = _start(train, column, features, settings)
+    models, rows = _start(train, column, features, settings)
     if not models:
         return Fitted(tuple(features), group, {})
     number = {g: i for i, g in enumerate(sorted(models))}
     state = reliable_checkpoint(_binned(train, column, features, models, number))
     blocks, pending = state.rdd, [[] for _ in number]
+    sizes = [rows[g] for g in number]
     trees = [[] for _ in number]
     for done in range(settings.trees):
         if done and done % WRITTEN_EVERY == 0:
             state, pending = _written(state, pending), [[] for _ in number]
             blocks = state.rdd
-        for g, tree in enumerate(_grow(blocks, pending, settings)):
+        for g, tree in enumerate(_grow(blocks, pending, sizes, settings)):
             pending[g].append(tree)
             trees[g].append(tree)
     whole = {g: GroupModel(m.baseline, m.medians, m.thresholds, tuple(trees[number[g]])) for g, m in models.items()}

@@ -78,6 +78,20 @@ def test_layout_and_other_groups_do_not_matter(spark):
     assert np.allclose(scored.probability, data.assign(p=want).sort_values(["g", *NAMES]).p)
 
 
+@pytest.mark.parametrize("rows", [0, 60, 150])
+def test_small_nodes_grow_the_same_trees_in_one_job(spark, monkeypatch, rows):
+    s = boosting.Settings(trees=3, leaves=9, min_rows=8)
+    data, jobs, search = made(), [], boosting.histograms
+    monkeypatch.setattr(boosting, "histograms", lambda *a: jobs.append(a) or search(*a))
+    small = boosting.fit(spark.createDataFrame(data).repartition(3), NAMES, "g", s)
+    assert len(jobs) == s.trees
+    monkeypatch.setattr(boosting, "SMALL_NODE", rows)
+    large = boosting.fit(spark.createDataFrame(data).repartition(3), NAMES, "g", s)
+    assert len(jobs) > 2 * s.trees
+    for g, model in small.models.items():
+        assert [t.splits for t in model.trees] == [t.splits for t in large.models[g].trees]
+
+
 def test_tree_limits(spark):
     s = boosting.Settings(trees=2, leaves=7, min_rows=25)
     fitted = boosting.fit(spark.createDataFrame(made()), NAMES, "g", s)
