@@ -69,10 +69,11 @@ def walk_forward(
     A fold trains on the sessions before its purge gap whose ``label_available_at`` lies before the first
     ``decision_at`` of its test rows. Folds are made once and shared by all models, so the models see the same rows.
     Adds ``fold``, ``model``, ``probability``, ``base_probability``, ``train_rows`` and ``last_label_available_at``; the
-    features go. Every fold reads the rows many times, so they are checkpointed once: an iterative fit then neither
-    recomputes the features nor depends on an executor's memory. ``at_once`` logistic fits share the cluster;
+    features go. Fold dates, rates and every fold read the rows many times, so they are checkpointed first: neither these
+    nor an iterative fit recompute the features or depend on an executor's memory. ``at_once`` logistic fits share the cluster;
     ``overrides`` change settings of the trees.
     """
+    rows = reliable_checkpoint(rows)
     dated = fold_dates(rows, protocol, day)
     rates = require_trainable(purged_base_rates(rows, dated, protocol, day), protocol)
     plan = sorted(rates.join(folds(dated, protocol), "fold").collect(), key=lambda r: r["fold"])  # at most max_folds rows
