@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +27,31 @@ def _staged(spark, df: DataFrame, name: str) -> DataFrame:
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 64).parquet(path)
 
 
-def _by_period(spark, inputs: dict[str, DataFrame], run) -> None:
+@contextmanager
+def _settings(spark, **values):
+    """Session settings (dots written as underscores below ``spark.sql``) for the time of a block."""
+    names = {f"spark.sql.{name.replace('_', '.')}": value for name, value in values.items()}
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, str(value).lower())
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def _state_tasks(spark) -> int:
+    """Shuffle partitions of a stream whose state the calendar bounds: every one commits its stores in every micro-batch."""
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def _by_period(spark, inputs: dict[str, DataFrame], run, bounded_state: bool = False) -> None:
     """Feed one ``period`` of all inputs after the other: each run of the job takes what has arrived as a micro-batch.
 
-    Every input is written once, partitioned by its period, and a period is appended from its own partition.
+    Every input is written once, partitioned by its period, and a period is appended from its own partition. With
+    ``bounded_state`` (aggregates and joins without timers) the streams have no more state partitions than there are
+    cores, and what the watermark closes is written with the next period: only the last has a batch without rows.
     """
     folders, periods = {}, set()
     for name, df in inputs.items():
@@ -42,7 +65,9 @@ def _by_period(spark, inputs: dict[str, DataFrame], run) -> None:
         for rows, target in folders.values():
             rows.where(F.col("period") == period).drop("period").write.mode("append").parquet(target)
             streams.append(spark.readStream.schema(rows.drop("period").schema).parquet(target))
-        run(*streams)
+        few = {"shuffle_partitions": _state_tasks(spark), "streaming_noDataMicroBatches_enabled": period == max(periods)}
+        with _settings(spark, **few if bounded_state else {}):
+            run(*streams)
 
 
 def _ordered(rows: DataFrame, time: str, periods: int = 4) -> DataFrame:
@@ -62,7 +87,7 @@ def _closing(rows: DataFrame) -> DataFrame:
     return rows.unionByName(last.select(*[fixed.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in rows.schema]))
 
 
-def _quote_job(spark, sf, name: str, job) -> tuple[DataFrame, DataFrame]:
+def _quote_job(spark, sf, name: str, job, bounded_state: bool = False) -> tuple[DataFrame, DataFrame]:
     """(output of a quote job fed in order, the quotes without an instant that it rejects)."""
     rows = _closing(_ordered(views.quote_records(spark, sf), "event_ns"))
     paths = [scratch(spark, f"{name}-{part}") for part in ("out", "checkpoint", "rejected", "rejected-checkpoint")]
@@ -75,7 +100,7 @@ def _quote_job(spark, sf, name: str, job) -> tuple[DataFrame, DataFrame]:
         jobs.run_to_table(rejected, paths[2], paths[3])
         jobs.run_to_table(result, paths[0], paths[1])
 
-    _by_period(spark, {name: rows}, run)
+    _by_period(spark, {name: rows}, run, bounded_state)
     out = spark.read.schema(schemas["out"]).parquet(paths[0])
     return out.filter(F.col("symbol") != "~"), spark.read.schema(schemas["rejected"]).parquet(paths[2])
 
@@ -126,7 +151,7 @@ def stream_hourly_spreads(spark, sf):
 
 
 def _hourly(spark, sf) -> tuple[DataFrame, DataFrame]:
-    out, rejected = _quote_job(spark, sf, "hourly", lambda quotes: sq.minute_windows(quotes, "2 days", 60))
+    out, rejected = _quote_job(spark, sf, "hourly", lambda quotes: sq.minute_windows(quotes, "2 days", 60), bounded_state=True)
     rounded = [F.round(c, 6).alias(c) for c in ("min_spread_bps", "max_spread_bps", "mean_spread_bps")]
     return out.select(
         "symbol", F.unix_micros("window_start").alias("window_us"), "quotes", "invalid", *rounded, "covered_minutes",
@@ -290,7 +315,7 @@ def stream_settlement(spark, sf):
         schema[:] = [joined.schema]
         jobs.run_to_table(joined, path, checkpoint)
 
-    _by_period(spark, inputs, run)
+    _by_period(spark, inputs, run, bounded_state=True)
     rows = spark.read.schema(schema[0]).parquet(path).filter(F.col("symbol") != "~")
     return rows.select(
         "symbol", F.col("target_session").cast("string").alias("target_session"), "outcome",

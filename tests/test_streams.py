@@ -168,3 +168,21 @@ def test_every_signal_has_one_outcome(spark, tmp_path):
     got = {r.signal_id: (r.outcome, r.strategy_return) for r in spark.read.parquet(str(tmp_path / "out")).filter("symbol <> '~'").collect()}
     assert {k: v[0] for k, v in got.items()} == {"hit": "EVALUATED", "none": "EXPIRED", "bad": "INVALID_BAR", "short": "EVALUATED", "slow": "EXPIRED"}
     assert got["hit"][1] == pytest.approx(0.01 - 0.0005) and got["short"][1] == pytest.approx(-0.01 - 0.0005) and got["none"][1] is None
+
+
+def test_a_stream_of_bounded_state_commits_few_stores_and_one_batch_without_rows(spark):
+    from pitspark.plans import stream_queries
+
+    names = ("spark.sql.shuffle.partitions", "spark.sql.streaming.noDataMicroBatches.enabled")
+    settings = lambda: tuple(spark.conf.get(n) for n in names)
+    rows, before = spark.createDataFrame([(v, v) for v in (1, 2, 3)], "v int, period int"), settings()
+    spark.conf.set(names[0], "64")
+    try:
+        few, many = [], []
+        stream_queries._by_period(spark, {"few": rows}, lambda stream: few.append(settings()), bounded_state=True)
+        stream_queries._by_period(spark, {"many": rows}, lambda stream: many.append(settings()))
+        cores = str(spark.sparkContext.defaultParallelism)
+        assert few == [(cores, "false"), (cores, "false"), (cores, "true")]
+        assert many == [("64", "true")] * 3 and settings() == ("64", "true")
+    finally:
+        spark.conf.set(names[0], before[0])
