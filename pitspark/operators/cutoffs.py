@@ -40,7 +40,8 @@ def first_cutoff(df: DataFrame, cutoffs: DataFrame, time: str, strict: bool = Fa
 
     Rows known only after the last cutoff drop out. ``cutoffs(cutoff)`` holds distinct instants, as many as a calendar
     has. Rows older than the first cutoff need no match. The gap between neighbouring cutoffs is spread over the hours it
-    touches, so the others are matched by an equality join on the hour plus a residual comparison.
+    touches, so the others are matched by an equality join on the hour plus a residual comparison. The hours are bounded
+    by the calendar and broadcast: the rows themselves are not shuffled before they are reduced to one per key.
     """
     order = W.partitionBy(F.lit(0)).orderBy("cutoff")
     spans = cutoffs.select(
@@ -56,7 +57,7 @@ def first_cutoff(df: DataFrame, cutoffs: DataFrame, time: str, strict: bool = Fa
     before = (lambda bound: t < bound) if strict else (lambda bound: t <= bound)
     old = df.filter(before(earliest)).withColumn("cutoff_index", F.lit(1))
     later = df.filter(~before(earliest)).withColumn("_hour", hour(t))
-    matched = later.join(hours, "_hour").filter(before(F.col("cutoff")) & ~before(F.col("_after")))
+    matched = later.join(F.broadcast(hours), "_hour").filter(before(F.col("cutoff")) & ~before(F.col("_after")))
     return old.unionByName(matched.select(*df.columns, "cutoff_index"))
 
 
@@ -75,8 +76,8 @@ def versions_at_cutoffs(
     most as many rows per key as there are cutoffs.
     """
     placed = first_cutoff(df, cutoffs, known_at, strict)
-    ranked = placed.withColumn("_rank", F.struct(*ranking))
-    best = latest_version(ranked, [*keys, "cutoff_index"], [F.desc_nulls_last("_rank")])
+    best = latest_version(placed, [*keys, "cutoff_index"], [c.desc_nulls_last() for c in ranking])
+    best = best.withColumn("_rank", F.struct(*ranking))
     payload = [c for c in df.columns if c not in keys]
     carry = W.partitionBy(*keys).orderBy("cutoff_index").rowsBetween(W.unboundedPreceding, W.currentRow)
     winners = best.select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pitspark.functions.reasons import ValidationError
 from pitspark.operators import warehouse as wh
-from pitspark.operators.cutoffs import versions_at_cutoffs
+from pitspark.operators.cutoffs import first_cutoff, versions_at_cutoffs
 from pitspark.schemas import NULLABLE, PRIMARY_KEYS, TABLES, column_names
 
 T = datetime.fromisoformat
@@ -164,3 +164,18 @@ def test_refresh_status(spark):
     assert wh.refresh_status(outcomes).first().status == "COMPLETE"
     empty = wh.refresh_outcomes({"c": (one.limit(0), one.limit(0))})
     assert wh.refresh_status(empty).first().status == "PARTIAL"
+
+
+def test_cutoffs_are_placed_without_a_shuffle_of_the_versions(spark):
+    """The hours between cutoffs are bounded by the calendar; versions must not be shuffled to meet them."""
+    df = spark.createDataFrame([(1, T("2024-01-05T00:30:00")), (2, T("2023-12-01")), (3, T("2024-03-01"))], "k int, available_at timestamp")
+    cutoffs = spark.createDataFrame([(T("2024-01-01"),), (T("2024-02-01"),)], "cutoff timestamp")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables that Spark takes for large ones
+    try:
+        placed = first_cutoff(df, cutoffs, "available_at")
+        plan = placed._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sorted((r.k, r.cutoff_index) for r in placed.collect()) == [(1, 2), (2, 1)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
