@@ -80,8 +80,7 @@ def company_facts(spark, sf):
     + """SELECT metric, unit, count(*) AS facts, CAST(0 AS BIGINT) AS conflicts, CAST(0 AS BIGINT) AS invalid FROM facts GROUP BY 1,2""",
 )
 def unique_company_facts(spark, sf):
-    tagged = filings.with_reasons(filings.parse_company_facts(_fact_documents(spark, sf)))
-    merged = filings.unique_facts(tagged)
+    merged = filings.with_reasons(filings.unique_facts(filings.parse_company_facts(_fact_documents(spark, sf))))
     return merged.groupBy("metric", "unit").agg(
         F.count(F.lit(1)).alias("facts"), F.count_if("conflict").alias("conflicts"),
         F.count_if(F.size("reasons") > 0).alias("invalid"),
@@ -106,7 +105,7 @@ def fact_violations(spark, sf):
             "filed_date": F.when(order % 17 == 0, F.date_sub("period_end", 1)).otherwise(F.col("filed_date")),
         }
     )
-    merged = filings.unique_facts(filings.with_reasons(broken))
+    merged = filings.with_reasons(filings.unique_facts(broken))
     has = lambda reason: F.count_if(F.array_contains("reasons", reason))
     return merged.groupBy("metric", "unit").agg(
         F.count(F.lit(1)).alias("facts"), F.count_if("conflict").alias("conflicts"), has("value_nonfinite").alias("nonfinite"),

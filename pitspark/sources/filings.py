@@ -25,15 +25,19 @@ def parse_company_facts(documents: DataFrame, payload: str = "payload", concepts
     Other forms and observations without filing date, end or accession are not facts.
     A present but malformed value or date stays and is caught by ``fact_checks``.
     """
-    kept = [c for c in documents.columns if c != payload]
-    parsed = documents.select(*kept, F.from_json(payload, _FACTS).alias("_d"))
+    # from_json evaluates its argument interpreted. A payload that is used twice stays a column of a projection below, whose
+    # own expressions are compiled; an empty one has no facts either way.
+    parsed_payload = F.when(F.length(payload) > 0, F.from_json(payload, _FACTS))
+    instrument = F.concat(F.lit("US:"), F.upper("ticker"))
+    kept = ["instrument_id"]
+    parsed = documents.select(instrument.alias("instrument_id"), parsed_payload.alias("_d"))
     by_concept = parsed.select(*kept, F.explode("_d.facts.us-gaap").alias("metric", "_c"))
     if concepts:
         by_concept = by_concept.filter(F.col("metric").isin(*concepts))
     by_unit = by_concept.select(*kept, "metric", F.explode("_c.units").alias("unit", "_o"))
     rows = by_unit.select(*kept, "metric", "unit", F.explode("_o").alias("o"))
     facts = rows.filter(
-        F.regexp_replace("o.form", "/A$", "").isin(*FORMS)
+        F.col("o.form").isin(*FORMS, *[f"{form}/A" for form in FORMS])
         & (F.coalesce(F.length("o.filed"), F.lit(0)) > 0)
         & (F.coalesce(F.length("o.end"), F.lit(0)) > 0)
         & (F.coalesce(F.length("o.accn"), F.lit(0)) > 0)
@@ -41,7 +45,7 @@ def parse_company_facts(documents: DataFrame, payload: str = "payload", concepts
     filed = F.col("o.filed").try_cast("date")
     available = after_local_date(filed, ZONE)
     typed = facts.select(
-        F.concat(F.lit("US:"), F.upper("ticker")).alias("instrument_id"), "metric",
+        "instrument_id", "metric",
         F.col("o.start").try_cast("date").alias("period_start"), F.col("o.end").try_cast("date").alias("period_end"),
         F.col("o.val").alias("value"), "unit", F.col("o.form").alias("form"), F.col("o.accn").alias("accession_number"),
         available.alias("filed_at"), available.alias("available_at"), F.lit(SOURCE).alias("source"),

@@ -46,6 +46,21 @@ def test_filing_conflicts_and_validation(spark):
     assert filings.require_facts(facts(spark, obs(val=None))).first().value is None
 
 
+def test_payloads_are_built_before_they_are_parsed(spark):
+    """from_json is not compiled and would evaluate, row by row, whatever builds its argument."""
+    documents = spark.range(4).select(F.lit("spy").alias("ticker"), F.to_json(F.struct(F.col("id"))).alias("payload"))
+    plan = filings.parse_company_facts(documents)._jdf.queryExecution().executedPlan().toString()
+    parsing = [line for line in plan.splitlines() if "from_json" in line]
+    assert parsing and not any("StructsToJson" in line for line in parsing)
+
+
+def test_documents_without_facts_and_amended_forms(spark):
+    documents = spark.createDataFrame([("a", None), ("a", ""), ("a", " "), ("a", "{"), ("a", "{}")], "ticker string, payload string")
+    assert filings.parse_company_facts(documents).isEmpty()
+    rows = facts(spark, obs(form="20-F/A"), obs(form="20-F/A/A"), obs(form="/A"), obs(form=None), obs(form="40-F")).collect()
+    assert sorted(r.form for r in rows) == ["20-F/A", "40-F"]
+
+
 def page(spark, *observations):
     return macro.parse_observations(spark.createDataFrame([("dff", json.dumps({"observations": list(observations)}))], "series_id string, payload string"))
 
