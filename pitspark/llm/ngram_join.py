@@ -9,8 +9,8 @@ The order is rare-first, so those n-grams are shared by few documents.
 3. For the other sets, frequencies of all their n-grams give the order, the prefixes and the positions in it.
 4. Rounds over one prefix n-gram per set compare a set with its neighbours in parts of bounded size. They join most of
    a large group of near copies with a number of comparisons that grows with its members, not with their pairs.
-5. The complete round: all pairs that share a prefix n-gram and are not yet in one group, by length, positional and
-   suffix filter, each verified once. After it no link between groups can be missing.
+5. The complete round: all pairs that share a prefix n-gram and are not yet in one group, by length, positional,
+   bitmap and suffix filter, each verified once. After it no link between groups can be missing.
 """
 
 from __future__ import annotations
@@ -30,10 +30,12 @@ from .storage import release_shuffles, stored
 
 SLICE = 1 / 4  # of the hash space; frequencies there decide which sets can have links
 STRATA = 16  # equal parts of the hash space whose counts the suffix filter compares
+BITMAP = 256  # bits of a set's bitmap: each n-gram flips one, so two sets differ in at least as many n-grams as bits
 PART = 2048  # sets compared in one run of a round
 TRIES = 12  # comparisons without a link after which a round leaves a set to the next
 HELD = 128  # sets of a block that others are compared with
 ROUNDS = 6  # at most; two are enough where no n-gram has more than PART sets
+_BITMAP = [f"b{i}" for i in range(BITMAP // 64)]
 _U = np.uint64
 
 
@@ -101,22 +103,28 @@ def _keys(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
     return ta.mix(total[at[1:]] - total[at[:-1]] + ta.mix(np.diff(at)))
 
 
-def _full_sets(df: DataFrame, size: int) -> DataFrame:
-    """key, n, grams (ascending as unsigned) and strata of every row."""
+def _full_sets(df: DataFrame, size: int, bits: bytes) -> DataFrame:
+    """key, n, grams (ascending as unsigned), strata and bitmap (b0, b1, ...) of the rows whose doc_id the filter lets pass."""
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(bloom.may_have(bits, np.asarray(batch.column("doc_id").fill_null(0)))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, offsets in ta.blocks(batches):
+        for _, data, offsets in ta.blocks(possible(batches)):
             grams, at = text_sets(data, offsets, size)
             n = np.diff(at)
             row = np.repeat(np.arange(len(n)), n)
             cell = row * STRATA + (grams >> _U(64 - STRATA.bit_length() + 1)).astype(np.int64)
             strata = np.bincount(cell, minlength=len(n) * STRATA).astype(np.int32)
+            flips = np.bincount(row * BITMAP + (grams >> _U(20)).astype(np.int64) % BITMAP, minlength=len(n) * BITMAP) & 1
+            bitmap = np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64).reshape(len(n), -1)
             yield pa.record_batch(
-                [pa.array(_keys(grams, at).view(np.int64)), pa.array(n), _lists(grams.view(np.int64), at), _lists(strata, np.arange(len(n) + 1) * STRATA)],
-                names=["key", "n", "grams", "strata"],
+                [pa.array(_keys(grams, at).view(np.int64)), pa.array(n), _lists(grams.view(np.int64), at), _lists(strata, np.arange(len(n) + 1) * STRATA), *map(pa.array, bitmap.T.copy())],
+                names=["key", "n", "grams", "strata", *_BITMAP],
             )
 
-    return _source(df).mapInArrow(run, "key long, n long, grams array<long>, strata array<int>")
+    return _source(df).mapInArrow(run, f"key long, n long, grams array<long>, strata array<int>, {', '.join(f'{b} long' for b in _BITMAP)}")
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -187,9 +195,10 @@ def _round(prefixes: DataFrame, sets: DataFrame, labels: DataFrame | None, perce
     return pairs, largest > PART
 
 
-def _open_members(prefixes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Prefix rows with their group, and those outside the largest group of their n-gram."""
-    named = prefixes.join(labels.hint("merge"), prefixes["key"] == labels["node"], "left").select("gram", "key", "n", "pos", F.coalesce("label", "key").alias("label"))
+def _open_members(prefixes: DataFrame, labels: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Prefix rows with their group and bitmap, and those outside the largest group of their n-gram."""
+    named = prefixes.join(labels.hint("merge"), prefixes["key"] == labels["node"], "left").join(sets.select("key", *_BITMAP).hint("merge"), "key")
+    named = named.select("gram", "key", "n", "pos", F.coalesce("label", "key").alias("label"), *_BITMAP)
     sizes = named.groupBy("gram", "label").agg(F.count("*").alias("c"))
     main = sizes.groupBy("gram").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("m"), F.count("*").alias("k")).where("k > 1")
     marked = named.join(main.select("gram", F.col("top.label").alias("main"), "m").hint("merge"), "gram")
@@ -198,14 +207,17 @@ def _open_members(prefixes: DataFrame, labels: DataFrame) -> tuple[DataFrame, Da
 
 def _complete(marked: DataFrame, minor: DataFrame, sets: DataFrame, compared: DataFrame, percent: int) -> DataFrame:
     """All pairs that share a prefix n-gram across groups, filtered, verified once: (a, b, linked)."""
-    x = minor.select("gram", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("label").alias("lx"))
-    y = marked.select("gram", F.col("key").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("in_main"))
+    x = minor.select("gram", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("label").alias("lx"), *[F.col(b).alias(f"x{b}") for b in _BITMAP])
+    y = marked.select("gram", F.col("key").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("in_main"), *[F.col(b).alias(f"y{b}") for b in _BITMAP])
     # length filter, and positional filter at this n-gram: a pair that links passes it at its first common one;
     # pairs of two minor members are found from both sides and taken from one
     fits = (F.col("lx") != F.col("ly")) & (F.col("in_main") | (F.col("x") < F.col("y")))
     fits &= (100 * F.col("nx") >= percent * F.col("ny")) & (100 * F.col("ny") >= percent * F.col("nx"))
     least_common = F.ceil(F.lit(percent) * (F.col("nx") + F.col("ny")) / (100 + percent))
     fits &= (F.col("nx") - F.col("px") >= least_common) & (F.col("ny") - F.col("py") >= least_common)
+    # bitmap filter: a pair differs in as many n-grams as bits at least; in a large group of near copies few others pass
+    flipped = sum((F.bit_count(F.col(f"x{b}").bitwiseXOR(F.col(f"y{b}"))) for b in _BITMAP), F.lit(0))
+    fits &= flipped <= F.col("nx") + F.col("ny") - 2 * least_common
     met = x.join(y.hint("merge"), (x["gram"] == y["gram"]) & fits)
     a_first = F.col("x") < F.col("y")
     pick = lambda p, q: F.when(a_first, F.col(p)).otherwise(F.col(q))
@@ -289,11 +301,12 @@ def groups(df: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     prefix = F.col("n") - needed(F.col("n"), percent).cast("long") + 1
     alive = stored(unique.join(alone, "key", "left").where(F.coalesce("own", F.lit(0)) < prefix).select("key", "doc_id"), "alive")
     release_shuffles(spark)
-    texts = _source(df).join(alive.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    numbered = _full_sets(texts, size).join(alive.select("key"), "key", "left_semi").dropDuplicates(["key"]).withColumn("number", F.monotonically_increasing_id())
+    # texts are not shuffled: the filter leaves out most, and the join on the set's key the rest
+    bits = bloom.build(alive.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id")), "doc_id")
+    numbered = _full_sets(df, size, bits).join(alive.select("key"), "key", "left_semi").dropDuplicates(["key"]).withColumn("number", F.monotonically_increasing_id())
     numbered = stored(numbered, "alive-sets")
     # from here on a set goes by its number, which shuffles in fewer bytes than its hash
-    sets = numbered.select(F.col("number").alias("key"), F.col("n").cast("int").alias("n"), "grams", "strata")
+    sets = numbered.select(F.col("number").alias("key"), F.col("n").cast("int").alias("n"), "grams", "strata", *_BITMAP)
     release_shuffles(spark)
     prefixes = stored(_prefixes(sets, percent), "prefixes")
     release_shuffles(spark)
@@ -303,7 +316,7 @@ def groups(df: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         found, split = _round(prefixes, sets, labels, percent, number)
         compared.append(stored(found, "compared"))
         labels = stored(components(_union(compared).where("linked")), "labels")
-        marked, minor = _open_members(prefixes, labels)
+        marked, minor = _open_members(prefixes, labels, sets)
         release_shuffles(spark)
         if number and not split:
             break

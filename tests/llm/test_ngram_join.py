@@ -107,3 +107,36 @@ def test_components(spark):
     nodes = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: find(x) for x in nodes}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_texts_are_not_shuffled(spark, monkeypatch):
+    """The texts of sets that stay are picked by a filter while they are read, whatever the size of the list of sets."""
+    plans, write = [], ngram_join.stored
+    monkeypatch.setattr(ngram_join, "stored", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or write(df, name))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = corpus(3, 80)
+        rows = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.groups(frame(spark, texts), 4, 85).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert rows == brute(texts, 4, 85)
+    (plan,) = [plan for name, plan in plans if name == "alive-sets"]
+    assert plan.count("SortMergeJoin") == 1  # the sets with their list, none of texts
+
+
+def test_pairs_of_a_large_group_are_cut_before_they_are_made(spark, monkeypatch):
+    """Copies that share n-grams of their prefixes but differ too much: few pairs get through to be verified."""
+    counts, verified = [], ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda pairs, sets, percent: counts.append(pairs.count()) or verified(pairs, sets, percent))
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for k in range(120):
+        copy = list(base)
+        for at in rng.sample(range(4, 146, 4), 2):  # eight n-grams of its own; two copies may differ in 11 each
+            copy[at] = f"x{k}-{at}"
+        texts.append(" ".join(copy))
+    rows = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.groups(frame(spark, texts), 4, 85).collect())
+    assert rows == brute(texts, 4, 85)
+    assert sum(counts) < 1000  # of 7,140
