@@ -122,3 +122,15 @@ def test_bloom(spark):
     values = np.array([0, -5, 123456789])
     spark_hash = [r[0] for r in spark.createDataFrame([(int(v),) for v in values], "v long").select(F.xxhash64("v", "v")).collect()]
     assert bloom.xxhash64(values, bloom.xxhash64(values)).tolist() == spark_hash
+
+
+def test_digests_come_with_the_text_left(spark):
+    texts = corpus(5)
+    rows = sorted(repeats.removed_digests(frame(spark, texts)).select("doc_id", "n_left", "kept_sha256", "n_removed", "text").collect())
+    left = [r.text for r in sorted(repeats.remove(frame(spark, texts)).select("doc_id", "text").collect())]
+    for r, text, want in zip(rows, texts, left, strict=True):
+        assert r.text == (want or "")
+        if (text or "").isascii():
+            assert (len(r.text), hashlib.sha256(r.text.encode()).hexdigest()) == (r.n_left, r.kept_sha256)
+        if not r.n_removed:
+            assert r.text == (text or "")
