@@ -6,6 +6,11 @@ a symbol holding a third of all fills is still spread over its days and key rang
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import Context, Decimal
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -85,7 +90,8 @@ def _notional(amount: Column) -> Column:
 # The average after a fill is a*average + b, its profit r0 + r1*average. Digits behind the point are chosen so that
 # products of two fit into 38 digits after rounding; a factor is kept to 30 digits, a price to 20, a profit to 18.
 _FACTOR, _PRICE, _CLOSED, _PROFIT = "decimal(31,30)", "decimal(28,20)", "decimal(34,24)", "decimal(36,18)"
-_HALF_FACTOR = 10**15
+_ONE, _NAN, _DIGITS = 10**30, float("nan"), Context(prec=60)
+_NOTHING = (_ONE, 0, 0, 0, 0, False, 0)  # effect (a, b, r0, r1) of no fills, their sum, whether it has a value, their number
 
 
 def _effect(a: Column, b: Column, r0: Column, r1: Column) -> list[Column]:
@@ -113,7 +119,7 @@ def _identity() -> Column:
 
 
 def _fold(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Compose the effects of one bin in order; a bin is bounded by its key range."""
+    """Compose the effects of a group's bins in order."""
     listed = df.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct(*order, F.struct("a", "b", "r0", "r1").alias("e")))).alias("_l"),
         F.sum("signed").alias("signed"), F.sum("fills").alias("fills"),
@@ -122,50 +128,116 @@ def _fold(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return listed.select(*keys, "signed", "fills", folded.alias("_f")).select(*keys, "signed", "fills", "_f.*")
 
 
-def _share(part: Column, whole: Column) -> Column:
-    """part / whole to 30 digits, by two long divisions of 15 (a decimal quotient keeps 20 at most)."""
-    n, d = ((x * 10**8).cast("decimal(18,0)") for x in (part, whole))
-    first = (n * _HALF_FACTOR).cast("decimal(34,0)")
-    rest = (F.pmod(first, d) * _HALF_FACTOR).cast("decimal(34,0)")
-    unit = F.lit(1).cast("decimal(1,0)") / F.lit(_HALF_FACTOR).cast("decimal(16,0)")
-    part_of_one = lambda x: (F.floor((x - F.pmod(x, d)) / d).cast("decimal(16,0)") * unit.cast("decimal(16,15)")).cast("decimal(17,15)")
-    return (part_of_one(first).cast(_FACTOR) + (part_of_one(rest) * unit.cast("decimal(16,15)")).cast(_FACTOR)).cast(_FACTOR)
+_FILL = ("_s", "_q0", "_q1", "price", "multiplier")
+
+
+def _rounded(x, unit: int):
+    """x / unit as a whole number, halves away from zero."""
+    return (x + unit // 2) // unit if x >= 0 else -((-x + unit // 2) // unit)
+
+
+def _whole(column: pa.Array) -> list:
+    """Decimals of at most 18 digits as whole numbers of their last digit; NaN for null."""
+    words = np.frombuffer(column.buffers()[1], np.int64)[2 * column.offset : 2 * (column.offset + len(column)) : 2].tolist()
+    return [w if known else _NAN for w, known in zip(words, column.is_valid().to_pylist(), strict=True)] if column.null_count else words
+
+
+def _decimals(values: list, digits: int, scale: int) -> pa.Array:
+    """Whole numbers of 10^-scale as decimals (NaN: null); what does not fit raises."""
+    return pa.array([None if v != v else Decimal(v).scaleb(-scale, _DIGITS) for v in values], pa.decimal128(digits, scale))
+
+
+def _folded(state: tuple, fills: list[tuple]) -> tuple:
+    """The effect of a stretch with the fills behind it; a fill is (amount, position before and after, price, multiplier)."""
+    a, b, r0, r1, total, known, count = state
+    for s, q0, q1, price, multiplier in fills:
+        count += 1
+        if s == s:
+            total, known = total + s, True
+        if q0 == 0 or (q0 > 0 and s > 0) or (q0 < 0 and s < 0):
+            size = abs(q0) + abs(s)
+            kept = abs(q0) * _ONE // size if size else _ONE
+            a = _rounded(kept * a, _ONE)
+            b = _rounded(kept * b, _ONE) + _rounded((_ONE - kept) * price, 10**18)
+            continue
+        closed = min(abs(q0), abs(s)) * (1 if q0 > 0 else -1) if s == s else _NAN
+        part = -closed * multiplier * 10**16
+        r0 = r0 + closed * price * multiplier * 100 + _rounded(part * b, 10**26)
+        r1 = r1 + _rounded(part * a, _ONE)
+        flips = (q0 > 0 and q1 < 0) or (q0 < 0 and q1 > 0)
+        if q1 == 0 or flips:
+            a, b = 0, 0 * b + (price if flips else 0) * 10**12
+    return a, b, r0, r1, total, known, count
 
 
 def fill_effects(fills: DataFrame, levels: list[str], order: list[str], key: str = "symbol", opening: DataFrame | None = None):
-    """Each fill as an affine effect on the average cost, in decimals.
+    """Fills of a (key, level) as one affine effect on the average cost, in decimals.
 
     The position before a fill is a running sum, which fixes whether it opens, adds,
     reduces or flips; given that, the new average is a*average + b and the realised
     profit r0 + r1*average. Effects compose, so the order-dependent average cost needs
-    no sequential pass over a whole symbol.
+    no sequential pass over a whole symbol. The cells of a task pass by in order, and their
+    fills compose in whole numbers: decimal expressions take several times as long. A missing
+    quantity or price is NaN there and makes what depends on it NULL.
     """
     s = signed().cast(AMOUNT)
     placed = running(fills.withColumn("_s", s), [key], levels, order, [Running("_after", F.col("_s"))])
     if opening is not None:
         start = opening.select(key, F.col("quantity").cast(MONEY).alias("_open"))
         placed = placed.join(start, key, "left").withColumn("_after", F.col("_after") + F.coalesce("_open", F.lit(0)))
-    placed = placed.withColumns({"_q1": F.col("_after").cast(AMOUNT), "_q0": (F.col("_after") - F.col("_s")).cast(AMOUNT)})
-    q0, q1, sd, price = F.col("_q0"), F.col("_q1"), F.col("_s"), F.col("price").cast(AMOUNT)
-    adds = (q0 == 0) | (F.signum(q0) == F.signum(sd))
-    flips = F.signum(q0) * F.signum(q1) < 0
-    size = (F.abs(q0) + F.abs(sd)).cast(AMOUNT)
-    kept = F.when(size > 0, _share(F.abs(q0).cast(AMOUNT), size)).otherwise(F.lit(1).cast(_FACTOR))
-    closed = (F.least(F.abs(q0), F.abs(sd)) * F.signum(q0).cast("decimal(1,0)")).cast(AMOUNT)
-    multiplier = F.col("multiplier").cast("decimal(6,0)")
-    zero = F.lit(0).cast(_PRICE)
-    added = ((F.lit(1).cast("decimal(1,0)") - F.col("_kept")).cast(_FACTOR) * price).cast(_PRICE)
-    return placed.withColumn("_kept", kept).select(
-        key, *levels, *order,
-        *_effect(
-            F.when(adds, F.col("_kept")).when((q1 == 0) | flips, F.lit(0).cast(_FACTOR)).otherwise(F.lit(1).cast(_FACTOR)),
-            F.when(adds, added).when(flips, price.cast(_PRICE)).otherwise(zero),
-            F.when(adds, F.lit(0).cast(_PROFIT)).otherwise(((closed * price).cast("decimal(30,16)") * multiplier).cast(_PROFIT)),
-            F.when(adds, F.lit(0).cast(_CLOSED)).otherwise((-closed * multiplier).cast(_CLOSED)),
-        ),
-        F.col("_s").alias("signed"),
-        F.lit(1).cast("bigint").alias("fills"),
+    cells = [key, *levels]
+    rows = placed.select(
+        *cells, *[c for c in order if c not in cells], "_s", F.col("_after").cast(AMOUNT).alias("_q1"), (F.col("_after") - F.col("_s")).cast(AMOUNT).alias("_q0"),
+        F.col("price").cast(AMOUNT).alias("price"), F.col("multiplier").cast("decimal(6,0)").alias("multiplier"),
     )
+    # fills of one instant go by their effects, as near as doubles tell them apart
+    q0, q1, sd, price = (F.col(c).cast("double") for c in ("_q0", "_q1", "_s", "price"))
+    adds, flips = (q0 == 0) | (F.signum(q0) == F.signum(sd)), F.signum(q0) * F.signum(q1) < 0
+    size = F.abs(q0) + F.abs(sd)
+    kept = F.when(size > 0, F.try_divide(F.abs(q0), size)).otherwise(1.0)
+    closed = F.least(F.abs(q0), F.abs(sd)) * F.signum(q0) * F.col("multiplier").cast("double")
+    ties = [
+        F.when(adds, kept).when((q1 == 0) | flips, 0.0).otherwise(1.0), F.when(adds, (1 - kept) * price).when(flips, price).otherwise(0.0),
+        F.when(adds, 0.0).otherwise(closed * price), F.when(adds, 0.0).otherwise(-closed),
+    ]
+    # the hash, a number, decides most comparisons at once
+    dealt = rows.repartition(*cells).sortWithinPartitions(F.xxhash64(*cells), *cells, *order, *ties).select(*cells, *_FILL)
+    sizes = {"a": (31, 30), "b": (28, 20), "r0": (36, 18), "r1": (34, 24), "signed": (28, 8)}
+
+    def listed(done: list[tuple], kinds: list[pa.DataType]) -> pa.RecordBatch:
+        columns = list(zip(*done, strict=True))
+        at, (*effect, total, known, count) = columns[: len(cells)], columns[len(cells) :]
+        total = [t if k else _NAN for t, k in zip(total, known, strict=True)]
+        exact = [_decimals(v, *d) for v, d in zip((*effect, total), sizes.values(), strict=True)]
+        return pa.record_batch([*(pa.array(v, k) for v, k in zip(at, kinds, strict=True)), *exact, pa.array(count, pa.int64())], names=[*cells, *sizes, "fills"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state, kinds = None, None, []
+        for batch in batches:
+            kinds, n, done = [batch.schema.field(c).type for c in cells], batch.num_rows, []
+            if not n:
+                continue
+            fresh = np.zeros(n, bool)
+            fresh[0] = True
+            for c in cells:
+                number = batch.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy()
+                fresh[1:] |= number[1:] != number[:-1]
+            first = np.flatnonzero(fresh)
+            names = zip(*(batch.column(c).take(pa.array(first)).to_pylist() for c in cells), strict=True)
+            values = list(zip(*(_whole(batch.column(c)) for c in _FILL), strict=True))
+            for name, begin, end in zip(names, first.tolist(), [*first[1:].tolist(), n], strict=True):
+                if state is None or name != at:
+                    if state is not None:
+                        done.append((*at, *state))
+                    at, state = name, _NOTHING
+                state = _folded(state, values[begin:end])
+            if done:
+                yield listed(done, kinds)
+        if state is not None:
+            yield listed([(*at, *state)], kinds)
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields[: len(cells)]]
+    return dealt.mapInArrow(run, ", ".join([*fields, *(f"{n} decimal({p},{d})" for n, (p, d) in sizes.items()), "fills bigint"]))
 
 
 QUANTITY = "decimal(28,8)"
@@ -180,8 +252,7 @@ def average_cost(
     of a symbol (bounded by the calendar) are chained by one aggregate over their array.
     Prices below 10^8, positions below 10^10 and profits below 10^18 fit; larger ones raise.
     """
-    effects = fill_effects(fills, [day, bin_], order, key, opening)
-    per_bin = _fold(effects, [key, day, bin_], order)
+    per_bin = fill_effects(fills, [day, bin_], order, key, opening)
     per_day = _fold(per_bin, [key, day], [bin_])
     daily = F.struct(day, "fills", F.col("signed").cast(QUANTITY).alias("signed"), F.struct("a", "b", "r0", "r1").alias("e"))
     chained = per_day.groupBy(key).agg(F.array_sort(F.collect_list(daily)).alias("_l"))

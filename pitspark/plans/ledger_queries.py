@@ -17,8 +17,9 @@ from .registry import query
 _NOW = "2000-06-15 21:10:00"
 _ORDER = ["day", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 _ORDER_SQL = "day, l_orderkey, l_partkey, l_suppkey, l_linenumber"
-# Key ranges cut a day of fills into bins; narrow enough that small data has several.
-_KEY_RANGE = 1 << 13
+# Key ranges cut a day of fills into bins; wide enough that most hold several fills, or else the bins' totals are as many
+# rows as the fills themselves.
+_KEY_RANGE = 1 << 16
 
 
 def r(name, digits):

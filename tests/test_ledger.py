@@ -277,3 +277,18 @@ def test_legacy_and_recent(spark):
     assert out["s99"] == ("INVALIDATED_LEGACY", "PENDING") and out["s1"] == ("PENDING", None)
     top = jr.recent(rows).collect()
     assert len(top) == 30 and top[0].signal_id == "s99" and top[0].direction_label == "LONG"
+
+
+def test_fills_of_a_cell_are_one_effect(spark):
+    rows = fills(5, 120)
+    effects = lg.fill_effects(with_bins(spark, rows), ["day", "bin"], ["day", "seq"])
+    cells = with_bins(spark, rows).select("symbol", "day", "bin").distinct().count()
+    found = effects.collect()
+    assert len(found) == cells < len(rows) and sum(r.fills for r in found) == len(rows)
+
+
+def test_missing_quantity_or_price_counts_as_null(spark):
+    day = date(2024, 1, 1)
+    rows = [("A", "BUY", Decimal(2), Decimal(3), Decimal(1), Decimal(0), day, 0), ("A", "BUY", None, Decimal(3), Decimal(1), Decimal(0), day, 1), ("B", "BUY", Decimal(2), None, Decimal(1), Decimal(0), day, 0)]
+    got = {r.symbol: (r.fills, r.quantity, r.average_price, r.realized_pnl) for r in lg.average_cost(with_bins(spark, rows), "day", "bin", ["day", "seq"]).collect()}
+    assert got == {"A": (2, Decimal(2), Decimal(3), None), "B": (1, Decimal(2), None, Decimal(0))}
