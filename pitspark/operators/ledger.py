@@ -162,7 +162,7 @@ def _folded(state: tuple, fills: list[tuple]) -> tuple:
             continue
         closed = min(abs(q0), abs(s)) * (1 if q0 > 0 else -1) if s == s else _NAN
         part = -closed * multiplier * 10**16
-        r0 = r0 + closed * price * multiplier * 100 + _rounded(part * b, 10**26)
+        r0 = r0 + closed * price * multiplier * 100 + _rounded(_rounded(part * b, 10**25), 10)
         r1 = r1 + _rounded(part * a, _ONE)
         flips = (q0 > 0 and q1 < 0) or (q0 < 0 and q1 > 0)
         if q1 == 0 or flips:
