@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from . import bloom
 from . import textarrays as ta
 from .components import components
-from .storage import release_shuffles, stored
+from .storage import release_shuffles, small_batches, stored
 
 SLICE = 1 / 4  # of the hash space; frequencies there decide which sets can have links
 STRATA = 16  # equal parts of the hash space whose counts the suffix filter compares
@@ -290,6 +290,7 @@ def groups(df: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     64-bit hashes, sets of a pair by all their n-grams. key stands for the set, label for the group.
     """
     spark = df.sparkSession
+    small_batches(spark)
     # The text is read again for the slices: writing them would take more disk than reading it takes time.
     documents = stored(_set_rows(df, size).select("doc_id", "key", "n"), "sets")
     alone = (
